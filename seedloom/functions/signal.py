@@ -76,5 +76,5 @@ def combine_directions(p1, p2, b1, b2) -> Column:
     x = F.least(F.greatest(_c(p1), lo), hi)
     y = F.least(F.greatest(_c(p2), lo), hi)
     alike = F.least(F.greatest(F.least(x, y) / F.greatest(x, y), F.lit(1e-12)), hi)
-    p = F.when(_c(b1) * _c(b2) < 0, hi).otherwise(F.sqrt(x * y) / alike)
+    p = F.when(F.signum(_c(b1)) != F.signum(_c(b2)), hi).otherwise(F.sqrt(x * y) / alike)
     return F.least(F.greatest(p, lo), hi)
