@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.functions.spans import grounded_count
 from seedloom.operators.base import as_list, attach_row, seeded_key, seeded_unit, small_side
 from seedloom.operators.ordered import ordered_scan, row_index
 
@@ -87,16 +89,10 @@ def filter_knowledge_examples(df: DataFrame, seen: bool = True, topics: bool = T
 
 def grounded_tokens(min_run: int = 10, text: str = "response_tokens", source: str = "knowledge_tokens") -> Column:
     """Number of response tokens that sit in runs of at least ``min_run`` tokens of the knowledge."""
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([grounded_count(x, y, min_run) for x, y in zip(a, b)], dtype="int64")
 
-    def step(acc, tok):
-        hit = F.array_contains(F.col(source), tok)
-        run = F.when(hit, acc["run"] + 1).otherwise(F.lit(0))
-        # a run starts to count when it reaches min_run, then one token at a time
-        add = F.when(run == min_run, F.lit(min_run)).when(run > min_run, F.lit(1)).otherwise(F.lit(0))
-        return F.struct(run.cast("int").alias("run"), (acc["kept"] + add).cast("int").alias("kept"))
-
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("kept"))
-    return F.aggregate(F.col(text), start, step, lambda a: a["kept"])
+    return F.pandas_udf(count, "long")(F.col(text), F.col(source))
 
 
 def filter_grounded_responses(df: DataFrame, min_run: int = 10, lo: float = 0.6, hi: float = 0.9, know: float = 0.8) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,8 +123,6 @@ def ols_association(matrix: DataFrame, pheno: DataFrame, y: str, k_pcs: int, pcs
     only needs a few sums: x.x, x.y and x against an orthonormal basis of that space
     (Frisch-Waugh). Missing x count as 0; samples without y are left out.
     """
-    import numpy as np
-
     known = pheno.filter(F.col(y).isNotNull() & ~F.isnan(y)).select("sample_id", F.col(y).cast("double").alias("_y"))
     rows = matrix.join(small_side(known), "sample_id")
     if pcs is None and k_pcs:
@@ -195,9 +195,6 @@ def quantile_grid(df: DataFrame, value: str, points: int) -> list[float]:
 
 def rank_normal(df: DataFrame, value: str, points: int) -> DataFrame:
     """Map a column to normal scores through its quantile grid (ties take the middle)."""
-    import numpy as np
-    import pandas as pd
-
     n = df.filter(F.col(value).isNotNull()).count()
     points = min(points, n)
     if points < 2:
