@@ -254,7 +254,7 @@ def sft_examples(turns: DataFrame, n: int, eod: int, pad: int, key: str = "conv_
     per = per.select(key, F.flatten(F.col("_s.t")).alias("_t"), F.flatten(F.col("_s.y")).alias("_y"))
     fill = F.array_repeat(F.lit(pad), F.lit(n) - F.size("_t"))
     tail = F.concat(F.array(F.lit(eod)), fill)
-    per = per.withColumn("_t", F.concat("_t", tail)).withColumn("_y", F.concat("_y", tail))
+    per = per.select(key, F.concat("_t", tail).alias("_t"), F.concat("_y", tail).alias("_y"))
     out = per.select(key, F.slice("_t", 1, n).alias("tokens"), F.slice("_y", 2, n).alias("labels"))
     return out.withColumn("loss_mask", F.transform("labels", lambda v: F.when(v.isin(pad, IGNORE), 0).otherwise(1)))
 
