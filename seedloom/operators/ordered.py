@@ -64,11 +64,16 @@ def lay_out(df: DataFrame, by, order, salt: bool = False) -> DataFrame:
     return settle(df.repartitionByRange(*keys).withColumn(PID, F.spark_partition_id()))
 
 
-def _sort_keys(order) -> list[Column]:
-    """Order columns; a leading '-' means descending."""
+def _sort_keys(order, turn: bool = False) -> list[Column]:
+    """Order columns; a leading '-' means descending. ``turn`` gives the opposite order."""
     keys = []
     for c in as_list(order):
-        keys.append(F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc())
+        down = c.startswith("-")
+        col = F.col(c[1:] if down else c)
+        if turn:
+            keys.append(col.asc_nulls_first() if down else col.desc_nulls_last())
+        else:
+            keys.append(col.desc_nulls_last() if down else col.asc_nulls_first())
     return keys
 
 
@@ -78,15 +83,19 @@ def scan(laid: DataFrame, by, order, **scans: Scan) -> DataFrame:
     keys = _sort_keys(order) + ([F.col(SALT)] if SALT in laid.columns else [])
     group = [PID] + by
     local = Window.partitionBy(*group).orderBy(*keys)
-    ahead = local.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     behind = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*group)
+    # reverse scans run forward over the turned-round order: Spark computes a frame that ends
+    # at the last row anew for every row
+    turned = Window.partitionBy(*group).orderBy(*_sort_keys(order, turn=True), *([F.col(SALT).desc()] if SALT in laid.columns else []))
+    turned = turned.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     aggs = {"sum": F.sum, "min": F.min, "max": F.max}
 
     out = laid
     shifts = {k: s for k, s in scans.items() if s.kind in ("lag", "lead")}
     if shifts:
         out = out.withColumn("_rn", F.row_number().over(local)).withColumn(
-            "_left", F.count(F.lit(1)).over(ahead) - 1
+            "_left", F.count(F.lit(1)).over(whole) - F.col("_rn")
         )
     for name, s in scans.items():
         if s.kind == "lag":
@@ -94,7 +103,11 @@ def scan(laid: DataFrame, by, order, **scans: Scan) -> DataFrame:
         elif s.kind == "lead":
             out = out.withColumn(f"_l_{name}", F.lead(s.col, s.n).over(local)).withColumn(f"_v_{name}", s.col)
         else:
-            out = out.withColumn(f"_l_{name}", aggs[s.kind](s.col).over(ahead if s.reverse else behind))
+            if s.reverse and s.kind == "sum":
+                rest = F.sum(s.col).over(whole) - F.sum(s.col).over(behind) + F.coalesce(s.col, F.lit(0))
+                out = out.withColumn(f"_l_{name}", rest)
+            else:
+                out = out.withColumn(f"_l_{name}", aggs[s.kind](s.col).over(turned if s.reverse else behind))
 
     # One row per (group, partition); kept only for groups that cross partitions.
     edge_src = out if shifts else laid

@@ -14,7 +14,6 @@ def lengths(t):
 
 
 TOK = "(SELECT doc_id, source, list_transform(toks, lambda w: length(w)) AS tokens FROM tokens)"
-FLAT = f"(SELECT doc_id, i, tokens[i] AS tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, count(*) OVER () AS total FROM {TOK}, generate_series(1, len(tokens)) g(i))"
 
 
 def sources(t) -> list[tuple[str, int]]:
@@ -79,19 +78,12 @@ def _(t):
     return pk.document_order(t.documents.select("doc_id"), 3, 11, separate_last=True)
 
 
-@query(
-    "c07_pack_sequences",
-    "sample_id:l tokens:al",
-    f"""SELECT s.sample_id, list(tok ORDER BY pos) AS tokens FROM {FLAT} f, (SELECT unnest(range(0, (SELECT max(total) - 1 FROM {FLAT}) // 512)) AS sample_id) s
-        WHERE f.pos >= s.sample_id * 512 AND f.pos <= s.sample_id * 512 + 512 GROUP BY 1""".replace(
-        f"FROM {FLAT} f, (SELECT", f"FROM (SELECT *, unnest(CASE WHEN pos % 512 = 0 AND pos > 0 THEN [pos // 512 - 1, pos // 512] ELSE [pos // 512] END) AS sid FROM {FLAT}) f JOIN (SELECT"
-    ).replace("WHERE f.pos >= s.sample_id * 512 AND f.pos <= s.sample_id * 512 + 512", "ON f.sid = s.sample_id"),
-)
+@query("c07_pack_sequences", "sample_id:l tokens:al", "SELECT sid AS sample_id, list(tok ORDER BY pos) AS tokens FROM flat_tokens WHERE sid < (total - 1) // 512 GROUP BY 1")
 def _(t):
     return pk.pack_sequences(lengths(t), 512)
 
 
-@query("c07_sample_parts", "sample_id:l n:l len:l", f"""SELECT sid AS sample_id, count(DISTINCT doc_id) AS n, count(*) AS len FROM (SELECT *, unnest(CASE WHEN pos % 512 = 0 AND pos > 0 THEN [pos // 512 - 1, pos // 512] ELSE [pos // 512] END) AS sid FROM {FLAT}) WHERE sid < (total - 1) // 512 GROUP BY 1""")
+@query("c07_sample_parts", "sample_id:l n:l len:l", "SELECT sid AS sample_id, count(DISTINCT doc_id) AS n, count(*) AS len FROM flat_tokens WHERE sid < (total - 1) // 512 GROUP BY 1")
 def _(t):
     docs = t.tokens.select("doc_id", F.size("toks").alias("length"))
     return pk.sample_parts(docs, 512).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len"))
@@ -210,7 +202,7 @@ def _(t):
     return co.chunk_sets(chunks, 0.75, 500, ratios)
 
 
-@query("c21_sample_chunks", "sample_id:l chunk_no:l n:l total:l", f"""SELECT sid AS sample_id, (pos - sid * 512) // 64 AS chunk_no, count(*) AS n, sum(tok) AS total FROM (SELECT *, pos // 512 AS sid FROM {FLAT}) WHERE sid < (total - 1) // 512 GROUP BY 1, 2""")
+@query("c21_sample_chunks", "sample_id:l chunk_no:l n:l total:l", "SELECT sid AS sample_id, (pos - sid * 512) // 64 AS chunk_no, count(*) AS n, sum(tok) AS total FROM flat_tokens WHERE sid < (total - 1) // 512 AND pos < sid * 512 + 512 GROUP BY 1, 2")
 def _(t):
     out = co.sample_chunks(pk.pack_sequences(lengths(t), 512), 512, 64)
     return out.select("sample_id", "chunk_no", F.size("tokens").alias("n"), F.aggregate("tokens", F.lit(0), lambda a, v: a + v).alias("total"))

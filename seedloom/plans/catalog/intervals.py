@@ -113,13 +113,13 @@ def _(t):
     """SELECT track, chrom, min(pos) AS start, max(pos) + 1 AS "end", value FROM (
          SELECT *, pos - row_number() OVER (PARTITION BY track, chrom, value ORDER BY pos) AS g FROM (
            SELECT track, chrom, unnest(range(start - start % 128, start - start % 128 + 64)) AS pos, round(max(value) * 5) AS value
-           FROM signal GROUP BY track, chrom, start - start % 128, start) WHERE value <> 0)
+           FROM signal GROUP BY track, chrom, start - start % 128) WHERE value <> 0)
        GROUP BY track, chrom, value, g""",
 )
 def _(t):
     lo = F.col("start") - F.col("start") % 128
-    coarse = t.signal.groupBy("track", "chrom", lo.alias("_lo"), "start").agg(F.round(F.max("value") * 5).alias("value"))
-    one = coarse.select("track", "chrom", F.col("_lo").alias("start"), (F.col("_lo") + 64).alias("end"), "value").distinct()
+    coarse = t.signal.groupBy("track", "chrom", lo.alias("_lo")).agg(F.round(F.max("value") * 5).alias("value"))
+    one = coarse.select("track", "chrom", F.col("_lo").alias("start"), (F.col("_lo") + 64).alias("end"), "value")
     bases = iv.intervals_to_bases(one)
     return iv.bases_to_intervals(bases, ["track", "chrom"])
 

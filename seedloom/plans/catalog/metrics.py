@@ -100,14 +100,14 @@ def _(t):
 @query(
     "a27_extreme_value_report",
     "n:l extreme_count:l extreme_ratio:d extreme_mse_share:d mse_filtered:d pearson_filtered:d spearman_filtered:d absurd_count:l pred_p1:d pred_p50:d pred_p99:d true_p5:d true_p95:d",
-    f"""WITH x AS (SELECT 1 AS one, l_extendedprice AS pred, l_quantity * 1000 AS truth FROM lineitem), q AS (SELECT quantile_cont(pred, 0.99) AS p99, quantile_cont(truth, 0.999) AS t999, quantile_cont(pred, 0.01) AS pred_p1, median(pred) AS pred_p50,
+    f"""WITH x AS (SELECT 1 AS one, l_extendedprice / 1000 AS pred, l_quantity AS truth FROM lineitem), q AS (SELECT quantile_cont(pred, 0.99) AS p99, quantile_cont(truth, 0.999) AS t999, quantile_cont(pred, 0.01) AS pred_p1, median(pred) AS pred_p50,
          quantile_cont(truth, 0.05) AS true_p5, quantile_cont(truth, 0.95) AS true_p95 FROM x), k AS (SELECT * FROM x, q WHERE pred <= p99)
         SELECT (SELECT count(*) FROM x) AS n, (SELECT count(*) FROM x, q WHERE pred > p99) AS extreme_count, (SELECT avg(CASE WHEN pred > p99 THEN 1.0 ELSE 0 END) FROM x, q) AS extreme_ratio,
           (SELECT sum((pred - truth) ** 2) FILTER (pred > p99) / sum((pred - truth) ** 2) FROM x, q) AS extreme_mse_share, (SELECT avg((pred - truth) ** 2) FROM k) AS mse_filtered, (SELECT corr(pred, truth) FROM k) AS pearson_filtered,
           (SELECT corr(rp, rt) FROM {ranked('k', 'one')}) AS spearman_filtered, (SELECT count(*) FROM x, q WHERE pred > 100 * t999) AS absurd_count, pred_p1, pred_p50, p99 AS pred_p99, true_p5, true_p95 FROM q""",
 )
 def _(t):
-    df = t.lineitem.select(F.col("l_extendedprice").alias("pred"), (F.col("l_quantity") * 1000).alias("truth"))
+    df = t.lineitem.select((F.col("l_extendedprice") / 1000).alias("pred"), F.col("l_quantity").alias("truth"))
     return mt.extreme_value_report(df)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from seedloom.functions import dna
 from seedloom.operators import variants as vr
-from seedloom.plans.catalog.metrics import LAYERS
 from seedloom.plans.registry import query
 from seedloom.session import scratch_path
 from seedloom.sources import corpora as cp
@@ -274,15 +273,14 @@ def _(t):
     c = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), turn).alias("dialog"))
     path = scratch_path(t.spark, "dialogues")
     c.select(F.concat(F.lit("topic"), F.col("conv_id").cast("string")).alias("chosen_topic"), "dialog").write.json(path)
-    return cp.read_dialogues(t.spark, path)
+    return cp.read_dialogues(t.spark, path, lines=True)
 
 
-@query("s21_read_metric_files", "sample:s checkpoint:l acc:d f1:d", f"SELECT 's' || task AS sample, layer AS checkpoint, acc, f1 FROM {LAYERS}")
+@query("s21_read_metric_files", "sample:s checkpoint:l acc:d f1:d", "SELECT 's' || l_suppkey % 10 AS sample, l_linenumber AS checkpoint, avg(l_discount) AS acc, avg(l_tax) AS f1 FROM lineitem GROUP BY 1, 2")
 def _(t):
-    from seedloom.plans.catalog.metrics import layers
-
     root = scratch_path(t.spark, "metrics")
-    rows = layers(t).select(
+    rows = t.lineitem.groupBy((F.col("l_suppkey") % 10).alias("task"), F.col("l_linenumber").alias("layer")).agg(F.avg("l_discount").alias("acc"), F.avg("l_tax").alias("f1"))
+    rows = rows.select(
         F.concat(F.lit("s"), F.col("task").cast("string"), F.lit(".checkpoint-"), F.col("layer").cast("string")).alias("d"),
         F.concat(F.lit("acc: "), F.format_string("%.12f", F.col("acc")), F.lit("\nf1: "), F.format_string("%.12f", F.col("f1")), F.lit("\nnote\n")).alias("value"),
     )

@@ -112,7 +112,7 @@ def _(t):
     return df.select("doc_id", tx.answer_field("a", "b", "c").alias("answers"))
 
 
-@query("x23_join_pieces", "doc_id:l text:s", "SELECT doc_id, replace(text, ' e', 'e') AS text FROM documents")
+@query("x23_join_pieces", "doc_id:l text:s", "SELECT doc_id, CASE WHEN text LIKE 'e%' THEN '##' ELSE '' END || replace(text, ' e', 'e') AS text FROM documents")
 def _(t):
     pieces = F.transform(F.split("text", " "), lambda w: F.when(w.startswith("e"), F.concat(F.lit("##"), w)).otherwise(w))
     return t.documents.select("doc_id", tx.join_pieces(pieces).alias("text"))

@@ -46,6 +46,12 @@ VIEWS = {
     "meta": """
         SELECT o_orderkey AS track_index, o_orderpriority AS assay, o_orderstatus AS strand,
                o_custkey % 10 AS biosample, o_totalprice AS nonzero_mean FROM orders""",
+    "flat_tokens": """
+        SELECT doc_id, pos, total, tok, unnest(CASE WHEN pos % 512 = 0 AND pos > 0 THEN [pos // 512 - 1, pos // 512] ELSE [pos // 512] END) AS sid
+        FROM (SELECT doc_id, tok, before + i - 1 AS pos, total FROM (
+          SELECT doc_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS i, before, total FROM (
+            SELECT doc_id, toks, sum(len(toks)) OVER (ORDER BY doc_id) - len(toks) AS before, sum(len(toks)) OVER () AS total FROM tokens)),
+          LATERAL (SELECT length(w) AS tok))""",
     "tokens": "SELECT doc_id, source, string_split(text, ' ') AS toks FROM documents",
 }
 

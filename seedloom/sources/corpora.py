@@ -126,13 +126,14 @@ SEARCH_DIALOG = (
 )
 
 
-def read_dialogues(spark: SparkSession, path: str, layout: str = "wiki") -> DataFrame:
+def read_dialogues(spark: SparkSession, path: str, layout: str = "wiki", lines: bool = False) -> DataFrame:
     """(conv_id, turn, role, topic, knowledge, text) rows of nested dialogue files.
 
     ``wiki``: chosen topic, turns with checked sentence and passage. ``search``: histories
-    with actions and selected search contents.
+    with actions and selected search contents. A file is one JSON array, or (``lines``) one
+    dialogue per line, which also splits large files over tasks.
     """
-    rows = spark.read.schema(DIALOG if layout == "wiki" else SEARCH_DIALOG).option("multiLine", True).json(path)
+    rows = spark.read.schema(DIALOG if layout == "wiki" else SEARCH_DIALOG).option("multiLine", not lines).json(path)
     rows = rows.withColumn("_f", F.input_file_name()).withColumn("_i", F.monotonically_increasing_id())
     rows = ordered_scan(rows, None, ["_f", "_i"], conv_id=row_index())
     if layout == "wiki":
