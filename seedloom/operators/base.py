@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.session import settle
+
 
 def as_list(cols) -> list[str]:
     if cols is None:
@@ -84,9 +86,13 @@ BROADCAST_ROWS = 200_000
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after seeing that ``df`` has at most ``rows`` rows."""
-    seen = df.limit(rows + 1).count()
-    return F.broadcast(df) if seen <= rows else df
+    """Hint a broadcast only after seeing that ``df`` has at most ``rows`` rows.
+
+    The table is settled first, so that it is computed once and the look at its size is
+    cheap. A larger one joins by shuffle.
+    """
+    kept = settle(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
 
 
 def let(value: Column, body) -> Column:

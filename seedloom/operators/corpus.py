@@ -300,9 +300,16 @@ def end_punctuation(col) -> Column:
 
 
 def dialogue_history(turns: DataFrame, last: int | None = None, key: str = "conv_id", order: str = "turn", text: str = "text", to: str = "history") -> DataFrame:
-    """Texts of the earlier turns of the same conversation (of the last few, if given)."""
-    w = Window.partitionBy(key).orderBy(order)
-    span = w.rowsBetween(Window.unboundedPreceding if last is None else -last, -1)
+    """Texts of the earlier turns of the same conversation (of the last few, if given).
+
+    A short history is read off an ordered scan, which splits long conversations over tasks;
+    the full history grows with the turn number by definition.
+    """
+    if last is not None:
+        near = ordered_scan(turns, key, order, **{f"_b{i}": previous(text, i) for i in range(1, last + 1)})
+        back = F.array_compact(F.array(*[F.col(f"_b{i}") for i in range(last, 0, -1)]))
+        return near.withColumn(to, back).drop(*[f"_b{i}" for i in range(1, last + 1)])
+    span = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn(to, F.collect_list(text).over(span))
 
 

@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from seedloom.operators.base import as_list, seeded_key
 from seedloom.session import settle
 
-# Rows of one query block and one item block that meet in a task.
-QUERY_BLOCK = 4096
-ITEM_BLOCK = 65536
+# Vector components in the query block and the item block that meet in one task.
+QUERY_VALUES = 1 << 18
+ITEM_VALUES = 1 << 22
+
+
+def _block_rows(df: DataFrame, vec: str) -> tuple[int, int]:
+    """Rows per query block and per item block for the width of these vectors."""
+    first = df.select(F.size(vec).alias("d")).first()
+    d = max(1, first["d"] if first else 1)
+    return max(1, QUERY_VALUES // d), max(1, ITEM_VALUES // d)
 
 
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -66,7 +73,8 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "ip", q
     a task never holds more than one block of each side.
     """
     nq, ni = queries.count(), items.count()
-    bq, bi = max(1, math.ceil(nq / QUERY_BLOCK)), max(1, math.ceil(ni / ITEM_BLOCK))
+    q_rows, i_rows = _block_rows(items, vec)
+    bq, bi = max(1, math.ceil(nq / q_rows)), max(1, math.ceil(ni / i_rows))
     q = queries.select(F.col(q_key).alias("id"), F.col(vec).alias("v"))
     x = items.select(F.col(i_key).alias("id"), F.col(vec).alias("v"))
     q = q.withColumn("bq", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(bi - 1))))
@@ -115,8 +123,9 @@ def knn_join_ivf(queries: DataFrame, items: DataFrame, k: int, n_lists: int, npr
     centroids = train_centroids(x, n_lists, sample, seed, key="id")
     x = settle(assign_lists(x, centroids, 1))
     q = settle(assign_lists(q, centroids, nprobe))
-    sizes = x.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / ITEM_BLOCK).cast("int").alias("nb"))
-    qsizes = q.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("nq"))
+    q_rows, i_rows = _block_rows(x, "embedding")
+    sizes = x.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / i_rows).cast("int").alias("nb"))
+    qsizes = q.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / q_rows).cast("int").alias("nq"))
     # one row per list, so n_lists rows at most
     shape = {r["list_id"]: (r["nb"], r["nq"]) for r in sizes.join(qsizes, "list_id").limit(n_lists).collect()}
     blocks = lambda i: F.element_at(F.create_map(*[F.lit(v) for k, n in shape.items() for v in (k, n[i])]), F.col("list_id"))
