@@ -95,6 +95,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
 
 
+def for_each(left: DataFrame, right: DataFrame, key, shards: int = 16) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``, where that product is the result asked for.
+
+    A hash join on a shard of the left key: the right side is repeated once per shard and
+    broadcast only when that is seen to be small, else both sides shuffle.
+    """
+    keyed = small_side(right.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+    shard = F.pmod(F.xxhash64(*as_list(key)), F.lit(shards)).cast("int")
+    return left.withColumn("_k", shard).join(keyed, "_k").drop("_k")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it in ``body`` (a column -> column function).
 

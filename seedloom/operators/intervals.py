@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.operators.base import as_list, let, seeded_key, seeded_unit, small_side
+from seedloom.operators.base import as_list, for_each, let, seeded_key, seeded_unit, small_side
 from seedloom.operators.ordered import following, lay_out, ordered_scan, previous, release, row_index, running_sum, scan
 
 
@@ -404,24 +404,7 @@ def paired_track_index(windows: DataFrame, tracks: DataFrame, stats: DataFrame)
     cells = cells.filter(
         F.col("rna_plus_track").isNotNull() & F.col("rna_minus_track").isNotNull() & F.col("atac_track").isNotNull()
     ).drop("atac_mean", "atac_cap")
-    return repeat_for_each(windows, cells)
-
-
-def repeat_for_each(windows: DataFrame, items: DataFrame, shards: int = 64) -> DataFrame:
-    """Each window with each item (a cell type or sample sheet, checked to be a short list).
-
-    The result is the product by definition of a multi-sample index. The item list travels
-    as one array per shard key, so that windows stay where they are.
-    """
-    packed = items.agg(F.collect_list(F.struct(*items.columns)).alias("_items"))
-    if items.limit(100_001).count() > 100_000:
-        keyed = items.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        return windows.withColumn("_k", F.pmod(F.xxhash64("chrom", "start", "end"), F.lit(shards)).cast("int")).join(
-            keyed, "_k"
-        ).drop("_k")
-    from seedloom.operators.base import attach_row
-
-    return attach_row(windows, packed).withColumn("_item", F.explode("_items")).select(*windows.columns, "_item.*")
+    return for_each(windows, cells, ["chrom", "start", "end"])
 
 
 def multimodal_index(meta: DataFrame, windows: DataFrame, heads: list[str]) -> DataFrame:
@@ -436,7 +419,7 @@ def multimodal_index(meta: DataFrame, windows: DataFrame, heads: list[str]) -> D
     )
     for h in heads:
         wide = wide.withColumn(f"{h}_mean", F.coalesce(F.col(f"{h}_mean"), F.lit(1.0)))
-    return repeat_for_each(windows, wide)
+    return for_each(windows, wide, ["chrom", "start", "end"])
 
 
 def call_windows(df: DataFrame, eps: float, p1: str = "p1", p2: str = "p2", names=("japonica", "indica")) -> DataFrame:

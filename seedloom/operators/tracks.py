@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedloom.operators.base import as_list, is_finite, ratio, small_side
+from seedloom.operators.base import as_list, attach_row, for_each, is_finite, ratio, small_side
 from seedloom.operators.intervals import not_overlapping, scaffold_fill
 from seedloom.operators.ordered import following, lay_out, ordered_scan, release, running_sum, scan
 
@@ -39,12 +39,7 @@ def nonzero_mean(track: DataFrame, by=("track",), weighted: bool = True, to: str
 def nonzero_mean_by_chrom(track: DataFrame, chroms: DataFrame, by=("track",), to: str = "mean") -> DataFrame:
     """Mean per (track, chrom) for every wanted chromosome; empty or missing -> 1.0."""
     by = as_list(by)
-    wanted = track.select(*by).distinct()
-    names = chroms.select("chrom").distinct()
-    packed = names.agg(F.collect_set("chrom").alias("_c"))
-    from seedloom.operators.base import attach_row
-
-    grid = attach_row(wanted, packed).withColumn("chrom", F.explode("_c")).drop("_c")
+    grid = for_each(track.select(*by).distinct(), chroms.select("chrom").distinct(), by)
     means = nonzero_mean_weighted(track, by + ["chrom"], to)
     return grid.join(means, by + ["chrom"], "left").withColumn(to, F.coalesce(F.col(to), F.lit(1.0)))
 
@@ -174,8 +169,6 @@ def coverage(reads: DataFrame, bin_size: int = 50, min_mapq: int = 0, strand: st
     first = F.floor(F.col("start") / bin_size)
     last = F.floor((F.col("end") - 1) / bin_size)
     bins = kept.withColumn("_b", F.explode(F.sequence(first, last))).groupBy("chrom", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    from seedloom.operators.base import attach_row
-
     value = F.col("_n").cast("double")
     if norm == "BPM":
         bins = attach_row(bins, bins.agg(F.sum("_n").alias("_all")))
