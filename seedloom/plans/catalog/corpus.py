@@ -263,7 +263,7 @@ def _(t):
     return co.dialogue_examples(c)
 
 
-@query("c28_annotate", "doc_id:l n_words:l share:d")
+@query("c28_annotate", "doc_id:l n_words:l share:d", "SELECT doc_id, len(w) AS n_words, len(list_filter(w, lambda v: v[1] <> lower(v[1]))) / CAST(greatest(1, len(w)) AS DOUBLE) AS share FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda v: v <> '') AS w FROM documents)")
 def _(t):
     def score(texts: pd.Series) -> pd.DataFrame:
         words = texts.str.split()

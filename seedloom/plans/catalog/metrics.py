@@ -170,7 +170,16 @@ def _(t):
     return mt.classification_metrics(scored(t).withColumn("scores", F.array(1 - F.col("score"), F.col("score"))))
 
 
-@query("a32_multilabel_metrics", "accuracy:d roc_auc:d precision:d recall:d f1:d mcc:d")
+LONG = f"(SELECT 0 AS c, label AS t, pred AS p, score AS s FROM {SCORED} UNION ALL SELECT 1, toxic, n_chars % 2, 1 - score FROM {SCORED})"
+
+
+@query(
+    "a32_multilabel_metrics",
+    "accuracy:d roc_auc:d precision:d recall:d f1:d mcc:d",
+    f"""WITH k AS (SELECT c, CAST(count(*) FILTER (t = 1 AND p = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (t = 0 AND p = 1) AS DOUBLE) AS fp, CAST(count(*) FILTER (t = 1 AND p = 0) AS DOUBLE) AS fn, CAST(count(*) FILTER (t = 0 AND p = 0) AS DOUBLE) AS tn FROM {LONG} GROUP BY 1)
+        SELECT (SELECT avg(CASE WHEN label = pred AND toxic = n_chars % 2 THEN 1.0 ELSE 0 END) FROM {SCORED}) AS accuracy, (SELECT avg(auroc) FROM ({auc_sql(LONG, 'c', 's', 't = 1')})) AS roc_auc, avg(coalesce(tp / nullif(tp + fp, 0), 0)) AS precision, avg(coalesce(tp / nullif(tp + fn, 0), 0)) AS recall,
+          avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS f1, avg(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0)) AS mcc FROM k""",
+)
 def _(t):
     df = scored(t).select(
         F.array("label", "toxic").alias("labels"), F.array("pred", (F.col("n_chars") % 2).cast("int")).alias("preds"), F.array("score", 1 - F.col("score")).alias("scores")
@@ -325,3 +334,16 @@ def _(t):
 def _(t):
     d = t.documents.join(t.labels, "doc_id").select(F.col("lang").alias("dataset"), (F.col("doc_id") % 3).alias("split"), F.col("n_chars").alias("length"), F.col("quality").alias("label"))
     return mt.dataset_profile(d)
+
+
+@query(
+    "a50_profile_mismatches",
+    "dataset:s split:l label:l found:l declared:l",
+    """WITH f AS (SELECT lang AS dataset, doc_id % 3 AS split, quality AS label, count(*) AS found FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2, 3)
+       SELECT dataset, split, label, found, found + 1 AS declared FROM f WHERE split = 1""",
+)
+def _(t):
+    d = t.documents.join(t.labels, "doc_id").select(F.col("lang").alias("dataset"), (F.col("doc_id") % 3).alias("split"), F.col("n_chars").alias("length"), F.col("quality").alias("label"))
+    profile = mt.dataset_profile(d)
+    declared = profile.select("dataset", "split", "label", F.when(F.col("split") == 1, F.col("rows") + 1).otherwise(F.col("rows")).alias("rows"))
+    return mt.profile_mismatches(profile, declared)

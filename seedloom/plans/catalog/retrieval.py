@@ -81,7 +81,10 @@ def _letter_model():
     return run
 
 
-@query("m01_embed", "item_id:l layer:l embedding:ad")
+SHARES = "list_transform(['a', 'c', 'g', 't', 'n', 'e', 's'], lambda c: CAST((length(text) - length(replace(text, c, ''))) / CAST(greatest(1, length(text)) AS DOUBLE) AS FLOAT))"
+
+
+@query("m01_embed", "item_id:l layer:l embedding:ad", f"SELECT doc_id AS item_id, layer, list_transform({SHARES}, lambda v: v * CAST(layer + 1 AS FLOAT)) AS embedding FROM documents, (SELECT unnest([0, 1]) AS layer)")
 def _(t):
     return pb.embed(t.documents, _letter_model, [0, 1], "text", "doc_id", size=pb.batch_size(64, 4000))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from seedloom.operators import filters as fl
 from seedloom.operators import joins as jn
 from seedloom.operators import sets as se
-from seedloom.operators.base import valid_positions
+from seedloom.operators.base import require_columns, standardize_id, valid_positions
 from seedloom.plans.registry import query
 
 
@@ -257,3 +257,9 @@ def _(t):
 def _(t):
     d = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("samples"), F.lit(2).alias("seqs"), F.max("n_chars").alias("longest"))
     return se.order_by_work(d, "samples", "seqs", "longest")
+
+
+@query("p07_standardize_id", "SampleID:s quality:l", 'SELECT CAST(doc_id AS VARCHAR) AS "SampleID", quality FROM labels')
+def _(t):
+    raw = t.labels.select(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(" ")).alias("sample_id"), "quality")
+    return standardize_id(require_columns(raw, ["quality"]))

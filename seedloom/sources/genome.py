@@ -11,20 +11,16 @@ from seedloom.operators.intervals import overlap_join
 from seedloom.operators.ordered import lay_out, release, row_index, running_sum, scan
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): lines in file order, read in parallel, 0-based per file.
+# Order of a file's lines: its splits by offset, then the rows of a split.
+LINE_ORDER = ("_at", "_id")
 
-    The id of a line grows with (split, row); the rows are settled once, and a scan over
-    that order turns it into a dense number.
-    """
-    lines = spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")
-    )
-    # splits of one file are read in any order of file blocks, so order by the block's offset
-    lines = lines.withColumn("_at", F.input_file_block_start())
-    laid = lay_out(lines, "file", ["_at", "_id"])
-    out = release(scan(laid, "file", ["_at", "_id"], line_no=row_index()))
-    return out.select("file", (F.col("line_no") - 1).alias("line_no"), "line")
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) with the keys of :data:`LINE_ORDER`; lines are read in parallel."""
+    return spark.read.text(path).select(
+        F.input_file_name().alias("file"), F.input_file_block_start().alias("_at"),
+        F.monotonically_increasing_id().alias("_id"), F.trim("value").alias("line"),
+    )
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 65536, upper: bool = False) -> DataFrame:
@@ -34,12 +30,11 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 65536, upper: bool =
     A header line opens a record; every base line gets the offset of its first base from a
     running sum, and lines are joined into chunks of about ``chunk`` bases.
     """
-    lines = numbered_lines(spark, path)
     head = F.col("line").startswith(">")
-    rows = lines.withColumn("line", F.trim("line")).filter("line <> ''")
+    rows = file_lines(spark, path).filter("line <> ''")
     rows = rows.withColumn("_head", head.cast("long")).withColumn("_n", F.when(head, 0).otherwise(F.length("line")).cast("long"))
-    laid = lay_out(rows, "file", "line_no")
-    rows = release(scan(laid, "file", "line_no", _rec=running_sum("_head"), _upto=running_sum("_n")))
+    laid = lay_out(rows, "file", LINE_ORDER)
+    rows = release(scan(laid, "file", LINE_ORDER, _rec=running_sum("_head"), _upto=running_sum("_n")))
     opened = rows.filter("_head = 1").select(
         F.col("file"), "_rec", F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("seqid"), F.col("_upto").alias("_base")
     )
@@ -60,10 +55,8 @@ def sequence_lengths(chunks: DataFrame) -> DataFrame:
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, start, end, block_no, block): file order gives the 1-based block number."""
-    lines = numbered_lines(spark, path)
-    rows = lines.withColumn("line", F.trim("line")).filter("line <> '' and not startswith(line, '#')")
-    laid = lay_out(rows, "file", "line_no")
-    rows = release(scan(laid, "file", "line_no", block_no=row_index()))
+    rows = file_lines(spark, path).filter("line <> '' and not startswith(line, '#')")
+    rows = release(scan(lay_out(rows, "file", LINE_ORDER), "file", LINE_ORDER, block_no=row_index()))
     f = F.split("line", r"\s+")
     return rows.select(
         f[0].alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"), "block_no",
