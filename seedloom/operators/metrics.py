@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seedloom.operators.base import as_list, attach_row, is_finite, ratio
 from seedloom.operators.ordered import ordered_scan, quantiles, running_sum, value_counts
 from seedloom.operators.stats import join_groups
+from seedloom.session import settle
 
 
 def _corr(a: Column, b: Column) -> Column:
@@ -22,7 +23,8 @@ def spearman(df: DataFrame, a: str, b: str, by=None, to: str = "spearman") -> Da
     """Correlation of tie-averaged ranks, from counted value pairs."""
     by = as_list(by)
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    pairs = rows.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_w"))
+    # three passes read the counted pairs, so they are written once
+    pairs = settle(rows.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_w")))
     for c in (a, b):
         counts = pairs.groupBy(*by, c).agg(F.sum("_w").alias("_n"))
         run = ordered_scan(counts, by, c, _cum=running_sum("_n"), _rest=running_sum("_n", reverse=True))
@@ -93,7 +95,7 @@ def rank_curve(df: DataFrame, score: str, positive: Column, by=None) -> DataFram
 def zero_inflated_metrics(df: DataFrame, pred: str = "pred", truth: str = "truth", by=None) -> DataFrame:
     """Metrics over all rows and over rows with a non-zero truth, plus zero detection scores."""
     by = as_list(by)
-    rows = df.filter(is_finite(pred) & is_finite(truth))
+    rows = settle(df.filter(is_finite(pred) & is_finite(truth)).select(*by, pred, truth))
     base = regression_metrics(rows, pred, truth, by)
     nz = regression_metrics(rows.filter(F.col(truth) != 0), pred, truth, by)
     enough = F.col("nonzero_n") >= 2

@@ -112,15 +112,16 @@ def position_differential(matrix: DataFrame, a, b, by=("position",), family=(),
     )
 
 
-def local_maxima(df: DataFrame, value: str, pos: str, by=None) -> DataFrame:
+def local_maxima(df: DataFrame, value: str, pos: str, by=None, laid: bool = False) -> DataFrame:
     """Peaks: a value, or a flat run of one value, higher than both its neighbours.
 
     The first and the last run of a group are never peaks. One row per peak, placed at the
-    middle of its run.
+    middle of its run. ``laid`` says that ``df`` comes from ``lay_out`` and has no nulls.
     """
     by = as_list(by)
-    rows = df.filter(F.col(value).isNotNull()).select(*by, pos, value)
-    near = scan(lay_out(rows, by, pos), by, pos, _pv=previous(value), _nv=following(value))
+    if not laid:
+        df = lay_out(df.filter(F.col(value).isNotNull()).select(*by, pos, value), by, pos)
+    near = scan(df, by, pos, _pv=previous(value), _nv=following(value))
     near = near.withColumn("_new", F.when(F.col("_pv").isNull() | (F.col("_pv") != F.col(value)), 1).otherwise(0).cast("long"))
     runs = release(scan(near, by, pos, _run=running_sum("_new"))).groupBy(*by, "_run").agg(
         F.min(pos).alias("_lo"),
@@ -143,7 +144,9 @@ METRICS = (
 def distribution_metrics(df: DataFrame, by, value: str = "value", pos: str = "position") -> DataFrame:
     """The 17 distribution metrics of the values of each group, ordered by ``pos`` for peaks."""
     by = as_list(by)
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, pos, value)
+    # laid out once for the peaks; the other two passes read the same settled rows
+    rows = lay_out(rows, by, pos)
     v = F.col(value)
     up = F.when(v > 0, v)
     base = rows.groupBy(*by).agg(
@@ -168,7 +171,7 @@ def distribution_metrics(df: DataFrame, by, value: str = "value", pos: str = "po
     )
     out = join_groups(base, shape, by).withColumn("iqr", F.col("_q75") - F.col("_q25"))
     out = out.withColumn("cv", ratio(F.col("std"), F.col("mean")))
-    peaks = join_groups(local_maxima(rows, value, pos, by), base.select(*by, "mean"), by).filter(v >= F.col("mean"))
+    peaks = join_groups(local_maxima(rows, value, pos, by, laid=True), base.select(*by, "mean"), by).filter(v >= F.col("mean"))
     peaks = peaks.groupBy(*by).agg(F.count(F.lit(1)).alias("_pc"), F.avg(v).alias("peak_mean"))
     out = join_groups(out, peaks, by)
     enough = F.col("_n") >= 3
