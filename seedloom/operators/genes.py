@@ -12,6 +12,7 @@ from seedloom.operators.base import as_list, attach_row, ratio, small_side
 from seedloom.operators.intervals import effective_intervals, extend_flank, overlap_join
 from seedloom.operators.ordered import ordered_scan, row_index, value_counts
 from seedloom.operators.stats import METRICS, bh_adjust, column_profile, distribution_metrics, mann_whitney
+from seedloom.session import settle
 
 
 def gene_signal_mean(genes: DataFrame, track: DataFrame, key: str = "gene_id", by=("chrom",), dense: bool = False) -> DataFrame:
@@ -129,17 +130,28 @@ def ols_association(matrix: DataFrame, pheno: DataFrame, y: str, k_pcs: int, pcs
         pcs = sample_pcs(rows.select("sample_id", "position", "value"), k_pcs)
     present = rows.select("sample_id", "_y").distinct()
     base = present.join(pcs, "sample_id") if k_pcs else present.withColumn("pcs", F.array().cast("array<double>"))
-    sample_rows = base.orderBy("sample_id").toPandas()  # one row per sample, bounded by sample_pcs
-    n = len(sample_rows)
-    design = np.column_stack([np.ones(n)] + [np.array([r[j] for r in sample_rows["pcs"]]) for j in range(len(sample_rows["pcs"].iloc[0]))])
-    u, s, _ = np.linalg.svd(design, full_matrices=False)
-    q = u[:, s > s.max() * 1e-10]
-    resid = sample_rows["_y"].to_numpy() - q @ (q.T @ sample_rows["_y"].to_numpy())
-    k = q.shape[1]
-    table = matrix.sparkSession.createDataFrame(
-        [(sid, float(r), [float(v) for v in row]) for sid, r, row in zip(sample_rows["sample_id"].tolist(), resid, q)],
-        "sample_id " + dict(matrix.dtypes)["sample_id"] + ", _e double, _q array<double>",
-    )
+    base = settle(base)
+    # the fixed part of the design; only its (k + 1) x (k + 1) products come to the driver
+    width = base.select(F.size("pcs").alias("k")).first()["k"]
+    fixed = [F.lit(1.0)] + [F.col("pcs")[j] for j in range(width)]
+    m = len(fixed)
+    got = base.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(fixed[i] * fixed[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(i, m)],
+    ).first()
+    n = got["n"]
+    gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)], dtype=float)
+    norm = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    vals, vecs = np.linalg.eigh(gram / np.outer(norm, norm))
+    keep = vals > vals.max() * 1e-12
+    mix = (vecs[:, keep] / np.sqrt(vals[keep])) / norm[:, None]
+    k = mix.shape[1]
+    q = [sum((fixed[i] * float(mix[i, j]) for i in range(1, m)), fixed[0] * float(mix[0, j])) for j in range(k)]
+    table = base.select("sample_id", "_y", F.array(*q).alias("_q"))
+    on_y = table.agg(*[F.sum(F.col("_q")[j] * F.col("_y")).alias(f"b{j}") for j in range(k)]).first()
+    fitted = sum((F.col("_q")[j] * float(on_y[f"b{j}"]) for j in range(1, k)), F.col("_q")[0] * float(on_y["b0"]))
+    table = table.select("sample_id", (F.col("_y") - fitted).alias("_e"), "_q")
+    ee = table.agg(F.sum(F.col("_e") * F.col("_e")).alias("ee")).first()["ee"]
     x = F.when(F.isnan("value"), 0.0).otherwise(F.coalesce("value", F.lit(0.0)))
     sums = (
         rows.join(small_side(table), "sample_id")
@@ -156,7 +168,7 @@ def ols_association(matrix: DataFrame, pheno: DataFrame, y: str, k_pcs: int, pcs
     dof = n - k - 1
     out = sums.withColumn("_sxx", F.when(sxx > F.col("_xx") * 1e-12, sxx))
     out = out.withColumn("beta", F.col("_xe") / F.col("_sxx"))
-    rss = F.greatest(F.lit(float(resid @ resid)) - F.col("beta") * F.col("_xe"), F.lit(0.0))
+    rss = F.greatest(F.lit(float(ee)) - F.col("beta") * F.col("_xe"), F.lit(0.0))
     out = out.withColumn("_se", F.sqrt(rss / F.lit(float(dof)) / F.col("_sxx")) if dof > 0 else F.lit(None).cast("double"))
     out = out.withColumn("t", ratio(F.col("beta"), F.col("_se")))
     tail = F.pandas_udf(t_test_p, "double")
