@@ -130,7 +130,7 @@ def _(t):
 
 @query(
     "j04_combine_direction_tables",
-    "chrom:s size:l n_fwd:l n_rev:l",
+    "chrom:s size:l n_fwd:n n_rev:n",
     """SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.size, b.size) AS size, a.n AS n_fwd, b.n AS n_rev FROM
        (SELECT chrom, ("end" - start) // 400 AS size, count(*) AS n FROM genes WHERE gene_id % 2 = 0 GROUP BY 1, 2) a FULL JOIN
        (SELECT chrom, ("end" - start) // 400 AS size, count(*) AS n FROM genes WHERE metric > 910 GROUP BY 1, 2) b ON a.chrom = b.chrom AND a.size = b.size""",
@@ -143,7 +143,7 @@ def _(t):
 
 @query(
     "j05_attach_rank",
-    "gene_id:l metric:d mean_rank:l",
+    "gene_id:l metric:d mean_rank:n",
     "SELECT gene_id, metric, CASE WHEN gene_id % 3 = 0 THEN rank() OVER (PARTITION BY gene_id % 3 ORDER BY metric DESC) END AS mean_rank FROM genes",
 )
 def _(t):

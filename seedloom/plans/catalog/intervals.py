@@ -280,7 +280,7 @@ def _(t):
 
 @query(
     "f04_with_neighbours",
-    "gene_id:l prev_start:l next_start:l",
+    "gene_id:l prev_start:n next_start:n",
     "SELECT gene_id, lag(start) OVER w AS prev_start, lead(start) OVER w AS next_start FROM genes WINDOW w AS (PARTITION BY chrom ORDER BY start)",
 )
 def _(t):
@@ -289,7 +289,7 @@ def _(t):
 
 @query(
     "f05_with_ahead",
-    "seqid:l start:l start_ahead:l",
+    "seqid:l start:l start_ahead:n",
     f"SELECT seqid, start, lead(start, 2) OVER (PARTITION BY file_name ORDER BY seqid, start) AS start_ahead FROM ({SEQ_WINDOWS})",
 )
 def _(t):

@@ -3,7 +3,8 @@
 A query declares its output columns once; the same declaration types and rounds the Spark
 result and wraps the oracle SQL, so both sides always agree on names, widths and places.
 
-Column kinds: s string, l long, d double (6 places), b boolean, al / as / ad arrays of
+Column kinds: s string, l long, n long shown as -1 where it is NULL (client libraries give
+nullable integers different types), d double (6 places), b boolean, al / as / ad arrays of
 long / string / double, shown as text joined by commas (ad in millionths).
 """
 
@@ -71,6 +72,8 @@ def _spark_col(name: str, kind: str) -> Column:
         return c.cast("string").alias(name)
     if kind == "l":
         return c.cast("long").alias(name)
+    if kind == "n":
+        return F.coalesce(c.cast("long"), F.lit(-1).cast("long")).alias(name)
     if kind == "b":
         return c.cast("boolean").alias(name)
     if kind == "d":
@@ -91,6 +94,7 @@ def _sql_col(name: str, kind: str) -> str:
     form = {
         "s": f"CAST({q} AS VARCHAR)",
         "l": f"CAST({q} AS BIGINT)",
+        "n": f"COALESCE(CAST({q} AS BIGINT), CAST(-1 AS BIGINT))",
         "b": f"CAST({q} AS BOOLEAN)",
         "d": f"ROUND(CAST({q} AS DOUBLE) + {NUDGE}, 6)",
         "as": f"array_to_string({q}, ',')",

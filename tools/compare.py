@@ -21,7 +21,7 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)]
     out = df.astype(object).where(df.notna(), None)
     rows = sorted(map(tuple, out.values.tolist()), key=lambda r: tuple((v is None, str(v)) for v in r))
-    return pd.DataFrame(rows, columns=df.columns)
+    return pd.DataFrame(rows, columns=df.columns, dtype=object)
 
 
 def connect(sf_dir):
