@@ -193,9 +193,11 @@ def chunk_documents(docs: DataFrame, c: int, tokens: str = "tokens", key: str =
 
 
 def number_chunks(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Global chunk ids over valid chunks in document order."""
-    out = ordered_scan(chunks.filter("valid"), None, [key, "chunk_no"], _i=row_index())
-    return out.withColumn("chunk_id", F.col("_i") - 1).drop("_i")
+    """Global chunk ids over valid chunks in document order; only the keys are ordered."""
+    keys = chunks.filter("valid").select(key, "chunk_no")
+    ids = ordered_scan(keys, None, [key, "chunk_no"], _i=row_index())
+    ids = ids.select(key, "chunk_no", (F.col("_i") - 1).alias("chunk_id"))
+    return chunks.join(small_side(ids), [key, "chunk_no"])
 
 
 def doc_chunk_offsets(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -83,10 +83,12 @@ def pack_sequences(docs: DataFrame, seq: int, order="doc_id", tokens: str = "tok
     """Concatenate documents and cut samples of ``seq`` tokens (plus ``extra`` shared ones).
 
     Each document is sent, as slices, to the samples it reaches; a sample then joins at most
-    ``seq + extra`` tokens. The last partial sample is dropped, or kept and padded.
+    ``seq + extra`` tokens. The last partial sample is dropped, or kept and padded. Only
+    lengths go through the prefix sum; ``order`` must identify a document.
     """
-    flat = docs.withColumn("_n", F.size(tokens).cast("long")).filter("_n > 0")
-    at = global_prefix_sum(flat, "_n", order, "_at")
+    key = as_list(order)
+    sizes = docs.select(*key, F.size(tokens).cast("long").alias("_n")).filter("_n > 0")
+    at = docs.join(small_side(global_prefix_sum(sizes, "_n", order, "_at")), key)
     total = docs.agg(F.sum(F.size(tokens)).cast("long").alias("_total"))
     at = attach_row(at, total)
     usable = F.col("_total") - extra
