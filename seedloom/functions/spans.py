@@ -1,143 +1,247 @@
-"""Order-dependent per-document helpers; plain Python on one row, safe to import in workers."""
+"""Spans, masks and segment pairs of token lists, as column expressions.
+
+Random choices are digits of ``md5("seed:key[:number]")``, so any engine draws the same.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from seedloom.operators.base import let
+
+_NO_INTS = "array<int>"
+
+
+def digest(seed: int, *parts) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+
+
+def unit(d: Column, nth: int) -> Column:
+    """The nth six hex digits of a digest as a number in [0, 1)."""
+    return F.conv(F.substring(d, 6 * nth + 1, 6), 16, 10).cast("double") / float(1 << 24)
+
+
+def none() -> Column:
+    return F.array().cast(_NO_INTS)
+
+
+def upto(n: Column) -> Column:
+    """0 .. n-1, empty for n = 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(none())
 
-# Fixed value: documents with a longer sentence give no spans.
-LONG_SENTENCE = 512
 
+# Sentence spans: the only part whose next step depends on the last one.
 
-def sentence_spans(lengths, target: int, min_sent: int, keep: int, short: float = 0.0, rng=None) -> list[dict]:
+
+def sentence_spans(lengths, target: int, min_sent: int, keep: int, short: float = 0.0, seed: int = 0, key="", longest: int | None = None) -> list[dict]:
     """Cut a document's sentences into spans that reach ``target`` tokens.
 
-    A span ends when it is long enough, has ``min_sent`` sentences, and at least ``keep``
-    sentences remain after it; or at the end of the document.
+    A span ends where it is long enough, has ``min_sent`` sentences and leaves ``keep`` of them; the last
+    one takes what is left. Its end is found in the running sum of the lengths. With ``short``,
+    that share of the spans gets a smaller target. A document with fewer than ``min_sent`` sentences,
+    or with one over ``longest`` tokens, has no spans.
     """
     n = len(lengths)
-    if n < min_sent or any(x > LONG_SENTENCE for x in lengths):
+    if n < min_sent or n == 0 or (longest is not None and max(lengths) > longest):
         return []
-
-    def goal() -> int:
-        if short and rng is not None and rng.random() < short:
-            return int(rng.integers(2, target + 1))
-        return target
-
-    out, begin, total, want = [], 0, 0, goal()
-    for i, size in enumerate(lengths):
-        total += int(size)
-        left = n - i - 1
-        full = total >= want and left >= keep and i + 1 - begin >= min_sent
-        if full or left == 0:
-            out.append({"begin": begin, "end": i + 1, "target": want})
-            begin, total, want = i + 1, 0, goal()
+    upto_ = np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))])
+    out, begin = [], 0
+    while begin < n:
+        want = target
+        if short:
+            d = hashlib.md5(f"{seed}:{key}:{begin}".encode()).hexdigest()
+            draw, size = (int(d[i : i + 6], 16) / (1 << 24) for i in (0, 6))
+            if draw < short:
+                want = 2 + int(size * (target - 1))
+        end = max(int(np.searchsorted(upto_, upto_[begin] + want)), begin + min_sent)
+        # A span may not leave fewer than ``keep`` sentences: it takes them all.
+        end = n if n - end < max(keep, 1) else end
+        out.append({"begin": begin, "end": end, "target": want})
+        begin = end
     return out
 
 
-def span_series(lengths: pd.Series, targets: pd.Series, ids: pd.Series, min_sent: int, keep: int, short: float, seed: int) -> pd.Series:
-    rows = []
-    for size, target, key in zip(lengths, targets, ids):
-        rng = np.random.default_rng((seed, int(key) & 0x7FFFFFFF)) if short else None
-        rows.append(sentence_spans(list(size), int(target), min_sent, keep, short, rng))
-    return pd.Series(rows)
+def span_series(lengths: pd.Series, targets: pd.Series, ids: pd.Series, min_sent: int, keep: int, short: float, seed: int, longest: int | None) -> pd.Series:
+    return pd.Series([sentence_spans(s, int(t), min_sent, keep, short, seed, k, longest) for s, t, k in zip(lengths, targets, ids)])
 
 
 def grounded_count(text, source, min_run: int) -> int:
-    known, kept, run = set(source), 0, 0
-    for tok in text:
-        run = run + 1 if tok in known else 0
-        if run == min_run:
-            kept += min_run
-        elif run > min_run:
-            kept += 1
-    return kept
-
-
-def choose_masks(tokens, pieces, rate: float, max_masks: int, rng, max_ngram: int = 3, favor_short: bool = True, vocab: int = 0, mask_id: int = 0, skip=(), fixed: bool = False) -> dict:
-    """Whole-word n-gram masking of one token list.
-
-    Words are runs of tokens whose pieces start with ``##`` after their head. About ``rate``
-    of the tokens, at least one and at most ``max_masks``, are chosen; of those 80% become
-    the mask id, 10% stay, 10% become a random id. ``fixed`` always writes the mask id.
+    """Tokens inside runs of at least ``min_run`` tokens that the source has."""
+    known = set(source)
+    found = np.fromiter((t in known for t in text), dtype=bool, count=len(text))
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], found.view(np.int8), [0]])))
+    runs = edges[1::2] - edges[::2]
+    return int(runs[runs >= min_run].sum())
+
+
+# Masking
+
+
+def _words(tokens: Column, pieces: Column, skip, seed: int, key: Column, ngram_weights) -> Column:
+    """Every word of a token list: at, n, free, d (digest), u (priority draw), reach (n-gram length)."""
+    skipped = lambda i: F.get(tokens, i).isin(*skip) if skip else F.lit(False)
+    joins = lambda i: (i > 0) & F.get(pieces, i).startswith("##") & ~skipped(i) & ~skipped(i - 1)
+    steps = np.cumsum(ngram_weights) / float(np.sum(ngram_weights))
+
+    def word(heads, h, k):
+        return let(digest(seed, key, k), lambda d: drawn(heads, h, k, d))
+
+    def drawn(heads, h, k, d):
+        reach = F.lit(1)
+        for s in steps[:-1]:
+            reach = reach + (unit(d, 1) >= float(s)).cast("int")
+        stop = F.coalesce(F.get(heads, k + 1), F.size(tokens))
+        return F.struct(h.alias("at"), (stop - h).alias("n"), (~skipped(h)).alias("free"), d.alias("d"), unit(d, 0).alias("u"), reach.alias("reach"))
+
+    heads = F.filter(upto(F.size(tokens)), lambda i: ~joins(i))
+    return let(heads, lambda hs: F.transform(hs, lambda h, k: word(hs, h, k)))
+
+
+def choose_masks(tokens: Column, pieces: Column, key: Column, rate: float, seed: int, ngram_weights=(1.0, 1 / 2, 1 / 3), vocab: int = 0, mask_id: int = 0, skip=(), fixed: bool = False) -> Column:
+    """Whole-word n-gram masking: struct of tokens, positions, labels, spans.
+
+    Every word draws a priority and how many words its n-gram reaches over (lengths 1, 2, ... by
+    ``ngram_weights``); a word's own priority is the best of the n-grams that reach it. Words are taken by priority as
+    long as they fit into ``rate`` of the tokens (one word at least), so n-grams are masked together.
+    Of the masked words 80% become the mask id, 10% stay, 10% get ids below ``vocab``; ``fixed``
+    always writes the mask id. Tokens in ``skip`` are never masked. Neighbouring masks are one span.
     """
-    words: list[list[int]] = []
-    for i, (tok, piece) in enumerate(zip(tokens, pieces)):
-        if tok in skip:
-            continue
-        if words and piece.startswith("##") and words[-1][-1] == i - 1:
-            words[-1].append(i)
-        else:
-            words.append([i])
-    budget = min(max_masks, max(1, int(round(len(tokens) * rate))))
-    sizes = np.arange(1, max_ngram + 1)
-    weights = 1.0 / sizes if favor_short else 1.0 / sizes[::-1]
-    taken: set[int] = set()
-    spans: list[list[int]] = []
-    for start in rng.permutation(len(words)):
-        if len(taken) >= budget:
-            break
-        limit = min(max_ngram, len(words) - start)
-        n = int(rng.choice(sizes[:limit], p=weights[:limit] / weights[:limit].sum()))
-        while n:
-            span = [i for w in words[start : start + n] for i in w]
-            if len(taken) + len(span) <= budget and not taken.intersection(span):
-                taken.update(span)
-                spans.append(sorted(span))
-                break
-            n -= 1
-    spans.sort()
-    out = [int(t) for t in tokens]
-    for i in sorted(taken):
-        draw = rng.random()
-        if fixed or draw < 0.8:
-            out[i] = mask_id
-        elif draw >= 0.9:
-            out[i] = int(rng.integers(0, vocab)) if vocab else out[i]
-    at = sorted(taken)
-    return {"tokens": out, "positions": at, "labels": [int(tokens[i]) for i in at], "spans": spans}
-
-
-def corrupt_spans(tokens, spans, sentinels, bos: int, eos: int, enc_len: int, dec_len: int, pad: int) -> dict:
-    """Replace each span by a sentinel on the encoder side; the decoder predicts the spans."""
-    if len(spans) > len(sentinels):
-        raise ValueError("more spans than sentinels")
-    enc, dec, lab, at = [], [bos], [], 0
-    for mark, span in zip(sentinels, spans):
-        enc += list(tokens[at : span[0]]) + [mark]
-        piece = [mark] + [tokens[i] for i in span]
-        dec += piece
-        lab += piece
-        at = span[-1] + 1
-    enc += list(tokens[at:])
-    lab += [eos]
-    if len(enc) > enc_len or len(dec) > dec_len:
-        raise ValueError("sample longer than its arrays")
-    n, m = enc_len - len(enc), dec_len - len(dec)
-    as_int = lambda xs: [int(x) for x in xs]
-    return {
-        "text_enc": as_int(enc) + [pad] * n,
-        "text_dec": as_int(dec) + [pad] * m,
-        "labels": as_int(lab) + [-1] * m,
-        "loss_mask": [1] * len(dec) + [0] * m,
-    }
-
-
-def pair_up(sents, target: int, cls: int, sep: int, pad: int, max_len: int, rng) -> dict:
-    """Two segments around a random pivot, swapped half of the time, trimmed to ``target``."""
-    n = len(sents)
-    pivot = int(rng.integers(1, n)) if n > 1 else 1
-    a = [int(t) for s in sents[:pivot] for t in s]
-    b = [int(t) for s in sents[pivot:] for t in s]
-    swapped = bool(rng.random() < 0.5)
-    if swapped:
-        a, b = b, a
-    cut = False
-    while len(a) + len(b) > target:
-        long = a if len(a) > len(b) else b
-        long.pop(0 if rng.random() < 0.5 else -1)
-        cut = True
-    tokens = [cls] + a + [sep] + b + ([sep] if b else [])
-    types = [0] * (len(a) + 2) + [1] * (len(tokens) - len(a) - 2)
-    fill = max(0, max_len - len(tokens))
-    return {"tokens": tokens + [pad] * fill, "types": types + [0] * fill, "mask": [1] * len(tokens) + [0] * fill, "swapped": swapped, "truncated": cut}
+    most = len(ngram_weights)
+
+    def ranked(ws):
+        def best(k):
+            reached = [F.get(ws, k)["u"]] + [F.when(F.get(ws, k - o)["reach"] > o, F.get(ws, k - o)["u"]) for o in range(1, most)]
+            return F.least(*reached) if most > 1 else reached[0]
+
+        return F.transform(ws, lambda w, k: w.withField("p", F.struct(best(k).alias("p"), k.alias("k"))))
+
+    def marked(ws):
+        budget = F.greatest(F.lit(1), F.round(F.size(tokens) * F.lit(rate)).cast("int"))
+        order = F.sort_array(F.transform(F.filter(ws, lambda w: w["free"]), lambda w: F.struct(w["p"].alias("p"), w["n"].alias("n"))))
+        start = F.struct(F.lit(0).alias("total"), F.lit(None).cast("struct<p:double,k:int>").alias("last"), F.lit(True).alias("open"))
+
+        def take(a, w):
+            fits = a["open"] & ((a["total"] == 0) | (a["total"] + w["n"] <= budget))
+            return F.struct((a["total"] + F.when(fits, w["n"]).otherwise(0)).alias("total"), F.when(fits, w["p"]).otherwise(a["last"]).alias("last"), fits.alias("open"))
+
+        last = F.aggregate(order, start, take, lambda a: a["last"])
+        return let(last, lambda cut: F.transform(ws, lambda w: w.withField("hit", F.coalesce(w["free"] & (w["p"] <= cut), F.lit(False)))))
+
+    def written(ws):
+        def new(w, j):
+            old = F.get(tokens, w["at"] + j)
+            drawn = F.when(unit(w["d"], 2) < 0.9, old).otherwise(F.floor(unit(w["d"], 3) * vocab).cast("int")) if vocab else old
+            instead = F.lit(mask_id) if fixed else F.when(unit(w["d"], 2) < 0.8, F.lit(mask_id)).otherwise(drawn)
+            return F.when(w["hit"], instead).otherwise(old).cast("int")
+
+        at = F.flatten(F.transform(F.filter(ws, lambda w: w["hit"]), lambda w: F.transform(upto(w["n"]), lambda j: w["at"] + j)))
+        out = F.flatten(F.transform(ws, lambda w: F.transform(upto(w["n"]), lambda j: new(w, j))))
+        return let(
+            at,
+            lambda p: F.struct(
+                out.alias("tokens"),
+                p.alias("positions"),
+                F.transform(p, lambda i: F.get(tokens, i).cast("int")).alias("labels"),
+                runs(p).alias("spans"),
+            ),
+        )
+
+    # ``tokens`` and ``pieces`` are evaluated once per row, not once per element.
+    given = tokens, pieces
+
+    def on(t, p):
+        nonlocal tokens
+        tokens = t
+        return let(let(let(_words(t, p, skip, seed, key, ngram_weights), ranked), marked), written)
+
+    return let(given[0], lambda t: let(given[1], lambda p: on(t, p)))
+
+
+def runs(at: Column) -> Column:
+    """Maximal runs of consecutive numbers of an ascending array."""
+    firsts = F.filter(at, lambda v, i: (i == 0) | (F.get(at, i - 1) != v - 1))
+    lasts = F.filter(at, lambda v, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != v + 1))
+    return F.zip_with(firsts, lasts, lambda a, b: F.sequence(a, b))
+
+
+def corrupt_spans(tokens: Column, spans: Column, *args, **kw) -> Column:
+    """See `_corrupted`; the arrays are evaluated once per row."""
+    return let(tokens, lambda t: let(spans, lambda s: _corrupted(t, s, *args, **kw)))
+
+
+def _corrupted(tokens: Column, spans: Column, sentinels: list[int], bos: int, eos: int, enc_len: int, dec_len: int, pad: int) -> Column:
+    """Struct of text_enc, text_dec, labels, loss_mask: each span is a sentinel on the encoder side, and
+    follows that sentinel on the decoder side. Fails where a sample does not fit."""
+    marks = F.array(*[F.lit(s) for s in sentinels])
+    first = lambda k: F.element_at(F.get(spans, k), 1)
+    after = lambda k: F.element_at(F.get(spans, k), -1) + 1
+    m = F.size(spans)
+
+    def before(k):
+        begin = F.when(k == 0, F.lit(0)).otherwise(after(k - 1))
+        stop = F.when(k == m, F.size(tokens)).otherwise(first(k))
+        kept = F.slice(tokens, begin + 1, stop - begin)
+        return F.concat(kept, F.when(k < m, F.array(F.get(marks, k))).otherwise(none()))
+
+    enc = F.flatten(F.transform(F.sequence(F.lit(0), m), before))
+    said = F.flatten(F.transform(spans, lambda s, k: F.concat(F.array(F.get(marks, k)), F.transform(s, lambda i: F.get(tokens, i)))))
+
+    def padded(e, s):
+        long = (F.size(e) > enc_len) | (F.size(s) + 1 > dec_len)
+        fill, rest = F.lit(enc_len) - F.size(e), F.lit(dec_len - 1) - F.size(s)
+        out = F.struct(
+            F.concat(e, F.array_repeat(F.lit(pad), fill)).cast(_NO_INTS).alias("text_enc"),
+            F.concat(F.array(F.lit(bos)), s, F.array_repeat(F.lit(pad), rest)).cast(_NO_INTS).alias("text_dec"),
+            F.concat(s, F.array(F.lit(eos)), F.array_repeat(F.lit(-1), rest)).cast(_NO_INTS).alias("labels"),
+            F.concat(F.array_repeat(F.lit(1), F.size(s) + 1), F.array_repeat(F.lit(0), rest)).cast(_NO_INTS).alias("loss_mask"),
+        )
+        wrong = F.when(m > len(sentinels), F.lit("more spans than sentinels")).when(long, F.lit("sample longer than its arrays"))
+        return F.when(wrong.isNull(), out).otherwise(F.raise_error(wrong))
+
+    return let(enc, lambda e: let(said, lambda s: padded(e, s)))
+
+
+def pair_up(sents: Column, key: Column, target: int, cls: int, sep: int, pad: int, max_len: int, seed: int) -> Column:
+    """Struct of tokens, types, mask, swapped, truncated: two segments around a drawn pivot, swapped half
+    of the time. What is over ``target`` goes from the longer segment until they are even (the second
+    first), then from both alike; a drawn share of it from the segment's front."""
+    n = F.size(sents)
+    d = digest(seed, key)
+    pivot = F.when(n > 1, 1 + F.floor(unit(d, 0) * (n - 1)).cast("int")).otherwise(1)
+    swapped = unit(d, 1) < 0.5
+    head, tail = F.flatten(F.slice(sents, F.lit(1), pivot)), F.flatten(F.slice(sents, pivot + 1, n))
+
+    def build(ab):
+        a, b = ab["a"], ab["b"]
+        la, lb = F.size(a), F.size(b)
+        over = F.greatest(F.lit(0), la + lb - target)
+        lead = F.least(over, F.abs(la - lb))
+        rest = over - lead
+        off_b = F.when(lb >= la, lead).otherwise(0) + F.ceil(rest / 2).cast("int")
+        off_a = over - off_b
+
+        def cut(x, off, nth):
+            front = F.floor(unit(d, nth) * (off + 1)).cast("int")
+            return F.slice(x, front + 1, F.size(x) - off)
+
+        def framed(s, t):
+            body = F.concat(F.array(F.lit(cls)), s, F.array(F.lit(sep)), t, F.when(F.size(t) > 0, F.array(F.lit(sep))).otherwise(none()))
+            used = F.size(s) + 2 + F.size(t) + F.when(F.size(t) > 0, 1).otherwise(0)
+            fill = F.greatest(F.lit(0), F.lit(max_len) - used)
+            return F.struct(
+                F.concat(body, F.array_repeat(F.lit(pad), fill)).cast(_NO_INTS).alias("tokens"),
+                F.concat(F.array_repeat(F.lit(0), F.size(s) + 2), F.array_repeat(F.lit(1), used - F.size(s) - 2), F.array_repeat(F.lit(0), fill)).cast(_NO_INTS).alias("types"),
+                F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), fill)).cast(_NO_INTS).alias("mask"),
+                swapped.alias("swapped"),
+                (over > 0).alias("truncated"),
+            )
+
+        return let(cut(a, off_a, 2), lambda s: let(cut(b, off_b, 3), lambda t: framed(s, t)))
+
+    both = F.struct(F.when(swapped, tail).otherwise(head).alias("a"), F.when(swapped, head).otherwise(tail).alias("b"))
+    return let(both, build)

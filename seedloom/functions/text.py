@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -148,50 +150,45 @@ def trim_number(col) -> Column:
     return F.regexp_replace(F.replace(cut, F.lit("%"), F.lit("")), r"\.$", "")
 
 
+# Signs stripped from the ends of a response, each once, in this order.
+RESPONSE_SIGNS = (",", ".", "!", "?", ";", ":", "'")
+
+
 def choice_letter(text, choices: list[str], options=None) -> Column:
-    """Option letter named by a response; the last one mentioned wins, the first option by default.
+    """Option letter named by a response: the last mention wins, the first option is the default.
 
-    Letters in brackets count first, then letters between spaces, then (for responses of more
-    than five words) the option texts given as a map letter -> text.
+    Mentions are read off by pattern, by falling rank: ``(A)``, ``A)``, `` A ``, and in
+    responses of more than five words the option texts (a map letter -> text).
     """
-    bare = _c(text)
-    for sign in (",", ".", "!", "?", ";", ":", "'"):
-        q = "\\" + sign
-        bare = F.regexp_replace(bare, f"^{q}+|{q}+$", "")
+    bare = reduce(lambda c, sign: F.btrim(c, F.lit(sign)), RESPONSE_SIGNS, _c(text))
     t = F.concat(F.lit(" "), bare, F.lit(" "))
+    letters = F.array(*[F.lit(c) for c in choices])
+    any_of = "|".join(re.escape(c) for c in sorted(choices, key=len, reverse=True))
+    last = lambda pattern: F.try_element_at(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), F.lit(-1))
+    closed = F.regexp_extract_all(t, F.lit(rf"({any_of})\)"), F.lit(1))
+    ranks = [last(rf"\(({any_of})\)"), F.get(F.array_intersect(letters, closed), F.lit(0)), last(rf" ({any_of})(?= )")]
+    if options is not None:
+        o, low = _c(options), F.lower(t)
+        said = F.filter(letters, lambda c: F.contains(low, F.lower(F.try_element_at(o, c))))
+        # The text behind an option's last mention: the shortest belongs to the one named last.
+        behind = F.transform(said, lambda c: F.struct(F.length(F.call_function("substring_index", low, F.lower(F.try_element_at(o, c)), F.lit(-1))) + F.length(F.try_element_at(o, c)), F.array_position(letters, c), c.alias("c")))
+        named = F.array_min(behind)["c"]
+        ranks.append(F.when(F.size(F.split(F.trim(bare), r"\s+")) > 5, named))
+    return F.coalesce(*ranks, F.lit(choices[0]))
 
-    def last_at(hay, needle):
-        # place of the last occurrence, or null
-        back = F.instr(F.reverse(hay), F.reverse(needle))
-        return F.when(back > 0, F.length(hay) - back - F.length(needle) + 1)
-
-    def pick(present, place):
-        # candidates keep option order; of several the one placed last, first option on ties
-        found = F.array_compact(F.array(*[F.when(present(c), F.struct(F.coalesce(place(c), F.lit(-1)).alias("at"), F.lit(-i).alias("i"), F.lit(c).alias("c"))) for i, c in enumerate(choices)]))
-        return F.when(F.size(found) > 0, F.array_max(found)["c"])
 
-    bracket = pick(lambda c: t.contains(f"{c})"), lambda c: last_at(t, F.lit(f"({c})")))
-    spaced = pick(lambda c: t.contains(f" {c} "), lambda c: last_at(t, F.lit(f" {c} ")))
-    out = F.coalesce(bracket, spaced)
-    if options is not None:
-        o = _c(options)
-        low = F.lower(t)
-        text_of = lambda c: F.lower(F.try_element_at(o, F.lit(c)))
-        long = F.size(F.split(F.trim(bare), r"\s+")) > 5
-        named = pick(lambda c: long & F.contains(low, text_of(c)), lambda c: last_at(low, text_of(c)))
-        out = F.coalesce(out, named)
-    return F.coalesce(out, F.lit(choices[0]))
+# What counts as a number in an answer: with thousands commas, in scientific
+# notation, plain. Scores depend on these forms and on their order.
+NUMBER_FORMS = (
+    r"(-?\b\d{1,3}(?:,\d{3})+\b)",
+    r"(-?\d+(?:\.\d+)?[eE][+-]?\d+)",
+    r"(-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?![,\d]))",
+)
 
 
 def extract_numbers(col) -> Column:
-    """All numbers in a text: with thousands commas, in scientific notation, plain; in that order."""
-    c = _c(col)
-    forms = (
-        r"(-?\b\d{1,3}(?:,\d{3})+\b)",
-        r"(-?\d+(?:\.\d+)?[eE][+-]?\d+)",
-        r"(-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?![,\d]))",
-    )
-    return F.concat(*[F.regexp_extract_all(c, F.lit(f), F.lit(1)) for f in forms])
+    """All numbers in a text, form by form."""
+    return F.flatten(F.array(*[F.regexp_extract_all(_c(col), F.lit(f), F.lit(1)) for f in NUMBER_FORMS]))
 
 
 def _truncate(texts: pd.Series, n: int, end: str) -> pd.Series:
@@ -234,16 +231,23 @@ def combine_embeddings(arr, mode: str = "mean") -> Column:
 
 
 def repeat_replace(arr, token: int, counts, new: int) -> Column:
-    """The i-th occurrence of ``token`` becomes counts[i] copies of ``new``."""
-    a, c = _c(arr), _c(counts)
-    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("out"))
+    """The i-th occurrence of ``token`` becomes counts[i] copies of ``new``.
+
+    The array is cut at its occurrences once, so the work is linear in its length.
+    """
+    c = _c(counts)
+
+    def cut(a, hits):
+        def part(k):
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.get(hits, k - 1) + 1)
+            stop = F.when(k == F.size(hits), F.size(a)).otherwise(F.get(hits, k))
+            copies = F.when(k < F.size(hits), F.coalesce(F.get(c, k), F.lit(1))).otherwise(0).cast("int")
+            return F.concat(F.slice(a, begin + 1, stop - begin), F.array_repeat(F.lit(new), copies))
 
-    def step(acc, v):
-        hit = v == token
-        piece = F.when(hit, F.array_repeat(F.lit(new), F.coalesce(F.get(c, acc["i"]), F.lit(1)).cast("int"))).otherwise(F.array(v))
-        return F.struct((acc["i"] + hit.cast("int")).alias("i"), F.concat(acc["out"], piece).alias("out"))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits)), part))
 
-    return F.aggregate(a, start, step, lambda s: s["out"])
+    places = lambda a: F.array_compact(F.transform(a, lambda v, i: F.when(v == token, i)))
+    return let(_c(arr), lambda a: let(places(a), lambda hits: cut(a, hits)))
 
 
 def class_scores(logits, mode: str = "softmax") -> Column:

@@ -10,32 +10,25 @@ from pyspark.sql import functions as F
 
 from seedloom.functions import spans as sp
 from seedloom.functions.signal import _c
-from seedloom.operators.base import as_list, attach_row, seeded_key, seeded_unit, small_side
+from seedloom.operators.base import as_list, attach_row, let, seeded_key, seeded_unit, small_side
 from seedloom.operators.ordered import ordered_scan, previous, row_index, running_sum
 
-# Fixed value: longest text given to a sentence splitter in one call.
-SLICE_CHARS = 1_000_000
-
 
 def split_sentences(df: DataFrame, text: str = "text", keep_newlines: bool = False, splitter: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
     """One row per sentence (seq_no from 0). ``splitter`` is text series -> list series.
 
-    The built-in rule ends a sentence after . ! ? and white space; texts are handed over in
-    slices of a million characters, in order, and nothing is cut off.
+    The built-in rule ends a sentence after . ! ? and white space. Either sees whole texts.
     """
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / SLICE_CHARS)).cast("int")
-    slices = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * SLICE_CHARS + 1, F.lit(SLICE_CHARS)))
-    parts = df.select("*", F.posexplode(slices).alias("_slice", "_text"))
     if splitter is not None:
-        sents = F.pandas_udf(splitter, "array<string>")("_text")
+        sents = F.pandas_udf(splitter, "array<string>")(text)
     else:
         gap = r"([.!?])[ \t\x0B\f\r]+" if keep_newlines else r"([.!?])\s+"
-        sents = F.split(F.regexp_replace("_text", gap, "$1\u0001"), "\u0001")
-    out = parts.select(*df.columns, "_slice", F.posexplode(sents).alias("_i", "sentence")).filter(F.col("sentence") != "")
+        sents = F.split(F.regexp_replace(text, gap, "$1\u0001"), "\u0001")
+    keep = [c for c in df.columns if c != text]
+    out = df.select(*keep, F.posexplode(sents).alias("_i", "sentence")).filter(F.col("sentence") != "")
     if keep_newlines is False:
         out = out.withColumn("sentence", F.trim("sentence")).filter(F.col("sentence") != "")
-    keep = [c for c in df.columns if c != text]
-    return out.select(*keep, (F.col("_slice").cast("long") * SLICE_CHARS + F.col("_i")).alias("seq_no"), "sentence")
+    return out.select(*keep, F.col("_i").cast("long").alias("seq_no"), "sentence")
 
 
 # Token ids of the nucleotide vocabulary, in order.
@@ -66,8 +59,7 @@ def tokenise(df: DataFrame, text: str, tokenizer: Callable[[pd.Series], pd.Serie
     ids = tokenizer if isinstance(tokenizer, Column) else F.pandas_udf(tokenizer, "array<int>")(text)
     out = df.withColumn("tokens", ids).filter(F.size("tokens") > 0).drop(text)
     if eod is not None:
-        last = out.groupBy(doc).agg(F.max(seq).alias("_last"))
-        out = out.join(last, doc)
+        out = out.withColumn("_last", F.max(seq).over(Window.partitionBy(doc)))
         end = F.when(F.col(seq) == F.col("_last"), F.array(F.lit(eod))).otherwise(F.array().cast("array<int>"))
         out = out.withColumn("tokens", F.concat("tokens", end)).drop("_last")
     return out.withColumn("length", F.size("tokens"))
@@ -98,32 +90,50 @@ def lm_example(df: DataFrame, tokens: str = "tokens", pad: int = -1, eod: int |
     out = df.withColumn("labels", y).withColumn("inputs", x)
     out = out.withColumn("loss_mask", F.transform("labels", lambda v: F.when(v.isin(*off), 0).otherwise(1)))
     if reset and eod is not None:
-        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("ids"))
+        # Lengths of the parts that end ids close, each counted from 0.
+        ends = F.array_compact(F.transform("inputs", lambda v, i: F.when(v == eod, i)))
 
-        def step(acc, v):
-            return F.struct(F.when(v == eod, 0).otherwise(acc["next"] + 1).alias("next"), F.concat(acc["ids"], F.array(acc["next"])).alias("ids"))
+        def counted(e):
+            stop = lambda k: F.when(k < F.size(e), F.get(e, k)).otherwise(n - 2)
+            part = lambda k: stop(k) - F.when(k > 0, F.get(e, k - 1)).otherwise(-1)
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(e)), lambda k: sp.upto(part(k))))
 
-        ids = F.aggregate("inputs", start, step, lambda a: a["ids"])
+        ids = F.when(n > 1, let(ends, counted)).otherwise(sp.none())
     else:
         ids = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
     return out.withColumn("position_ids", ids)
 
 
-def sentence_spans(df: DataFrame, target: int, lengths: str = "lengths", key: str = "doc_id", min_sent: int = 2, short: float = 0.0, seed: int = 1) -> DataFrame:
+SPANS = "array<struct<begin:int,end:int,target:int>>"
+
+
+def sentence_spans(df: DataFrame, target: int, lengths: str = "lengths", key: str = "doc_id", min_sent: int = 2, short: float = 0.0, seed: int = 1, longest: int | None = None) -> DataFrame:
     """Spans (begin, end, target) of each document's sentences; see ``functions.spans``."""
-    udf = F.pandas_udf(lambda a, t, k: sp.span_series(a, t, k, min_sent, 2, short, seed), "array<struct<begin:int,end:int,target:int>>")
-    rows = df.withColumn("_s", udf(F.col(lengths), F.lit(target), F.xxhash64(key)))
+    udf = F.pandas_udf(lambda a, t, k: sp.span_series(a, t, k, min_sent, 2, short, seed, longest), SPANS)
+    rows = df.withColumn("_s", udf(F.col(lengths), F.lit(target), F.col(key).cast("string")))
     return rows.select(key, F.posexplode("_s").alias("span_no", "_x")).select(key, "span_no", "_x.*")
 
 
-def title_blocks(df: DataFrame, target: int, lengths: str = "lengths", title_len: str = "title_len", key: str = "doc_id", min_sent: int = 1) -> DataFrame:
+def title_blocks(df: DataFrame, target: int, lengths: str = "lengths", title_len: str = "title_len", key: str = "doc_id", min_sent: int = 1, longest: int | None = None) -> DataFrame:
     """Blocks of sentences that leave room for the title, numbered over all documents."""
-    udf = F.pandas_udf(lambda a, t, k: sp.span_series(a, t, k, min_sent, min_sent, 0.0, 0), "array<struct<begin:int,end:int,target:int>>")
-    rows = df.withColumn("_s", udf(F.col(lengths), F.lit(target) - F.col(title_len), F.xxhash64(key)))
+    udf = F.pandas_udf(lambda a, t, k: sp.span_series(a, t, k, min_sent, min_sent, 0.0, 0, longest), SPANS)
+    rows = df.withColumn("_s", udf(F.col(lengths), F.lit(target) - F.col(title_len), F.col(key).cast("string")))
     out = rows.select(key, F.posexplode("_s").alias("_no", "_x")).select(key, "_no", "_x.begin", "_x.end")
     return ordered_scan(out, None, [key, "_no"], _b=row_index()).withColumn("block", F.col("_b") - 1).drop("_b", "_no")
 
 
+def without_spans(df: DataFrame, lengths: str = "lengths", key: str = "doc_id", min_sent: int = 2, longest: int | None = None) -> DataFrame:
+    """Documents that ``sentence_spans`` leaves out, and why."""
+    too_long = F.exists(lengths, lambda n: n > longest) if longest is not None else F.lit(False)
+    why = F.when(F.size(lengths) < min_sent, "too few sentences").when(too_long, "sentence too long")
+    return df.select(key, why.alias("reason")).filter("reason is not null")
+
+
+def span_sentences(docs: DataFrame, spans: DataFrame, sents: str = "sents", key: str = "doc_id") -> DataFrame:
+    """The sentences of every span or block, from documents that hold theirs as an array."""
+    return spans.join(docs.select(key, F.col(sents).alias("_all")), key).withColumn(sents, F.slice("_all", F.col("begin") + 1, F.col("end") - F.col("begin"))).drop("_all")
+
+
 def inverse_cloze(df: DataFrame, n: int, sents: str = "sents", title: str = "title", keep: float = 0.1, seed: int = 1, key: str = "block") -> DataFrame:
     """A random sentence as query; it stays in its block only with probability ``keep``."""
     at = F.pmod(seeded_key(seed, key), F.size(sents).cast("long")).cast("int")
@@ -135,44 +145,27 @@ def inverse_cloze(df: DataFrame, n: int, sents: str = "sents", title: str = "tit
     )
 
 
-def mask_tokens(df: DataFrame, rate: float = 0.15, max_masks: int = 64, vocab: int = 1000, mask_id: int = 4, tokens: str = "tokens", pieces: str = "pieces", key: str = "sample_id", seed: int = 1, max_ngram: int = 3) -> DataFrame:
-    """Whole-word masking, reproducible from (seed, sample id)."""
-    import numpy as np
-
-    def run(toks: pd.Series, words: pd.Series, ids: pd.Series) -> pd.DataFrame:
-        rows = [
-            sp.choose_masks(t, w, rate, max_masks, np.random.default_rng((seed, int(k) & 0x7FFFFFFF)), max_ngram, True, vocab, mask_id)
-            for t, w, k in zip(toks, words, ids)
-        ]
-        return pd.DataFrame({c: [r[c] for r in rows] for c in ("tokens", "positions", "labels", "spans")})
+def mask_tokens(df: DataFrame, rate: float = 0.15, vocab: int = 1000, mask_id: int = 4, tokens: str = "tokens", pieces: str = "pieces", key: str = "sample_id", seed: int = 1, ngram_weights=(1.0, 1 / 2, 1 / 3), skip=(), fixed: bool = False) -> DataFrame:
+    """Whole-word masking, reproducible from (seed, sample id); ``skip`` lists special tokens.
 
-    shape = "struct<tokens:array<int>,positions:array<int>,labels:array<int>,spans:array<array<int>>>"
-    out = df.withColumn("_m", F.pandas_udf(run, shape)(F.col(tokens), F.col(pieces), F.col(key).cast("long")))
-    return out.select(key, F.col(tokens).alias("original"), "_m.*")
+    ``ngram_weights`` are the shares of n-grams of 1, 2, ... words: 1/n favours short ones, its
+    reverse long ones, powers of (1 - p) give a geometric length.
+    """
+    made = sp.choose_masks(F.col(tokens), F.col(pieces), F.col(key), rate, seed, ngram_weights, vocab, mask_id, skip, fixed)
+    return df.withColumn("_m", made).select(key, F.col(tokens).alias("original"), "_m.*")
 
 
 def pair_segments(df: DataFrame, target: int, max_len: int, cls: int = 2, sep: int = 3, pad: int = 0, sents: str = "sents", key: str = "sample_id", seed: int = 1) -> DataFrame:
     """Two-segment examples with types and pad mask from lists of sentences."""
-    import numpy as np
-
-    def run(rows: pd.Series, ids: pd.Series) -> pd.DataFrame:
-        done = [sp.pair_up(r, target, cls, sep, pad, max_len, np.random.default_rng((seed, int(k) & 0x7FFFFFFF))) for r, k in zip(rows, ids)]
-        return pd.DataFrame({c: [r[c] for r in done] for c in ("tokens", "types", "mask", "swapped", "truncated")})
-
-    shape = "struct<tokens:array<int>,types:array<int>,mask:array<int>,swapped:boolean,truncated:boolean>"
-    return df.withColumn("_p", F.pandas_udf(run, shape)(F.col(sents), F.col(key).cast("long"))).select(key, "_p.*")
+    made = sp.pair_up(F.col(sents), F.col(key), target, cls, sep, pad, max_len, seed)
+    return df.withColumn("_p", made).select(key, "_p.*")
 
 
 def span_corruption(df: DataFrame, enc_len: int, dec_len: int, sentinels: list[int], bos: int, eos: int, pad: int = 0, tokens: str = "tokens", spans: str = "spans") -> DataFrame:
     """Encoder/decoder arrays with one sentinel per masked span."""
-
-    def run(toks: pd.Series, marks: pd.Series) -> pd.DataFrame:
-        rows = [sp.corrupt_spans(t, m, sentinels, bos, eos, enc_len, dec_len, pad) for t, m in zip(toks, marks)]
-        return pd.DataFrame({c: [r[c] for r in rows] for c in ("text_enc", "text_dec", "labels", "loss_mask")})
-
-    shape = "struct<text_enc:array<int>,text_dec:array<int>,labels:array<int>,loss_mask:array<int>>"
     keep = [c for c in df.columns if c not in (tokens, spans)]
-    return df.withColumn("_c", F.pandas_udf(run, shape)(F.col(tokens), F.col(spans))).select(*keep, "_c.*")
+    made = sp.corrupt_spans(F.col(tokens), F.col(spans), sentinels, bos, eos, enc_len, dec_len, pad)
+    return df.withColumn("_c", made).select(*keep, "_c.*")
 
 
 def chunk_documents(docs: DataFrame, c: int, tokens: str = "tokens", key: str = "doc_id", eod: int | None = None, size_of: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -168,6 +168,16 @@ def blend_exhaustive(spark: SparkSession, sizes: list[int]) -> DataFrame:
     return _interleave(spark, list(sizes))
 
 
+def blend_wants(shares: DataFrame, n: int, surplus: float = 0.0, weight: str = "weight", available: str | None = None) -> DataFrame:
+    """Samples to ask of each dataset, one row each, in ``want``: ceil(ceil(n w) (1 + surplus)) for its share w
+    of all weights. With ``available``, asking for more than that fails."""
+    rows = attach_row(shares, shares.agg(F.sum(weight).alias("_all")))
+    want = F.ceil(F.ceil(F.lit(n) * F.col(weight) / F.col("_all")) * F.lit(1 + surplus)).cast("long")
+    if available is not None:
+        want = F.when(want <= F.col(available), want).otherwise(F.raise_error(F.concat(want.cast("string"), F.lit(" samples wanted, available: "), F.col(available).cast("string"))))
+    return rows.withColumn("want", want).drop("_all")
+
+
 def blend_sizes(weights: list[float], n: int, surplus: float = 0.0, available: list[int] | None = None) -> list[int]:
     """Samples to ask of each dataset: ceil(ceil(n w) (1 + surplus)); asking too much is an error."""
     total = sum(weights)

@@ -104,6 +104,17 @@ def _(t):
     return co.lm_example(lengths(t), masked=[5])
 
 
+@query(
+    "c09_reset_positions",
+    "doc_id:l position_ids:al",
+    f"""WITH x AS (SELECT doc_id, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS k FROM (SELECT doc_id, tokens[:len(tokens) - 1] AS tokens FROM {TOK})),
+        y AS (SELECT *, coalesce(max(CASE WHEN tok = 3 THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stop FROM x)
+        SELECT d.doc_id, coalesce(list(k - stop - 1 ORDER BY k) FILTER (k IS NOT NULL), []) AS position_ids FROM {TOK} d LEFT JOIN y USING (doc_id) GROUP BY 1""",
+)
+def _(t):
+    return co.lm_example(lengths(t), eod=3, reset=True)
+
+
 @query("c10_blend", "position:l dataset_id:l dataset_sample_id:l")
 def _(t):
     named = sources(t)
@@ -126,9 +137,8 @@ def _(t):
     "SELECT source, ceil(ceil(1000 * n / sum(n) OVER ()) * 1.005) AS want FROM (SELECT source, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY 1)",
 )
 def _(t):
-    named = sources(t)
-    want = pk.blend_sizes([float(n) for _, n in named], 1000, 0.005)
-    return t.spark.createDataFrame([(s, w) for (s, _), w in zip(named, want)], "source string, want long")
+    per = t.documents.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return pk.blend_wants(per, 1000, 0.005).select("source", "want")
 
 
 def sentence_lengths(t):
@@ -137,42 +147,84 @@ def sentence_lengths(t):
     return sents.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["n"]).alias("lengths"))
 
 
-@query("c13_sentence_spans", "doc_id:l span_no:l begin:l end:l target:l")
+SENTENCES = (
+    "(SELECT doc_id, list(len(string_split(s, ' ')) ORDER BY k) AS lens FROM (SELECT doc_id, trim(unnest(parts), E' ') AS s, generate_subscripts(parts, 1) AS k FROM "
+    "(SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)) WHERE s <> '' GROUP BY doc_id)"
+)
+
+
+def draw(digest: str, nth: int) -> str:
+    return f"(CAST('0x' || substr({digest}, {6 * nth + 1}, 6) AS BIGINT) / 16777216.0)"
+
+
+def spans_sql(lens: str, target: int, min_sent: int, keep: int, short: float = 0.0) -> str:
+    """Spans of every document: the end of the next one is found in the running sums."""
+    d = "md5('1:' || doc_id || ':' || b)"
+    want = f"CASE WHEN {draw(d, 0)} < {short} THEN 2 + CAST(floor({draw(d, 1)} * ({target} - 1)) AS BIGINT) ELSE {target} END" if short else str(target)
+    e = f"greatest(len(list_filter(p, lambda x: x < p[b + 1] + want)), b + {min_sent})"
+    step = f"SELECT doc_id, nth, b, CASE WHEN n - {e} < {max(keep, 1)} THEN n ELSE {e} END AS e, want, n, p"
+    return f"""
+      WITH RECURSIVE docs AS (SELECT doc_id, len(lens) AS n, list_prepend(0, list_transform(range(1, len(lens) + 1), lambda k: CAST(list_sum(lens[1:k]) AS BIGINT))) AS p FROM {lens} WHERE len(lens) >= {max(min_sent, 1)}),
+      walk AS (
+        {step} FROM (SELECT *, {want} AS want FROM (SELECT doc_id, n, p, 0 AS b, 0 AS nth FROM docs))
+        UNION ALL
+        {step} FROM (SELECT *, {want} AS want FROM (SELECT doc_id, n, p, e AS b, nth + 1 AS nth FROM walk WHERE e < n))
+      ) SELECT doc_id, nth, b, e, want FROM walk"""
+
+
+@query("c13_sentence_spans", "doc_id:l span_no:l begin:l end:l target:l", f'SELECT doc_id, nth AS span_no, b AS "begin", e AS "end", want AS target FROM ({spans_sql(SENTENCES, 64, 2, 2, 0.1)})')
 def _(t):
     return co.sentence_spans(sentence_lengths(t), 64, short=0.1)
 
 
-@query("c14_title_blocks", "doc_id:l begin:l end:l block:l")
+@query("c14_title_blocks", "doc_id:l begin:l end:l block:l", f'SELECT doc_id, b AS "begin", e AS "end", row_number() OVER (ORDER BY doc_id, nth) - 1 AS block FROM ({spans_sql(SENTENCES, 58, 1, 1)})')
 def _(t):
     return co.title_blocks(sentence_lengths(t).withColumn("title_len", F.lit(6)), 64)
 
 
 def chunked_sents(t):
+    """Documents as lists of sentences of twelve tokens."""
     chunks = co.chunk_documents(lengths(t), 12)
-    return chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "tokens"))), lambda s: s["tokens"]).alias("sents"))
+    rows = chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "tokens"))), lambda s: s["tokens"]).alias("sents"))
+    return rows.withColumn("lengths", F.transform("sents", lambda s: F.size(s)))
+
+
+TWELVES = f"(SELECT doc_id, list_transform(range(0, CAST(ceil(len(tokens) / 12.0) AS BIGINT)), lambda i: len(tokens[i * 12 + 1 : i * 12 + 12])) AS lens FROM {TOK} WHERE len(tokens) > 0)"
 
 
 @query("c15_inverse_cloze", "block:l picked:l query:al block_tokens:al")
 def _(t):
-    df = chunked_sents(t).select(F.col("doc_id").alias("block"), "sents", F.array(F.lit(1), F.lit(2)).alias("title"))
-    return co.inverse_cloze(df, 64)
+    docs = chunked_sents(t)
+    blocks = co.title_blocks(docs.withColumn("title_len", F.lit(2)), 62)
+    return co.inverse_cloze(co.span_sentences(docs, blocks).withColumn("title", F.array(F.lit(1), F.lit(2))), 64)
 
 
-@query("c16_mask_tokens", "sample_id:l tokens:al positions:al labels:al")
+@query(
+    "c16_mask_tokens",
+    "sample_id:l tokens:al positions:al labels:al",
+    f"""WITH w AS (SELECT doc_id, n, tok, k, md5('1:' || doc_id || ':' || k) AS d FROM (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS tok, generate_subscripts(tokens, 1) - 1 AS k FROM {TOK})),
+        r AS (SELECT *, {draw("d", 0)} AS u, 1 + CAST({draw("d", 1)} >= 6 / 11.0 AS INT) + CAST({draw("d", 1)} >= 9 / 11.0 AS INT) AS reach FROM w),
+        q AS (SELECT *, least(u, CASE WHEN lag(reach, 1) OVER o > 1 THEN lag(u, 1) OVER o END, CASE WHEN lag(reach, 2) OVER o > 2 THEN lag(u, 2) OVER o END) AS p FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+        m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) <= greatest(1, round(n * 0.15)) AS hit FROM q)
+        SELECT doc_id AS sample_id, list(CASE WHEN NOT hit THEN tok WHEN {draw("d", 2)} < 0.8 THEN 4 WHEN {draw("d", 2)} < 0.9 THEN tok ELSE floor({draw("d", 3)} * 1000) END ORDER BY k) AS tokens,
+          list(k ORDER BY k) FILTER (hit) AS positions, list(tok ORDER BY k) FILTER (hit) AS labels FROM m GROUP BY doc_id""",
+)
 def _(t):
     df = t.tokens.select(F.col("doc_id").alias("sample_id"), F.transform("toks", lambda w: F.length(w)).alias("tokens"), F.col("toks").alias("pieces"))
     return co.mask_tokens(df)
 
 
-@query("c17_pair_segments", "sample_id:l tokens:al types:al swapped:b")
+@query("c17_pair_segments", "sample_id:s tokens:al types:al swapped:b")
 def _(t):
-    return co.pair_segments(chunked_sents(t).withColumnRenamed("doc_id", "sample_id"), 120, 128)
+    docs = chunked_sents(t)
+    spans = co.span_sentences(docs, co.sentence_spans(docs, 120, min_sent=1))
+    return co.pair_segments(spans.withColumn("sample_id", F.concat_ws(":", "doc_id", "span_no")), 120, 128)
 
 
 @query("c18_span_corruption", "sample_id:l text_enc:al text_dec:al labels:al")
 def _(t):
     df = pk.pack_sequences(lengths(t), 128, extra=0).select("sample_id", "tokens", F.transform("tokens", lambda v: F.lit("w")).alias("pieces"))
-    masked = co.mask_tokens(df, max_masks=20, max_ngram=3)
+    masked = co.mask_tokens(df)
     return co.span_corruption(masked.select("sample_id", F.col("original").alias("tokens"), "spans"), 128, 64, list(range(9000, 9064)), 1, 2)
 
 

@@ -260,15 +260,61 @@ def test_document_order_is_a_permutation(spark):
     assert {r["epoch"] for r in a[:20]} == {0} and sorted(r["doc_id"] for r in a[20:]) == list(range(20))
 
 
-def test_spans():
+def test_spans(spark):
     assert spans.sentence_spans([3, 3, 3, 3, 3], 6, 2, 2) == [{"begin": 0, "end": 2, "target": 6}, {"begin": 2, "end": 5, "target": 6}]
-    assert spans.sentence_spans([3, 600], 6, 2, 2) == []
-    out = spans.corrupt_spans([10, 11, 12, 13, 14], [[1, 2], [4]], [90, 91], 1, 2, 6, 8, 0)
+    assert spans.sentence_spans([3, 600], 6, 2, 2, longest=512) == []
+    assert spans.sentence_spans([3, 600], 6, 2, 2) == [{"begin": 0, "end": 2, "target": 6}]
+    out = one(spark, spans.corrupt_spans(F.array(*[F.lit(i) for i in range(10, 15)]), F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(4))), [90, 91], 1, 2, 6, 8, 0))
     assert out["text_enc"] == [10, 90, 13, 91, 0, 0]
     assert out["text_dec"] == [1, 90, 11, 12, 91, 14, 0, 0]
     assert out["labels"] == [90, 11, 12, 91, 14, 2, -1, -1]
-    m = spans.choose_masks(list(range(40)), ["w"] * 40, 0.25, 64, np.random.default_rng(0), fixed=True, mask_id=-7)
+    with pytest.raises(Exception):
+        one(spark, spans.corrupt_spans(F.array(F.lit(1)), F.array(F.array(F.lit(0))), [], 1, 2, 6, 8, 0))
+
+
+def masks(spark, tokens, pieces, rate=0.25, **kw):
+    df = spark.createDataFrame([(1, tokens, pieces)], "sample_id long, tokens array<int>, pieces array<string>")
+    return co.mask_tokens(df, rate, **kw).first()
+
+
+def test_masks(spark):
+    m = masks(spark, list(range(40)), ["w"] * 40, fixed=True, mask_id=-7)
     assert len(m["positions"]) == 10 and all(m["tokens"][i] == -7 for i in m["positions"])
+    assert [i for s in m["spans"] for i in s] == m["positions"] == m["labels"]
+    assert all(s == list(range(s[0], s[-1] + 1)) for s in m["spans"])
+    m = masks(spark, list(range(300)), ["w", "##x", "##y"] * 100, 0.3, fixed=True, mask_id=-7, skip=(0, 30))
+    assert len(m["positions"]) % 3 == 0 and 80 <= len(m["positions"]) <= 90 and not {0, 30} & set(m["positions"])
+    assert all(len(set(m["tokens"][i : i + 3]) & {-7}) == 0 or m["tokens"][i : i + 3] == [-7] * 3 for i in range(3, 300, 3) if i != 30)
+    m = masks(spark, [], [])
+    assert (m["tokens"], m["positions"], m["spans"]) == ([], [], [])
+    long = masks(spark, list(range(6000)), ["w"] * 6000, 0.15, vocab=50)
+    assert len(long["positions"]) == 900
+    kept = sum(long["tokens"][i] == i for i in long["positions"])
+    assert 40 < kept < 160
+
+
+def test_pair_segments(spark):
+    rows = [(k, [[100 * k + i] * 3 for i in range(n)]) for k, n in enumerate((1, 2, 9, 40))]
+    df = spark.createDataFrame(rows, "sample_id long, sents array<array<int>>")
+    for r in co.pair_segments(df, 24, 32).collect():
+        used = sum(r["mask"])
+        assert len(r["tokens"]) == len(r["types"]) == len(r["mask"]) == 32
+        assert r["tokens"][0] == 2 and used <= 27 and r["truncated"] == (rows[r["sample_id"]][0] > 1)
+        assert sum(r["types"]) == (r["types"].count(1)) and r["types"][used:] == [0] * (32 - used)
+
+
+def test_reset_positions_and_repeats_are_linear(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i % 7).cast("int")).alias("tokens"))
+        t0 = time.perf_counter()
+        r = co.lm_example(df, eod=3, reset=True).select(F.element_at("position_ids", -1).alias("last"), F.size("position_ids").alias("n")).first()
+        out = one(spark, F.size(tx.repeat_replace(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i % 7).cast("int")), 3, F.array(F.lit(4)), 9)))
+        took.append(time.perf_counter() - t0)
+        assert r["n"] == n - 1 and out == n + 3
+    assert took[1] < 10
 
 
 def test_sft_errors(spark):
