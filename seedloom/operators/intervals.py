@@ -343,14 +343,16 @@ def runs_to_array(runs: Column, length: Column) -> Column:
     """Sorted, non-overlapping runs (i, j, v) -> a dense array, zeros in the gaps."""
     zero = F.lit(0.0)
 
-    def step(acc, r):
-        gap = F.array_repeat(zero, (r["i"] - F.size(acc)).cast("int"))
-        v = F.when(F.isnan(r["v"]), zero).otherwise(F.coalesce(r["v"], zero))
-        return F.concat(acc, gap, F.array_repeat(v, (r["j"] - r["i"]).cast("int")))
-
-    empty = F.array().cast("array<double>")
-    filled = F.aggregate(F.coalesce(runs, F.array().cast("array<struct<i:bigint,j:bigint,v:double>>")), empty, step)
-    return F.concat(filled, F.array_repeat(zero, (length - F.size(filled)).cast("int")))
+    def fill(rs):
+        # before each run its gap, then the run; behind the last one zeros up to the length
+        begin = lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get(rs, k - 1)["j"])
+        stop = lambda k: F.coalesce(F.get(rs, k)["i"], length.cast("long"))
+        value = lambda r: F.when(F.isnan(r["v"]), zero).otherwise(F.coalesce(r["v"], zero))
+        gap = lambda k: F.array_repeat(zero, (stop(k) - begin(k)).cast("int"))
+        run = lambda k: F.array_repeat(value(F.get(rs, k)), F.coalesce(F.get(rs, k)["j"] - F.get(rs, k)["i"], F.lit(0)).cast("int"))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(rs)), lambda k: F.concat(gap(k), run(k))))
+
+    return let(F.coalesce(runs, F.array().cast("array<struct<i:bigint,j:bigint,v:double>>")), fill)
 
 
 def pad_text(col: Column, n: int, fill: str = "N") -> Column:

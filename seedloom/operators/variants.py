@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.functions.dna import called_allele, reverse_complement
-from seedloom.operators.base import as_list
+from seedloom.operators.base import as_list, let
 
 
 def call_variants(variants: DataFrame) -> DataFrame:
@@ -47,21 +47,24 @@ def apply_variants(windows: DataFrame, variants: DataFrame, by=("block", "sample
     out = w.join(packed, by, "left")
     empty = F.array().cast("array<struct<_at:int,_t:string>>")
     e = F.coalesce("_e", empty)
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), F.array().cast("array<bigint>").alias("pos"))
 
     def coords(a, b):
         # coordinates of offsets [a, b)
         return F.when(b > a, F.sequence((F.col("start") + a).cast("long"), (F.col("start") + b - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
-    def step(acc, x):
-        gap = F.substring(F.col("bases"), acc["at"] + 1, x["_at"] - acc["at"])
-        here = F.array_repeat((F.col("start") + x["_at"]).cast("long"), F.length(x["_t"]))
-        return F.struct((x["_at"] + 1).alias("at"), F.concat(acc["out"], F.array(gap, x["_t"])).alias("out"), F.concat(acc["pos"], coords(acc["at"], x["_at"]), here).alias("pos"))
+    def pieces(x):
+        # what stands before each edit, the edit, and in the end what stands behind the last one
+        n = F.size(x)
+        begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(x, k - 1)["_at"] + 1)
+        stop = lambda k: F.when(k == n, F.col("_n")).otherwise(F.get(x, k)["_at"])
+        text = lambda k: F.coalesce(F.get(x, k)["_t"], F.lit(""))
+        here = lambda k: F.array_repeat((F.col("start") + stop(k)).cast("long"), F.length(text(k)))
+        every = F.sequence(F.lit(0), n)
+        return F.struct(
+            F.array_join(F.transform(every, lambda k: F.concat(F.substring(F.col("bases"), begin(k) + 1, stop(k) - begin(k)), text(k))), "").alias("sequence"),
+            F.flatten(F.transform(every, lambda k: F.concat(coords(begin(k), stop(k)), here(k)))).alias("pos_list"),
+        )
 
-    def finish(acc):
-        tail = F.substring(F.col("bases"), acc["at"] + 1, F.col("_n") - acc["at"])
-        return F.struct(F.array_join(F.concat(acc["out"], F.array(tail)), "").alias("sequence"), F.concat(acc["pos"], coords(acc["at"], F.col("_n"))).alias("pos_list"))
-
-    out = out.withColumn("_s", F.aggregate(e, seed, step, finish))
+    out = out.withColumn("_s", let(e, pieces))
     keep = [c for c in windows.columns if c != "bases"]
     return out.select(*keep, "_s.sequence", "_s.pos_list").withColumn("sequence_revcomp", reverse_complement("sequence")).withColumn("pos_list_revcomp", F.reverse("pos_list"))

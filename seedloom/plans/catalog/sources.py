@@ -29,17 +29,36 @@ LETTERS = "regexp_replace(text, '[^A-Za-z]', 'N', 'g')"
 
 def letters(t):
     """Documents as base strings: everything but Latin letters reads N."""
-    return t.documents.filter("n_chars > 0").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "N").alias("bases"))
+    return t.documents.select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "N").alias("bases"))
 
 
-@query("s01_read_fasta", "seqid:s len:l bases:s", f"SELECT 'seq' || doc_id AS seqid, length(text) AS len, upper({LETTERS}) AS bases FROM documents WHERE n_chars > 0")
+@query("s01_read_fasta", "seqid:s len:l bases:s", f"SELECT 'seq' || doc_id AS seqid, length(text) AS len, upper({LETTERS}) AS bases FROM documents")
 def _(t):
     lines = F.array_join(F.regexp_extract_all("bases", F.lit("(.{1,60})"), F.lit(1)), "\n")
     rec = letters(t).select(F.concat(F.lit(">seq"), F.col("doc_id").cast("string"), F.lit(" d=1\n"), lines).alias("value"))
     chunks = gm.read_fasta(t.spark, as_text(t, rec, "fasta", "fa"), chunk=600, upper=True)
     item = F.struct("chunk_start", "bases")
-    out = chunks.groupBy("seqid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["bases"]), "").alias("bases"))
-    return out.join(gm.sequence_lengths(chunks), "seqid")
+    record = ["file", "record_no", "seqid"]
+    out = chunks.groupBy(*record).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["bases"]), "").alias("bases"))
+    return out.join(gm.sequence_lengths(chunks), record)
+
+
+@query(
+    "s01_read_fasta_files",
+    "seqid:s len:l bases:s",
+    f"SELECT 'seq' || doc_id // 2 AS seqid, length(text) AS len, {LETTERS} AS bases FROM documents UNION ALL SELECT 'none' || doc_id // 2, 0, '' FROM documents",
+)
+def _(t):
+    """Two folders of files that use the same names, each record followed by one without bases."""
+    k = (F.col("doc_id") / 2).cast("long").cast("string")
+    rec = letters(t).select(F.concat(F.lit(">seq"), k, F.lit("\n"), F.col("bases"), F.lit("\n>none"), k).alias("value"), (F.col("doc_id") % 2).alias("half"))
+    path = scratch_path(t.spark, "fasta-files")
+    rec.write.partitionBy("half").text(path)
+    chunks = gm.read_fasta(t.spark, path, chunk=1 << 20)
+    item = F.struct("chunk_start", "bases")
+    record = ["file", "record_no", "seqid"]
+    out = chunks.groupBy(*record).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["bases"]), "").alias("bases"))
+    return out.join(gm.sequence_lengths(chunks), record)
 
 
 def vcf_rows(t):
@@ -69,6 +88,23 @@ def _(t):
     return gm.read_vcf(t.spark, vcf(t), regions).withColumn("top", F.greatest("a1", "a2"))
 
 
+@query(
+    "s02_read_vcf_files",
+    "chrom:s pos:l ref:s sample:s top:l n:l",
+    f"SELECT chrom, pos, ref, file || sample AS sample, top, count(*) AS n FROM ({CALLS}), (SELECT unnest(['a', 'b']) AS file) WHERE chrom <> 'chr3' GROUP BY ALL",
+)
+def _(t):
+    """Two files with samples of their own; every call is there twice, once per file."""
+    path = scratch_path(t.spark, "vcf-files")
+    for name in ("a", "b"):
+        cols = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"
+        rows = vcf_rows(t).agg(F.concat_ws("\n", F.lit(f"{cols}\t{name}s1\t{name}s2"), F.collect_list("value")).alias("value"))
+        rows.write.text(f"{path}/{name}")
+    regions = t.spark.createDataFrame([("Chr1", 0, 9000), ("1", 8000, 10**9), ("2", 0, 10**9)], "chrom string, start long, end long")
+    out = gm.read_vcf(t.spark, f"{path}/*", regions).withColumn("top", F.greatest("a1", "a2"))
+    return out.groupBy("chrom", "pos", "ref", "sample", "top").agg(F.count(F.lit(1)).alias("n"))
+
+
 ALLELE = "CASE WHEN top = -1 THEN repeat('N', length(ref)) WHEN k % 4 = 0 THEN 'T' WHEN k % 4 = 1 THEN 'CTT' WHEN k % 4 = 2 THEN 'C' WHEN top = 2 THEN 'N' ELSE 'A' END"
 
 
@@ -92,7 +128,7 @@ def _(t):
     "x04_apply_variants",
     "doc_id:l sequence:s n:l last:l",
     f"""SELECT doc_id, CASE WHEN n >= 30 THEN substr(b, 1, 4) || 'T' || substr(b, 6, 5) || substr(b, 11, 1) || 'GG' || substr(b, 12, 8) || 'CN' || substr(b, 22) ELSE b END AS sequence,
-          CASE WHEN n >= 30 THEN n + 2 ELSE n END AS n, 100 + n AS last FROM (SELECT doc_id, {LETTERS} AS b, length(text) AS n FROM documents WHERE n_chars > 0)""",
+          CASE WHEN n >= 30 THEN n + 2 ELSE n END AS n, 100 + n AS last FROM (SELECT doc_id, {LETTERS} AS b, length(text) AS n FROM documents)""",
 )
 def _(t):
     # a SNP at base 5, an insertion of two bases after base 11, a two-base deletion at 20
@@ -166,6 +202,15 @@ def _(t):
     return mx.read_position_matrix(t.spark, path, 10, 20)
 
 
+@query("s09_read_block_matrices", "sample_id:s position:l value:d", "SELECT CAST(sample_id AS VARCHAR) AS sample_id, position, value FROM matrix")
+def _(t):
+    """One file per block of positions, each with its own header."""
+    path = scratch_path(t.spark, "blocks")
+    for i in range(4):
+        mx.write_position_matrix(t.matrix, f"{path}/{i}", list(range(16 * i + 1, 16 * i + 17)))
+    return mx.read_position_matrix(t.spark, f"{path}/*")
+
+
 @query("s10_write_position_matrix", "sample_id:l pos_3:d pos_70:d", "SELECT sample_id, value AS pos_3, NULL AS pos_70 FROM matrix WHERE position = 3")
 def _(t):
     return mx.widen_positions(t.matrix, [3, 70])

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedloom.functions.names import normalize_chrom, parse_attributes
-from seedloom.operators.base import finite_or_null
+from seedloom.operators.base import finite_or_null, small_side
 from seedloom.operators.intervals import overlap_join
-from seedloom.operators.ordered import lay_out, release, row_index, running_sum, scan
+from seedloom.operators.ordered import lay_out, release, row_index, running_max, running_sum, scan
 
 
 # Order of a file's lines: its splits by offset, then the rows of a split.
@@ -24,25 +24,23 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 65536, upper: bool = False) -> DataFrame:
-    """(seqid, chunk_no, chunk_start, bases): sequences in chunks of whole lines.
+    """(file, record_no, seqid, chunk_no, chunk_start, bases): sequences in chunks of whole lines.
 
-    Lines, not records, are the unit of work, so one chromosome is spread over many tasks.
-    A header line opens a record; every base line gets the offset of its first base from a
-    running sum, and lines are joined into chunks of about ``chunk`` bases.
+    Lines, not records, are the unit of work, so one chromosome is spread over many tasks. Every
+    line carries its record's name and offset from running maxima of the header lines, and lines are
+    joined into chunks of about ``chunk`` bases. Records are told apart by file and number, so
+    names may repeat; a record without bases has one empty chunk.
     """
     head = F.col("line").startswith(">")
     rows = file_lines(spark, path).filter("line <> ''")
     rows = rows.withColumn("_head", head.cast("long")).withColumn("_n", F.when(head, 0).otherwise(F.length("line")).cast("long"))
-    laid = lay_out(rows, "file", LINE_ORDER)
-    rows = release(scan(laid, "file", LINE_ORDER, _rec=running_sum("_head"), _upto=running_sum("_n")))
-    opened = rows.filter("_head = 1").select(
-        F.col("file"), "_rec", F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("seqid"), F.col("_upto").alias("_base")
-    )
-    body = rows.filter("_head = 0").join(opened, ["file", "_rec"])
+    name = F.struct("_at", "_id", F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("seqid"))
+    rows = scan(lay_out(rows, "file", LINE_ORDER), "file", LINE_ORDER, record_no=running_sum("_head"), _upto=running_sum("_n"), _open=running_max(F.when(head, name)))
+    rows = release(scan(rows, "file", LINE_ORDER, _base=running_max(F.when(head, F.col("_upto"))))).filter("record_no > 0")
     at = F.col("_upto") - F.col("_n") - F.col("_base")
-    body = body.withColumn("_start", at).withColumn("chunk_no", F.floor(at / chunk))
-    item = F.struct("_start", F.col("line").alias("_l"))
-    out = body.groupBy("seqid", "chunk_no").agg(
+    body = rows.withColumn("_start", at).withColumn("chunk_no", F.floor(at / chunk)).withColumn("seqid", F.col("_open.seqid"))
+    item = F.struct("_start", F.when(head, "").otherwise(F.col("line")).alias("_l"))
+    out = body.groupBy("file", "record_no", "seqid", "chunk_no").agg(
         F.min("_start").alias("chunk_start"),
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["_l"]), "").alias("bases"),
     )
@@ -50,7 +48,8 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 65536, upper: bool =
 
 
 def sequence_lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("seqid").agg(F.sum(F.length("bases")).alias("len"))
+    """Length of every record (of every name, where chunks carry no file)."""
+    return chunks.groupBy(*[c for c in ("file", "record_no", "seqid") if c in chunks.columns]).agg(F.sum(F.length("bases")).alias("len"))
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -131,27 +130,34 @@ def read_vcf(spark: SparkSession, path: str, regions: DataFrame | None = None) -
     """(chrom, pos, ref, alts, sample, a1, a2, phased): one row per variant and sample.
 
     ``regions`` (chrom, start, end; half-open) keeps variants inside them; names match as
-    they are or in normalised form. Only the genotype is read; a missing allele is -1.
+    they are or in normalised form. Every file has its own samples; parts without a header take the
+    others' if those agree. Only the genotype is read; a missing allele is -1.
     """
-    lines = spark.read.text(path).filter("not startswith(value, '##')")
-    head = lines.filter("startswith(value, '#CHROM')").limit(1).first()
-    if head is None:
+    lines = spark.read.text(path).select(
+        "value", F.input_file_name().alias("file"), F.input_file_block_start().alias("_at"), F.monotonically_increasing_id().alias("_id")
+    ).filter("not startswith(value, '##')")
+    heads = lines.filter("startswith(value, '#CHROM')").select("file", F.slice(F.split("value", "\t"), 10, 1 << 30).alias("_names"))
+    known = heads.select("_names").distinct().limit(2).collect()
+    if not known:
         raise ValueError("no #CHROM line")
-    samples = head[0].split("\t")[9:]
     f = F.split("value", "\t")
     rows = lines.filter("not startswith(value, '#') and value <> ''").select(
-        f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"),
-        F.slice(f, 10, max(1, len(samples))).alias("_g"),
-    )
+        "file", "_at", "_id", f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), F.slice(f, 10, 1 << 30).alias("_g")
+    )
+    if len(known) == 1:  # one list of samples holds for all files, also for parts without a header
+        rows = rows.withColumn("_names", F.array(*[F.lit(s) for s in known[0][0]]).cast("array<string>"))
+    else:
+        rows = rows.join(small_side(heads), "file", "left")
+        missing = F.raise_error(F.concat(F.lit("no #CHROM line in "), F.col("file"))).cast("array<string>")
+        rows = rows.withColumn("_names", F.coalesce("_names", missing))
     if regions is not None:
+        # A variant in several regions counts once; equal variants of several lines all stay.
         spans = regions.select(normalize_chrom("chrom").alias("_c"), (F.col("start") + 1).alias("start"), "end")
         points = rows.withColumn("_c", normalize_chrom("chrom")).withColumn("start", F.col("pos")).withColumn("end", F.col("pos"))
-        hits = overlap_join(points, spans, by="_c").select(*rows.columns).dropDuplicates(["chrom", "pos", "ref", "alts"])
-        rows = hits
-    names = F.array(*[F.lit(s) for s in samples])
-    long = rows.select("chrom", "pos", "ref", "alts", F.posexplode("_g").alias("_i", "_f"))
+        rows = overlap_join(points, spans, by="_c").select(*rows.columns).dropDuplicates(["file", "_at", "_id"])
+    long = rows.select("chrom", "pos", "ref", "alts", "_names", F.posexplode("_g").alias("_i", "_f"))
     gt = F.split("_f", ":")[0]
     allele = lambda i: F.coalesce(F.get(F.split(gt, r"[/|]"), F.lit(i)).try_cast("int"), F.lit(-1))
     return long.select(
-        "chrom", "pos", "ref", "alts", F.get(names, F.col("_i")).alias("sample"), allele(0).alias("a1"), allele(1).alias("a2"), gt.contains("|").alias("phased")
+        "chrom", "pos", "ref", "alts", F.get("_names", F.col("_i")).alias("sample"), allele(0).alias("a1"), allele(1).alias("a2"), gt.contains("|").alias("phased")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.operators.base import as_list, finite_or_null
+from seedloom.operators.base import as_list, finite_or_null, small_side
 
 
 def matrix_from_arrays(df: DataFrame, col: str, keep) -> DataFrame:
@@ -20,9 +20,26 @@ def read_position_matrix(spark: SparkSession, path: str, lo: int | None = None,
 
     The position is the number that ends the column name; only columns in [lo, hi] are
     read further. Missing and NaN cells become NULL.
+
+    Every file's own header names its columns. Cells become rows as they are read, so neither plan
+    nor task grows with a table of all columns. Fields are parted by plain commas.
     """
-    wide = spark.read.option("header", True).csv(path)
-    return melt_positions(wide, wide.columns[0], lo, hi)
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.split("value", ",", -1).alias("_f")).filter("_f[0] <> '' or size(_f) > 1")
+    top = lines.first()
+    if top is None:
+        raise ValueError("empty matrix")
+    is_head = F.col("_f")[0] == top["_f"][0]
+    number = lambda c: F.regexp_extract(c, r"(\d+)\s*\"?$", 1).try_cast("long")
+    heads = lines.filter(is_head).select("file", F.transform("_f", number).alias("_p")).distinct()
+    cells = lines.filter(~is_head).join(small_side(heads), "file").select(
+        F.regexp_replace(F.col("_f")[0], r'^"|"$', "").alias("sample_id"), F.posexplode(F.arrays_zip("_p", "_f")).alias("_i", "_c")
+    )
+    out = cells.filter("_i > 0").select("sample_id", F.col("_c._p").alias("position"), finite_or_null(F.col("_c._f").try_cast("double")).alias("value")).filter("position is not null")
+    if lo is not None:
+        out = out.filter(F.col("position") >= lo)
+    if hi is not None:
+        out = out.filter(F.col("position") <= hi)
+    return out
 
 
 def melt_positions(wide: DataFrame, id_col: str, lo: int | None = None, hi: int | None = None) -> DataFrame:

@@ -2,9 +2,13 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from seedloom.operators import tracks as tr
+from seedloom.operators import variants as vr
 from seedloom.sources import corpora as cp
 from seedloom.sources import genome as gm
+from seedloom.sources import matrix as mx
 from seedloom.sources import tables as tb
 
 
@@ -46,6 +50,36 @@ def test_fasta_chunks_keep_offsets(spark, tmp_path):
     assert [(r["seqid"], r["chunk_start"], r["bases"]) for r in out] == [("1", 0, "ACGTACGT"), ("1", 8, "AC"), ("Chr2", 0, "NNNN")]
 
 
+def test_files_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "fa").mkdir()
+    (tmp_path / "fa" / "a.fa").write_text(">c1\nAAAA\n>empty\n>c1\nGG\n")
+    (tmp_path / "fa" / "b.fa").write_text(">c1\nCC\nCC\n")
+    out = gm.read_fasta(spark, str(tmp_path / "fa"))
+    assert sorted((r["seqid"], r["bases"]) for r in out.collect()) == [("c1", "AAAA"), ("c1", "CCCC"), ("c1", "GG"), ("empty", "")]
+    assert sorted(r["len"] for r in gm.sequence_lengths(out).collect()) == [0, 2, 4, 4]
+    (tmp_path / "vcf").mkdir()
+    for name in ("s1", "s2"):
+        head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + name
+        (tmp_path / "vcf" / f"{name}.vcf").write_text(head + "\nchr1\t5\t.\tA\tT\t.\t.\t.\tGT\t0/1\nchr1\t9\t.\tA\tT\t.\t.\t.\tGT\t1/1\n")
+    regions = spark.createDataFrame([("1", 0, 6), ("chr1", 2, 20)], "chrom string, start long, end long")
+    got = gm.read_vcf(spark, str(tmp_path / "vcf"), regions).collect()
+    assert sorted((r["sample"], r["pos"]) for r in got) == [("s1", 5), ("s1", 9), ("s2", 5), ("s2", 9)]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.csv").write_text("sample_id,pos_1,pos_2\nx,1,2\n")
+    (tmp_path / "m" / "b.csv").write_text("sample_id,pos_4,pos_3\nx,4,\ny,NaN,3.5\n")
+    got = mx.read_position_matrix(spark, str(tmp_path / "m")).collect()
+    assert sorted((r["sample_id"], r["position"], r["value"]) for r in got if r["value"]) == [("x", 1, 1.0), ("x", 2, 2.0), ("x", 4, 4.0), ("y", 3, 3.5)]
+    assert len(got) == 6
+
+
+def test_many_edits_stay_linear(spark):
+    n = 4000
+    w = spark.createDataFrame([(1, 1, "A" * (3 * n))], "block int, start long, bases string")
+    v = spark.range(n).select(F.lit(1).alias("block"), (F.col("id") * 3 + 2).alias("pos"), F.lit("A").alias("ref"), F.lit("ATT").alias("allele"), F.lit("INS").alias("kind"))
+    r = vr.apply_variants(w, v, "block").select("sequence", F.size("pos_list").alias("n"), F.element_at("pos_list", -1).alias("last")).first()
+    assert r["sequence"] == "AATTA" * n and (r["n"], r["last"]) == (5 * n, 3 * n)
+
+
 def test_metric_file_names(spark, tmp_path):
     where = tmp_path / "test" / "s1.checkpoint-20"
     where.mkdir(parents=True)
