@@ -21,20 +21,23 @@ def arrangements(m: int, n: int) -> np.ndarray:
     return counts
 
 
-def two_sided_rank_test(u: float, m: int, n: int, ties: float, z: float) -> float:
-    if ties == 0 and min(m, n) <= 8:
-        counts = arrangements(min(m, n), max(m, n))
-        far = int(round(max(u, m * n - u)))
-        return float(min(1.0, 2.0 * counts[far:].sum() / counts.sum()))
-    return float(min(1.0, math.erfc(z / math.sqrt(2.0))))
+def two_sided_rank_test(u: float, m: int, n: int, ties: float) -> float:
+    """Exact p-value of the rank-sum statistic; only without ties."""
+    if ties:
+        raise ValueError("the exact distribution holds for distinct values only")
+    counts = arrangements(min(m, n), max(m, n))
+    far = int(round(max(u, m * n - u)))
+    return float(min(1.0, 2.0 * counts[far:].sum() / counts.sum()))
 
 
-def rank_test_p(u: pd.Series, m: pd.Series, n: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
-    out = [
-        None if pd.isna(a) else two_sided_rank_test(a, int(b), int(c), d, e)
-        for a, b, c, d, e in zip(u, m, n, ties, z)
-    ]
-    return pd.Series(out, dtype="float64")
+def exact_rank_p(u: pd.Series, m: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) else two_sided_rank_test(a, int(b), int(c), d) for a, b, c, d in zip(u, m, n, ties)], dtype="float64")
+
+
+def normal_p(z: pd.Series) -> pd.Series:
+    """Two-sided tail of the normal distribution from its complementary error function."""
+    z = z.astype("float64")
+    return z.map(lambda v: min(1.0, math.erfc(v / math.sqrt(2.0))), na_action="ignore")
 
 
 def beta_tail(a: float, b: float, x: float) -> float:

@@ -81,18 +81,21 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn(key, F.lit(1)).join(F.broadcast(small), key).drop(key)
 
 
-# Largest side, in rows, that joins here may hand to every task; a checked bound.
+# Largest side, in rows and in bytes of its values, that joins here may hand to every task.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after seeing that ``df`` has at most ``rows`` rows.
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after seeing that ``df`` has at most ``rows`` rows and ``size`` bytes.
 
     The table is settled first, so that it is computed once and the look at its size is
     cheap. A larger one joins by shuffle.
     """
     kept = settle(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))) if kept.columns else F.lit(0)
+    seen = kept.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return F.broadcast(kept) if seen["n"] <= rows and (seen["b"] or 0) <= size else kept
 
 
 def for_each(left: DataFrame, right: DataFrame, key, shards: int = 16) -> DataFrame:

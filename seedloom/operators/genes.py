@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.functions.tails import normal_quantile, t_test_p
-from seedloom.operators.base import as_list, attach_row, ratio, small_side
+from seedloom.operators.base import as_list, attach_row, ratio, seeded_unit, small_side
 from seedloom.operators.intervals import effective_intervals, extend_flank, overlap_join
 from seedloom.operators.ordered import ordered_scan, row_index, value_counts
 from seedloom.operators.stats import METRICS, bh_adjust, column_profile, distribution_metrics, mann_whitney
@@ -78,7 +78,16 @@ def peak_position(curves: DataFrame, order: str = "ord", pos: str = "position",
     )
 
 
-def sample_pcs(matrix: DataFrame, k: int, max_samples: int = 4096) -> DataFrame:
+def sample_pcs(matrix: DataFrame, k: int, method: str = "gram", **options) -> DataFrame:
+    """Principal-component scores of the samples (up to sign): sample_id, pcs ARRAY.
+
+    ``gram`` is exact and needs the samples x samples square in a task; ``power`` takes cohorts of
+    any size. The choice is the caller's, never the table's.
+    """
+    return {"gram": gram_pcs, "power": power_pcs}[method](matrix, k, **options)
+
+
+def gram_pcs(matrix: DataFrame, k: int, max_samples: int = 4096) -> DataFrame:
     """Principal-component scores of the samples (up to sign): sample_id, pcs ARRAY.
 
     Positions are the rows of the job and samples the vector, so the components come from
@@ -92,7 +101,7 @@ def sample_pcs(matrix: DataFrame, k: int, max_samples: int = 4096) -> DataFrame:
     names = matrix.select("sample_id").distinct()
     n = names.count()
     if n > max_samples:
-        raise ValueError(f"{n} samples; raise max_samples only with executors that hold its square")
+        raise ValueError(f"{n} samples: use method='power', or raise max_samples with executors that hold its square")
     index = small_side(ordered_scan(names, None, "sample_id", _i=row_index()))
     rows = matrix.join(index, "sample_id").groupBy("position").agg(
         F.array_sort(F.collect_list(F.struct("_i", F.coalesce("value", F.lit(0.0)).alias("v")))).alias("_r")
@@ -117,7 +126,66 @@ def sample_pcs(matrix: DataFrame, k: int, max_samples: int = 4096) -> DataFrame:
     return index.join(scores, "_i").select("sample_id", "pcs")
 
 
-def ols_association(matrix: DataFrame, pheno: DataFrame, y: str, k_pcs: int, pcs: DataFrame | None = None) -> DataFrame:
+def power_pcs(matrix: DataFrame, k: int, extra: int = 8, rounds: int = 60, tolerance: float = 1e-12, seed: int = 1) -> DataFrame:
+    """Principal-component scores of the samples (up to sign): sample_id, pcs ARRAY.
+
+    Block power iteration for cohorts of any size: k + ``extra`` random columns over the samples are
+    carried through the centred matrix and back, and made orthonormal again, until the leading
+    variances stand still (relative change below ``tolerance``) or ``rounds`` are over. A round is two
+    joins with sums by position and by sample; centring is done on the sums, missing cells
+    count as 0. Only products of the k + extra columns come to the driver.
+    """
+    cells = settle(matrix.select("sample_id", "position", F.coalesce("value", F.lit(0.0)).cast("double").alias("v")))
+    n, p = cells.agg(F.count_distinct("sample_id"), F.count_distinct("position")).first()
+    k = min(k, n, p)
+    m = min(k + extra, n)
+    means = settle(cells.groupBy("position").agg((F.sum("v") / F.lit(float(max(n, 1)))).alias("mean")))
+    cols = [f"y{j}" for j in range(m)]
+
+    def products(df: DataFrame) -> np.ndarray:
+        got = df.agg(*[F.sum(F.col(cols[a]) * F.col(cols[b])).alias(f"g{a}_{b}") for a in range(m) for b in range(a, m)]).first()
+        return np.array([[got[f"g{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(m)] for a in range(m)], dtype=float)
+
+    def mixed(df: DataFrame, key: str, mix: np.ndarray, names: list[str]) -> DataFrame:
+        return df.select(key, *[sum((F.col(cols[i]) * float(mix[i, j]) for i in range(1, m)), F.col(cols[0]) * float(mix[0, j])).alias(c) for j, c in enumerate(names)])
+
+    def through(y: DataFrame) -> DataFrame:
+        """Centred matrix times y: one row per position."""
+        whole = y.agg(*[F.sum(c).alias(c) for c in cols]).first()
+        z = cells.join(small_side(y), "sample_id").groupBy("position").agg(*[F.sum(F.col("v") * F.col(c)).alias(c) for c in cols])
+        return settle(z.join(means, "position").select("position", "mean", *[(F.col(c) - F.col("mean") * float(whole[c])).alias(c) for c in cols]))
+
+    def back(z: DataFrame) -> DataFrame:
+        shift = z.agg(*[F.sum(F.col("mean") * F.col(c)).alias(c) for c in cols]).first()
+        w = cells.join(small_side(z.drop("mean")), "position").groupBy("sample_id").agg(*[F.sum(F.col("v") * F.col(c)).alias(c) for c in cols])
+        return settle(w.select("sample_id", *[(F.col(c) - float(shift[c])).alias(c) for c in cols]))
+
+    def orthonormal(y: DataFrame) -> DataFrame:
+        vals, vecs = np.linalg.eigh(products(y))
+        big = vals > max(vals.max(), 0.0) * 1e-14
+        scale = np.where(big, 1 / np.sqrt(np.where(big, vals, 1.0)), 0.0)
+        return settle(mixed(y, "sample_id", vecs * scale, cols))
+
+    ids = cells.select("sample_id").distinct()
+    y = orthonormal(settle(ids.select("sample_id", *[(seeded_unit(seed + j, "sample_id") - 0.5).alias(c) for j, c in enumerate(cols)])))
+    last = None
+    for _ in range(rounds):
+        z = through(y)
+        vals, vecs = np.linalg.eigh(products(z))
+        top = vals[::-1][:k]
+        if last is not None and np.all(np.abs(top - last) <= tolerance * np.maximum(top, 1e-300)):
+            break
+        last = top
+        y = orthonormal(back(z))
+    else:
+        z = through(y)
+        vals, vecs = np.linalg.eigh(products(z))
+    mix = vecs[:, ::-1][:, :k] * np.sqrt(np.maximum(vals[::-1][:k], 0.0))
+    names = [f"p{j}" for j in range(k)]
+    return mixed(y, "sample_id", mix, names).select("sample_id", F.array(*names).alias("pcs"))
+
+
+def ols_association(matrix: DataFrame, pheno: DataFrame, y: str, k_pcs: int, pcs: DataFrame | None = None, method: str = "gram") -> DataFrame:
     """Per position the effect and p-value of x in y ~ 1 + x + PC1..PCk.
 
     The intercept and the components span a fixed space for all positions, so each position
@@ -127,7 +195,7 @@ def ols_association(matrix: DataFrame, pheno: DataFrame, y: str, k_pcs: int, pcs
     known = pheno.filter(F.col(y).isNotNull() & ~F.isnan(y)).select("sample_id", F.col(y).cast("double").alias("_y"))
     rows = matrix.join(small_side(known), "sample_id")
     if pcs is None and k_pcs:
-        pcs = sample_pcs(rows.select("sample_id", "position", "value"), k_pcs)
+        pcs = sample_pcs(rows.select("sample_id", "position", "value"), k_pcs, method)
     present = rows.select("sample_id", "_y").distinct()
     base = present.join(pcs, "sample_id") if k_pcs else present.withColumn("pcs", F.array().cast("array<double>"))
     base = settle(base)
@@ -206,11 +274,12 @@ def quantile_grid(df: DataFrame, value: str, points: int) -> list[float]:
 
 
 def rank_normal(df: DataFrame, value: str, points: int) -> DataFrame:
-    """Map a column to normal scores through its quantile grid (ties take the middle)."""
+    """Map a column to normal scores through its quantile grid (ties take the middle); fewer than two
+    values have no quantiles: NULL."""
     n = df.filter(F.col(value).isNotNull()).count()
     points = min(points, n)
     if points < 2:
-        return df.withColumn(value, F.lit(0.0))
+        return df.withColumn(value, F.lit(None).cast("double"))
     grid = quantile_grid(df, value, points)
 
     def transform(v: pd.Series) -> pd.Series:
@@ -224,11 +293,11 @@ def rank_normal(df: DataFrame, value: str, points: int) -> DataFrame:
     return df.withColumn(value, F.pandas_udf(transform, "double")(value))
 
 
-def normalize_fold_change(df: DataFrame, method: str = "zscore", pred: str = "pred", raw: str = "raw") -> DataFrame:
+def normalize_fold_change(df: DataFrame, method: str = "zscore", pred: str = "pred", raw: str = "raw", points: int = 1000) -> DataFrame:
     """Normalised log2 fold change of predicted over raw expression per gene.
 
     NULL becomes 0, both columns get a pseudo-count, are normalised, then shifted together
-    above zero. Significant: |log2FC| > 2 with a mean over 1.
+    above zero. ``points`` is the size of the quantile grid. Significant: |log2FC| > 2 with a mean over 1.
     """
     eps = 1e-6
     out = df
@@ -243,7 +312,7 @@ def normalize_fold_change(df: DataFrame, method: str = "zscore", pred: str = "pr
         out = out.select(*df.columns)
     elif method == "quantile":
         for c in (pred, raw):
-            out = rank_normal(out, c, 1000)
+            out = rank_normal(out, c, points)
     else:
         raise ValueError(method)
     low = out.agg(F.least(F.min(pred), F.min(raw)).alias("_low"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.operators.base import as_list, seeded_key
+from seedloom.operators.base import as_list, seeded_unit
 from seedloom.session import settle
 
 # Vector components in the query block and the item block that meet in one task.
@@ -89,16 +89,14 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "ip", q
     return keep_top(pairs, k)
 
 
-def train_centroids(items: DataFrame, n_lists: int, sample: int, seed: int = 1, vec: str = "embedding", key: str = "item_id") -> np.ndarray:
-    """K-means centroids (n_lists x dims) from a hash sample of at most about ``sample`` vectors."""
+def train_centroids(items: DataFrame, n_lists: int, rate: float = 1.0, seed: int = 1, vec: str = "embedding", key: str = "item_id", iterations: int = 20) -> np.ndarray:
+    """K-means centroids (n_lists x dims) of all vectors, or of a hash sample at the given rate."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = items.count()
-    rate = min(1.0, sample / max(1, n))
-    picked = items.filter(F.pmod(seeded_key(seed, key), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
+    picked = items if rate >= 1 else items.filter(seeded_unit(seed, key) < rate)
     vectors = picked.select(array_to_vector(F.transform(vec, lambda v: v.cast("double"))).alias("features"))
-    model = KMeans(k=n_lists, seed=seed, maxIter=10).fit(vectors)
+    model = KMeans(k=n_lists, seed=seed, maxIter=iterations).fit(vectors)
     return np.array(model.clusterCenters())
 
 
@@ -112,7 +110,7 @@ def assign_lists(df: DataFrame, centroids: np.ndarray, n: int, vec: str = "embed
     return df.withColumn("list_id", F.explode(F.pandas_udf(nearest, "array<int>")(vec)))
 
 
-def knn_join_ivf(queries: DataFrame, items: DataFrame, k: int, n_lists: int, nprobe: int, sample: int = 100_000, metric: str = "ip", seed: int = 1, q_key: str = "query_id", i_key: str = "item_id", vec: str = "embedding") -> DataFrame:
+def knn_join_ivf(queries: DataFrame, items: DataFrame, k: int, n_lists: int, nprobe: int, rate: float = 1.0, metric: str = "ip", seed: int = 1, q_key: str = "query_id", i_key: str = "item_id", vec: str = "embedding") -> DataFrame:
     """Approximate top-k: search the ``nprobe`` nearest of ``n_lists`` centroid lists, exactly inside.
 
     A list of any size is cut into blocks by its own row count, so a crowded centroid becomes
@@ -120,7 +118,7 @@ def knn_join_ivf(queries: DataFrame, items: DataFrame, k: int, n_lists: int, npr
     """
     x = items.select(F.col(i_key).alias("id"), F.col(vec).alias("embedding"))
     q = queries.select(F.col(q_key).alias("id"), F.col(vec).alias("embedding"))
-    centroids = train_centroids(x, n_lists, sample, seed, key="id")
+    centroids = train_centroids(x, n_lists, rate, seed, key="id")
     x = settle(assign_lists(x, centroids, 1))
     q = settle(assign_lists(q, centroids, nprobe))
     q_rows, i_rows = _block_rows(x, "embedding")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.functions.signal import log2_fold_change
-from seedloom.functions.tails import rank_test_p
+from seedloom.functions.tails import exact_rank_p, normal_p
 from seedloom.operators.base import as_list, ratio
 from seedloom.operators.ordered import (
     following,
@@ -68,14 +68,16 @@ def bh_adjust(df: DataFrame, p: str = "p", by=None, to: str = "padj", alpha: flo
     return out.withColumn("rejected", F.coalesce(F.col(to) <= alpha, F.lit(False)))
 
 
-def mann_whitney(df: DataFrame, by, value: str, is_a: Column, is_b: Column, min_n: int = 10) -> DataFrame:
+def mann_whitney(df: DataFrame, by, value: str, is_a: Column, is_b: Column, min_n: int = 10, method: str = "normal") -> DataFrame:
     """Two-sided rank-sum test of group a against group b for every key.
 
     Values are first counted per (key, value), so the rank sums, the tie term and the group
     means all come from one ordered scan of the distinct values. The tail probability is the
-    only Python step and runs once per key. Without ties and with a group of at most 8 the
-    exact distribution is used, else the normal one with tie and continuity correction.
+    only Python step and runs once per key. ``method`` is the caller's: ``normal``, with tie and
+    continuity correction, or ``exact``, for distinct values and groups whose sizes' product fits a task.
     """
+    if method not in ("normal", "exact"):
+        raise ValueError(method)
     by = as_list(by)
     rows = df.filter(F.col(value).isNotNull() & (is_a | is_b))
     vc = value_counts(rows, by, value, _a=F.when(is_a, 1).otherwise(0), _b=F.when(is_b, 1).otherwise(0))
@@ -99,8 +101,9 @@ def mann_whitney(df: DataFrame, by, value: str, is_a: Column, is_b: Column, min_
     sd = F.sqrt(F.greatest(var, F.lit(0.0)))
     z = F.when(sd > 0, (big - a * b / 2 - 0.5) / sd).otherwise(F.lit(float("-inf")))
     agg = agg.withColumn("z", F.when(enough, z))
-    tail = F.pandas_udf(rank_test_p, "double")
-    return agg.withColumn("pvalue", tail("u", "n_a", "n_b", "_ties", "z")).drop("_ra", "_ties")
+    exact = F.pandas_udf(exact_rank_p, "double")("u", "n_a", "n_b", "_ties")
+    p = exact if method == "exact" else F.pandas_udf(normal_p, "double")("z")
+    return agg.withColumn("pvalue", p).drop("_ra", "_ties")
 
 
 def position_differential(matrix: DataFrame, a, b, by=("position",), family=(), group: str = "grp", value: str = "value", min_n: int = 10) -> DataFrame:

@@ -27,12 +27,12 @@ def _(t):
 
 @query("j09_knn_join_ivf", "query_id:l item_id:l score:d rank:l")
 def _(t):
-    return rt.knn_join_ivf(*sides(t), 5, n_lists=8, nprobe=4, sample=20000)
+    return rt.knn_join_ivf(*sides(t), 5, n_lists=8, nprobe=4)
 
 
 @query("j09_knn_ivf_all_lists", "query_id:l item_id:l score:d rank:l", KNN.format(k=3))
 def _(t):
-    return rt.knn_join_ivf(*sides(t), 3, n_lists=4, nprobe=4, sample=20000)
+    return rt.knn_join_ivf(*sides(t), 3, n_lists=4, nprobe=4)
 
 
 @query(
@@ -111,7 +111,7 @@ def train_test(t):
 
 @query("m02_probe_random_forest", METRIC_ROW)
 def _(t):
-    return pb.probe_random_forest(*train_test(t), trees=20)
+    return pb.probe_random_forest(*train_test(t))
 
 
 @query("m03_probe_boosted", METRIC_ROW)
@@ -121,12 +121,12 @@ def _(t):
 
 @query("m04_probe_mlp", METRIC_ROW)
 def _(t):
-    return pb.probe_mlp(*train_test(t), iterations=30)
+    return pb.probe_mlp(*train_test(t), iterations=100)
 
 
 @query("m05_evaluate_layers", "task:s layer:l " + METRIC_ROW)
 def _(t):
-    return pb.evaluate_layers(splits(t), None, "quality", lambda a, b: pb.probe_random_forest(a, b, trees=10))
+    return pb.evaluate_layers(splits(t), None, "quality", lambda a, b: pb.probe_random_forest(a, b))
 
 
 @query(

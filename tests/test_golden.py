@@ -161,7 +161,7 @@ def test_distribution_metrics(spark):
 def test_rank_test_exact_and_normal(spark):
     a, b = [1.1, 2.2, 3.3], [4.4, 5.5, 6.6, 7.7]
     df = spark.createDataFrame([("k", 0, x) for x in a] + [("k", 1, x) for x in b], "k string, grp int, value double")
-    r = st.mann_whitney(df, "k", "value", F.col("grp") == 0, F.col("grp") == 1, min_n=1).first()
+    r = st.mann_whitney(df, "k", "value", F.col("grp") == 0, F.col("grp") == 1, min_n=1, method="exact").first()
     assert r["u"] == 0 and r["pvalue"] == pytest.approx(2 / 35)
     assert st.mann_whitney(df, "k", "value", F.col("grp") == 0, F.col("grp") == 1).first()["pvalue"] is None
     assert list(tails.arrangements(2, 2)) == [1, 1, 2, 1, 1]
@@ -188,6 +188,9 @@ def test_association_against_least_squares(spark):
     scores = {r["sample_id"]: r["pcs"] for r in gn.sample_pcs(long, k).collect()}
     ours = np.array([scores[i] for i in range(n)])
     assert np.allclose(np.abs((ours * pcs).sum(0)), (pcs * pcs).sum(0), rtol=1e-6)
+    scores = {r["sample_id"]: r["pcs"] for r in gn.sample_pcs(long, k, "power", extra=6, rounds=12).collect()}
+    ours = np.array([scores[i] for i in range(n)])
+    assert np.allclose(np.abs((ours * pcs).sum(0)), (pcs * pcs).sum(0), rtol=1e-3)
 
 
 def test_student_tail():
