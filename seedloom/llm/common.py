@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,12 @@ class WordHashes(dict):
         self[token] = value
         return value
 
+    def of(self, text: str) -> np.ndarray:
+        """Hashes of the words of a text, in order."""
+        tokens = text.split()
+        h = np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        return h if h.all() else h[h != 0]
+
 
 def columns_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches, one at a time, so that only one text is a Python string."""

@@ -24,9 +24,9 @@ from seedloom.llm.common import WordHashes, columns_of, in_batches, table, text_
 # Share of an item's code points that may be edited in a passage that counts as the item.
 MOST_EDITS = 0.2
 # Horizons of the sampled places, in steps of the walk (two steps read about one word), and the
-# places per hash. Short horizons survive dense edits, long ones are more selective.
-HORIZONS = (14, 14, 14, 18, 18, 22, 22, 28, 36, 48)
-PLACES = 6
+# places per hash. Short horizons survive dense edits, long ones more of them in one window.
+HORIZONS = (14, 14, 16, 16, 20, 20, 24, 24, 28, 32)
+PLACES = 10
 # Items per block: a block's index is at most a few million keys.
 ITEM_BLOCK = 20_000
 TABLE_BITS = 21
@@ -133,7 +133,7 @@ class Index:
 def tokens(text: str, words: WordHashes) -> tuple[np.ndarray, list[str]]:
     """Hashes of the words of a text, and its tokens; tokens without a word are left out."""
     got = text.split()
-    h = np.fromiter((words[t] for t in got), dtype=np.uint64, count=len(got))
+    h = np.fromiter(map(words.__getitem__, got), dtype=np.uint64, count=len(got))
     if len(h) and not h.all():
         got = [t for t, w in zip(got, h) if w]
         h = h[h != 0]
@@ -168,6 +168,14 @@ def infix_distance(item: str, window: str) -> tuple[int, int]:
     return best, end
 
 
+def could_hold(item: str, window: str, most: float) -> bool:
+    """False if ``item`` is surely more than ``most`` edits away from every part of ``window``: an edit
+    takes at most three trigrams, and the others must be there."""
+    held = {window[i : i + 3] for i in range(len(window) - 2)}
+    lost = sum(item[i : i + 3] not in held for i in range(len(item) - 2))
+    return lost <= 3 * most
+
+
 def _plain(text: str) -> str:
     return " ".join(text.lower().split())
 
@@ -198,7 +206,10 @@ def _scan(items: list[tuple[int, str]], most: float):
                     else:
                         spans.append([lo, hi])
                 for lo, hi in spans:
-                    d, _ = infix_distance(plain[no], " ".join(got[lo:hi]).lower())
+                    window = " ".join(got[lo:hi]).lower()
+                    if not could_hold(plain[no], window, most * len(plain[no])):
+                        continue
+                    d, _ = infix_distance(plain[no], window)
                     if d <= most * len(plain[no]) and (best is None or d < best[0]):
                         best = d, lo
                 if best:

@@ -31,7 +31,7 @@ _FIRST = np.uint64(0x9E3779B97F4A7C15)
 
 def terms(text: str, words: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the words of a text."""
-    return np.unique(np.fromiter((w for t in text.split() if (w := words[t])), dtype=np.int64))
+    return np.unique(words.of(text)).view(np.int64)
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:

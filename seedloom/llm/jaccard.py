@@ -35,7 +35,7 @@ _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1 for k in r
 
 def shingles(text: str, words: WordHashes, n: int = N) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; a shorter text is one n-gram of all its words."""
-    h = np.fromiter((w for t in text.split() if (w := words[t])), dtype=np.uint64)
+    h = words.of(text)
     if not len(h):
         return h
     k = min(n, len(h))
