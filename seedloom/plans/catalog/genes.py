@@ -153,13 +153,14 @@ def _(t):
 
 @query(
     "j07_pair_prediction",
-    "chrom:s pos:l pred:d truth:d",
-    """SELECT chrom, pos, a.value AS pred, b.value AS truth FROM (SELECT chrom, start AS pos, max(value) AS value FROM signal WHERE track = 0 GROUP BY 1, 2) a
-       JOIN (SELECT chrom, start AS pos, max(value) AS value FROM signal WHERE track = 1 GROUP BY 1, 2) b USING (chrom, pos)""",
+    "pair:l chrom:s pos:l pred:d truth:d",
+    """WITH m AS (SELECT track, chrom, start AS pos, max(value) AS value FROM signal GROUP BY 1, 2, 3)
+       SELECT a.track // 2 AS pair, chrom, pos, a.value AS pred, b.value AS truth FROM m a JOIN m b USING (chrom, pos) WHERE a.track % 2 = 0 AND b.track = a.track + 1""",
 )
 def _(t):
-    one = lambda k, n: t.signal.filter(F.col("track") == k).groupBy("chrom", F.col("start").alias("pos")).agg(F.max("value").alias(n))
-    return jn.pair_prediction(one(0, "pred"), one(1, "truth"))
+    peaks = t.signal.groupBy((F.col("track") / 2).cast("long").alias("pair"), "chrom", F.col("start").alias("pos"), (F.col("track") % 2).alias("side")).agg(F.max("value").alias("value"))
+    one = lambda k, n: peaks.filter(F.col("side") == k).select("pair", "chrom", "pos", F.col("value").alias(n))
+    return jn.pair_prediction(one(0, "pred"), one(1, "truth"), on=("pair", "chrom", "pos"))
 
 
 @query(

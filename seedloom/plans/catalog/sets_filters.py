@@ -232,11 +232,11 @@ def _(t):
     "u09_union_indexed",
     "name:s doc_id:l local_index:l global_index:l",
     """SELECT lang AS name, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS local_index, row_number() OVER (ORDER BY lang, doc_id) - 1 AS global_index
-       FROM documents WHERE lang IN ('de', 'en', 'fr')""",
+       FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')""",
 )
 def _(t):
     d = t.documents.select("doc_id", "lang")
-    sets = {k: d.filter(F.col("lang") == k).select("doc_id") for k in ("en", "fr", "de")}
+    sets = {k: d.filter(F.col("lang") == k).select("doc_id") for k in ("en", "fr", "de", "es")}
     return se.union_indexed(sets | {"xx": sets["en"]}, sets, "doc_id")
 
 

@@ -207,14 +207,14 @@ def _(t):
 @query(
     "a20_combine_directions",
     "p1:d p2:d d:d p:d",
-    """SELECT DISTINCT p1, p2, d, CASE WHEN d * (p1 - 0.5) < 0 THEN 1.0 ELSE least(1.0, sqrt(p1 * p2) / greatest(1e-12, least(p1, p2) / greatest(p1, p2))) END AS p FROM (
-       SELECT (l_partkey % 1000 + 1) / 1001.0 AS p1, (l_suppkey % 1000 + 1) / 1001.0 AS p2, l_discount - 0.05 AS d FROM lineitem) WHERE abs(d) > 1e-9""",
+    """SELECT DISTINCT p1, p2, d, CASE WHEN sign(d) <> sign(p1 - 0.5) THEN 1.0 ELSE least(1.0, sqrt(p1 * p2) / greatest(1e-12, least(p1, p2) / greatest(p1, p2))) END AS p FROM (
+       SELECT (l_partkey % 1000 + 1) / 1001.0 AS p1, (l_suppkey % 1000 + 1) / 1001.0 AS p2, round(l_discount * 100) - 5 AS d FROM lineitem)""",
 )
 def _(t):
     df = t.lineitem.select(
         ((F.col("l_partkey") % 1000 + 1) / F.lit(1001.0)).alias("p1"), ((F.col("l_suppkey") % 1000 + 1) / F.lit(1001.0)).alias("p2"),
-        (F.col("l_discount") - 0.05).alias("d"),
-    ).filter(F.abs("d") > 1e-9).distinct()
+        (F.round(F.col("l_discount") * 100) - 5).alias("d"),
+    ).distinct()
     return df.withColumn("p", sg.combine_directions("p1", "p2", F.col("d"), F.col("p1") - 0.5))
 
 

@@ -157,10 +157,9 @@ def _(t):
     return an.token_f1(df, "doc_id")
 
 
-@query("a37_exact_match", "doc_id:l exact:d", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS exact FROM documents WHERE n_chars > 50")
+@query("a37_exact_match", "doc_id:l exact:d", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS exact FROM documents")
 def _(t):
-    df = plain(t).filter(F.length("text") > 50)
-    df = df.select("doc_id", "text", F.array(F.lit("zzz"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(F.concat(F.lit("The  "), F.upper("text"), F.lit(" !")))).alias("golds"))
+    df = plain(t).select("doc_id", "text", F.array(F.lit("zzz"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(F.concat(F.lit("The  "), F.upper("text"), F.lit(" !")))).alias("golds"))
     return an.exact_match(df, "text", "golds")
 
 
