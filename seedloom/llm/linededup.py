@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seedloom.llm.common import keep, table, text_or_empty
+from seedloom.operators.base import let
 
 SHORTEST = 20
 DOCUMENTS = 3
@@ -101,7 +102,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", t
     )
     found = bitmaps.select(F.col("doc").alias("_doc_key"), F.col("text_hash").alias("_text_key"), F.col("n_dropped").alias("_gone"), F.col("keep_runs").alias("_runs"))
     lines = F.split(text_or_empty(text), "\n", -1)
-    cut = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
+    # The text is split once, not once per run.
+    cut = let(lines, lambda ls: F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(ls, r["start"] + 1, r["length"]))), "\n"))
     joined = keyed.join(found, ["_doc_key", "_text_key"], "left")
     new = {
         text: F.when(F.col("_runs").isNull(), F.col(text)).otherwise(cut),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from seedloom.llm.common import keep, table, text_or_empty
 from seedloom.llm.linededup import NO_ID
+from seedloom.operators.base import let
 
 # The contract's patterns, in its order. Possessive repeats and the first
 # condition (not inside a run, unless the match before ended there) change no match; they keep the
@@ -33,9 +34,12 @@ _WORD = r"\p{L}{3,}"
 
 
 def _luhn(digits: Column) -> Column:
-    d = F.transform(F.sequence(F.lit(1), F.length(digits)), lambda i: F.reverse(digits).substr(i, F.lit(1)).try_cast("int"))
-    worth = F.transform(d, lambda v, i: F.when(i % 2 == 0, v).when(v > 4, v * 2 - 9).otherwise(v * 2))
-    return F.aggregate(worth, F.lit(0), lambda a, v: a + v) % 10 == 0
+    def total(back):
+        d = lambda i: F.substring(back, i, F.lit(1)).try_cast("int")
+        worth = F.transform(F.sequence(F.lit(1), F.length(back)), lambda i: F.when(i % 2 == 1, d(i)).when(d(i) > 4, d(i) * 2 - 9).otherwise(d(i) * 2))
+        return F.aggregate(worth, F.lit(0), lambda a, v: a + v) % 10 == 0
+
+    return let(F.reverse(digits), total)
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -51,11 +55,13 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _pieces(text: Column, pattern: Column) -> Column:
-    """For each match: its text and the length of what stands between it and the match before."""
+    """For each match: its text and the length of what stands between it and the match before.
+
+    Text and pieces are evaluated once, not once per match.
+    """
+    gaps = lambda found, between: F.transform(found, lambda m, i: F.struct(m.alias("match"), F.length(F.get(between, i)).alias("gap")))
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
-    gap = F.transform(found, lambda m, i: F.struct(m.alias("match"), F.length(F.get(between, i)).alias("gap")))
-    return F.when(F.size(found) > 0, gap)
+    return let(found, lambda f: F.when(F.size(f) > 0, let(F.split(text, pattern, -1), lambda b: gaps(f, b))))
 
 
 def _positions(pieces: DataFrame, by: list[str]) -> DataFrame:
@@ -87,9 +93,11 @@ def base_spans(matches: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    bare = text
+    blank = text
     for p in KINDS.values():
-        bare = F.regexp_replace(bare, p, " ")
+        blank = F.regexp_replace(blank, p, " ")
+    # Every pattern needs an @ or a digit; other texts are read as they are.
+    bare = F.when(text.rlike("[@0-9]"), blank).otherwise(text)
     return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(_WORD), F.lit(0)))
 
 
@@ -100,20 +108,14 @@ def disclosing_terms(docs: DataFrame, matches: DataFrame, spans: DataFrame, disc
     different texts, as copies are no evidence of their own.
     """
     total = docs.count()
+    # Copies of a text are one row with their number from here on.
     held = spans.select("doc", "text_hash", F.xxhash64("kind", "match").alias("entity")).distinct()
-    of_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.approx_count_distinct("text_hash").alias("texts"))
-    # An entity in fewer texts than the support has no term over it; the estimate only sorts out
-    # what is far below, with room for its error.
-    several = of_entity.filter((F.col("n_e") >= support) & (F.col("texts") * 2 >= support)).drop("texts")
-    of_text = matches.select("doc", "text_hash", _words(F.col("text")).alias("words")).dropDuplicates(["doc", "text_hash"])
-    # One row per text, entity and term; copies of a text meet in partial sums.
-    both = (
-        held.join(several, "entity")
-        .join(of_text, ["doc", "text_hash"])
-        .select("entity", "n_e", "text_hash", F.explode("words").alias("term"))
-        .groupBy("entity", "n_e", "term", "text_hash")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    held = held.groupBy("entity", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    of_entity = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    # A term over the threshold needs an entity in as many texts as the support.
+    held = keep(held.join(of_entity.filter(F.col("texts") >= support).drop("texts"), "entity"), "entities")
+    texts = matches.join(held.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    both = held.join(texts, "text_hash").select("entity", "n_e", "n", "text_hash", F.explode(_words(F.col("text"))).alias("term"))
     pairs = both.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
     of_term = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     share = 1 + F.log(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))) / -F.log(F.col("n_e") / F.lit(float(max(total, 1))))
@@ -167,14 +169,16 @@ def sanitise(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: st
     first = found.groupBy(doc_id, "text_hash").agg(F.first("spans").alias("_spans"))
     own = docs.withColumn("text_hash", F.xxhash64(text_or_empty(text)))
     joined = own.join(first, [doc_id, "text_hash"], "left")
-    s = F.filter("_spans", lambda x: ~F.exists("_spans", lambda y: (y["start"] < x["start"]) & (y["end"] > x["start"]) | (y["start"] == x["start"]) & (y["rank"] < x["rank"])))
-    body = text_or_empty(text)
-    part = lambda i: body.substr(
-        F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["end"]).cast("int") + 1,
-        (F.when(i == F.size(s), F.length(body)).otherwise(F.get(s, i)["start"]) - F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["end"])).cast("int"),
-    )
-    put = lambda i: F.when(i == F.size(s), F.lit("")).otherwise(F.concat(F.lit("["), F.get(s, i)["kind"], F.lit("]")))
-    new = F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.concat(part(i), put(i))), "")
+    inside = lambda x, y: (y["start"] < x["start"]) & (y["end"] > x["start"]) | (y["start"] == x["start"]) & (y["rank"] < x["rank"])
+    outer = F.filter("_spans", lambda x: ~F.exists("_spans", lambda y: inside(x, y)))
+
+    def rewritten(s, body):
+        begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["end"]).cast("int")
+        stop = lambda i: F.when(i == F.size(s), F.length(body)).otherwise(F.get(s, i)["start"]).cast("int")
+        put = lambda i: F.when(i == F.size(s), F.lit("")).otherwise(F.concat(F.lit("["), F.get(s, i)["kind"], F.lit("]")))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.concat(F.substring(body, begin(i) + 1, stop(i) - begin(i)), put(i))), "")
+
+    new = let(outer, lambda s: let(text_or_empty(text), lambda body: rewritten(s, body)))
     return joined.withColumn(text, F.when(F.coalesce(F.size("_spans"), F.lit(0)) > 0, new).otherwise(F.col(text))).select(*docs.columns)
 
 
