@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seedloom.llm.common import keep, table, text_or_empty
 
 SHARDS = 16
-ROUNDS = 12
+ROUNDS = 20
 # Steps by which a quota is filled: groups x parts of a group.
 STEPS, PARTS = 512, 32
 # Rows that one task puts in order at most, about.
@@ -50,13 +50,14 @@ def propagate(linked: DataFrame, targets: list[int], rounds: int = ROUNDS) -> Da
     """(group, doc, size, crc, label) with labels after propagation; no shard exceeds its target.
 
     Moves into a shard are taken group by group in steps of a bounded histogram
-    (shards x STEPS x PARTS rows), which is the only table handed to all tasks.
+    (shards x STEPS x PARTS rows), which is the only table handed to all tasks. A shard that had to turn a
+    step away is full but for less than that step and takes no more; its askers try the next best.
     """
-    shards = len(targets)
+    shards, closed = len(targets), set()
     for _ in range(rounds):
         counts = linked.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
         load = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-        free = [targets[s] - load.get(s, 0) for s in range(shards)]
+        free = [0 if s in closed else targets[s] - load.get(s, 0) for s in range(shards)]
         rooms = counts.withColumn("free", _lookup(free, F.col("label")))
         # Where the group has most copies and room is left; ties go to the smaller shard.
         best = rooms.filter("free > 0").groupBy("group").agg(F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("best"))
@@ -67,19 +68,19 @@ def propagate(linked: DataFrame, targets: list[int], rounds: int = ROUNDS) -> Da
         now = now.select(*linked.columns, F.when(gains, to).alias("to"), step.alias("step"))
         asked = now.filter("to is not null").groupBy("to", "step").agg(F.count(F.lit(1)).alias("n"))
         filled = F.sum("n").over(Window.partitionBy("to").orderBy("step"))
-        taken = asked.withColumn("filled", filled).filter(F.col("filled") <= _lookup(free, F.col("to"))).select("to", "step", F.lit(True).alias("taken"))
-        moved = keep(
+        fits = asked.withColumn("filled", filled).withColumn("fits", F.col("filled") <= _lookup(free, F.col("to")))
+        totals = fits.groupBy("to").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("fits"), F.col("n")).otherwise(0)).alias("took")).collect()
+        if not totals:
+            break
+        closed |= {r["to"] for r in totals if r["took"] < r["n"]}
+        taken = fits.filter("fits").select("to", "step", F.lit(True).alias("taken"))
+        linked = keep(
             now.join(F.broadcast(taken), ["to", "step"], "left").select(
                 *[c for c in linked.columns if c != "label"],
                 F.when(F.col("taken"), F.col("to")).otherwise(F.col("label")).cast("int").alias("label"),
-                F.coalesce("taken", F.lit(False)).alias("moved"),
             ),
             "labels",
         )
-        some = moved.filter("moved").limit(1).count()
-        linked = moved.drop("moved")
-        if not some:
-            break
     return linked
 
 
