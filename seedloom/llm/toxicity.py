@@ -41,7 +41,9 @@ SEPARATORS = frozenset(" .-_*~'")
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _ENDS = "".join(c for c in _EDGE if c not in "@$|+")
-_JUNK_ENDS = re.compile(r"^([@$|+])\1+|([@$|+])\2+$")
+# An exclamation mark ends a word as punctuation, but can stand for its first letter.
+_STARTS = _ENDS.replace("!", "")
+_JUNK_ENDS = re.compile(r"^([@$|+])\1{2,}|([@$|+])\2{2,}$")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ class Decoder:
 
 def disguised(token: str) -> str | None:
     """The part of a token that a lattice is built from, or None for a plain token."""
-    core = _JUNK_ENDS.sub("", token.lower().strip(_ENDS))
+    core = _JUNK_ENDS.sub("", token.lower().rstrip(_ENDS).lstrip(_STARTS))
     if core.isalpha():
         return core if _STRETCHED.search(core) else None
     if sum(c.isalpha() for c in core) < 2:
