@@ -234,7 +234,7 @@ def _records(path: str, fs, size: int):
 
 
 def read_archives(manifest: DataFrame, folder: str, payload: bool = True, size: int = CHUNK) -> DataFrame:
-    """Chunk rows of the archives that a manifest lists, one task for a few files.
+    """Chunk rows of the archives that a manifest lists, one task per file.
 
     ``payload=False`` returns only each record's last row, without its bytes.
     """
@@ -249,8 +249,8 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = True, size:
                     yield (*row[:10], None, *row[11:])
 
     weight = lambda row: 512 + len(row[10] or b"")
-    # Each file to the task that its place in the list says: sizes are near equal.
-    files = manifest.select("file").repartitionByRange("file")
+    # A task for every file: the list is small, the files are not, so its partitions may not be merged.
+    files = manifest.select("file").repartitionByRange(max(1, manifest.count()), "file")
     return files.mapInArrow(lambda b: in_batches(read(b), CHUNKS, weight, 4 << 20), _ddl(CHUNKS))
 
 
