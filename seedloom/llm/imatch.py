@@ -27,6 +27,7 @@ SIZES, DRAWS = 12, 8
 FEWEST = 4
 
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = np.array([d * 0x632BE59BD9B4E019 & 2**64 - 1 for d in range(DRAWS)], dtype=np.uint64)
 
 
 def terms(text: str, words: WordHashes) -> np.ndarray:
@@ -67,21 +68,26 @@ def lexicon(docs: DataFrame, band=BAND) -> np.ndarray:
 def subset_hashes(own: np.ndarray) -> np.ndarray:
     """16-bit hash of the sorted terms in each subset, 0 where a subset holds none of them.
 
-    The subsets of one draw are nested: each holds about half of the terms of the one before.
+    The subsets of one draw are nested: a term of level n is in the n + 1 largest, and each
+    level holds half of the terms of the one before. Terms are sorted by falling level, then by
+    hash, so every subset is a prefix and one running hash gives all of a draw's.
     """
     out = np.zeros(SIZES * DRAWS, dtype=np.uint16)
     with np.errstate(over="ignore"):
-        for d in range(DRAWS):
-            m = (own.view(np.uint64) ^ np.uint64(d * 0x632BE59BD9B4E019 & 2**64 - 1)) * _FIRST
-            m = (m ^ (m >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            held, m = own, m >> np.uint64(64 - SIZES + 1)
-            for size in range(SIZES):
-                if size:
-                    stays = (m & np.uint64(1)) == 0
-                    held, m = held[stays], m[stays] >> np.uint64(1)
-                if not len(held):
-                    break
-                out[size * DRAWS + d] = xxhash.xxh32_intdigest(held.tobytes(), d) % 65_535 + 1
+        m = (own.view(np.uint64) ^ _SALTS[:, None]) * _FIRST
+        m = (m ^ (m >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    # Leading zero bits; the top bits of a product are its best mixed ones.
+    level = np.minimum(64 - np.frexp(m.astype(np.float64))[1], SIZES - 1)
+    order = np.argsort(-level, axis=1, kind="stable")
+    ends = (level[:, None, :] >= np.arange(SIZES)[None, :, None]).sum(axis=2)
+    for d in range(DRAWS):
+        held, running, at = own[order[d]].tobytes(), xxhash.xxh32(seed=d), 0
+        for size in range(SIZES - 1, -1, -1):
+            end = int(ends[d, size])
+            if end:
+                running.update(held[8 * at : 8 * end])
+                out[size * DRAWS + d] = running.intdigest() % 65_535 + 1
+                at = end
     return out
 
 
