@@ -409,7 +409,8 @@ def test_pipeline_edges(spark, sf_dir, edge_docs, no_docs):
     for rows in (edge_docs, no_docs):
         docs = rows
         for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, sf_dir)
+            out = stage(spark, docs, sf_dir).persist()  # else every stage runs the ones before again
+            out.count()
             assert name == "encoding" or out.columns == docs.columns
             docs = out
         assert docs.count() <= rows.count()
