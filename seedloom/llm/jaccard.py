@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def grow_clusters(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (a, b), b < a, is connected to.
+    """(node, root): the smallest node that each node of the edges (a, b) is connected to.
 
     Each round, every node takes the smallest label among its neighbours' labels, and labels
     jump to the label of their own node; chains halve. Each round's table is written to the
@@ -233,7 +233,8 @@ def similarity_join(
     found = keep(
         met.groupBy("root", "low", "high").applyInArrow(_verify(threshold, n), "node string, links long, root string"), "links"
     )
-    groups = grow_clusters(found.filter("node > root").select(F.col("node").alias("a"), F.col("root").alias("b")), "groups")
+    # A root of two blocks is of the lower block, and may be greater than its nodes.
+    groups = grow_clusters(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "groups")
     linked = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     members = nodes.select("node", "set_id").join(linked, "node", "left").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = members.join(members.groupBy("root").agg(F.min("set_id").alias("class_id")), "root").select(

@@ -241,6 +241,17 @@ def test_join_large_group(spark, monkeypatch):
     check_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows)
 
 
+def test_join_links_across_blocks(spark, monkeypatch):
+    """Single near-duplicate pairs in one candidate cluster, most of them in two blocks, are groups."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 400)
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(2 * i + j, " ".join(words[20 * i + 3 * j :][:104])) for i in range(40) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_join(docs, rows)
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in jaccard.similarity_join(docs).collect())
+
+
 def test_join_edges(spark, edge_docs, edge_rows, no_docs):
     check_join(edge_docs, edge_rows)
     out = jaccard.similarity_join(edge_docs)
