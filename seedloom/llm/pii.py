@@ -5,7 +5,7 @@ the lengths of all pieces and matches before it end, so positions cost one runni
 Entities are the matched values. For every term that stands in texts with an entity, the corpus
 says how many documents hold the term, the entity and both; the share of the entity's
 information that the term discloses, pmi(term, entity) / -log p(entity), decides whether the
-term is a span, too.
+term is a span, too, in every text that has it.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ TERM = "term"
 # A term counts as one that discloses an entity if at least this share of the entity's information
 # follows from it, seen in at least so many different texts.
 DISCLOSED, SUPPORT = 0.9, 3
+# Keys over which a word's texts are dealt where they meet the terms.
+SALTS = 64
 _WORD = r"\p{L}{3,}"
 
 
@@ -102,7 +104,7 @@ def _words(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, matches: DataFrame, spans: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
-    """entity, term, text_hash: terms over the threshold and the texts in which they stand by it.
+    """entity, term: terms over the threshold.
 
     All counts are of documents of the whole corpus, copies included; the support alone counts
     different texts, as copies are no evidence of their own.
@@ -119,14 +121,18 @@ def disclosing_terms(docs: DataFrame, matches: DataFrame, spans: DataFrame, disc
     pairs = both.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
     of_term = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     share = 1 + F.log(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))) / -F.log(F.col("n_e") / F.lit(float(max(total, 1))))
-    over = pairs.filter(F.col("n_e") < total).join(of_term, "term").filter(share >= disclosed).select("entity", "term")
-    return both.join(over, ["entity", "term"]).select("entity", "term", "text_hash")
-
-
-def term_spans(matches: DataFrame, terms: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans of the disclosing terms in their texts, without those that touch a base span."""
-    listed = terms.groupBy("text_hash").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("listed"))
-    own = matches.select("doc", "text_hash", "text").join(listed, "text_hash")
+    return pairs.filter(F.col("n_e") < total).join(of_term, "term").filter(share >= disclosed).select("entity", "term")
+
+
+def term_spans(docs: DataFrame, terms: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans of the disclosing terms in all texts that have them, with the entity or without, but not
+    those that touch a base span."""
+    own = docs.select("doc", F.xxhash64("text").alias("text_hash"), "text")
+    # A word of every text is dealt over SALTS keys, each with its copy of the terms.
+    salted = terms.select("term").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    words = own.select("text_hash", F.pmod("text_hash", F.lit(SALTS)).cast("int").alias("salt"), F.explode(_words(F.col("text"))).alias("term"))
+    listed = words.join(salted, ["term", "salt"]).groupBy("text_hash").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("listed"))
+    own = own.join(listed, "text_hash")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("listed"), F.lit(r")(?!\p{L})"))
     rows = own.select("doc", "text_hash", F.posexplode(_pieces(F.col("text"), pattern)).alias("nth", "x"))
     rows = rows.select("doc", "text_hash", "nth", F.col("x.match").alias("match"), F.col("x.gap").alias("gap"))
@@ -155,7 +161,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spans = keep(base_spans(matches), "spans")
     terms = keep(disclosing_terms(d, matches, spans, disclosed, support), "terms")
     cols = ["doc", "text_hash", "kind", "start", "end", "match"]
-    every = spans.select(cols).union(term_spans(matches, terms, spans))
+    every = spans.select(cols).union(term_spans(d, terms, spans))
     rank = F.array_position(F.array(*[F.lit(k) for k in [*KINDS, TERM]]), F.col("kind")).cast("int")
     one = F.struct(F.col("start").cast("long").alias("start"), rank.alias("rank"), F.col("end").cast("long").alias("end"), "kind", "match")
     listed = every.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(one)).alias("spans"))

@@ -181,6 +181,20 @@ def test_pii_terms_and_edges(spark, edge_docs, edge_rows, no_docs):
     assert pii.find_personal_data(no_docs).count() == 0
 
 
+def test_pii_terms_without_entity(spark):
+    """A disclosing term is a span in texts that do not have the entity, too."""
+    rows = [(i, f"plain words of text {i}") for i in range(500)]
+    rows += [(600 + i, f"Zanzibarian ann@mail.org w{i}th") for i in range(6)]
+    rows += [(700, "only zanzibarian here, Zanzibarian"), (None, "a ZANZIBARIAN without id"), (701, "Zanzibarians"), (702, "zanzibarian bob@x.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_personal_data(docs)
+    kinds = {r["doc_id"]: [(s["kind"], s["start"], s["match"]) for s in r["spans"] or []] for r in found.collect()}
+    assert kinds[700] == [("term", 5, "zanzibarian"), ("term", 23, "Zanzibarian")]
+    assert kinds[None] == [("term", 2, "ZANZIBARIAN")] and not kinds[701] and not kinds[1]
+    assert kinds[702] == [("term", 0, "zanzibarian"), ("email", 12, "bob@x.org")]
+    assert {r["text"] for r in pii.sanitise(docs, found).filter("doc_id = 700").collect()} == {"only [term] here, [term]"}
+
+
 def test_pii_long_runs(spark):
     """Long runs of one character class stay linear and do not overflow the stack."""
     text = "a" * 200_000 + " " + "1" * 200_000 + " " + "1 " * 50_000 + "1." * 50_000 + " b@c.de"
