@@ -3,7 +3,8 @@
 Labelled page outcomes (bad or not) are counted per host, registered domain and suffix. Each
 level's rates are shrunk towards the level above by a beta prior whose strength is fitted by
 moments from how much the rates of that level differ. A url is blocked if the lower bound of its
-host's posterior is over a limit. Listed rules come first.
+host's posterior is over a limit; a host without outcomes has its domain's, else its suffix's, else the
+overall rate. Listed rules come first.
 """
 
 from __future__ import annotations
@@ -67,13 +68,16 @@ def _strength(groups: DataFrame, parent_rate: str) -> float:
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
-    """(host, bad 0/1) -> host, n, bad, mean, low: posterior mean and lower bound of each host.
+    """(host, bad 0/1 or null) -> host, n, bad, mean, low: posterior mean and lower bound of each host.
+
+    Null is a page without outcome. A host of such pages alone has the mean of the next level with outcomes
+    and the spread of all levels below that.
 
     Three figures and three strengths pass through the driver. Hosts, domains and suffixes are
     summed before they are shuffled, so a host with a third of all pages is one row per task.
     """
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     hosts = keep(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -81,30 +85,33 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     overall = ((total["k"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
 
     def shrunk(groups: DataFrame, parent: str, to: str) -> tuple[DataFrame, float]:
+        """Means of a level; ``open`` grows by the level's spread where it has no outcomes, else is 0."""
         s = _strength(groups, parent)
-        return groups.withColumn(to, (F.col("k") + s * F.col(parent)) / (F.col("n") + s)), s
-
-    level, _ = shrunk(suffixes.withColumn("m0", F.lit(overall)), "m0", "m1")
-    level, _ = shrunk(domains.join(level.select("suffix", "m1"), "suffix"), "m1", "m2")
-    level, s = shrunk(hosts.join(level.select("domain", "suffix", "m2"), ["domain", "suffix"]), "m2", "mean")
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + s + 1))
+        wider = F.when(F.col("n") > 0, 0.0).otherwise(1 - (1 - F.col("open")) * (1 - 1 / (s + 1)))
+        return groups.withColumns({to: (F.col("k") + s * F.col(parent)) / (F.col("n") + s), "open": wider}), s
+
+    level, _ = shrunk(suffixes.withColumns({"m0": F.lit(overall), "open": F.lit(0.0)}), "m0", "m1")
+    level, _ = shrunk(domains.join(level.select("suffix", "m1", "open"), "suffix"), "m1", "m2")
+    level, s = shrunk(hosts.join(level.select("domain", "suffix", "m2", "open"), ["domain", "suffix"]), "m2", "mean")
+    share = F.when(F.col("n") > 0, 1 / (F.col("n") + s + 1)).otherwise(F.col("open"))
+    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) * share)
     return level.select("host", "n", F.col("k").alias("bad"), "mean", (F.col("mean") - DEVIATIONS * sd).alias("low"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, page_id="page_id", url="url", label_id="doc_id", limit: float = LIMIT) -> DataFrame:
-    """page_id, host, path, rule, verdict, reputation (posterior mean; null without outcomes).
+    """page_id, host, path, rule, verdict, reputation (posterior mean; null without a host).
 
     A page is bad if a label row of its id says toxic = 1 or quality = 0; several rows count as
     one, bad if any is; null labels count as good, null ids match nothing. A url of a host without
-    outcomes is allowed unless a rule blocks it; so are null urls and urls without ``://``, whose host and
-    path are empty. Repeated pages each have a row. Other columns are ignored.
+    outcomes is judged by its domain, suffix or all; null urls and urls without ``://``, whose host and
+    path are empty, are allowed. Repeated pages each have a row. Other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"))
     p = p.select("page_id", host.alias("host"), path.alias("path"))
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
     known = labels.groupBy(F.col(label_id).alias("page_id")).agg(F.max(bad).alias("bad"))
-    scored = reputations(p.filter("host <> ''").join(known, "page_id").select("host", "bad"))
+    scored = reputations(p.filter("host <> ''").join(known, "page_id", "left").select("host", "bad"))
     name, action = rule_of(F.col("host"), F.col("path"))
     own = F.when(F.col("low") > limit, "block").otherwise("allow")
     return p.join(scored.select("host", "mean", "low"), "host", "left").select(

@@ -244,3 +244,17 @@ def test_urls(spark):
     assert urls.judge(df, lab).count() == len(pages)
     assert urls.judge(df, lab.limit(0)).filter("page_id = 1000").first()["verdict"] == "allow"
     assert urls.judge(df.limit(0), lab).count() == 0
+
+
+def test_urls_without_labels(spark):
+    """Hosts without outcomes are judged by their domain, else their suffix, else by all."""
+    bad = [(i, f"http://a{i % 20}.bad.com/{i}") for i in range(2000)] + [(3000 + i, f"http://b{i}.vile{i}.zz/") for i in range(500)]
+    good = [(5000 + i, f"http://c{i % 20}.good.com/{i}") for i in range(2000)] + [(8000 + i, f"http://d{i}.fine{i}.org/") for i in range(900)]
+    new = [(1, "http://new.bad.com/"), (2, "http://new.good.com/"), (3, "http://new.zz/"), (4, "http://x.new.nn/"), (5, "http://deep.new.zz/"), (6, None)]
+    pages = bad + good + [(10_000 + i, u) for i, u in new]
+    labels = [(i, 1, 1) for i, _ in bad] + [(i, 1, 0) for i, _ in good]
+    df, lab = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["page_id"] - 10_000: r for r in urls.judge(df, lab).filter("page_id > 10000").collect()}
+    assert [got[i]["verdict"] for i in range(1, 7)] == ["block", "allow", "block", "allow", "block", "allow"]
+    assert got[1]["reputation"] > 0.95 and got[2]["reputation"] < 0.05 and got[6]["reputation"] is None
+    assert abs(got[4]["reputation"] - (2500.5 / 5401)) < 1e-9
