@@ -14,6 +14,8 @@ costs no recall. They are handed to the tasks in blocks of bounded size.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,11 +84,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], plan):
         words = WordHashes()
-        self.plan, self.items = plan, []
+        self.plan, self.items, self.wordless = plan, [], []
         parts, owner, offset, ends, at = [], [], [], [], 0
         for item, text in items:
-            h, _ = tokens(text, words)
+            h, _, _ = tokens(text, words)
             if not len(h):
+                if text.strip():
+                    self.wordless.append((item, text))
                 continue
             parts += [h, np.zeros(1, dtype=np.uint64)]
             owner.append(np.full(len(h) + 1, len(self.items)))
@@ -95,15 +99,15 @@ class Index:
             at += len(h) + 1
             self.items.append((item, text, len(h)))
         self.tables, self.keys, self.where = [], [], []
-        self.short = [(i, t) for i, t, n in self.items if n < 2]
+        self.short = list(self.wordless)
         if not parts:
             return
         owner, offset = np.concatenate(owner), np.concatenate(offset)
         keys, valid = walk_keys(np.concatenate(parts), plan, np.concatenate(ends))
-        # An item too short for every horizon is indexed by what its walk reads up to its end.
+        # An item too short for every horizon has no key; every text is searched for it.
         reached = np.zeros(len(self.items), dtype=bool)
         np.logical_or.at(reached, owner, valid.any(axis=0))
-        self.short = [(self.items[i][0], self.items[i][1]) for i in np.flatnonzero(~reached)]
+        self.short += [(self.items[i][0], self.items[i][1]) for i in np.flatnonzero(~reached)]
         for k in range(len(plan)):
             mine = np.flatnonzero(valid[k])
             order = mine[np.argsort(keys[k][mine], kind="stable")]
@@ -130,14 +134,37 @@ class Index:
                     yield int(maybe[i]), int(self.where[k][r, 0]), int(self.where[k][r, 1])
 
 
-def tokens(text: str, words: WordHashes) -> tuple[np.ndarray, list[str]]:
-    """Hashes of the words of a text, and its tokens; tokens without a word are left out."""
+def tokens(text: str, words: WordHashes) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Hashes of the words of a text, all its tokens, and the places of the words among the tokens."""
     got = text.split()
     h = np.fromiter(map(words.__getitem__, got), dtype=np.uint64, count=len(got))
-    if len(h) and not h.all():
-        got = [t for t, w in zip(got, h) if w]
-        h = h[h != 0]
-    return h, got
+    at = np.flatnonzero(h)
+    return h[at], got, at
+
+
+def short_search(item: str, most: float):
+    """A function of a plain text: (distance, start) of a short item in it, or None.
+
+    Without room for an edit, the item stands between characters that are no letters or digits;
+    in scripts without case, anywhere.
+    """
+    if int(len(item) * most):
+
+        def near(text):
+            if not could_hold(item, text, most * len(item)):
+                return None
+            d, end = infix_distance(item, text)
+            return (d, max(0, end - len(item))) if d <= most * len(item) else None
+
+        return near
+    edge = lambda c: c.isdigit() or c.lower() != c.upper()
+    pattern = re.compile((r"(?<![^\W_])" if edge(item[0]) else "") + re.escape(item) + (r"(?![^\W_])" if edge(item[-1]) else ""))
+
+    def exact(text):
+        hit = pattern.search(text)
+        return (0, hit.start()) if hit else None
+
+    return exact
 
 
 def infix_distance(item: str, window: str) -> tuple[int, int]:
@@ -189,10 +216,12 @@ def _scan(items: list[tuple[int, str]], most: float):
     def run(batches):
         index, words = Index(items, plan), WordHashes()
         plain = [_plain(text) for _, text, _ in index.items]
-        shorts = [(item, _plain(text)) for item, text in index.short]
+        shorts = [(item, short_search(_plain(text), most)) for item, text in index.short]
 
-        def found(doc, text, got, near):
+        def found(doc, got, at, near):
             """Verified items of one text. near: item number -> starts of its windows."""
+            # Tokens without a word belong to the window, those next to its ends as well.
+            bounds = np.concatenate([[-1], at, [len(got)]])
             for no, starts in near.items():
                 item, _, n = index.items[no]
                 best = None
@@ -200,13 +229,13 @@ def _scan(items: list[tuple[int, str]], most: float):
                 # Windows of one place overlap: the surroundings are joined first.
                 spans = []
                 for s in sorted(starts):
-                    lo, hi = max(0, s - slack), min(len(got), s + n + slack)
+                    lo, hi = max(0, s - slack), min(len(at), s + n + slack)
                     if spans and lo <= spans[-1][1]:
                         spans[-1][1] = hi
                     else:
                         spans.append([lo, hi])
                 for lo, hi in spans:
-                    window = " ".join(got[lo:hi]).lower()
+                    window = " ".join(got[bounds[lo] + 1 : bounds[hi + 1]]).lower()
                     if not could_hold(plain[no], window, most * len(plain[no])):
                         continue
                     d, _ = infix_distance(plain[no], window)
@@ -218,15 +247,16 @@ def _scan(items: list[tuple[int, str]], most: float):
         def rows():
             group, size = [], 0
             for doc, text in columns_of(batches):
-                h, got = tokens(text, words)
+                h, got, at = tokens(text, words)
                 if shorts:
-                    low = f" {_plain(text)} "
-                    for item, short in shorts:
-                        if f" {short} " in low:
-                            yield doc, item, 0, low[: low.index(f" {short} ")].count(" "), 1
+                    low = _plain(text)
+                    for item, search in shorts:
+                        hit = search(low)
+                        if hit:
+                            yield doc, item, hit[0], low.count(" ", 0, hit[1]), 1
                 if not len(h):
                     continue
-                group.append((doc, text, got, h))
+                group.append((doc, got, at, h))
                 size += len(h) + 1
                 if size >= LANES:
                     yield from scanned(group)
@@ -267,7 +297,8 @@ def leaked_items(
     first_word (start of the passage's surroundings), n_windows.
 
     A passage counts if at most ``most`` of the item's code points are edited. Null and empty texts
-    and items hold nothing; items too short for any walk are searched for as whole words.
+    and items hold nothing; items too short for any walk are searched for in every
+    text, those without room for an edit as whole words.
     Repeated rows of a document each count; their findings are given once. Null ids stay null.
     Other columns are ignored. An empty table gives no rows.
     """

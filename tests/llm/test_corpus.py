@@ -379,6 +379,16 @@ def test_decontaminate_edges(spark, edge_docs, edge_rows, no_docs, monkeypatch):
     assert decontam.leaked_items(edge_docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_symbols_and_short_items(spark):
+    """Free-standing symbols count on both sides; short and unspaced items are found with edits."""
+    code = " ".join(f"{a} = {b} + {c} -" for a, b, c in zip("abcdefghij", "klmnopqrst", "uvwxyzabcd"))
+    items = [(1, code), (2, "short answer"), (3, "数据清洗是训练之前的重要步骤"), (4, "yes")]
+    rows = [(1, f"before it {code} after"), (2, "(Short answer)."), (3, "a shart answer!"), (4, "我们说数据清先是训练之前的重要步骤。"), (5, "yesterday"), (6, "(yes)"), (7, "nothing")]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.leaked_items(docs, bench).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (3, 2, 1), (4, 3, 1), (6, 4, 0)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_infix_distance(seed):
     rng = random.Random(seed)
