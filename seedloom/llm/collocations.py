@@ -9,7 +9,8 @@ A phrase cannot be frequent unless its parts are. A pass before the stripes coun
 phrases of one to three words in tables of ``CELLS`` cells, whose sums keep one bit a cell: frequent or not.
 A cell counts all that falls into it, so the bits let through every frequent phrase and spare most
 of the others; what is let through is counted exactly. The size of the bits is fixed whatever the
-corpus holds; with many more words than cells they spare less and the result is the same.
+corpus holds; with many more words than cells they spare less and the result is the same. A second
+bit says which prefixes are so frequent that their stripes are sliced, the same for all tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import columns_of, keep, table
+from seedloom.llm.common import columns_of, in_batches, keep, table
 
 LONGEST = 5
 FEWEST = 100
@@ -30,10 +31,11 @@ BEST = 2_000
 CELLS = 1 << 22
 SKETCHED = (1, 2, 3)
 _BLOCK = 1 << 14
-# Slices of a stripe by words of its prefix: a common word is followed by any other.
-SLICES = (1024, 64, 8, 8, 8, 8)
+# A stripe is dealt in slices by next word if its prefix's cell reaches so many; no other one can have
+# more elements than that. The stripe without prefix, all words, always is.
+HOT, SLICES = 65_535, 1024
 # Words a task holds before it counts them.
-TOGETHER = 1_500_000
+TOGETHER = 3_000_000
 
 # Lower case, and what ends a piece as line feed, and tab as space.
 _PLAIN = bytes(
@@ -61,15 +63,16 @@ class _Held:
         texts, ends = self.groups.setdefault(group, ([], []))
         found = pieces(data)
         ids = [number.setdefault(w, len(number)) for words in found for w in words]
-        texts.append(np.array(ids, dtype=np.int64))
-        ends.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        texts.append(np.array(ids, dtype=np.int32))
+        ends.append(np.fromiter(map(len, found), dtype=np.int32, count=len(found)))
         self.size += len(ids) + 1
 
     def each(self):
         """(group, word numbers, words left in the piece from each place) of every group."""
         for group, (texts, lengths) in self.groups.items():
             ids, length = np.concatenate(texts), np.concatenate(lengths)
-            yield group, ids, np.repeat(np.cumsum(length), length) - np.arange(len(ids))
+            ends = np.cumsum(length, dtype=np.int32)
+            yield group, ids, np.repeat(ends, length) - np.arange(len(ids), dtype=np.int32)
 
     def phrase_hashes(self, group: str, ids, left, longest: int):
         """(k, hash of the k words from each place, where a piece has so many) for k = 1, 2, ..."""
@@ -88,13 +91,15 @@ def _cell(h: np.ndarray, cells: int) -> np.ndarray:
     return ((h * _MIX) >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
 
 
-def frequent_cells(rows: DataFrame, fewest: int, cells: int, sketched=SKETCHED) -> dict[int, np.ndarray]:
-    """(lang, data) -> by phrase length, a bit for each cell whose phrases together reach ``fewest``.
+def frequent_cells(rows: DataFrame, fewest: int, cells: int, sketched=SKETCHED) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(lang, data) -> by phrase length, bits of the cells whose phrases together reach ``fewest``, and of
+    those that reach ``HOT``.
 
-    Tasks send capped counts in blocks (a sum of capped counts reaches ``fewest`` if the sum of the
-    counts does); ``cells`` bits a length reach the driver.
+    Tasks send capped counts in blocks (a sum of capped counts reaches a bound below the cap if the sum of
+    the counts does); twice ``cells`` bits a length reach the driver.
     """
-    small = np.uint8 if fewest <= 255 else np.uint32
+    cap = max(fewest, HOT)
+    small = np.uint16 if cap <= 65_535 else np.uint32
     schema = pa.schema([("k", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
     block = min(_BLOCK, cells)
 
@@ -107,7 +112,7 @@ def frequent_cells(rows: DataFrame, fewest: int, cells: int, sketched=SKETCHED)
                 for k, h, fits in held.phrase_hashes(group, ids, left, max(sketched)):
                     if k in total:
                         cell, n = np.unique(_cell(h[fits], cells), return_counts=True)
-                        total[k][cell] = np.minimum(total[k][cell] + n, fewest).astype(small)
+                        total[k][cell] = np.minimum(total[k][cell] + n, cap).astype(small)
 
         for lang, data in columns_of(batches):
             held.add(lang, data)
@@ -118,28 +123,26 @@ def frequent_cells(rows: DataFrame, fewest: int, cells: int, sketched=SKETCHED)
         for k in sketched:
             parts = [(k, b, total[k][b * block : (b + 1) * block]) for b in range(cells // block)]
             parts = [(k, b, part.tobytes()) for k, b, part in parts if part.any()]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*parts), schema)], schema=schema)
+            yield from in_batches(parts, schema, size=lambda row: len(row[2]), most=1 << 22)
 
     def merge(batches):
         total: dict[tuple[int, int], np.ndarray] = {}
         for k, b, counts in columns_of(batches):
             part = np.frombuffer(counts, dtype=small).astype(np.int64)
             got = total.get((k, b))
-            total[k, b] = np.minimum(part if got is None else got + part, fewest)
-        out = [(k, b, np.packbits(part >= fewest).tobytes()) for (k, b), part in total.items()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            total[k, b] = np.minimum(part if got is None else got + part, cap)
+        out = [(k, b, np.packbits(part >= fewest).tobytes() + np.packbits(part >= HOT).tobytes()) for (k, b), part in total.items()]
+        yield from in_batches(out, schema)
 
     ddl = "k int, block int, counts binary"
     got = rows.mapInArrow(count, ddl).repartition("k", "block").mapInArrow(merge, ddl).toArrow()
-    bits = {k: np.zeros((cells // block, block // 8), dtype=np.uint8) for k in sketched}
+    bits = {k: np.zeros((2, cells // block, block // 8), dtype=np.uint8) for k in sketched}
     for k, b, packed in zip(*(got.column(i).to_pylist() for i in range(3))):
-        bits[k][b] = np.frombuffer(packed, dtype=np.uint8)
-    return {k: v.reshape(-1) for k, v in bits.items()}
+        bits[k][:, b] = np.frombuffer(packed, dtype=np.uint8).reshape(2, -1)
+    return {k: (v[0].reshape(-1), v[1].reshape(-1)) for k, v in bits.items()}
 
 
-def stripes(rows: DataFrame, bits: dict[int, np.ndarray], cells: int, longest: int) -> DataFrame:
+def stripes(rows: DataFrame, bits: dict[int, tuple], cells: int, longest: int) -> DataFrame:
     """(lang, data) -> stripes of each task: lang, prefix, size (words with the next), slice, next, n.
 
     A row without prefix and size 0 holds the number of all words.
@@ -149,11 +152,9 @@ def stripes(rows: DataFrame, bits: dict[int, np.ndarray], cells: int, longest: i
         ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64())),
     ])
 
-    def passing(k, h):
-        if k not in bits:
-            return True
+    def has(k, h, which):
         cell = _cell(h, cells)
-        return (bits[k][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+        return (bits[k][which][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
 
     def run(batches):
         held = _Held()
@@ -163,33 +164,28 @@ def stripes(rows: DataFrame, bits: dict[int, np.ndarray], cells: int, longest: i
             deal = np.fromiter(map(xxhash.xxh32_intdigest, words), dtype=np.int64, count=len(words))
             for group, ids, left in held.each():
                 yield from _rows([(group, "", 0, 0, [""], [len(ids)])])
-                # The number of the phrase of k - 1 words at each place (-1: not frequent), and its text.
-                before, texts = np.zeros(len(ids), dtype=np.int64), [b""]
+                # The number of the phrase of k - 1 words at each place (-1: not frequent), its text,
+                # and whether its stripe is sliced: a longer phrase than the bits know goes by its first words.
+                before, texts, hot = np.zeros(len(ids), dtype=np.int64), [b""], np.ones(len(ids), dtype=bool)
                 for k, h, fits in held.phrase_hashes(group, ids, left, longest):
-                    at = np.flatnonzero(fits & (before >= 0) & passing(k, h))
+                    at = np.flatnonzero(fits & (before >= 0) & (has(k, h, 0) if k in bits else True))
                     if k > 1:
                         at = at[before[at + 1] >= 0]
-                    keys, inverse, n = np.unique(before[at] << 32 | ids[at + k - 1], return_inverse=True, return_counts=True)
+                    keys, first, inverse, n = np.unique(before[at] << 32 | ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
                     prefix, word = keys >> 32, keys & 0xFFFFFFFF
-                    part = deal[word] % SLICES[min(k, len(SLICES)) - 1]
+                    part = np.where(hot[at[first]], deal[word] % SLICES, 0)
                     order = np.lexsort((part, prefix))
                     yield from _rows(_cut(group, k, texts, words, prefix[order], part[order], word[order], n[order]))
                     texts = [texts[p] + b" " + words[w] if k > 1 else words[w] for p, w in zip(prefix.tolist(), word.tolist())]
                     before = np.full(len(ids), -1, dtype=np.int64)
                     before[at] = inverse
+                    if k in bits:
+                        hot = has(k, h, 1)
                     if not len(at):
                         break
 
-        def _rows(parts, most=20_000):
-            out, size = [], 0
-            for row in parts:
-                out.append(row)
-                size += len(row[4]) + 4
-                if size >= most:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        def _rows(parts):
+            return in_batches(parts, schema, size=lambda row: len(row[4]) + 4, most=20_000)
 
         for lang, data in columns_of(batches):
             held.add(lang, data)
