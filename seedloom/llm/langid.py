@@ -3,7 +3,7 @@
 The family comes first: one linear support vector machine for each family against the others.
 Inside the family, languages are told apart one against one, with a machine for each pair; most
 victories win, then the greater sum of margins, then the name. A text is the vector of square
-roots of the shares of its character n-grams (one to three characters inside words, with marks for
+roots of the shares of its character n-grams (one to three characters inside words, with a mark for
 beginning and end), which has length one.
 
 Machines are fitted on a bounded sample: ``MOST_LABELLED`` texts of each language, those with the
@@ -30,14 +30,11 @@ MOST_LABELLED = 400
 # Texts of the sample that hold a feature, at least.
 FEWEST = 5
 FOLDS, HELD = 4, 2
-LONGEST = 3
 # How hard the machines press for a margin.
 PENALTY = 10.0
 # How steeply a margin turns into a share of the score.
 STEEPNESS = 3.0
 UNKNOWN = "und"
-# Tokens a task remembers the features of, and the longest of them.
-REMEMBERED, REMEMBERED_LENGTH = 50_000, 40
 
 # Families of languages by their ISO 639-1 codes. Other values are families of their own.
 FAMILIES = {
@@ -62,40 +59,39 @@ def family(lang: str) -> str:
     return _FAMILY_OF.get(lang.lower().replace("_", "-").split("-")[0], lang)
 
 
-def grams(word: str) -> list[str]:
-    """Its n-grams of up to LONGEST characters, beginning and end marked, in order, with repeats."""
-    m = f"^{word}$"
-    return [m[i : i + k] for k in range(1, LONGEST + 1) for i in range(len(m) - k + 1) if k > 1 or 0 < i < len(m) - 1]
+def grams(text: str) -> np.ndarray:
+    """The n-grams of one to three characters of the lower-cased words of a text, one after another.
+
+    An n-gram is a number, 21 bits a character. A space stands for the beginning and the end of
+    a word; no n-gram has one in its middle.
+    """
+    plain = f" {' '.join(text.lower().split())} "
+    c = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) + 1
+    space = c == 33
+    two = c[:-1] << 21 | c[1:]
+    three = two[:-1] << 21 | c[2:]
+    return np.concatenate([c[~space], two[~(space[:-1] & space[1:])], three[~space[1:-1]]])
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-class Features(dict):
-    """token -> numbers of its known n-grams; remembers a bounded number of short tokens."""
-
-    def __init__(self, names: list[str]):
-        super().__init__()
-        self.number = {g: i for i, g in enumerate(names)}
+class Features:
+    """Vectors of texts over known n-grams, which are given in ascending order."""
 
-    def __missing__(self, token: str) -> np.ndarray:
-        got = np.array([i for g in grams(token) if (i := self.number.get(g)) is not None], dtype=np.int32)
-        if len(token) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[token] = got
-        return got
+    def __init__(self, names: np.ndarray):
+        self.names = np.asarray(names, dtype=np.int64)
 
     def of(self, text: str) -> np.ndarray:
         """The vector of a text; zero if it has no known n-gram."""
-        tokens = Counter(text.lower().split())
-        held = [self[t] for t in tokens]
-        if not held:
-            return np.zeros(len(self.number))
-        times = np.repeat(np.fromiter(tokens.values(), dtype=np.float64, count=len(tokens)), [len(h) for h in held])
-        n = np.bincount(np.concatenate(held), times, minlength=len(self.number))
-        return np.sqrt(n / max(1.0, n.sum()))
+        size = len(self.names)
+        if not size:
+            return np.zeros(0)
+        held = grams(text)
+        at = np.minimum(np.searchsorted(self.names, held), size - 1)
+        n = np.bincount(at[self.names[at] == held], minlength=size)
+        return np.sqrt(n / max(1, n.sum()))
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = 1000) -> tuple[np.ndarray, float]:
@@ -131,7 +127,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds:
 
 @dataclass
 class Model:
-    names: list[str]
+    names: np.ndarray
     families: dict[str, list[str]]
     machines: dict[tuple, tuple[np.ndarray, float]]
 
@@ -160,13 +156,12 @@ def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", most: int
     rows = sample(docs, doc_id, text, lang, most)
 
     def seen(batches):
-        held: Counter[str] = Counter()
         for (value,) in columns_of(batches):
-            held.update({g for t in set(value.lower().split()) for g in grams(t)})
-        yield from in_batches(held.items(), pa.schema([("gram", pa.string()), ("n", pa.int64())]))
+            held = np.unique(grams(value))
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], names=["gram"])
 
-    found = rows.select("text").mapInArrow(seen, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    names = sorted(found.filter(F.col("n") >= fewest).toPandas()["gram"].tolist())
+    found = rows.select("text").mapInArrow(seen, "gram long").groupBy("gram").count()
+    names = np.sort(found.filter(F.col("count") >= fewest).toPandas()["gram"].to_numpy(dtype=np.int64))
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     families: dict[str, list[str]] = {}
     for name in langs:
