@@ -76,16 +76,57 @@ def test_toxicity_restores(spark, small_corpus, edge_docs, edge_rows, no_docs):
     toxicity.train(docs, nulls)
 
 
+def test_toxicity_short_and_symbolic(spark, small_corpus):
+    """Three spaced letters and words of symbols are read; numbers and prices are left alone."""
+    docs, labels = small_corpus
+    more = spark.createDataFrame([(1000 + i, "what an ass he is in this town") for i in range(60)], "doc_id long, text string")
+    model = toxicity.train(docs.union(more), labels.union(more.selectExpr("doc_id", "1")))
+    words = toxicity.Words(toxicity.Decoder(model.counts))
+    for raw in ("a s s", "a$$", "4$$", "a.s.s", "asssss"):
+        assert words.restored(f"the {raw} walk") == "the ass walk", raw
+    for raw in ("455", "$455", "4.55", "1-2-3", "100%", "3+4"):
+        assert words.restored(f"the {raw} walk") == f"the {raw} walk", raw
+    assert model.weights["ass"] > 0 and len(model.weights) < 60
+
+
+def test_toxicity_ngrams_are_exact(spark):
+    rows = [("abcab",), ("ABC, abc!",), ("ça x1 ça",), ("",)]
+    got = toxicity.ngram_counts(toxicity.word_counts(spark.createDataFrame(rows, "text string")), rarest=0.0)
+    want = Counter()
+    for w, n in (("abcab", 1), ("abc", 2), ("ça", 2)):
+        m = f"^{w}$"
+        for i in range(len(m)):
+            for k in range(1, toxicity.ORDER + 1):
+                if i + k <= len(m):
+                    want[m[i : i + k]] += n
+    assert {g: got.of(g) for g in got.grams.tolist()} == want and got.of("zz") == 0.0 and got.total == sum(want.values())
+
+
+def test_toxicity_uses_every_telling_word(spark):
+    """More telling words than the classifier had room for once: each one is caught alone."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    bad, plain = [word() for _ in range(700)], [word() for _ in range(300)]
+    rows, labels = [], []
+    for i in range(14_000):
+        toxic = i % 2
+        rows.append((i, " ".join([rng.choice(plain) for _ in range(8)] + ([bad[i // 2 % 700]] if toxic else []))))
+        labels.append((i, toxic))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = spark.createDataFrame([(f"{plain[0]} {b}",) for b in bad], "text string")
+    assert toxicity.score(texts, model).filter("score >= 0.5").count() >= 690
+
+
 def test_viterbi_is_exhaustive_search():
     """The decoder's path is the best of all paths of the lattice."""
-    counts = np.zeros(toxicity.BUCKETS, dtype=np.float32)
+    counts = Counter()
     for w, n in (("lit", 9), ("oil", 5), ("toil", 4), ("sit", 7), ("ill", 3)):
         m = f"^{w}$"
         for i in range(len(m)):
             for k in range(1, 5):
                 if i + k <= len(m):
-                    counts[zlib.crc32(m[i : i + k].encode()) & (toxicity.BUCKETS - 1)] += n
-    d = toxicity.Decoder(counts)
+                    counts[m[i : i + k]] += n
+    d = toxicity.Decoder(toxicity.Counts(list(counts), list(counts.values())))
 
     def paths(raw, at=0, before=""):
         if at == len(raw):
