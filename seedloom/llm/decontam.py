@@ -3,18 +3,22 @@
 Texts and items are sequences of word hashes. The CGK walk reads a sequence through random bits:
 step j writes the current word and moves on if bit j of the word's hash is set, so two sequences
 that differ by a few insertions, deletions or changes fall into step again and their walks agree
-in most places: edit distance becomes Hamming distance. From every word of every text one walk
-starts, for windows of all items' sizes at once; each of several hashes looks at a few sampled
-places of the walk. A window that agrees with a window of an item in all places of one hash is a
-candidate, and its whole item-sized surrounding is verified by exact edit distance.
-
-Items are indexed at every word they hold, not only at their first, so an edit near the start
-costs no recall. They are handed to the tasks in blocks of bounded size.
+in most places: edit distance becomes Hamming distance. A walk starts at every word of every text and
+at every word of every item. Each of several hashes samples places of the walk, one after the other, until
+chance alone would hardly agree in them: the product of the corpus shares of the words read there
+is ``CHANCE`` at most. A rare word is sampled once and found wherever it stands unedited; common words
+need several places. So an item has as many short keys as its windows allow, and dense edits leave
+some of them whole. A text follows only keys that begin like an item's. Where keys of two of an item's words
+agree within an item-sized window, its surrounding is verified by exact edit distance.
+
+Items are handed to the tasks in blocks of bounded size. An item that no key can tell apart is searched for by
+its character trigrams.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,72 +29,73 @@ from seedloom.llm.common import WordHashes, columns_of, in_batches, table, text_
 
 # Share of an item's code points that may be edited in a passage that counts as the item.
 MOST_EDITS = 0.2
-# Horizons of the sampled places, in steps of the walk (two steps read about one word), and the
-# places per hash. Short horizons survive dense edits, long ones more of them in one window.
-HORIZONS = (14, 14, 16, 16, 20, 20, 24, 24, 28, 32)
-PLACES = 10
-# Items per block: a block's index is at most a few million keys.
-ITEM_BLOCK = 20_000
-TABLE_BITS = 21
+# Probability that a key agrees with a place of a text by chance, and the number of places in the whole
+# corpus that may always agree.
+CHANCE, FEW_PLACES = 1e-5, 5
+# Hashes, places of each at most, and steps from one place to the next at most (two steps read
+# about one word).
+HASHES, PLACES, GAP = 6, 12, 5
+# An item with so many words that begin a key needs two of them in a window, one with fewer a single one.
+SURE = 5
+# Items with fewer words are searched for by trigrams.
+FEW_WORDS = 8
+# Items and words of a block.
+ITEM_BLOCK, WORD_BLOCK = 20_000, 100_000
 LANES = 1 << 15
+# Distinct tokens a task counts at once.
+COUNTED = 200_000
+_ONE = np.uint64(1)
 
 
-def hashes(horizons=HORIZONS, places: int = PLACES, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each hash its sampled steps and an odd multiplier for each of them."""
+def hashes(count: int = HASHES, places: int = PLACES, gap: int = GAP, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each hash its sampled steps, the first of them 0, and an odd multiplier for each."""
     rng = np.random.Generator(np.random.PCG64(seed))
     out = []
-    for h in horizons:
-        steps = np.sort(rng.choice(h, size=min(places, h), replace=False))
-        out.append((steps, rng.integers(0, 2**63, len(steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
+    for _ in range(count):
+        steps = np.r_[0, np.cumsum(rng.integers(1, gap + 1, places - 1))]
+        out.append((steps, rng.integers(0, 2**63, places, dtype=np.uint64) * np.uint64(2) + _ONE))
     return out
 
 
-def walk_keys(words: np.ndarray, plan, ends: np.ndarray):
-    """Keys of the walks from every position of ``words``, and where each was valid.
+def _mixed(words: np.ndarray) -> np.ndarray:
+    return (words ^ (words >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
 
-    ``words`` has a 0 after its last word. ``ends[i]`` is the index of the 0 that ends the text of
-    position i; a walk stays there. A key is valid where the walk had not reached the end at its
-    last place.
-    """
-    n = len(words)
-    last = max(int(s[-1]) for s, _ in plan)
-    keys = np.zeros((len(plan), n), dtype=np.uint64)
-    valid = np.zeros((len(plan), n), dtype=bool)
-    at_step: dict[int, list[tuple[int, np.uint64, bool]]] = {}
-    for k, (steps, odd) in enumerate(plan):
-        for i, s in enumerate(steps):
-            at_step.setdefault(int(s), []).append((k, odd[i], i == len(steps) - 1))
-    one = np.uint64(1)
-    with np.errstate(over="ignore"):
-        for lo in range(0, n, LANES):
-            hi = min(n, lo + LANES)
-            p = np.arange(lo, hi)
-            end = ends[lo:hi]
-            for j in range(last + 1):
-                w = words[p]
-                for k, odd, final in at_step.get(j, ()):
-                    keys[k, lo:hi] += (w ^ (w >> np.uint64(29))) * odd
-                    if final:
-                        valid[k, lo:hi] = p < end
-                # Bit j of a word is the j-th random function of the walk at that word.
-                p += ((w >> np.uint64(j % 62)) & one).view(np.int64)
-                np.minimum(p, end, out=p)
-    keys ^= keys >> np.uint64(32)
-    return keys, valid
+
+def _advance(words, p, end, steps):
+    """Walk on; bit j of a word is the j-th random function of the walk at that word."""
+    for j in range(*steps):
+        p += ((words[p] >> np.uint64(j % 62)) & _ONE).view(np.int64)
+        np.minimum(p, end, out=p)
+
+
+class Shares:
+    """Share of the corpus that each word of the items has."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
+        self.words, self.shares = words, (counts + 1.0) / (total + 1.0)
+        self.chance = max(CHANCE, FEW_PLACES / (total + 1.0))
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The shares of words that are all known; 1 for the 0 after a last word."""
+        if not len(self.words):
+            return np.ones(len(words))
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.shares[at], 1.0)
 
 
 class Index:
     """Keys of a block of items, for lookups from many walks."""
 
-    def __init__(self, items: list[tuple[int, str]], plan):
-        words = WordHashes()
-        self.plan, self.items, self.wordless = plan, [], []
+    def __init__(self, items: list[tuple[int, str]], shares: Shares, plan):
+        words, chance = WordHashes(), shares.chance
+        self.plan, self.items = plan, []
+        self.short = []
         parts, owner, offset, ends, at = [], [], [], [], 0
         for item, text in items:
             h, _, _ = tokens(text, words)
-            if not len(h):
+            if len(h) < FEW_WORDS:
                 if text.strip():
-                    self.wordless.append((item, text))
+                    self.short.append((item, text))
                 continue
             parts += [h, np.zeros(1, dtype=np.uint64)]
             owner.append(np.full(len(h) + 1, len(self.items)))
@@ -98,40 +103,82 @@ class Index:
             ends.append(np.full(len(h) + 1, at + len(h)))
             at += len(h) + 1
             self.items.append((item, text, len(h)))
-        self.tables, self.keys, self.where = [], [], []
-        self.short = list(self.wordless)
-        if not parts:
-            return
-        owner, offset = np.concatenate(owner), np.concatenate(offset)
-        keys, valid = walk_keys(np.concatenate(parts), plan, np.concatenate(ends))
-        # An item too short for every horizon has no key; every text is searched for it.
-        reached = np.zeros(len(self.items), dtype=bool)
-        np.logical_or.at(reached, owner, valid.any(axis=0))
-        self.short += [(self.items[i][0], self.items[i][1]) for i in np.flatnonzero(~reached)]
-        for k in range(len(plan)):
-            mine = np.flatnonzero(valid[k])
-            order = mine[np.argsort(keys[k][mine], kind="stable")]
-            self.keys.append(keys[k][order])
-            self.where.append(np.stack([owner[order], offset[order]], axis=1))
-            flags = np.zeros(1 << TABLE_BITS, dtype=bool)
-            flags[self.keys[-1] & np.uint64((1 << TABLE_BITS) - 1)] = True
-            self.tables.append(flags)
+        empty = np.zeros(0, dtype=np.int64)
+        self.keys, self.where, self.inner = np.zeros(0, dtype=np.uint64), np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        if parts:
+            owner, offset, ends, all_words = map(np.concatenate, (owner, offset, ends, parts))
+            leaves, inner, where = [], [], []
+            start = np.flatnonzero(all_words)
+            key, odds = _mixed(all_words[start]), shares.of(all_words)
+            told = odds[start] <= chance
+            leaves.append(key[told])
+            where.append(start[told])
+            inner.append(key[~told])
+            for t, (steps, odd) in enumerate(plan):
+                act, k = start[~told], key[~told] + np.uint64(t + 1)
+                p, seen = act.copy(), odds[act]
+                for m in range(1, len(steps)):
+                    before = p.copy()
+                    _advance(all_words, p, ends[act], (steps[m - 1], steps[m]))
+                    # A word read again tells nothing new.
+                    seen = seen * np.where(p != before, odds[p], 1.0)
+                    k = k * odd[m] + _mixed(all_words[p])
+                    on = p < ends[act]
+                    leaf = on & ((seen <= chance) | (m + 1 == len(steps)))
+                    leaves.append(k[leaf])
+                    where.append(act[leaf])
+                    on &= ~leaf
+                    inner.append(k[on])
+                    act, p, k, seen = act[on], p[on], k[on], seen[on]
+            places = np.concatenate(where)
+            keys = np.concatenate(leaves)
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.inner = keys[order], np.concatenate(inner)
+            self.where = np.stack([owner[places[order]], offset[places[order]]], axis=1)
+            begins = np.bincount(owner[np.unique(places)], minlength=len(self.items))
+            # Nothing tells such an item apart within its length.
+            self.short += [self.items[i][:2] for i in np.flatnonzero(begins == 0)]
+            self.need = np.where(begins >= SURE, 2, 1)
+        bits = int(np.clip(np.ceil(np.log2(8 * (len(self.keys) + len(self.inner)) + 1)), 12, 24))
+        self.shift = np.uint64(64 - bits)
+        self.leaf_flags, self.inner_flags = np.zeros(1 << bits, dtype=bool), np.zeros(1 << bits, dtype=bool)
+        self.leaf_flags[self.keys >> self.shift] = True
+        self.inner_flags[self.inner >> self.shift] = True
+        self.none = empty
+
+    def _agreeing(self, at: np.ndarray, key: np.ndarray):
+        maybe = self.leaf_flags[key >> self.shift]
+        at, key = at[maybe], key[maybe]
+        lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        n = hi - lo
+        rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(at, n), self.where[rows, 0], self.where[rows, 1]
 
     def candidates(self, words: np.ndarray, ends: np.ndarray):
-        """(position, item number, offset in the item) of windows that agree in a hash."""
-        if not self.keys:
-            return
-        keys, valid = walk_keys(words, self.plan, ends)
-        mask = np.uint64((1 << TABLE_BITS) - 1)
-        for k in range(len(self.plan)):
-            maybe = np.flatnonzero(self.tables[k][keys[k] & mask] & valid[k])
-            if not len(maybe):
-                continue
-            key = keys[k][maybe]
-            lo, hi = np.searchsorted(self.keys[k], key, "left"), np.searchsorted(self.keys[k], key, "right")
-            for i in np.flatnonzero(hi > lo):
-                for r in range(lo[i], hi[i]):
-                    yield int(maybe[i]), int(self.where[k][r, 0]), int(self.where[k][r, 1])
+        """Arrays (position, item number, offset in the item) of places where a whole key agrees.
+
+        ``words`` has a 0 after each text, and ``ends[i]`` is the index of the 0 after position i.
+        """
+        if not len(self.keys):
+            return self.none, self.none, self.none
+        start = np.flatnonzero(words)
+        key = _mixed(words[start])
+        found = [self._agreeing(start, key)]
+        on = self.inner_flags[key >> self.shift]
+        first, first_key = start[on], key[on]
+        for t, (steps, odd) in enumerate(self.plan):
+            act, k = first, first_key + np.uint64(t + 1)
+            p, end = act.copy(), ends[act]
+            for m in range(1, len(steps)):
+                if not len(act):
+                    break
+                _advance(words, p, end, (steps[m - 1], steps[m]))
+                k = k * odd[m] + _mixed(words[p])
+                on = p < end
+                found.append(self._agreeing(act[on], k[on]))
+                on &= self.inner_flags[k >> self.shift]
+                act, p, end, k = act[on], p[on], end[on], k[on]
+        return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def tokens(text: str, words: WordHashes) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -142,29 +189,79 @@ def tokens(text: str, words: WordHashes) -> tuple[np.ndarray, list[str], np.ndar
     return h[at], got, at
 
 
-def short_search(item: str, most: float):
-    """A function of a plain text: (distance, start) of a short item in it, or None.
+class Short:
+    """Search for items by their character trigrams, all items in one pass over a text.
 
-    Without room for an edit, the item stands between characters that are no letters or digits;
-    in scripts without case, anywhere.
+    An edit takes at most three trigrams away, and the others stand in the text within the item's length and
+    the edits. Only such places are verified. Without room for an edit, the item stands between
+    characters that are no letters or digits; in scripts without case, anywhere.
     """
-    if int(len(item) * most):
 
-        def near(text):
-            if not could_hold(item, text, most * len(item)):
-                return None
-            d, end = infix_distance(item, text)
-            return (d, max(0, end - len(item))) if d <= most * len(item) else None
-
-        return near
+    def __init__(self, items: list[tuple[int, str]], most: float):
+        self.most = most
+        self.items = [(item, _plain(text)) for item, text in items]
+        grams = [np.sort(_trigrams(text)) for _, text in self.items]
+        self.grams = np.unique(np.concatenate([*grams, np.zeros(0, dtype=np.int64)]))
+        self.of_item = [np.searchsorted(self.grams, g) for g in grams]
+        self.need = np.array([len(g) - int(3 * most * len(text)) for g, (_, text) in zip(grams, self.items)])
+        self.starts = np.cumsum([0, *map(len, grams)])
+
+    def find(self, text: str):
+        """(item, distance, start of the passage) of the items that a plain text holds."""
+        held = _trigrams(text)
+        at = np.searchsorted(self.grams, held)
+        at[at == len(self.grams)] = 0
+        known = np.flatnonzero(self.grams[at] == held) if len(self.grams) else np.zeros(0, dtype=np.int64)
+        gram = at[known]
+        order = np.argsort(gram, kind="stable")
+        gram, place = gram[order], known[order]
+        present = np.zeros(len(self.grams) + 1, dtype=np.int64)
+        present[gram] = 1
+        together = np.r_[0, np.cumsum(present[np.concatenate([*self.of_item, np.zeros(0, dtype=np.int64)]).astype(np.int64)])]
+        counts = together[self.starts[1:]] - together[self.starts[:-1]]
+        for no in np.flatnonzero(counts >= self.need):
+            item, plain = self.items[no]
+            if not int(len(plain) * self.most):
+                hit = _exact(plain).search(text)
+                if hit:
+                    yield item, 0, hit.start()
+                continue
+            best = None
+            for lo, hi in self._places(no, gram, place, len(text)):
+                d, end = infix_distance(plain, text[lo:hi])
+                if d <= self.most * len(plain) and (best is None or d < best[0]):
+                    best = d, max(0, lo + end - len(plain))
+            if best:
+                yield item, *best
+
+    def _places(self, no: int, gram, place, size: int):
+        """Stretches of the text with as many trigrams of the item as a passage of it must have."""
+        plain, need = self.items[no][1], int(self.need[no])
+        reach = len(plain) + int(len(plain) * self.most)
+        if need <= 0:
+            return [(0, size)]
+        mine = np.unique(self.of_item[no])
+        lo, hi = np.searchsorted(gram, mine, "left"), np.searchsorted(gram, mine, "right")
+        at = np.sort(np.concatenate([place[x:y] for x, y in zip(lo, hi)]))
+        first = at[np.searchsorted(at, at + reach, "left") - np.arange(len(at)) >= need]
+        out: list[list[int]] = []
+        for x in first.tolist():
+            a, b = max(0, x - reach), min(size, x + 2 * reach)
+            if out and a <= out[-1][1]:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+        return out
+
+
+def _trigrams(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:] if len(c) > 2 else np.zeros(0, dtype=np.int64)
+
+
+def _exact(item: str) -> re.Pattern:
     edge = lambda c: c.isdigit() or c.lower() != c.upper()
-    pattern = re.compile((r"(?<![^\W_])" if edge(item[0]) else "") + re.escape(item) + (r"(?![^\W_])" if edge(item[-1]) else ""))
-
-    def exact(text):
-        hit = pattern.search(text)
-        return (0, hit.start()) if hit else None
-
-    return exact
+    return re.compile((r"(?<![^\W_])" if edge(item[0]) else "") + re.escape(item) + (r"(?![^\W_])" if edge(item[-1]) else ""))
 
 
 def infix_distance(item: str, window: str) -> tuple[int, int]:
@@ -210,13 +307,13 @@ def _plain(text: str) -> str:
 _FOUND = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("distance", pa.int64()), ("first_word", pa.int64()), ("n_windows", pa.int64())])
 
 
-def _scan(items: list[tuple[int, str]], most: float):
-    plan = hashes()
+def _scan(items: list[tuple[int, str]], shares: Shares, most: float, plan=None):
+    plan = plan or hashes()
 
     def run(batches):
-        index, words = Index(items, plan), WordHashes()
+        index, words = Index(items, shares, plan), WordHashes()
         plain = [_plain(text) for _, text, _ in index.items]
-        shorts = [(item, short_search(_plain(text), most)) for item, text in index.short]
+        shorts = Short(index.short, most) if index.short else None
 
         def found(doc, got, at, near):
             """Verified items of one text. near: item number -> starts of its windows."""
@@ -228,7 +325,7 @@ def _scan(items: list[tuple[int, str]], most: float):
                 slack = int(n * most) + 2
                 # Windows of one place overlap: the surroundings are joined first.
                 spans = []
-                for s in sorted(starts):
+                for s in starts:
                     lo, hi = max(0, s - slack), min(len(at), s + n + slack)
                     if spans and lo <= spans[-1][1]:
                         spans[-1][1] = hi
@@ -250,10 +347,8 @@ def _scan(items: list[tuple[int, str]], most: float):
                 h, got, at = tokens(text, words)
                 if shorts:
                     low = _plain(text)
-                    for item, search in shorts:
-                        hit = search(low)
-                        if hit:
-                            yield doc, item, hit[0], low.count(" ", 0, hit[1]), 1
+                    for item, d, start in shorts.find(low):
+                        yield doc, item, d, low.count(" ", 0, start), 1
                 if not len(h):
                     continue
                 group.append((doc, got, at, h))
@@ -263,6 +358,25 @@ def _scan(items: list[tuple[int, str]], most: float):
                     group, size = [], 0
             yield from scanned(group)
 
+        def supported(hits):
+            """Hits of items that one is enough for, and those with another word's hit in the window."""
+            if not len(hits):
+                return np.zeros(0, dtype=bool)
+            g, no, start, offset = hits.T
+            slack = (np.array([n for _, _, n in index.items])[no] * most).astype(np.int64) + 2
+            keep = index.need[no] == 1
+            # Hits stand by text, item and start: another word's hit is a neighbour, or behind
+            # neighbours of the same word.
+            word = offset.copy()
+            for step in range(1, len(hits)):
+                pair = (g[step:] == g[:-step]) & (no[step:] == no[:-step]) & (start[step:] - start[:-step] <= slack[step:])
+                if not pair.any():
+                    break
+                pair &= word[step:] != word[:-step]
+                keep[step:] |= pair
+                keep[:-step] |= pair
+            return keep
+
         def scanned(group):
             """Walks of several texts at once, each ended by a 0."""
             if not group:
@@ -271,18 +385,69 @@ def _scan(items: list[tuple[int, str]], most: float):
             all_words = np.concatenate([part for g in group for part in (g[3], zero)])
             starts = np.cumsum([0] + [len(g[3]) + 1 for g in group])
             ends = np.repeat(starts[1:] - 1, np.diff(starts))
-            near: dict[int, dict[int, set[int]]] = {}
-            for at, no, offset in index.candidates(all_words, ends):
-                g = int(np.searchsorted(starts, at, "right")) - 1
-                near.setdefault(g, {}).setdefault(no, set()).add(int(at - starts[g]) - offset)
-            for g, hits in near.items():
-                yield from found(*group[g][:3], hits)
+            place, no, offset = index.candidates(all_words, ends)
+            g = np.searchsorted(starts, place, "right") - 1
+            hits = np.unique(np.stack([g, no, place - starts[g] - offset, offset], axis=1), axis=0)
+            near: dict[int, dict[int, list[int]]] = {}
+            for g, no, start in hits[supported(hits)][:, :3].tolist():
+                mine = near.setdefault(g, {}).setdefault(no, [])
+                if not mine or mine[-1] != start:
+                    mine.append(start)
+            for g, mine in near.items():
+                yield from found(*group[g][:3], mine)
 
         return in_batches(rows(), _FOUND)
 
     return run
 
 
+def word_shares(texts: DataFrame, items: list[tuple[int, str]]) -> Shares:
+    """(text) -> shares that the words of ``items`` have among all words of the texts."""
+    words = WordHashes()
+    known = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *[words.of(text) for _, text in items]]))
+
+    def run(batches):
+        words, held, total = WordHashes(), np.zeros(len(known), dtype=np.int64), 0
+        tokens_: Counter[str] = Counter()
+
+        def settle():
+            h = np.fromiter(map(words.__getitem__, tokens_), dtype=np.uint64, count=len(tokens_))
+            n = np.fromiter(tokens_.values(), dtype=np.int64, count=len(tokens_))
+            tokens_.clear()
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                mine = known[at] == h
+                np.add.at(held, at[mine], n[mine])
+            return int(n[h != 0].sum())
+
+        for (text,) in columns_of(batches):
+            tokens_.update(text.split())
+            if len(tokens_) > COUNTED:
+                total += settle()
+        total += settle()
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1], pa.int64()), pa.array(np.r_[held[some], total], pa.int64())], names=["word", "n"])
+
+    got = texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    counts, word = np.zeros(len(known), dtype=np.int64), got["word"].to_numpy(dtype=np.int64)
+    n = got["n"].to_numpy(dtype=np.int64)
+    counts[word[word >= 0]] = n[word >= 0]
+    return Shares(known, counts, int(n[word < 0].sum()))
+
+
+def _blocks(items):
+    """Items in blocks of at most ITEM_BLOCK, cut where their words reach WORD_BLOCK."""
+    held, size = [], 0
+    for row in items:
+        held.append((row["item"], row["text"]))
+        size += len(row["text"].split()) + 1
+        if len(held) >= ITEM_BLOCK or size >= WORD_BLOCK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def leaked_items(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -297,23 +462,18 @@ def leaked_items(
     first_word (start of the passage's surroundings), n_windows.
 
     A passage counts if at most ``most`` of the item's code points are edited. Null and empty texts
-    and items hold nothing; items too short for any walk are searched for in every
-    text, those without room for an edit as whole words.
+    and items hold nothing; items of fewer than ``FEW_WORDS`` words, or of words too common to tell
+    them apart, are searched for by trigrams, those without room for an edit as whole words.
     Repeated rows of a document each count; their findings are given once. Null ids stay null.
     Other columns are ignored. An empty table gives no rows.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc"), text_or_empty(text).alias("text"))
     b = benchmark.select(F.col(item_id).cast("long").alias("item"), text_or_empty(item_text).alias("text")).distinct()
     kinds = "doc long, item long, distance long, first_word long, n_windows long"
-    out, held = None, []
-    for row in b.toLocalIterator():
-        held.append((row["item"], row["text"]))
-        if len(held) == ITEM_BLOCK:
-            part, held = d.mapInArrow(_scan(held, most), kinds), []
-            out = part if out is None else out.unionAll(part)
-    if held or out is None:
-        part = d.mapInArrow(_scan(held, most), kinds)
-        out = part if out is None else out.unionAll(part)
+    parts = [d.mapInArrow(_scan(held, word_shares(d.select("text"), held), most), kinds) for held in _blocks(b.toLocalIterator())]
+    out = parts[0] if parts else d.limit(0).selectExpr("doc", "doc as item", "doc as distance", "doc as first_word", "doc as n_windows")
+    for part in parts[1:]:
+        out = out.unionAll(part)
     return out.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
         F.min("distance").alias("distance"), F.min_by("first_word", "distance").alias("first_word"), F.sum("n_windows").alias("n_windows")
     )

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -410,6 +411,50 @@ def test_decontamination_recall(spark, sf_dir, share, least):
     assert not {g for g in got if g[0] // 1000 != g[1]} or len(got - true) <= 0.02 * len(got)
 
 
+@pytest.mark.parametrize("size,every,least", [(15, 2, 0.9), (15, 3, 0.97), (30, 2, 0.97), (30, 5, 0.99)])
+def test_decontamination_typos(spark, sf_dir, documents, size, every, least):
+    """One letter changed in every second, third or fifth word: far inside the promised edits."""
+    rng = random.Random(size + every)
+    tokens = [t.split() for _, t in documents if t and len(t.split()) > 80]
+    items, rows = [], []
+    while len(items) < 150:
+        words = rng.choice(tokens)
+        at = rng.randrange(len(words) - size)
+        item = words[at : at + size]
+        if len(set(item)) < 0.6 * size:
+            continue
+        typed = [w[: len(w) // 2] + rng.choice("qxz") + w[len(w) // 2 + 1 :] if i % every == 0 else w for i, w in enumerate(item)]
+        rows.append((len(items), " ".join(rng.choice(tokens)[:30] + typed + rng.choice(tokens)[:30])))
+        items.append((len(items), " ".join(item)))
+    # The shares of words come from a whole corpus, of which these texts are a part.
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(spark.createDataFrame([(None, t) for _, t in documents], "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaked_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, i) in found for i, _ in rows) >= least * len(rows)
+
+
+def test_decontaminate_many_short_items(spark):
+    """Short items against brute force, and a thousand of them against a long text in little time."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 5)))) for i in range(1000)]
+    texts = []
+    for i in range(40):
+        words = [word() for _ in range(60)]
+        for _, item in rng.sample(items, 3):
+            at = rng.randrange(len(item))
+            edited = item[:at] + rng.choice(["", "z", "zz"]) + item[at + 1 :]
+            words.insert(rng.randrange(60), edited)
+        texts.append((i, " ".join(words)))
+    short = decontam.Short(items, decontam.MOST_EDITS)
+    for _, text in texts[:4]:
+        want = {i for i, t in items if int(len(t) * 0.2) and decontam.infix_distance(t, text)[0] <= 0.2 * len(t)}
+        assert {i for i, _, _ in short.find(text) if int(len(dict(items)[i]) * 0.2)} == want and len(want) >= 2
+    long = [(99, " ".join(word() for _ in range(5000)))]
+    start = time.time()
+    decontam.leaked_items(spark.createDataFrame(texts + long, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert time.time() - start < 60
+
+
 def test_decontaminate_edges(spark, edge_docs, edge_rows, no_docs, monkeypatch):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (None, "a text of some words"), (4, edge_rows[7][1]), (4, edge_rows[7][1])], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.leaked_items(edge_docs, bench).collect()}
