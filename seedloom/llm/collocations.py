@@ -34,6 +34,8 @@ _BLOCK = 1 << 14
 # A stripe is dealt in slices by next word if its prefix's cell reaches so many; no other one can have
 # more elements than that. The stripe without prefix, all words, always is.
 HOT, SLICES = 65_535, 1024
+# Stripes travel in so many parcels by hash of prefix and slice, many in one row.
+PARCELS = 4096
 # Words a task holds before it counts them.
 TOGETHER = 3_000_000
 
@@ -143,13 +145,14 @@ def frequent_cells(rows: DataFrame, fewest: int, cells: int, sketched=SKETCHED)
 
 
 def stripes(rows: DataFrame, bits: dict[int, tuple], cells: int, longest: int) -> DataFrame:
-    """(lang, data) -> stripes of each task: lang, prefix, size (words with the next), slice, next, n.
+    """(lang, data) -> stripes of each task, in parcels: lang, parcel, and the arrays prefix, size
+    (words with the next), next, n with an element for each next word of each stripe.
 
-    A row without prefix and size 0 holds the number of all words.
+    Parcel -1 with size 0 holds the number of all words.
     """
     schema = pa.schema([
-        ("lang", pa.string()), ("prefix", pa.string()), ("size", pa.int32()), ("slice", pa.int32()),
-        ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64())),
+        ("lang", pa.string()), ("parcel", pa.int32()), ("prefix", pa.list_(pa.string())), ("size", pa.int32()),
+        ("length", pa.list_(pa.int32())), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64())),
     ])
 
     def has(k, h, which):
@@ -161,9 +164,10 @@ def stripes(rows: DataFrame, bits: dict[int, tuple], cells: int, longest: int) -
 
         def settle():
             words = list(held.words)
-            deal = np.fromiter(map(xxhash.xxh32_intdigest, words), dtype=np.int64, count=len(words))
+            deal_of = lambda texts: np.fromiter(map(xxhash.xxh32_intdigest, texts), dtype=np.int64, count=len(texts))
+            deal = deal_of(words)
             for group, ids, left in held.each():
-                yield from _rows([(group, "", 0, 0, [""], [len(ids)])])
+                yield from _rows([(group, -1, [""], 0, [1], [""], [len(ids)])])
                 # The number of the phrase of k - 1 words at each place (-1: not frequent), its text,
                 # and whether its stripe is sliced: a longer phrase than the bits know goes by its first words.
                 before, texts, hot = np.zeros(len(ids), dtype=np.int64), [b""], np.ones(len(ids), dtype=bool)
@@ -174,8 +178,9 @@ def stripes(rows: DataFrame, bits: dict[int, tuple], cells: int, longest: int) -
                     keys, first, inverse, n = np.unique(before[at] << 32 | ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
                     prefix, word = keys >> 32, keys & 0xFFFFFFFF
                     part = np.where(hot[at[first]], deal[word] % SLICES, 0)
-                    order = np.lexsort((part, prefix))
-                    yield from _rows(_cut(group, k, texts, words, prefix[order], part[order], word[order], n[order]))
+                    parcel = (deal_of(texts)[prefix] + part) % PARCELS
+                    order = np.lexsort((prefix, parcel))
+                    yield from _rows(_cut(group, k, texts, words, prefix[order], parcel[order], word[order], n[order]))
                     texts = [texts[p] + b" " + words[w] if k > 1 else words[w] for p, w in zip(prefix.tolist(), word.tolist())]
                     before = np.full(len(ids), -1, dtype=np.int64)
                     before[at] = inverse
@@ -185,7 +190,7 @@ def stripes(rows: DataFrame, bits: dict[int, tuple], cells: int, longest: int) -
                         break
 
         def _rows(parts):
-            return in_batches(parts, schema, size=lambda row: len(row[4]) + 4, most=20_000)
+            return in_batches(parts, schema, size=lambda row: len(row[5]) + 4, most=50_000)
 
         for lang, data in columns_of(batches):
             held.add(lang, data)
@@ -194,15 +199,21 @@ def stripes(rows: DataFrame, bits: dict[int, tuple], cells: int, longest: int) -
                 held = _Held()
         yield from settle()
 
-    ddl = "lang string, prefix string, size int, slice int, next array<string>, n array<long>"
+    ddl = "lang string, parcel int, prefix array<string>, size int, length array<int>, next array<string>, n array<long>"
     return rows.mapInArrow(run, ddl)
 
 
-def _cut(group, k, texts, words, prefix, part, word, n):
-    """Rows of the stripes that stand one after another in these arrays."""
-    starts = np.flatnonzero(np.r_[len(prefix) > 0, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(prefix)]):
-        yield group, texts[int(prefix[a])].decode(), k, int(part[a]), [words[w].decode() for w in word[a:b]], n[a:b].tolist()
+def _cut(group, k, texts, words, prefix, parcel, word, n):
+    """Rows of the parcels that stand one after another in these arrays, the stripes of each in order."""
+    new = np.r_[len(parcel) > 0, parcel[1:] != parcel[:-1]]
+    first = np.flatnonzero(new | np.r_[len(parcel) > 0, prefix[1:] != prefix[:-1]])
+    starts = np.flatnonzero(new)
+    stripes_of = np.searchsorted(first, [*starts.tolist(), len(parcel)])
+    lengths = np.diff(np.r_[first, len(parcel)])
+    for i, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(parcel)])):
+        mine = slice(stripes_of[i], stripes_of[i + 1])
+        names = [texts[p].decode() for p in prefix[first[mine]]]
+        yield group, int(parcel[a]), names, k, lengths[mine].tolist(), [words[w].decode() for w in word[a:b]], n[a:b].tolist()
 
 
 def phrase_counts(docs: DataFrame, text="text", lang="lang", longest=LONGEST, fewest=FEWEST, cells=CELLS) -> DataFrame:
@@ -216,10 +227,12 @@ def phrase_counts(docs: DataFrame, text="text", lang="lang", longest=LONGEST, fe
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("data"),
     )
     bits = frequent_cells(rows, fewest, cells, tuple(k for k in SKETCHED if k <= longest))
-    # Dealt by stripe, so the elements of a stripe meet in one task and need no second exchange.
-    dealt = stripes(rows, bits, cells, longest).repartition("lang", "prefix", "size", "slice")
-    elements = dealt.select("lang", "prefix", "size", "slice", F.explode(F.arrays_zip("next", "n")).alias("e"))
-    merged = elements.groupBy("lang", "prefix", "size", "slice", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("n"))
+    # Dealt by parcel, so the elements of a stripe meet in one task and need no second exchange.
+    dealt = stripes(rows, bits, cells, longest).repartition("lang", "parcel")
+    of_each = F.flatten(F.zip_with("prefix", "length", lambda p, k: F.array_repeat(p, k)))
+    elements = dealt.select("lang", "parcel", "size", F.explode(F.arrays_zip(of_each.alias("prefix"), "next", "n")).alias("e"))
+    elements = elements.select("lang", "parcel", "size", F.col("e.prefix").alias("prefix"), F.col("e.next").alias("next"), F.col("e.n").alias("n"))
+    merged = elements.groupBy("lang", "parcel", "size", "prefix", "next").agg(F.sum("n").alias("n"))
     merged = merged.filter((F.col("n") >= fewest) | (F.col("size") == 0))
     phrase = F.when(F.col("size") > 1, F.concat_ws(" ", "prefix", "next")).otherwise(F.col("next"))
     return keep(merged.select("lang", "size", "prefix", "next", phrase.alias("phrase"), "n"), "stripes")
