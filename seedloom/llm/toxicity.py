@@ -379,25 +379,32 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
         def __init__(self):
             super().__init__()
             self.words = Words(Decoder(counts))
+            # Whether the text at hand has a letter three times in a row.
+            self.stretched = False
 
         def __missing__(self, token):
             if len(self) >= REMEMBERED:
                 self.clear()
-            word = plain_word(token, True)
-            got = ()
-            for w in self.words[token] if word is None else (word,):
-                if w in whole or w[:4] in heads:
-                    got += tuple(f for f in features(w) if f in weights)
+            bare = token.rstrip(_PLAIN_ENDS)
+            if bare.isalpha() and not (self.stretched and _STRETCHED.search(bare)):
+                got = self.of_word(bare) if bare in whole or bare[:4] in heads else ()
+            else:
+                got = tuple(f for w in self.words[token] for f in self.of_word(w))
             if len(token) <= 40:
                 self[token] = got
             return got
 
+        def of_word(self, word):
+            return tuple(f for f in features(word) if f in weights)
+
     def make():
         weighed = Weighed()
 
         def call(value):
             found: set[str] = set()
-            for token in set(weighed.words.unspaced(value or "").lower().split()):
+            low = weighed.words.unspaced(value or "").lower()
+            weighed.stretched = _STRETCHED.search(low) is not None
+            for token in set(low.split()):
                 got = weighed[token]
                 if got:
                     found.update(got)
