@@ -535,3 +535,20 @@ def test_pipeline_edges(spark, sf_dir, edge_docs, no_docs):
             assert name == "encoding" or out.columns == docs.columns
             docs = out
         assert docs.count() <= rows.count()
+
+
+def test_pipeline_judges_rows(spark, sf_dir):
+    """Rows without an id and rows that share one: each text is judged for itself."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    prose = lambda k: " ".join(f"{w}{k}" for w in "walk river bread music garden window paper table winter summer".split())
+    rows = [(None, f"{prose(1)} {item} {prose(2)}"), (5, f"{prose(3)} {item}"), (5, prose(4)), (None, prose(5)), (6, prose(6)), (None, prose(6)), (None, prose(7)), (None, prose(7) + " end"), (7, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, docs, sf_dir).collect()]
+    assert sorted(left, key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()]
+    assert len(left) == 7 and (6, prose(6)) in left and (None, prose(6)) not in left and (7, None) in left and (None, "") not in left
+    assert ((None, prose(7)) in left) != ((None, prose(7) + " end") in left)
+    assert {(5, prose(4)), (None, prose(5)), (None, rows[0][1]), (5, rows[1][1])} <= set(left)
+    # Line dedup and toxicity leave such rows alone.
+    for stage in (corpus_pipeline.drop_repeated_lines, corpus_pipeline.drop_toxic):
+        assert stage(spark, docs, sf_dir).count() == len(rows)
