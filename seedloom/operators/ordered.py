@@ -1,23 +1,33 @@
 """Running sums, minima and neighbours over an order, without one task per group.
 
-A window function sends each whole group to one task. Here the rows are range-partitioned
-by (group, order), settled once, scanned partition by partition, and the partitions of a
-group are stitched together with a table that has at most two rows per partition. A group
-that holds a third of all rows is therefore spread over a third of the tasks.
+A window function sends each whole group to one task. Here a first pass over the keys alone
+finds bounds that cut (group, order) into parts of like size. They make the number of a row's part a
+function of its keys: the rows are dealt by it once, are scanned part by part, and no pass depends on
+how another one was laid out, so nothing is written in between. Only the groups that a bound
+falls into reach over several parts; a table with one row per part carries their sums over, joined
+on the part. A group that holds a third of all rows is spread over a third of the parts.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seedloom.operators.base import as_list
 from seedloom.session import settle
 
 PID = "_pid"
 SALT = "_salt"
+# Whether a row's group may reach over several parts; whether the rows were dealt by part.
+CROSS, DEALT = "_cross", "_dealt"
+# Parts for each shuffle partition.
+PARTS = 2
 
 
 @dataclass(frozen=True)
@@ -54,14 +64,72 @@ def following(col, n: int = 1) -> Scan:
 
 
 def lay_out(df: DataFrame, by, order, salt: bool = False) -> DataFrame:
-    """Range-partition by (by, order) and fix each row's partition number in ``_pid``.
-
-    ``salt`` adds a random last key, so that rows with equal keys can be split too.
+    """``df`` with the number of each row's part in ``_pid`` and, in ``_cross``, whether its group may
+    reach into other parts.
+
+    The bounds are the last keys of range partitions of the keys alone: as many as parts, held as one
+    value in the plan. ``salt`` adds a random last key, so that rows with equal keys can be split
+    too; such a table is written once, for the draw must not change. So is a table that is itself the
+    outcome of shuffles or Python, as the passes over it would each compute it; a table that is only
+    read, filtered and projected is not.
     """
-    if salt:
-        df = df.withColumn(SALT, F.rand(17))
-    keys = [F.col(c) for c in as_list(by)] + _sort_keys(order) + ([F.col(SALT)] if salt else [])
-    return settle(df.repartitionByRange(*keys).withColumn(PID, F.spark_partition_id()))
+    by = as_list(by)
+    if salt or _derived(df):
+        df = settle(df.withColumn(SALT, F.rand(17)) if salt else df)
+    order = [*as_list(order), *([SALT] if salt else [])]
+    names = [*by, *[c.lstrip("-") for c in order]]
+    down = [False] * len(by) + [c.startswith("-") for c in order]
+    keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]
+    parts = PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sort = [F.col(f"k{i}").desc_nulls_last() if d else F.col(f"k{i}").asc_nulls_first() for i, d in enumerate(down)]
+    ranged = df.select(*keys).repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+    key = F.struct(*[f"k{i}" for i in range(len(names))])
+    # One task has all rows of a part, in order.
+    numbered = ranged.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), key.alias("key"))
+    ends = numbered.groupBy("part").agg(F.max_by("key", "at").alias("key"))
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    found = sorted((r["part"], r["key"]) for r in ends.select("part", F.to_json("key", {"ignoreNullFields": "false", **form}).alias("key")).collect())
+    kinds = T.ArrayType(ends.schema["key"].dataType)
+    cuts = [json.loads(k) for _, k in found[:-1]]
+    if not cuts:
+        return df.withColumns({PID: F.lit(0), CROSS: F.lit(False)})
+    bounds = F.from_json(F.lit(json.dumps(cuts)), kinds, form)
+    row = [F.col(f"`{c}`") for c in names]
+
+    def past(bound: Column) -> Column:
+        """Whether the row comes after the bound."""
+        after, same = F.lit(False), F.lit(True)
+        for i, (c, d) in enumerate(zip(row, down)):
+            here, there = (bound[f"k{i}"], c) if d else (c, bound[f"k{i}"])
+            # nulls come first where the order rises, last where it falls
+            after = after | (same & F.coalesce(here > there, here.isNotNull() & there.isNull()))
+            same = same & here.eqNullSafe(there)
+        return after
+
+    def step(held: Column, _: Column) -> Column:
+        middle = F.floor((held["lo"] + held["hi"]) / 2).cast("int")
+        up = (held["lo"] < held["hi"]) & past(F.get(bounds, middle))
+        return F.struct(F.when(up, middle + 1).otherwise(held["lo"]).alias("lo"), F.when(up, held["hi"]).otherwise(F.least(middle, held["hi"])).alias("hi"))
+
+    steps = F.array(*[F.lit(0)] * (math.ceil(math.log2(len(cuts) + 1)) + 1))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    out = df.withColumn(PID, F.aggregate(steps, start, step, lambda held: held["lo"]))
+    near = F.lit(False) if by else F.lit(True)
+    for place in (F.col(PID) - 1, F.col(PID)):
+        bound = F.get(bounds, place)
+        same = bound.isNotNull()
+        for i, c in enumerate(row[: len(by)]):
+            same = same & c.eqNullSafe(bound[f"k{i}"])
+        near = near | same
+    return out.withColumn(CROSS, near)
+
+
+# Steps of a plan that cost more than to read their result again.
+_COSTLY = re.compile(r"(?m)^[\s:|+-]*(Aggregate|Join|Window|Sort|Repartition\w*|Deduplicate|Distinct|Generate|MapIn\w+|FlatMap\w+|\w*EvalPython)\b")
+
+
+def _derived(df: DataFrame) -> bool:
+    return bool(_COSTLY.search(df._jdf.queryExecution().optimizedPlan().treeString()))
 
 
 def _sort_keys(order, turn: bool = False) -> list[Column]:
@@ -78,20 +146,25 @@ def _sort_keys(order, turn: bool = False) -> list[Column]:
 
 
 def scan(laid: DataFrame, by, order, **scans: Scan) -> DataFrame:
-    """Add one column per scan to a table made by :func:`lay_out`."""
+    """Add one column per scan to a table made by :func:`lay_out`.
+
+    A second scan over the outcome of a first one reads it from where it is written once.
+    """
     by = as_list(by)
-    keys = _sort_keys(order) + ([F.col(SALT)] if SALT in laid.columns else [])
+    if DEALT in laid.columns:
+        laid = settle(laid)
+    order = [*as_list(order), *([SALT] if SALT in laid.columns else [])]
+    keys, back = _sort_keys(order), _sort_keys(order, turn=True)
     group = [PID] + by
     local = Window.partitionBy(*group).orderBy(*keys)
     behind = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*group)
     # reverse scans run forward over the turned-round order: Spark computes a frame that ends
     # at the last row anew for every row
-    turned = Window.partitionBy(*group).orderBy(*_sort_keys(order, turn=True), *([F.col(SALT).desc()] if SALT in laid.columns else []))
-    turned = turned.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turned = Window.partitionBy(*group).orderBy(*back)
     aggs = {"sum": F.sum, "min": F.min, "max": F.max}
 
-    out = laid
+    out = laid.repartition(PID).withColumn(DEALT, F.lit(True))
     shifts = {k: s for k, s in scans.items() if s.kind in ("lag", "lead")}
     if shifts:
         out = out.withColumn("_rn", F.row_number().over(local)).withColumn(
@@ -99,68 +172,74 @@ def scan(laid: DataFrame, by, order, **scans: Scan) -> DataFrame:
         )
     for name, s in scans.items():
         if s.kind == "lag":
-            out = out.withColumn(f"_l_{name}", F.lag(s.col, s.n).over(local)).withColumn(f"_v_{name}", s.col)
-        elif s.kind == "lead":
-            out = out.withColumn(f"_l_{name}", F.lead(s.col, s.n).over(local)).withColumn(f"_v_{name}", s.col)
-        else:
-            if s.reverse and s.kind == "sum":
-                rest = F.sum(s.col).over(whole) - F.sum(s.col).over(behind) + F.coalesce(s.col, F.lit(0))
-                out = out.withColumn(f"_l_{name}", rest)
-            else:
-                out = out.withColumn(f"_l_{name}", aggs[s.kind](s.col).over(turned if s.reverse else behind))
-
-    # One row per (group, partition); kept only for groups that cross partitions.
-    edge_src = out if shifts else laid
-    edge_cols = []
-    for name, s in scans.items():
-        if s.kind == "lag":
-            item = F.when(F.col("_left") < s.n, F.struct(F.col("_left").alias("i"), s.col.alias("v")))
-            edge_cols.append(F.array_sort(F.collect_list(item)).alias(f"_e_{name}"))
+            out = out.withColumn(f"_l_{name}", F.lag(s.col, s.n).over(local))
         elif s.kind == "lead":
-            item = F.when(F.col("_rn") <= s.n, F.struct(F.col("_rn").alias("i"), s.col.alias("v")))
-            edge_cols.append(F.array_sort(F.collect_list(item)).alias(f"_e_{name}"))
+            out = out.withColumn(f"_l_{name}", F.lead(s.col, s.n).over(local))
+        elif s.reverse and s.kind == "sum":
+            rest = F.sum(s.col).over(whole) - F.sum(s.col).over(behind) + F.coalesce(s.col, F.lit(0))
+            out = out.withColumn(f"_l_{name}", rest)
         else:
-            edge_cols.append(aggs[s.kind](s.col).alias(f"_e_{name}"))
-    edges = edge_src.groupBy(*group).agg(*edge_cols)
+            over = turned.rowsBetween(Window.unboundedPreceding, Window.currentRow) if s.reverse else behind
+            out = out.withColumn(f"_l_{name}", aggs[s.kind](s.col).over(over))
+
+    # One row per (group, part), of the groups that may reach over several parts: two in a part at most.
+    crossing = laid.filter(CROSS)
     across = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     before = across.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     after = across.orderBy(PID).rowsBetween(1, Window.unboundedFollowing)
-    picked = [F.col(c).alias(f"_k{i}") for i, c in enumerate(group)]
-    for name, s in scans.items():
-        e = F.col(f"_e_{name}")
-        if s.kind == "lag":
-            # nearest rows first: reverse the list of partitions, each already nearest-first
-            near = across.orderBy(PID).rowsBetween(-s.n, -1)
-            picked.append(F.flatten(F.reverse(F.collect_list(e).over(near))).alias(f"_o_{name}"))
-        elif s.kind == "lead":
-            near = across.orderBy(PID).rowsBetween(1, s.n)
-            picked.append(F.flatten(F.collect_list(e).over(near)).alias(f"_o_{name}"))
-        else:
-            picked.append(aggs[s.kind](e).over(after if s.reverse else before).alias(f"_o_{name}"))
-    edges = edges.withColumn("_span", F.count(F.lit(1)).over(across)).filter(F.col("_span") > 1).select(*picked)
-
-    cond = F.lit(True)
-    for i, c in enumerate(group):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    out = out.join(F.broadcast(edges), cond, "left")
+    tables = []
+    sums = {k: s for k, s in scans.items() if k not in shifts}
+    if sums:
+        edges = crossing.groupBy(*group).agg(*[aggs[s.kind](s.col).alias(f"_e_{k}") for k, s in sums.items()])
+        tables.append((edges, {k: aggs[s.kind](f"_e_{k}").over(after if s.reverse else before) for k, s in sums.items()}))
+    for kind, sort in (("lag", back), ("lead", keys)):
+        near = {k: s for k, s in shifts.items() if s.kind == kind}
+        if near:
+            far = max(s.n for s in near.values())
+            # the rows at the near end of the part, nearest first
+            ends = crossing.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(*sort))).filter(F.col("_i") <= far)
+            item = {k: F.when(F.col("_i") <= s.n, F.struct(F.col("_i").alias("i"), s.col.alias("v"))) for k, s in near.items()}
+            edges = ends.groupBy(*group).agg(*[F.sort_array(F.collect_list(v)).alias(f"_e_{k}") for k, v in item.items()])
+            rows = lambda n: across.orderBy(PID).rowsBetween(-n, -1) if kind == "lag" else across.orderBy(PID).rowsBetween(1, n)
+            turn = F.reverse if kind == "lag" else (lambda x: x)
+            tables.append((edges, {k: F.flatten(turn(F.collect_list(f"_e_{k}").over(rows(s.n)))) for k, s in near.items()}))
+
+    there: dict[str, Column] = {}
+    joined = list(out.columns)
+    for t, (edges, picked) in enumerate(tables):
+        spread = edges.withColumn("_span", F.count(F.lit(1)).over(across)).withColumns({f"_o_{k}": v for k, v in picked.items()})
+        cols = [F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(by)] + [F.col(f"_o_{k}").alias(k) for k in picked]
+        pair = spread.filter(F.col("_span") > 1).groupBy(F.col(PID).alias(f"_p{t}")).agg(F.collect_list(F.struct(*cols)).alias("_two"))
+        pair = pair.select(f"_p{t}", F.get("_two", F.lit(0)).alias(f"_a{t}"), F.get("_two", F.lit(1)).alias(f"_b{t}"))
+        out = out.join(pair, F.col(PID) == F.col(f"_p{t}"), "left")
+        for k in picked:
+            value = F.lit(None)
+            for side in (f"_b{t}", f"_a{t}"):
+                same = F.col(side).isNotNull()
+                for i, c in enumerate(by):
+                    same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"{side}.g{i}"))
+                value = F.when(same, F.col(f"{side}.{k}")).otherwise(value)
+            there[k] = value
+    added = {}
     for name, s in scans.items():
-        here, there = F.col(f"_l_{name}"), F.col(f"_o_{name}")
+        here, far = F.col(f"_l_{name}"), there[name]
         if s.kind == "lag":
             gap = s.n - F.col("_rn")  # 0-based place in the earlier rows, nearest first
-            value = F.when(F.col("_rn") > s.n, here).otherwise(F.get(there, gap.cast("int"))["v"])
+            value = F.when(F.col("_rn") > s.n, here).otherwise(F.get(far, gap.cast("int"))["v"])
         elif s.kind == "lead":
             gap = s.n - 1 - F.col("_left")
-            value = F.when(F.col("_left") >= s.n, here).otherwise(F.get(there, gap.cast("int"))["v"])
+            value = F.when(F.col("_left") >= s.n, here).otherwise(F.get(far, gap.cast("int"))["v"])
         elif s.kind == "sum":
-            value = F.coalesce(here + F.coalesce(there, F.lit(0)), there)
+            value = F.coalesce(here + F.coalesce(far, F.lit(0)), far)
         else:
-            value = (F.least if s.kind == "min" else F.greatest)(here, there)
-        out = out.withColumn(name, value)
-    return out.select(*laid.columns, *scans.keys())
+            value = (F.least if s.kind == "min" else F.greatest)(here, far)
+        added[name] = value
+    kept = [c for c in joined if c in laid.columns or c == DEALT]
+    return out.select(*[F.col(f"`{c}`") for c in kept if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def release(df: DataFrame) -> DataFrame:
-    return df.drop(PID, SALT)
+    return df.drop(PID, SALT, CROSS, DEALT)
 
 
 def ordered_scan(df: DataFrame, by, order, salt: bool = False, **scans: Scan) -> DataFrame:

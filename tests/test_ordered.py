@@ -39,3 +39,27 @@ def test_quantiles(data):
     for g, part in itertools.groupby(sorted(rows), key=lambda r: r[0]):
         v = [r[2] for r in part]
         assert [got[g][k] for k in "amz"] == pytest.approx(np.quantile(v, [0.1, 0.5, 0.99]))
+
+
+def test_layout_carries_no_payload(spark):
+    """The pass for the bounds reads the keys only, rows are dealt once and nothing is written before."""
+    df = spark.range(5000).selectExpr("id", "cast(id % 7 as string) g", "id * 2 v", "repeat('x', 50) payload")
+    plan = ordered_scan(df, "g", "id", s=running_sum("v"))._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    wide = [line for line in text.splitlines() if "Exchange" in line]
+    assert "LogicalRDD" not in plan.optimizedPlan().toString() and text.count("REPARTITION_BY_COL") == 1
+    assert len([line for line in wide if "_pid" in line and "REPARTITION" in line]) == 1
+
+
+def test_descending_and_null_keys(spark, data):
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 5 == 0 else f"g{k % 5}", None if k % 11 == 0 else float(k % 400), k, int(v)) for k, v in enumerate(rng.integers(0, 9, 3000))]
+    df = spark.createDataFrame(rows, "g string, a double, i long, v long").repartition(5)
+    got = {r["i"]: (r["s"], r["p"]) for r in ordered_scan(df, "g", ["-a", "i"], s=running_sum("v"), p=previous("v")).collect()}
+    key = lambda r: (r[0] or "", r[1] is None, -(r[1] or 0), r[2])
+    for g, part in itertools.groupby(sorted(rows, key=key), key=lambda r: r[0]):
+        total, before = 0, None
+        for _, _, i, v in part:
+            total += v
+            assert got[i] == (total, before)
+            before = v
