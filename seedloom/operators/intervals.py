@@ -84,51 +84,102 @@ def effective_intervals(blocks: DataFrame, by=None, strict: bool = True, order=(
     return out.select(*blocks.columns, "eff_start", "eff_end")
 
 
+# Each level of bins is so many times as wide as the one before it.
+LEVEL = 4
+# Intervals of one side in one bin that one task meets; more are dealt over slices.
+CROWD = 20_000
+
+
 def overlap_join(
     a: DataFrame,
     b: DataFrame,
     flank: int = 0,
     by=("chrom",),
     closed: bool = True,
-    bin_size: int = 16384,
+    bin_size: int = 1024,
     how: str = "inner",
+    crowd: int = CROWD,
 ) -> DataFrame:
     """Pairs of overlapping intervals; columns of ``b`` are prefixed with ``b_``.
 
-    Both sides are cut into genome bins and matched on (by, bin) as a hash join; a pair that
-    shares several bins is kept only in the first bin they share, so no de-duplication is
-    needed. ``flank`` widens ``a`` for the test. Long intervals cost one row per bin; pick
-    ``bin_size`` near the usual interval length.
+    Bins come in levels: ``bin_size`` wide, then four times as wide each. An interval is at home at
+    the first level whose bins are as long as it is, so it has two bins there at most; a pair is
+    matched at the higher level of the two, where the other side stands in two bins at most as
+    well. A long interval costs a few rows, not one for each bin it covers. Only levels that the other
+    side uses are written. A pair that shares both bins is kept in the first one. A bin with
+    more than ``crowd`` rows of ``a`` is dealt over slices, and its rows of ``b`` go to each of them.
+    ``flank`` widens ``a`` for the test. Rows without start or end meet nothing.
     """
+    if how != "inner":
+        raise ValueError("overlap_join is an inner join; left-join its result on the key for the rest")
     by = as_list(by)
     last = 0 if closed else 1
     left = a.withColumn("_lo", F.col("start") - flank).withColumn("_hi", F.col("end") + flank - last)
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     right = right.withColumn("_blo", F.col("b_start")).withColumn("_bhi", F.col("b_end") - last)
-    left = left.filter(F.col("_lo") <= F.col("_hi")).withColumn("_first", _bin("_lo", bin_size))
-    right = right.filter(F.col("_blo") <= F.col("_bhi")).withColumn("_bfirst", _bin("_blo", bin_size))
-    left = left.withColumn("_bin", F.explode(F.sequence(F.col("_first"), _bin("_hi", bin_size))))
-    right = right.withColumn("_bbin", F.explode(F.sequence(F.col("_bfirst"), _bin("_bhi", bin_size))))
-    cond = F.col("_bin") == F.col("_bbin")
-    for c in by:
-        cond = cond & (F.col(c) == F.col(f"b_{c}"))
-    hit = (
-        cond
-        & (F.col("_lo") <= F.col("_bhi"))
-        & (F.col("_hi") >= F.col("_blo"))
-        & (F.col("_bin") == F.greatest("_first", "_bfirst"))
-    )
-    pairs = left.join(right, hit, "inner").drop("_lo", "_hi", "_blo", "_bhi", "_first", "_bfirst", "_bin", "_bbin")
-    if how == "inner":
-        return pairs
-    raise ValueError("overlap_join is an inner join; left-join its result on the key for the rest")
-
-
-def _bin(col: str, size: int) -> Column:
-    return F.floor(F.col(col) / F.lit(size)).cast("long")
-
-
-def not_overlapping(a: DataFrame, b: DataFrame, by=("chrom",), bin_size: int = 16384) -> DataFrame:
+    left = left.filter(F.col("_lo") <= F.col("_hi")).withColumn("_lev", _level("_lo", "_hi", bin_size))
+    right = right.filter(F.col("_blo") <= F.col("_bhi")).withColumn("_blev", _level("_blo", "_bhi", bin_size))
+    # A handful of numbers from each side: the levels in use.
+    used = [sorted(r[0] for r in side.select(c).distinct().collect()) for side, c in ((left, "_lev"), (right, "_blev"))]
+    if not all(used):
+        return left.join(right.limit(0), F.lit(False)).drop("_lo", "_hi", "_blo", "_bhi", "_lev", "_blev")
+    low = [n for n in used[1] if n >= used[0][0]]
+    high = [n for n in used[0] if n > used[1][0]]
+    parts = []
+    if low:
+        up = _in_bins(left, "_lo", "_hi", F.explode(F.filter(F.array(*map(F.lit, low)), lambda n: n >= F.col("_lev"))), "_at", "_bin", bin_size)
+        parts.append((up, _in_bins(right, "_blo", "_bhi", F.col("_blev"), "_bat", "_bbin", bin_size)))
+    if high:
+        up = _in_bins(right, "_blo", "_bhi", F.explode(F.filter(F.array(*map(F.lit, high)), lambda n: n > F.col("_blev"))), "_bat", "_bbin", bin_size)
+        parts.append((_in_bins(left, "_lo", "_hi", F.col("_lev"), "_at", "_bin", bin_size), up))
+    out = None
+    for lefts, rights in parts:
+        lefts, rights = _sliced(lefts, rights, by, crowd)
+        cond = (F.col("_at") == F.col("_bat")) & (F.col("_bin") == F.col("_bbin")) & (F.col("_slice") == F.col("_bslice"))
+        for c in by:
+            cond = cond & (F.col(c) == F.col(f"b_{c}"))
+        wide = _width(F.col("_at"), bin_size)
+        first = F.greatest(F.floor(F.col("_lo") / wide), F.floor(F.col("_blo") / wide))
+        hit = cond & (F.col("_lo") <= F.col("_bhi")) & (F.col("_hi") >= F.col("_blo")) & (F.col("_bin") == first)
+        pairs = lefts.join(rights, hit).select(*a.columns, *[f"b_{c}" for c in b.columns])
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def _width(level: Column, bin_size: int) -> Column:
+    return F.lit(bin_size) * F.pow(F.lit(float(LEVEL)), level)
+
+
+def _level(lo: str, hi: str, bin_size: int) -> Column:
+    """The first level whose bins are as long as the interval."""
+    length = (F.col(hi) - F.col(lo) + 1) / F.lit(bin_size)
+    return F.greatest(F.lit(0), F.ceil(F.log(float(LEVEL), length))).cast("int")
+
+
+def _in_bins(df: DataFrame, lo: str, hi: str, level: Column, at: str, to: str, bin_size: int) -> DataFrame:
+    """One row for each bin of a level that an interval touches."""
+    wide = _width(F.col(at), bin_size)
+    return df.withColumn(at, level).withColumn(to, F.explode(F.sequence(F.floor(F.col(lo) / wide).cast("long"), F.floor(F.col(hi) / wide).cast("long"))))
+
+
+def _sliced(left: DataFrame, right: DataFrame, by: list[str], crowd: int) -> tuple[DataFrame, DataFrame]:
+    """``_slice`` and ``_bslice``: bins with more than ``crowd`` rows of ``left`` are split by their load.
+
+    A row's slice is a hash of its values, so that a task run again deals it the same way.
+    """
+    keys = [*by, "_at", "_bin"]
+    loads = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(crowd)).cast("int").alias("_n")).filter("_n > 1")
+    loads = small_side(loads)
+    if loads.limit(1).count() == 0:
+        return left.withColumn("_slice", F.lit(0)), right.withColumn("_bslice", F.lit(0))
+    dealt = F.pmod(F.xxhash64(*[f"`{c}`" for c in left.columns]), F.coalesce("_n", F.lit(1))).cast("int")
+    left = left.join(loads, keys, "left").withColumn("_slice", dealt).drop("_n")
+    other = loads.select(*[F.col(c).alias(f"b_{c}") for c in by], F.col("_at").alias("_bat"), F.col("_bin").alias("_bbin"), "_n")
+    right = right.join(other, [*[f"b_{c}" for c in by], "_bat", "_bbin"], "left")
+    return left, right.withColumn("_bslice", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+
+
+def not_overlapping(a: DataFrame, b: DataFrame, by=("chrom",), bin_size: int = 1024) -> DataFrame:
     """Rows of ``a`` (half-open) that touch no interval of ``b``; ``a`` may repeat rows."""
     by = as_list(by)
     left = a.withColumn("_row", F.struct(*by, "start", "end"))

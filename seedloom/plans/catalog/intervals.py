@@ -76,13 +76,13 @@ def _(t):
     "w06_explode_window",
     "seqid:l pos:l code:l",
     """SELECT seqid, start + j AS pos, ascii(substr(bases, CAST(start + j + 1 AS BIGINT), 1)) AS code
-       FROM (SELECT seqid, bases, start, unnest(range(0, 400)) AS j FROM
-             (SELECT DISTINCT seqid, bases, unnest(list_append(range(0, len - 400 + 1, 1200), len - 400)) AS start FROM seqs WHERE len >= 400))""",
+       FROM (SELECT seqid, bases, start, unnest(range(0, least(len, 400))) AS j FROM
+             (SELECT DISTINCT seqid, bases, len, unnest(list_append(range(0, greatest(len - 400, 0) + 1, 1200), greatest(len - 400, 0))) AS start FROM seqs))""",
 )
 def _(t):
-    win = t.seqs.filter(F.col("len") >= 400).withColumn("_last", F.col("len") - 400)
+    win = t.seqs.withColumn("_last", F.greatest(F.col("len") - 400, F.lit(0)).cast("long"))
     starts = F.array_union(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.lit(1200).cast("long")), F.array("_last"))
-    win = win.withColumn("start", F.explode(starts)).withColumn("end", F.col("start") + 400)
+    win = win.withColumn("start", F.explode(starts)).withColumn("end", F.col("start") + F.least("len", F.lit(400)))
     text = F.substring(F.col("bases"), (F.col("start") + 1).cast("int"), F.lit(400))
     win = win.select("seqid", "start", "end", F.transform(F.split(text, ""), lambda c: F.ascii(c)).alias("code"))
     return iv.explode_window(win, "code")
@@ -197,10 +197,11 @@ def _(t):
 @query(
     "w14_slice_positions",
     "sample_id:l position:l value:d",
-    "SELECT sample_id, position, value FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY position) AS k FROM matrix WHERE position % 2 = 0) WHERE k BETWEEN 9 AND 24",
+    "SELECT sample_id, position * 2 AS position, value FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY position) AS k FROM matrix) WHERE k BETWEEN 9 AND 24",
 )
 def _(t):
-    return iv.slice_positions(t.matrix.filter("position % 2 = 0"), 9, 24, by="sample_id")
+    # positions with gaps: places count, not positions
+    return iv.slice_positions(t.matrix.withColumn("position", F.col("position") * 2), 9, 24, by="sample_id")
 
 
 @query(
