@@ -17,7 +17,7 @@ from seedloom.operators.base import let
 _NO_INTS = "array<int>"
 
 
-def digest(seed: int, *parts) -> Column:
+def digest(seed, *parts) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
@@ -82,7 +82,7 @@ def grounded_count(text, source, min_run: int) -> int:
 # Masking
 
 
-def _words(tokens: Column, pieces: Column, skip, seed: int, key: Column, ngram_weights) -> Column:
+def _words(tokens: Column, pieces: Column, skip, seed, key: Column, ngram_weights) -> Column:
     """Every word of a token list: at, n, free, d (digest), u (priority draw), reach (n-gram length)."""
     skipped = lambda i: F.get(tokens, i).isin(*skip) if skip else F.lit(False)
     joins = lambda i: (i > 0) & F.get(pieces, i).startswith("##") & ~skipped(i) & ~skipped(i - 1)
@@ -102,7 +102,7 @@ def _words(tokens: Column, pieces: Column, skip, seed: int, key: Column, ngram_w
     return let(heads, lambda hs: F.transform(hs, lambda h, k: word(hs, h, k)))
 
 
-def choose_masks(tokens: Column, pieces: Column, key: Column, rate: float, seed: int, ngram_weights=(1.0, 1 / 2, 1 / 3), vocab: int = 0, mask_id: int = 0, skip=(), fixed: bool = False) -> Column:
+def choose_masks(tokens: Column, pieces: Column, key: Column, rate: float, seed: int, ngram_weights=(1.0, 1 / 2, 1 / 3), vocab: int = 0, mask_id: int = 0, skip=(), fixed: bool = False, permute: bool = False) -> Column:
     """Whole-word n-gram masking: struct of tokens, positions, labels, spans.
 
     Every word draws a priority and how many words its n-gram reaches over (lengths 1, 2, ... by
@@ -110,6 +110,10 @@ def choose_masks(tokens: Column, pieces: Column, key: Column, rate: float, seed:
     long as they fit into ``rate`` of the tokens (one word at least), so n-grams are masked together.
     Of the masked words 80% become the mask id, 10% stay, 10% get ids below ``vocab``; ``fixed``
     always writes the mask id. Tokens in ``skip`` are never masked. Neighbouring masks are one span.
+
+    ``permute`` draws a second set of n-grams by the same rule, within the same budget, among the words that
+    were not masked, and gives its tokens a drawn order: place ``swapped_to[i]`` gets the token of
+    place ``swapped_from[i]``. These places are positions with labels, too, but no spans.
     """
     most = len(ngram_weights)
 
@@ -120,7 +124,7 @@ def choose_masks(tokens: Column, pieces: Column, key: Column, rate: float, seed:
 
         return F.transform(ws, lambda w, k: w.withField("p", F.struct(best(k).alias("p"), k.alias("k"))))
 
-    def marked(ws):
+    def marked(ws, hit="hit"):
         budget = F.greatest(F.lit(1), F.round(F.size(tokens) * F.lit(rate)).cast("int"))
         order = F.sort_array(F.transform(F.filter(ws, lambda w: w["free"]), lambda w: F.struct(w["p"].alias("p"), w["n"].alias("n"))))
         start = F.struct(F.lit(0).alias("total"), F.lit(None).cast("struct<p:double,k:int>").alias("last"), F.lit(True).alias("open"))
@@ -130,7 +134,7 @@ def choose_masks(tokens: Column, pieces: Column, key: Column, rate: float, seed:
             return F.struct((a["total"] + F.when(fits, w["n"]).otherwise(0)).alias("total"), F.when(fits, w["p"]).otherwise(a["last"]).alias("last"), fits.alias("open"))
 
         last = F.aggregate(order, start, take, lambda a: a["last"])
-        return let(last, lambda cut: F.transform(ws, lambda w: w.withField("hit", F.coalesce(w["free"] & (w["p"] <= cut), F.lit(False)))))
+        return let(last, lambda cut: F.transform(ws, lambda w: w.withField(hit, F.coalesce(w["free"] & (w["p"] <= cut), F.lit(False)))))
 
     def written(ws):
         def new(w, j):
@@ -151,13 +155,39 @@ def choose_masks(tokens: Column, pieces: Column, key: Column, rate: float, seed:
             ),
         )
 
+    def swapped(ws, others):
+        """The masked row with the tokens of a second choice of words in a drawn order."""
+        rest = F.zip_with(ws, others, lambda w, o: o.withField("free", o["free"] & ~w["hit"]))
+        at = lambda os: F.flatten(F.transform(F.filter(os, lambda o: o["moved"]), lambda o: F.transform(upto(o["n"]), lambda j: o["at"] + j)))
+        drawn = lambda p: F.transform(F.array_sort(F.transform(p, lambda i: F.struct(digest(f"{seed}:swap", key, i).alias("d"), i.alias("i")))), lambda e: e["i"])
+
+        def write(row, p, q):
+            places = F.array_sort(F.concat(row["positions"], p))
+            moves = F.zip_with(p, q, lambda to, of: F.struct(to.alias("to"), of.alias("of")))
+            still = F.transform(F.array_except(upto(F.size(tokens)), p), lambda i: F.struct(i.alias("to"), i.alias("of")))
+            order = F.array_sort(F.concat(moves, still))
+            return F.struct(
+                F.transform(order, lambda e: F.get(row["tokens"], e["of"])).alias("tokens"),
+                places.alias("positions"),
+                F.transform(places, lambda i: F.get(tokens, i).cast("int")).alias("labels"),
+                row["spans"].alias("spans"),
+                p.alias("swapped_to"),
+                q.alias("swapped_from"),
+            )
+
+        chosen = let(let(rest, ranked), lambda os: marked(os, "moved"))
+        return let(written(ws), lambda row: let(let(chosen, at), lambda p: let(drawn(p), lambda q: write(row, p, q))))
+
     # ``tokens`` and ``pieces`` are evaluated once per row, not once per element.
     given = tokens, pieces
 
     def on(t, p):
         nonlocal tokens
         tokens = t
-        return let(let(let(_words(t, p, skip, seed, key, ngram_weights), ranked), marked), written)
+        masked = let(let(_words(t, p, skip, seed, key, ngram_weights), ranked), lambda ws: marked(ws))
+        if not permute:
+            return let(masked, written)
+        return let(masked, lambda ws: let(_words(t, p, skip, f"{seed}:move", key, ngram_weights), lambda os: swapped(ws, os)))
 
     return let(given[0], lambda t: let(given[1], lambda p: on(t, p)))
 

@@ -145,13 +145,14 @@ def inverse_cloze(df: DataFrame, n: int, sents: str = "sents", title: str = "tit
     )
 
 
-def mask_tokens(df: DataFrame, rate: float = 0.15, vocab: int = 1000, mask_id: int = 4, tokens: str = "tokens", pieces: str = "pieces", key: str = "sample_id", seed: int = 1, ngram_weights=(1.0, 1 / 2, 1 / 3), skip=(), fixed: bool = False) -> DataFrame:
+def mask_tokens(df: DataFrame, rate: float = 0.15, vocab: int = 1000, mask_id: int = 4, tokens: str = "tokens", pieces: str = "pieces", key: str = "sample_id", seed: int = 1, ngram_weights=(1.0, 1 / 2, 1 / 3), skip=(), fixed: bool = False, permute: bool = False) -> DataFrame:
     """Whole-word masking, reproducible from (seed, sample id); ``skip`` lists special tokens.
 
     ``ngram_weights`` are the shares of n-grams of 1, 2, ... words: 1/n favours short ones, its
-    reverse long ones, powers of (1 - p) give a geometric length.
+    reverse long ones, powers of (1 - p) give a geometric length. ``permute`` also gives a second choice
+    of words a drawn order, with both index arrays in ``swapped_to`` and ``swapped_from``.
     """
-    made = sp.choose_masks(F.col(tokens), F.col(pieces), F.col(key), rate, seed, ngram_weights, vocab, mask_id, skip, fixed)
+    made = sp.choose_masks(F.col(tokens), F.col(pieces), F.col(key), rate, seed, ngram_weights, vocab, mask_id, skip, fixed, permute)
     return df.withColumn("_m", made).select(key, F.col(tokens).alias("original"), "_m.*")
 
 

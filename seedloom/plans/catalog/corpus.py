@@ -214,6 +214,12 @@ def _(t):
     return co.mask_tokens(df)
 
 
+@query("c16_permute_tokens", "sample_id:l tokens:al positions:al labels:al swapped_to:al swapped_from:al")
+def _(t):
+    df = t.tokens.select(F.col("doc_id").alias("sample_id"), F.transform("toks", lambda w: F.length(w)).alias("tokens"), F.col("toks").alias("pieces"))
+    return co.mask_tokens(df, permute=True)
+
+
 @query("c17_pair_segments", "sample_id:s tokens:al types:al swapped:b")
 def _(t):
     docs = chunked_sents(t)
