@@ -9,6 +9,7 @@ from seedloom.functions.names import normalize_chrom, parse_attributes
 from seedloom.operators.base import finite_or_null, small_side
 from seedloom.operators.intervals import overlap_join
 from seedloom.operators.ordered import lay_out, release, row_index, running_max, running_sum, scan
+from seedloom.sources.ranges import in_regions, read_ranges
 
 
 # Order of a file's lines: its splits by offset, then the rows of a split.
@@ -104,17 +105,27 @@ def read_chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(f[0].alias("chrom"), f[1].cast("long").alias("size"))
 
 
-def read_signal(spark: SparkSession, path: str, track: str | None = None) -> DataFrame:
-    """Run-length signal from bedGraph text (the file name is the track) or a Parquet table."""
+def read_signal(spark: SparkSession, path: str, track: str | None = None, regions: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Run-length signal from bedGraph text (the file name is the track) or a Parquet table.
+
+    ``regions`` (chrom, start, end; half-open) keeps the intervals that touch them. With ``index``
+    (``ranges.index_positions``) only their byte ranges of the text are read.
+    """
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
-    lines = spark.read.text(path).filter("value <> '' and not value rlike '^(#|track|browser)'")
+        rows = spark.read.parquet(path)
+        return rows if regions is None else in_regions(rows.withColumn("_id", F.monotonically_increasing_id()), regions, ["_id"]).drop("_id")
+    if regions is not None and index is not None:
+        lines = read_ranges(index, regions)
+    else:
+        lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.filter("value <> '' and not value rlike '^(#|track|browser)'")
     f = F.split(F.trim("value"), r"\s+")
-    name = F.lit(track) if track else F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.bedgraph|\.bg)?(\.gz)?$", 1)
-    return lines.select(
+    name = F.lit(track) if track else F.regexp_extract("file", r"([^/]+?)(\.bedgraph|\.bg)?(\.gz)?$", 1)
+    rows = lines.select(
         name.alias("track"), f[0].alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"),
-        finite_or_null(f[3].try_cast("double")).alias("value"),
+        finite_or_null(f[3].try_cast("double")).alias("value"), "file", "at",
     )
+    return (rows if regions is None else in_regions(rows, regions, ["file", "at"])).drop("file", "at")
 
 
 def write_signal(track: DataFrame, path: str) -> None:
@@ -126,16 +137,21 @@ def write_signal(track: DataFrame, path: str) -> None:
     track.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").write.mode("overwrite").partitionBy("chrom").parquet(path)
 
 
-def read_vcf(spark: SparkSession, path: str, regions: DataFrame | None = None) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, regions: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """(chrom, pos, ref, alts, sample, a1, a2, phased): one row per variant and sample.
 
     ``regions`` (chrom, start, end; half-open) keeps variants inside them; names match as
     they are or in normalised form. Every file has its own samples; parts without a header take the
-    others' if those agree. Only the genotype is read; a missing allele is -1.
+    others' if those agree. Only the genotype is read; a missing allele is -1. With ``index``
+    (``ranges.index_positions``) only the headers and the byte ranges of the regions are read.
     """
-    lines = spark.read.text(path).select(
-        "value", F.input_file_name().alias("file"), F.input_file_block_start().alias("_at"), F.monotonically_increasing_id().alias("_id")
-    ).filter("not startswith(value, '##')")
+    if regions is not None and index is not None:
+        lines = read_ranges(index, regions).select("value", "file", F.lit(0).alias("_at"), F.col("at").alias("_id"))
+    else:
+        lines = spark.read.text(path).select(
+            "value", F.input_file_name().alias("file"), F.input_file_block_start().alias("_at"), F.monotonically_increasing_id().alias("_id")
+        )
+    lines = lines.filter("not startswith(value, '##')")
     heads = lines.filter("startswith(value, '#CHROM')").select("file", F.slice(F.split("value", "\t"), 10, 1 << 30).alias("_names"))
     known = heads.select("_names").distinct().limit(2).collect()
     if not known:
