@@ -77,18 +77,45 @@ def probe_random_forest(train: DataFrame, test: DataFrame, vec: str = "embedding
     return _classify(RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=8), train, test, vec, label, n_classes)
 
 
-def probe_boosted(train: DataFrame, test: DataFrame, vec: str = "embedding", label: str = "label", n_classes: int = 2, seed: int = 42, rounds: int = 100, lr: float = 0.1, depth: int = 6) -> DataFrame:
-    """Boosted trees; several classes are handled one against the rest."""
+def probe_boosted(train: DataFrame, test: DataFrame, vec: str = "embedding", label: str = "label", n_classes: int = 2, seed: int = 42, rounds: int = 100, lr: float = 0.1, depth: int = 6, task: str = "classification") -> DataFrame:
+    """Boosted trees. Several classes have a model each, one against the rest; their probabilities, taken
+    from the margins and scaled to a sum of one, are the scores, and the greatest margin is the class.
+    For regression the trees are boosted on squared errors.
+    """
     from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.functions import vector_to_array
+
+    if task == "regression":
+        from pyspark.ml.regression import GBTRegressor
 
+        return _regress(GBTRegressor(maxIter=rounds, stepSize=lr, maxDepth=depth, seed=seed), train, test, vec, label)
     gbt = GBTClassifier(maxIter=rounds, stepSize=lr, maxDepth=depth, seed=seed)
     if n_classes == 2:
         return _classify(gbt, train, test, vec, label, 2)
-    model = OneVsRest(classifier=gbt).fit(_features(train, vec, label))
-    pred = model.transform(_features(test, vec, label))
-    pred = pred.select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
-    scores = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda i: (i == F.col("pred")).cast("double"))
-    return mt.classification_metrics(pred.withColumn("scores", scores), n_classes=n_classes)
+    out = _features(test, vec, label)
+    models = OneVsRest(classifier=gbt).fit(_features(train, vec, label)).models
+    for i, model in enumerate(models):
+        model = model.copy({model.predictionCol: f"_c{i}", model.rawPredictionCol: f"_m{i}", model.probabilityCol: f"_p{i}"})
+        out = model.transform(out).withColumns({f"_m{i}": vector_to_array(f"_m{i}")[1], f"_p{i}": vector_to_array(f"_p{i}")[1]})
+    # A class that no row of the training split has keeps the score 0.
+    rest = [F.lit(0.0)] * (n_classes - len(models))
+    margins = F.array(*[f"_m{i}" for i in range(len(models))])
+    total = sum((F.col(f"_p{i}") for i in range(1, len(models))), F.col("_p0"))
+    scores = F.array(*[F.col(f"_p{i}") / total for i in range(len(models))], *rest)
+    pred = (F.array_position(margins, F.array_max(margins)) - 1).cast("int")
+    return mt.classification_metrics(out.select(F.col("label").cast("int").alias("label"), pred.alias("pred"), scores.alias("scores")), n_classes=n_classes)
+
+
+def probe_linear(train: DataFrame, test: DataFrame, vec: str = "embedding", label: str = "label", robust: bool = True, ridge: float = 0.0, iterations: int = 100) -> DataFrame:
+    """Linear regression; ``robust`` weighs large errors by their size, not its square (Huber)."""
+    from pyspark.ml.regression import LinearRegression
+
+    return _regress(LinearRegression(loss="huber" if robust else "squaredError", regParam=ridge, maxIter=iterations), train, test, vec, label)
+
+
+def _regress(estimator, train, test, vec, label) -> DataFrame:
+    out = estimator.fit(_features(train, vec, label)).transform(_features(test, vec, label))
+    return mt.regression_metrics(out.select(F.col("prediction").alias("pred"), F.col("label").alias("truth")))
 
 
 def hidden_widths(d: int) -> list[int]:
@@ -120,11 +147,7 @@ def probe_mlp(train: DataFrame, test: DataFrame, vec: str = "embedding", label:
         packed = joined.select(*[F.array(*[F.col(f"{c}{j}") for j in range(n)]).alias(k) for c, k in (("t", "labels"), ("p", "preds"), ("s", "scores"))])
         return mt.multilabel_metrics(packed)
     if task == "regression":
-        from pyspark.ml.regression import GBTRegressor
-
-        model = GBTRegressor(maxIter=min(iterations, 50), seed=seed).fit(_features(train, vec, label))
-        out = model.transform(_features(test, vec, label)).select(F.col("prediction").alias("pred"), F.col("label").alias("truth"))
-        return mt.regression_metrics(out)
+        return probe_boosted(train, test, vec, label, seed=seed, rounds=iterations, task="regression")
     raise ValueError(task)
 
 

@@ -5,7 +5,7 @@ A track table is run-length: (track, chrom, start, end, value), half-open.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedloom.operators.base import as_list, attach_row, for_each, is_finite, ratio, small_side
@@ -59,13 +59,19 @@ def total_is(track: DataFrame, by=("track",), target: float = 100.0, reads: floa
     return track.groupBy(*as_list(by)).agg(total.alias("total"), (F.abs(total / F.lit(target * reads) - 1) < tol).alias("ok"))
 
 
+# Bases of a tile whose sums run together.
+SUM_TILE = 1 << 20
+
+
 def average_tracks(tracks: DataFrame, drop_tail: DataFrame | None = None, step: int = 32000) -> DataFrame:
     """Mean signal over the tracks that have a chromosome; bases without signal count as 0.
 
     Works on interval ends: each interval adds its value at its start and takes it back at
-    its end, and a running sum over those points gives the total on every stretch. Zero
-    stretches are not written. ``drop_tail`` (chrom, size) cuts each chromosome at its last
-    full ``step``.
+    its end, and a running sum over those points gives the total on every stretch. Intervals are cut at
+    tiles of ``SUM_TILE`` bases, so a sum runs over one tile only and starts anew at the next, and values
+    are integers there, in parts of 2^-100 of the tile's greatest: what is added is taken back to
+    the last bit. A stretch ends at a tile's end. Zero stretches are not written. ``drop_tail``
+    (chrom, size) cuts each chromosome at its last full ``step``.
     """
     per = tracks.groupBy("chrom").agg(F.count_distinct("track").alias("_tracks"))
     live = tracks.filter(_nonzero() & (F.col("end") > F.col("start")))
@@ -73,19 +79,29 @@ def average_tracks(tracks: DataFrame, drop_tail: DataFrame | None = None, step:
         sizes = drop_tail.select("chrom", (F.floor(F.col("size") / step) * step).alias("_cut"))
         live = live.join(small_side(sizes), "chrom").withColumn("end", F.least("end", "_cut")).drop("_cut")
         live = live.filter(F.col("end") > F.col("start"))
-    ends = live.select(
-        "chrom",
+    tile = lambda at: F.floor(at / F.lit(SUM_TILE)).cast("long")
+    cut = live.select("chrom", "value", "start", "end", F.explode(F.sequence(tile(F.col("start")), tile(F.col("end") - 1))).alias("_tile"))
+    from_, to = F.greatest("start", F.col("_tile") * SUM_TILE), F.least("end", (F.col("_tile") + 1) * SUM_TILE)
+    # The exponent of a tile's unit: its greatest value has 100 bits, which leaves 2^26 values on top of each other.
+    top = cut.groupBy("chrom", "_tile").agg((F.lit(100) - F.ceil(F.log2(F.max(F.abs("value"))))).alias("_bits"))
+    cut = cut.join(top, ["chrom", "_tile"])
+    whole = F.round(F.col("value") * F.pow(F.lit(2.0), F.col("_bits"))).cast("decimal(38,0)")
+    ends = cut.select(
+        "chrom", "_tile", "_bits",
         F.explode(
             F.array(
-                F.struct(F.col("start").alias("pos"), F.col("value").alias("d"), F.lit(1).cast("long").alias("k")),
-                F.struct(F.col("end").alias("pos"), (-F.col("value")).alias("d"), F.lit(-1).cast("long").alias("k")),
+                F.struct(from_.alias("pos"), whole.alias("d"), F.lit(1).cast("long").alias("k")),
+                F.struct(to.alias("pos"), (-whole).alias("d"), F.lit(-1).cast("long").alias("k")),
             )
         ).alias("_e"),
-    )
-    points = ends.groupBy("chrom", F.col("_e.pos").alias("pos")).agg(F.sum("_e.d").alias("d"), F.sum("_e.k").alias("k"))
-    runs = ordered_scan(points, "chrom", "pos", total=running_sum("d"), open=running_sum("k"), stop=following("pos"))
+    )
+    points = ends.groupBy("chrom", "_tile", F.col("_e.pos").alias("pos")).agg(F.sum("_e.d").alias("d"), F.sum("_e.k").alias("k"), F.first("_bits").alias("_bits"))
+    along = Window.partitionBy("chrom", "_tile").orderBy("pos")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = points.select("chrom", "pos", "_bits", F.sum("d").over(upto).alias("total"), F.sum("k").over(upto).alias("open"), F.lead("pos").over(along).alias("stop"))
     runs = runs.filter((F.col("open") > 0) & F.col("stop").isNotNull()).join(small_side(per), "chrom")
-    return runs.select("chrom", F.col("pos").alias("start"), F.col("stop").alias("end"), (F.col("total") / F.col("_tracks")).alias("value"))
+    total = F.col("total").cast("double") / F.pow(F.lit(2.0), F.col("_bits"))
+    return runs.select("chrom", F.col("pos").alias("start"), F.col("stop").alias("end"), (total / F.col("_tracks")).alias("value"))
 
 
 def weighted_quantile(df: DataFrame, q: float, by=("track",), value: str = "value", weight: str = "w", tie=("chrom", "start"), to: str = "quantile") -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from seedloom.operators import corpus as co
 from seedloom.operators import probes as pb
+from seedloom.operators.ordered import ordered_scan, row_index
 from seedloom.operators import retrieval as rt
 from seedloom.plans.catalog.corpus import CHUNKS, lengths
 from seedloom.plans.registry import query
@@ -50,12 +51,12 @@ def _(t):
 @query(
     "j11_neighbour_continuation",
     "item_id:l step:l chunk_id:l tokens:al",
-    f"""WITH c AS (SELECT tokens, row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS chunk_id FROM {CHUNKS}), n AS (SELECT item_id, step, (item_id + step) % (SELECT count(*) FROM c) AS chunk_id FROM (SELECT chunk_id AS item_id, unnest([0, 1]) AS step FROM c WHERE chunk_id % 3 = 0))
+    f"""WITH c AS (SELECT tokens, row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS chunk_id FROM {CHUNKS}), n AS (SELECT item_id, step, (item_id + step) % (SELECT count(*) FROM c) AS chunk_id FROM (SELECT chunk_id AS item_id, unnest([0, 1]) AS step FROM c))
         SELECT n.item_id, n.step, n.chunk_id, tokens FROM n JOIN c USING (chunk_id)""",
 )
 def _(t):
     chunks = co.number_chunks(co.chunk_documents(lengths(t), 64))
-    near = chunks.filter("chunk_id % 3 = 0").select(F.col("chunk_id").alias("item_id"))
+    near = chunks.select(F.col("chunk_id").alias("item_id"))
     return rt.neighbour_continuation(near, chunks, 1)
 
 
@@ -119,6 +120,34 @@ def _(t):
     return pb.probe_boosted(*train_test(t), rounds=5, depth=4)
 
 
+def by_language(t):
+    """Both layers; the class is the language, the figure the length of the text."""
+    d = t.documents.select("doc_id", "lang", "n_chars", "text")
+    kinds = d.filter("lang is not null").select("lang").distinct()
+    number = ordered_scan(kinds, None, "lang", label=row_index()).withColumn("label", F.col("label") - 1)
+    rows = pb.embed(d, _letter_model, [0, 1], "text", "doc_id")
+    rows = rows.join(d.join(number, "lang").select(F.col("doc_id").alias("item_id"), "label", F.log1p("n_chars").alias("size")), "item_id")
+    return rows.filter("item_id % 3 <> 0"), rows.filter("item_id % 3 = 0"), kinds.count()
+
+
+@query("m03_boosted_classes", METRIC_ROW)
+def _(t):
+    train, test, n = by_language(t)
+    return pb.probe_boosted(train, test, n_classes=n, rounds=10, depth=4)
+
+
+@query("m03_boosted_regression", "n:l mae:d rmse:d r2:d")
+def _(t):
+    train, test, _ = by_language(t)
+    return pb.probe_boosted(train, test, label="size", rounds=10, depth=4, task="regression")
+
+
+@query("m04_robust_regression", "n:l mae:d rmse:d r2:d")
+def _(t):
+    train, test, _ = by_language(t)
+    return pb.probe_linear(train, test, label="size")
+
+
 @query("m04_probe_mlp", METRIC_ROW)
 def _(t):
     return pb.probe_mlp(*train_test(t), iterations=100)
@@ -138,20 +167,30 @@ def _(t):
 def _(t):
     from seedloom.streaming.timing import interval_report
 
-    # run as a stream over the event files, in append mode up to a closing watermark
+    # Append mode: an interval is written once, when the watermark has passed its end. The last ones
+    # close when a beat arrives whose time lies beyond all of them; it has no step and stays open itself.
     spark = t.spark
-    source = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    rows = source.select("ts", F.col("event_type").alias("step"), (F.col("user_id") % 8).alias("rank"), F.col("value").alias("duration"))
-    out, check = scratch_path(spark, "report"), scratch_path(spark, "report-state")
-
-    def keep(batch, epoch):
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    q = interval_report(rows).writeStream.outputMode("complete").option("checkpointLocation", check).foreachBatch(keep).trigger(availableNow=True).start()
-    q.awaitTermination()
-    done = spark.read.parquet(out)
-    last = done.agg(F.max("epoch").alias("epoch"))
-    return done.join(F.broadcast(last), "epoch").withColumn("begins", F.date_format("begins", "yyyy-MM-dd HH:mm:ss"))
+    out, check, beats = (scratch_path(spark, n) for n in ("report", "report-state", "report-beats"))
+    shape = "ts timestamp, step string, rank long, duration double"
+    spark.createDataFrame([], shape).write.parquet(beats)
+
+    def run():
+        source = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+        rows = source.select(F.col("ts").cast("timestamp"), F.col("event_type").alias("step"), (F.col("user_id") % 8).alias("rank"), F.col("value").alias("duration"))
+        rows = rows.unionByName(spark.readStream.schema(shape).parquet(beats))
+
+        def keep(batch, epoch):
+            # A batch that is run again replaces its own rows.
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+        sink = interval_report(rows).writeStream.outputMode("append").option("checkpointLocation", check).foreachBatch(keep)
+        sink.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    last = t.events.agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    last.selectExpr("ts", "cast(null as string) step", "cast(null as long) rank", "cast(null as double) duration").write.mode("append").parquet(beats)
+    run()
+    return spark.read.parquet(out).withColumn("begins", F.date_format("begins", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(

@@ -286,6 +286,19 @@ def _(t):
     return st.gaussian_smooth(t.matrix, "value", "position", 2.0, "sample_id")
 
 
+@query(
+    "f08_gaussian_smooth_wide",
+    "family:l position:l smooth:d",
+    """WITH k AS (SELECT d, exp(-0.5 * power(d / 100.0, 2)) / sum(exp(-0.5 * power(d / 100.0, 2))) OVER () AS w FROM range(-300, 301) r(d)),
+       v AS (SELECT DISTINCT user_id % 8 AS family, CAST(event_id AS BIGINT) AS position, value FROM events)
+       SELECT a.family, a.position, sum(b.value * w) AS smooth FROM v a JOIN v b ON a.family = b.family AND b.position BETWEEN a.position - 300 AND a.position + 300
+       JOIN k ON k.d = b.position - a.position GROUP BY 1, 2""",
+)
+def _(t):
+    rows = t.events.select((F.col("user_id") % 8).alias("family"), F.col("event_id").cast("long").alias("position"), "value").distinct()
+    return st.gaussian_smooth(rows, "value", "position", 100.0, "family")
+
+
 SCALE = "CASE WHEN {v} > 10 THEN 2 * sqrt(10 * ({v})) - 10 ELSE {v} END"
 
 
