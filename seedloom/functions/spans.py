@@ -159,13 +159,13 @@ def choose_masks(tokens: Column, pieces: Column, key: Column, rate: float, seed:
         """The masked row with the tokens of a second choice of words in a drawn order."""
         rest = F.zip_with(ws, others, lambda w, o: o.withField("free", o["free"] & ~w["hit"]))
         at = lambda os: F.flatten(F.transform(F.filter(os, lambda o: o["moved"]), lambda o: F.transform(upto(o["n"]), lambda j: o["at"] + j)))
-        drawn = lambda p: F.transform(F.array_sort(F.transform(p, lambda i: F.struct(digest(f"{seed}:swap", key, i).alias("d"), i.alias("i")))), lambda e: e["i"])
+        drawn = lambda p: F.transform(F.sort_array(F.transform(p, lambda i: F.struct(digest(f"{seed}:swap", key, i).alias("d"), i.alias("i")))), lambda e: e["i"])
 
         def write(row, p, q):
-            places = F.array_sort(F.concat(row["positions"], p))
+            places = F.sort_array(F.concat(row["positions"], p))
             moves = F.zip_with(p, q, lambda to, of: F.struct(to.alias("to"), of.alias("of")))
             still = F.transform(F.array_except(upto(F.size(tokens)), p), lambda i: F.struct(i.alias("to"), i.alias("of")))
-            order = F.array_sort(F.concat(moves, still))
+            order = F.sort_array(F.concat(moves, still))
             return F.struct(
                 F.transform(order, lambda e: F.get(row["tokens"], e["of"])).alias("tokens"),
                 places.alias("positions"),

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.operators.base import as_list, for_each, let, seeded_key, seeded_unit, small_side
-from seedloom.operators.ordered import following, lay_out, ordered_scan, previous, release, row_index, running_sum, scan
+from seedloom.operators.base import BROADCAST_ROWS, as_list, for_each, let, seeded_key, seeded_unit, small_side
+from seedloom.operators.ordered import derived, following, lay_out, ordered_scan, previous, release, row_index, running_sum, scan
+from seedloom.session import settle
 
 
 def sliding_windows(lens: DataFrame, w: int, overlap: int, length: str = "len") -> DataFrame:
@@ -114,13 +115,16 @@ def overlap_join(
         raise ValueError("overlap_join is an inner join; left-join its result on the key for the rest")
     by = as_list(by)
     last = 0 if closed else 1
+    # Both sides are looked at before they are joined.
+    a, b = (settle(side) if derived(side) else side for side in (a, b))
     left = a.withColumn("_lo", F.col("start") - flank).withColumn("_hi", F.col("end") + flank - last)
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     right = right.withColumn("_blo", F.col("b_start")).withColumn("_bhi", F.col("b_end") - last)
     left = left.filter(F.col("_lo") <= F.col("_hi")).withColumn("_lev", _level("_lo", "_hi", bin_size))
     right = right.filter(F.col("_blo") <= F.col("_bhi")).withColumn("_blev", _level("_blo", "_bhi", bin_size))
     # A handful of numbers from each side: the levels in use.
-    used = [sorted(r[0] for r in side.select(c).distinct().collect()) for side, c in ((left, "_lev"), (right, "_blev"))]
+    seen = left.select(F.lit(0).alias("side"), F.col("_lev").alias("level")).union(right.select(F.lit(1), "_blev")).distinct().collect()
+    used = [sorted(r["level"] for r in seen if r["side"] == side) for side in (0, 1)]
     if not all(used):
         return left.join(right.limit(0), F.lit(False)).drop("_lo", "_hi", "_blo", "_bhi", "_lev", "_blev")
     low = [n for n in used[1] if n >= used[0][0]]
@@ -168,10 +172,12 @@ def _sliced(left: DataFrame, right: DataFrame, by: list[str], crowd: int) -> tup
     A row's slice is a hash of its values, so that a task run again deals it the same way.
     """
     keys = [*by, "_at", "_bin"]
-    loads = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(crowd)).cast("int").alias("_n")).filter("_n > 1")
-    loads = small_side(loads)
-    if loads.limit(1).count() == 0:
+    loads = settle(left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(crowd)).cast("int").alias("_n")).filter("_n > 1"))
+    crowded = loads.limit(BROADCAST_ROWS + 1).count()
+    if not crowded:
         return left.withColumn("_slice", F.lit(0)), right.withColumn("_bslice", F.lit(0))
+    if crowded <= BROADCAST_ROWS:
+        loads = F.broadcast(loads)
     dealt = F.pmod(F.xxhash64(*[f"`{c}`" for c in left.columns]), F.coalesce("_n", F.lit(1))).cast("int")
     left = left.join(loads, keys, "left").withColumn("_slice", dealt).drop("_n")
     other = loads.select(*[F.col(c).alias(f"b_{c}") for c in by], F.col("_at").alias("_bat"), F.col("_bin").alias("_bbin"), "_n")

@@ -69,16 +69,18 @@ def lay_out(df: DataFrame, by, order, salt: bool = False) -> DataFrame:
 
     The bounds are the last keys of range partitions of the keys alone: as many as parts, held as one
     value in the plan. ``salt`` adds a random last key, so that rows with equal keys can be split
-    too; such a table is written once, for the draw must not change. So is a table that is itself the
-    outcome of shuffles or Python, as the passes over it would each compute it; a table that is only
-    read, filtered and projected is not.
+    too; such a table is written once, range-partitioned, for the draw must not change. So is a table that is
+    itself the outcome of shuffles or Python, as the passes over it would each compute it; a table that
+    is only read, filtered and projected is not.
     """
     by = as_list(by)
-    if salt or _derived(df):
-        df = settle(df.withColumn(SALT, F.rand(17)) if salt else df)
     order = [*as_list(order), *([SALT] if salt else [])]
     names = [*by, *[c.lstrip("-") for c in order]]
     down = [False] * len(by) + [c.startswith("-") for c in order]
+    if salt or derived(df):
+        df = df.withColumn(SALT, F.rand(17)) if salt else df
+        ends = [F.col(f"`{c}`").desc_nulls_last() if d else F.col(f"`{c}`").asc_nulls_first() for c, d in zip(names, down)]
+        return settle(df.repartitionByRange(*ends).withColumn(PID, F.spark_partition_id())).withColumn(CROSS, F.lit(True))
     keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]
     parts = PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(f"k{i}").desc_nulls_last() if d else F.col(f"k{i}").asc_nulls_first() for i, d in enumerate(down)]
@@ -128,7 +130,8 @@ def lay_out(df: DataFrame, by, order, salt: bool = False) -> DataFrame:
 _COSTLY = re.compile(r"(?m)^[\s:|+-]*(Aggregate|Join|Window|Sort|Repartition\w*|Deduplicate|Distinct|Generate|MapIn\w+|FlatMap\w+|\w*EvalPython)\b")
 
 
-def _derived(df: DataFrame) -> bool:
+def derived(df: DataFrame) -> bool:
+    """Whether ``df`` is the outcome of shuffles or Python, not of reading, filtering and projecting alone."""
     return bool(_COSTLY.search(df._jdf.queryExecution().optimizedPlan().treeString()))
 
 

@@ -236,22 +236,24 @@ def gaussian_smooth(df: DataFrame, value: str, pos: str, sigma: float, by=None,
     schema = T.StructType([*df.select(*cols).schema.fields, T.StructField(to, T.DoubleType())])
 
     def smoothed(table: pa.Table) -> pa.Table:
-        base = table["_tile"][0].as_py() * size
-        at = table["_at"].to_numpy() - base + half
+        at = table["_at"].to_numpy()
+        # The signal from the first to the last of the tile's positions, with half a kernel on both sides.
+        base, n = int(at.min()) - half, int(at.max() - at.min()) + 1 + 2 * half
+        at = at - base
         v = table["_v"].to_numpy(zero_copy_only=False).astype(np.float64)
         has = table["_v"].is_valid().to_numpy(zero_copy_only=False)
-        signal, known = np.zeros(size + 2 * half), np.zeros(size + 2 * half)
+        signal, known = np.zeros(n), np.zeros(n)
         np.add.at(signal, at[has], v[has])
         known[at[has]] = 1
         lo, hi = (table[c][0].as_py() for c in ("_lo", "_hi"))
         if lo is not None:
-            first, last = lo - base + half, hi - base + half
-            if 0 < first < len(signal):
+            first, last = lo - base, hi - base
+            if 0 < first < n:
                 signal[:first], known[:first] = signal[first], known[first]
-            if 0 <= last < len(signal) - 1:
+            if 0 <= last < n - 1:
                 signal[last + 1 :], known[last + 1 :] = signal[last], known[last]
         seen = np.cumsum(np.r_[0, known])
-        seen = seen[width:] - seen[: len(known) - width + 1] > 0
+        seen = seen[width:] - seen[: n - width + 1] > 0
         home = table["_home"].to_numpy(zero_copy_only=False)
         out = table.filter(table["_home"]).select(cols)
         place = at[home] - half

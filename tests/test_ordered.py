@@ -15,12 +15,15 @@ def data(spark):
     rows += [(f"g{k}", i, int(v)) for k in range(30) for i, v in enumerate(rng.integers(0, 100, 1 + k % 4))]
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield rows, spark.createDataFrame(rows, "g string, i long, v long").repartition(7)
+    yield rows, spark.createDataFrame(rows, "g string, i long, v long")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
 
 
-def test_scans(data):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_scans(data, shuffled):
+    """Over a table that is only read, and over one that comes out of a shuffle (written once)."""
     rows, df = data
+    df = df.repartition(7) if shuffled else df
     got = ordered_scan(
         df, "g", "i", s=running_sum("v"), back=running_sum("v", True), low=running_min("v", True), n=row_index(), p=previous("v", 2), f=following("v", 2)
     )
@@ -54,7 +57,7 @@ def test_layout_carries_no_payload(spark):
 def test_descending_and_null_keys(spark, data):
     rng = np.random.default_rng(2)
     rows = [(None if k % 5 == 0 else f"g{k % 5}", None if k % 11 == 0 else float(k % 400), k, int(v)) for k, v in enumerate(rng.integers(0, 9, 3000))]
-    df = spark.createDataFrame(rows, "g string, a double, i long, v long").repartition(5)
+    df = spark.createDataFrame(rows, "g string, a double, i long, v long")
     got = {r["i"]: (r["s"], r["p"]) for r in ordered_scan(df, "g", ["-a", "i"], s=running_sum("v"), p=previous("v")).collect()}
     key = lambda r: (r[0] or "", r[1] is None, -(r[1] or 0), r[2])
     for g, part in itertools.groupby(sorted(rows, key=key), key=lambda r: r[0]):
