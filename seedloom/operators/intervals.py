@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedloom.operators.base import BROADCAST_ROWS, as_list, for_each, let, seeded_key, seeded_unit, small_side
-from seedloom.operators.ordered import derived, following, lay_out, ordered_scan, previous, release, row_index, running_sum, scan
+from seedloom.operators.ordered import following, lay_out, ordered_scan, previous, release, row_index, running_sum, scan
 from seedloom.session import settle
 
 
@@ -97,7 +97,7 @@ def overlap_join(
     flank: int = 0,
     by=("chrom",),
     closed: bool = True,
-    bin_size: int = 1024,
+    bin_size: int = 16384,
     how: str = "inner",
     crowd: int = CROWD,
 ) -> DataFrame:
@@ -109,21 +109,21 @@ def overlap_join(
     well. A long interval costs a few rows, not one for each bin it covers. Only levels that the other
     side uses are written. A pair that shares both bins is kept in the first one. A bin with
     more than ``crowd`` rows of ``a`` is dealt over slices, and its rows of ``b`` go to each of them.
-    ``flank`` widens ``a`` for the test. Rows without start or end meet nothing.
+    ``bin_size`` is best near the usual interval length. ``flank`` widens ``a`` for the test. Rows without start or end meet nothing.
     """
     if how != "inner":
         raise ValueError("overlap_join is an inner join; left-join its result on the key for the rest")
     by = as_list(by)
     last = 0 if closed else 1
-    # Both sides are looked at before they are joined.
-    a, b = (settle(side) if derived(side) else side for side in (a, b))
     left = a.withColumn("_lo", F.col("start") - flank).withColumn("_hi", F.col("end") + flank - last)
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     right = right.withColumn("_blo", F.col("b_start")).withColumn("_bhi", F.col("b_end") - last)
     left = left.filter(F.col("_lo") <= F.col("_hi")).withColumn("_lev", _level("_lo", "_hi", bin_size))
     right = right.filter(F.col("_blo") <= F.col("_bhi")).withColumn("_blev", _level("_blo", "_bhi", bin_size))
-    # A handful of numbers from each side: the levels in use.
-    seen = left.select(F.lit(0).alias("side"), F.col("_lev").alias("level")).union(right.select(F.lit(1), "_blev")).distinct().collect()
+    # A handful of numbers from each side: the levels in use, with their rows.
+    seen = left.select(F.lit(0).alias("side"), F.col("_lev").alias("level")).union(right.select(F.lit(1), "_blev")).groupBy("side", "level").count().collect()
+    # No bin can be crowded by fewer rows than a crowd.
+    many = sum(r["count"] for r in seen if r["side"] == 0) > crowd
     used = [sorted(r["level"] for r in seen if r["side"] == side) for side in (0, 1)]
     if not all(used):
         return left.join(right.limit(0), F.lit(False)).drop("_lo", "_hi", "_blo", "_bhi", "_lev", "_blev")
@@ -138,8 +138,10 @@ def overlap_join(
         parts.append((_in_bins(left, "_lo", "_hi", F.col("_lev"), "_at", "_bin", bin_size), up))
     out = None
     for lefts, rights in parts:
-        lefts, rights = _sliced(lefts, rights, by, crowd)
-        cond = (F.col("_at") == F.col("_bat")) & (F.col("_bin") == F.col("_bbin")) & (F.col("_slice") == F.col("_bslice"))
+        cond = (F.col("_at") == F.col("_bat")) & (F.col("_bin") == F.col("_bbin"))
+        if many:
+            lefts, rights = _sliced(lefts, rights, by, crowd)
+            cond = cond & (F.col("_slice") == F.col("_bslice"))
         for c in by:
             cond = cond & (F.col(c) == F.col(f"b_{c}"))
         wide = _width(F.col("_at"), bin_size)
@@ -185,7 +187,7 @@ def _sliced(left: DataFrame, right: DataFrame, by: list[str], crowd: int) -> tup
     return left, right.withColumn("_bslice", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
 
 
-def not_overlapping(a: DataFrame, b: DataFrame, by=("chrom",), bin_size: int = 1024) -> DataFrame:
+def not_overlapping(a: DataFrame, b: DataFrame, by=("chrom",), bin_size: int = 16384) -> DataFrame:
     """Rows of ``a`` (half-open) that touch no interval of ``b``; ``a`` may repeat rows."""
     by = as_list(by)
     left = a.withColumn("_row", F.struct(*by, "start", "end"))
