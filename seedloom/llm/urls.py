@@ -18,8 +18,10 @@ from seedloom.llm.common import keep, table
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 # Blocked if the bad share is over LIMIT with about 97.5 percent of the posterior.
 LIMIT, DEVIATIONS = 0.5, 1.96
-# Suffixes of more than one label; a parameter, as lists of public suffixes change.
+# Suffixes of more than one label that are known without a table of them.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+# A host that is an address, not a name.
+_ADDRESS = r"\A([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*)\z"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,12 +45,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
-def domain_and_suffix(host: Column, long_suffixes=LONG_SUFFIXES) -> tuple[Column, Column]:
-    """Registered domain (one label more than the suffix, or the whole host) and suffix."""
-    two = F.substring_index(host, ".", -2)
-    is_long = two.isin(list(long_suffixes))
-    suffix = F.when(is_long, two).otherwise(F.substring_index(host, ".", -1))
-    return F.when(is_long, F.substring_index(host, ".", -3)).otherwise(two), suffix
+def domain_and_suffix(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` (one row per host) with the registered domain, one label more than the suffix, and the suffix.
+
+    ``suffixes`` has a column ``suffix`` of names of several labels, such as a list of public suffixes;
+    without it LONG_SUFFIXES count. The longest that ends a host is its suffix, else its last label. User
+    names and ports are no part of a domain; an address is a domain of its own with an empty suffix.
+    """
+    if suffixes is None:
+        suffixes = hosts.sparkSession.createDataFrame([(s,) for s in LONG_SUFFIXES], "suffix string")
+    name = F.regexp_replace(F.substring_index("host", "@", -1), r":[0-9]*\z", "")
+    named = hosts.withColumn("name", name).withColumn("labels", F.split("name", r"\."))
+    tail = lambda n: F.array_join(F.slice("labels", F.size("labels") - n + 1, n), ".")
+    tails = named.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda n: F.struct(n.alias("n"), tail(n).alias("tail")))).alias("t"))
+    listed = suffixes.select(F.lower("suffix").alias("tail")).distinct()
+    known = tails.select("host", "t.n", "t.tail").filter("n > 1").join(listed, "tail").groupBy("host").agg(F.max("n").alias("n"))
+    n = F.coalesce("n", F.lit(1))
+    address = F.col("name").rlike(_ADDRESS)
+    domain = F.when(address, F.col("name")).otherwise(tail(F.least(n + 1, F.size("labels"))))
+    suffix = F.when(address, F.lit("")).otherwise(tail(n))
+    return named.join(known, "host", "left").withColumns({"domain": domain, "suffix": suffix}).drop("name", "labels", "n")
 
 
 def _strength(groups: DataFrame, parent_rate: str) -> float:
@@ -67,7 +83,7 @@ def _strength(groups: DataFrame, parent_rate: str) -> float:
     return max(1.0, 1 / min(share, 1.0) - 1)
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, bad 0/1 or null) -> host, n, bad, mean, low: posterior mean and lower bound of each host.
 
     Null is a page without outcome. A host of such pages alone has the mean of the next level with outcomes
@@ -76,9 +92,8 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     Three figures and three strengths pass through the driver. Hosts, domains and suffixes are
     summed before they are shuffled, so a host with a third of all pages is one row per task.
     """
-    domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    hosts = keep(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    counts = outcomes.groupBy("host").agg(F.count("bad").alias("outcomes"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+    hosts = keep(domain_and_suffix(counts, suffixes).withColumnRenamed("outcomes", "n"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -98,20 +113,21 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return level.select("host", "n", F.col("k").alias("bad"), "mean", (F.col("mean") - DEVIATIONS * sd).alias("low"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, page_id="page_id", url="url", label_id="doc_id", limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, page_id="page_id", url="url", label_id="doc_id", limit: float = LIMIT, suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, reputation (posterior mean; null without a host).
 
     A page is bad if a label row of its id says toxic = 1 or quality = 0; several rows count as
     one, bad if any is; null labels count as good, null ids match nothing. A url of a host without
     outcomes is judged by its domain, suffix or all; null urls and urls without ``://``, whose host and
-    path are empty, are allowed. Repeated pages each have a row. Other columns are ignored.
+    path are empty, are allowed. Repeated pages each have a row. Other columns are ignored. ``suffixes``:
+    see ``domain_and_suffix``.
     """
     host, path = host_and_path(F.col("url"))
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"))
     p = p.select("page_id", host.alias("host"), path.alias("path"))
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
     known = labels.groupBy(F.col(label_id).alias("page_id")).agg(F.max(bad).alias("bad"))
-    scored = reputations(p.filter("host <> ''").join(known, "page_id", "left").select("host", "bad"))
+    scored = reputations(p.filter("host <> ''").join(known, "page_id", "left").select("host", "bad"), suffixes)
     name, action = rule_of(F.col("host"), F.col("path"))
     own = F.when(F.col("low") > limit, "block").otherwise("allow")
     return p.join(scored.select("host", "mean", "low"), "host", "left").select(
@@ -132,33 +148,40 @@ WITH u AS (
 ), known AS (
   SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
 ), h AS (
-  SELECT host, count(*) AS n, sum(bad) AS k, string_split(host, '.') AS part FROM p JOIN known USING (page_id) WHERE host <> '' GROUP BY host
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, regexp_replace(string_split(host, '@')[-1], ':[0-9]*\z', '') AS name
+  FROM p LEFT JOIN known USING (page_id) WHERE host <> '' GROUP BY host
 ), hosts AS (
-  SELECT host, n, k, two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') AS long,
-    CASE WHEN long THEN array_to_string(part[-3:], '.') ELSE two END AS domain, CASE WHEN long THEN two ELSE part[-1] END AS suffix
-  FROM (SELECT *, array_to_string(part[-2:], '.') AS two FROM h)
+  SELECT host, n, k, two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') AS long, regexp_matches(name, '\A([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*)\z') AS address,
+    CASE WHEN address THEN name WHEN long THEN array_to_string(part[-3:], '.') ELSE two END AS domain,
+    CASE WHEN address THEN '' WHEN long THEN two ELSE part[-1] END AS suffix
+  FROM (SELECT *, array_to_string(part[-2:], '.') AS two FROM (SELECT *, string_split(name, '.') AS part FROM h))
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
 m0 AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS m FROM suffixes),
 f1 AS (
-  SELECT sum(n * (k / n - m) ** 2) AS seen, sum(m * (1 - m)) AS chance, sum(m * (1 - m) * (n - 1)) AS more FROM suffixes, m0
+  SELECT sum(n * (k / n - m) ** 2) AS seen, sum(m * (1 - m)) AS chance, sum(m * (1 - m) * (n - 1)) AS more FROM suffixes, m0 WHERE n > 0
 ), s1 AS (
   SELECT CASE WHEN more IS NULL OR more = 0 THEN 1 WHEN (seen - chance) / more <= 1e-6 THEN 1e6
     ELSE greatest(1, 1 / least((seen - chance) / more, 1) - 1) END AS s FROM f1
-), l1 AS (SELECT suffix, (k + s * m) / (n + s) AS m FROM suffixes, s1, m0),
-d AS (SELECT domains.*, m FROM domains JOIN l1 USING (suffix)),
-f2 AS (SELECT sum(n * (k / n - m) ** 2) AS seen, sum(m * (1 - m)) AS chance, sum(m * (1 - m) * (n - 1)) AS more FROM d),
+), l1 AS (
+  SELECT suffix, (k + s * m) / (n + s) AS m, CASE WHEN n > 0 THEN 0 ELSE 1 / (s + 1) END AS open FROM suffixes, s1, m0
+),
+d AS (SELECT domains.*, m, open FROM domains JOIN l1 USING (suffix)),
+f2 AS (SELECT sum(n * (k / n - m) ** 2) AS seen, sum(m * (1 - m)) AS chance, sum(m * (1 - m) * (n - 1)) AS more FROM d WHERE n > 0),
 s2 AS (
   SELECT CASE WHEN more IS NULL OR more = 0 THEN 1 WHEN (seen - chance) / more <= 1e-6 THEN 1e6
     ELSE greatest(1, 1 / least((seen - chance) / more, 1) - 1) END AS s FROM f2
-), l2 AS (SELECT domain, suffix, (k + s * m) / (n + s) AS m FROM d, s2),
-e AS (SELECT hosts.*, m FROM hosts JOIN l2 USING (domain, suffix)),
-f3 AS (SELECT sum(n * (k / n - m) ** 2) AS seen, sum(m * (1 - m)) AS chance, sum(m * (1 - m) * (n - 1)) AS more FROM e),
+), l2 AS (
+  SELECT domain, suffix, (k + s * m) / (n + s) AS m, CASE WHEN n > 0 THEN 0 ELSE 1 - (1 - open) * (1 - 1 / (s + 1)) END AS open FROM d, s2
+),
+e AS (SELECT hosts.*, m, open FROM hosts JOIN l2 USING (domain, suffix)),
+f3 AS (SELECT sum(n * (k / n - m) ** 2) AS seen, sum(m * (1 - m)) AS chance, sum(m * (1 - m) * (n - 1)) AS more FROM e WHERE n > 0),
 s3 AS (
   SELECT CASE WHEN more IS NULL OR more = 0 THEN 1 WHEN (seen - chance) / more <= 1e-6 THEN 1e6
     ELSE greatest(1, 1 / least((seen - chance) / more, 1) - 1) END AS s FROM f3
 ), scored AS (
-  SELECT host, (k + s * m) / (n + s) AS mean, mean - 1.96 * sqrt(mean * (1 - mean) / (n + s + 1)) AS low FROM e, s3
+  SELECT host, (k + s * m) / (n + s) AS mean,
+    mean - 1.96 * sqrt(mean * (1 - mean) * CASE WHEN n > 0 THEN 1 / (n + s + 1) ELSE 1 - (1 - open) * (1 - 1 / (s + 1)) END) AS low FROM e, s3
 ), judged AS (
   SELECT page_id, p.host, path, low,
     CASE WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +259,44 @@ def test_urls_without_labels(spark):
     assert [got[i]["verdict"] for i in range(1, 7)] == ["block", "allow", "block", "allow", "block", "allow"]
     assert got[1]["reputation"] > 0.95 and got[2]["reputation"] < 0.05 and got[6]["reputation"] is None
     assert abs(got[4]["reputation"] - (2500.5 / 5401)) < 1e-9
+
+
+def judged_by_sql(pages, labels):
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [p for p, _ in pages], "url": [u for _, u in pages]}))
+    con.register("labels", pa.table({c: [r[i] for r in labels] for i, c in enumerate(("doc_id", "quality", "toxic"))}))
+    return sorted(con.execute(urls.OP10_SQL).fetchall(), key=str)
+
+
+def test_urls_sql_on_hosts_without_labels(spark):
+    """Query and SQL agree where hosts, domains or suffixes have no outcomes, and on ports and addresses."""
+    rng = random.Random(4)
+    tails = ["bad.com", "good.com", "mixed.co.uk", "vile.zz", "fine.org", "shop.com.au", "new.nn", "co.uk", "lone"]
+    share = {"bad.com": 0.95, "vile.zz": 0.9, "mixed.co.uk": 0.5, "shop.com.au": 0.7}
+    pages, labels = [], []
+    for i in range(1500):
+        tail = rng.choice(tails)
+        host = rng.choice(["", "a.", f"b{rng.randrange(30)}.", "u:p@c."]) + tail + rng.choice(["", "", ":80", ":"])
+        if i % 11 == 0:
+            host, tail = f"10.0.0.{rng.randrange(9)}" + rng.choice(["", ":8080"]), "10"
+        pages.append((i, f"http://{host}/{i}"))
+        if tail not in ("new.nn", "lone") and rng.random() < 0.6:
+            labels.append((i, 1, int(rng.random() < share.get(tail, 0.05))))
+    pages += [(9001, "http://fresh.bad.com/"), (9002, "http://other.zz/"), (9003, "http://[::1]:80/"), (9004, "http:///"), (9005, None)]
+    df, lab = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = urls.judge(df, lab).drop("reputation").collect()
+    assert sorted(map(tuple, got), key=str) == judged_by_sql(pages, labels)
+    verdict = {r["page_id"]: r["verdict"] for r in got}
+    assert verdict[9001] == verdict[9002] == "block" and verdict[9005] == "allow"
+
+
+def test_urls_suffix_table(spark):
+    hosts = ["a.b.city.kawasaki.jp", "x.co.uk", "co.uk", "u@w.x.com:81", "1.2.3.4:5", "[::1]", "one", "a.b.c"]
+    table = spark.createDataFrame([("city.kawasaki.jp", 1), ("kawasaki.jp", 2), ("Co.uk", 3), ("co.uk", 4)], "suffix string, n int")
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in urls.domain_and_suffix(df, table).collect()}
+    assert [got[h] for h in hosts] == [
+        ("b.city.kawasaki.jp", "city.kawasaki.jp"), ("x.co.uk", "co.uk"), ("co.uk", "co.uk"), ("x.com", "com"), ("1.2.3.4", ""),
+        ("[::1]", ""), ("one", "one"), ("b.c", "c"),
+    ]
+    assert urls.domain_and_suffix(df.limit(0)).count() == 0
