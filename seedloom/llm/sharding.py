@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from seedloom.llm.common import keep, table, text_or_empty
 
 SHARDS = 16
-ROUNDS = 20
 # Steps by which a quota is filled: groups x parts of a group.
 STEPS, PARTS = 512, 32
 # Rows that one task puts in order at most, about.
@@ -46,15 +45,18 @@ def _lookup(values: list[int], at: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), at)
 
 
-def propagate(linked: DataFrame, targets: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """(group, doc, size, crc, label) with labels after propagation; no shard exceeds its target.
+def propagate(linked: DataFrame, targets: list[int]) -> DataFrame:
+    """(group, doc, size, crc, label) once no document asks to move; no shard exceeds its target.
+
+    Rounds end by themselves: a move goes from a shard to one with as many copies of the group or more, so
+    the sum over groups of squared counts grows with each, and a round without moves closes a shard.
 
     Moves into a shard are taken group by group in steps of a bounded histogram
     (shards x STEPS x PARTS rows), which is the only table handed to all tasks. A shard that had to turn a
     step away is full but for less than that step and takes no more; its askers try the next best.
     """
     shards, closed = len(targets), set()
-    for _ in range(rounds):
+    while True:
         counts = linked.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
         load = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
         free = [0 if s in closed else targets[s] - load.get(s, 0) for s in range(shards)]
@@ -84,7 +86,7 @@ def propagate(linked: DataFrame, targets: list[int], rounds: int = ROUNDS) -> Da
     return linked
 
 
-def balanced_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per row of ``docs``.
 
     ``size`` is the text's UTF-8 bytes plus 1; a null text has size 1 and the crc of no bytes, and is
@@ -109,7 +111,7 @@ def balanced_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_linked = linked.count()
     start = ranked(linked, [], n_linked, "at", ["doc", "group"])
     start = keep(start.withColumn("label", F.pmod("at", F.lit(shards)).cast("int")).drop("at"), "labels")
-    settled = propagate(start, targets, rounds)
+    settled = propagate(start, targets)
     load = {r["label"]: r["n"] for r in settled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     # Documents without links take the places that are left, in an order of hashes.
     ends, filled = [], 0
