@@ -5,7 +5,8 @@ the lengths of all pieces and matches before it end, so positions cost one runni
 Entities are the matched values. For every term that stands in texts with an entity, the corpus
 says how many documents hold the term, the entity and both; the share of the entity's
 information that the term discloses, pmi(term, entity) / -log p(entity), decides whether the
-term is a span, too, in every text that has it.
+term is a span, too, in every text that has it. Such a term is generalised to the words that share
+its beginning, if these surely disclose less, else removed.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seedloom.llm.common import keep, table, text_or_empty
 from seedloom.llm.linededup import NO_ID
-from seedloom.operators.base import let
+from seedloom.operators.base import let, small_side
 
 # The contract's patterns, in its order. Possessive repeats and the first
 # condition (not inside a run, unless the match before ended there) change no match; they keep the
@@ -30,6 +31,8 @@ TERM = "term"
 # A term counts as one that discloses an entity if at least this share of the entity's information
 # follows from it, seen in at least so many different texts.
 DISCLOSED, SUPPORT = 0.9, 3
+# Letters that the general form of a term keeps at least.
+SHORTEST = 3
 # Keys over which a word's texts are dealt where they meet the terms.
 SALTS = 64
 _WORD = r"\p{L}{3,}"
@@ -103,25 +106,52 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(_WORD), F.lit(0)))
 
 
+def _disclosure(n_et, n_e, n_t, total: int) -> Column:
+    """Share of the entity's information that follows from the term: pmi(term, entity) / -log p(entity)."""
+    return 1 + F.log(F.least(n_et / n_t, F.lit(1.0))) / -F.log(n_e / F.lit(float(max(total, 1))))
+
+
 def disclosing_terms(docs: DataFrame, matches: DataFrame, spans: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
-    """entity, term: terms over the threshold.
+    """entity, term, general: terms over the threshold, with their general form or null if there is none.
 
     All counts are of documents of the whole corpus, copies included; the support alone counts
-    different texts, as copies are no evidence of their own.
+    different texts, as copies are no evidence of their own. Entities that stand in the same
+    texts are disclosed by the same terms, so the smallest hash stands for them all.
     """
     total = docs.count()
     # Copies of a text are one row with their number from here on.
     held = spans.select("doc", "text_hash", F.xxhash64("kind", "match").alias("entity")).distinct()
     held = held.groupBy("entity", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    of_entity = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    # The texts of an entity as two sums of hashes.
+    where = [F.bit_xor(F.xxhash64("text_hash", F.lit(i))).alias(f"where{i}") for i in (1, 2)]
+    of_entity = held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"), *where)
     # A term over the threshold needs an entity in as many texts as the support.
-    held = keep(held.join(of_entity.filter(F.col("texts") >= support).drop("texts"), "entity"), "entities")
+    alike = of_entity.filter(F.col("texts") >= support).groupBy("n_e", "texts", "where1", "where2").agg(F.min("entity").alias("entity"))
+    held = keep(held.join(alike.select("entity", "n_e"), "entity"), "entities")
     texts = matches.join(held.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
     both = held.join(texts, "text_hash").select("entity", "n_e", "n", "text_hash", F.explode(_words(F.col("text"))).alias("term"))
     pairs = both.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    of_term = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    share = 1 + F.log(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))) / -F.log(F.col("n_e") / F.lit(float(max(total, 1))))
-    return pairs.filter(F.col("n_e") < total).join(of_term, "term").filter(share >= disclosed).select("entity", "term")
+    of_term = keep(docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "words")
+    share = _disclosure(F.col("n_et"), F.col("n_e"), F.col("n_t"), total)
+    found = keep(pairs.filter(F.col("n_e") < total).join(of_term, "term").filter(share >= disclosed).select("entity", "n_e", "term"), "disclosing")
+    return found.join(general_forms(found, of_term, total, disclosed), "term", "left").select("entity", "term", "general")
+
+
+def general_forms(found: DataFrame, of_term: DataFrame, total: int, disclosed: float = DISCLOSED) -> DataFrame:
+    """(entity, n_e, term) -> term, general: the longest beginning whose words disclose none of the term's entities.
+
+    The words with a beginning stand in as many texts as the most frequent of them at least, and with an
+    entity in as many as the entity has at most; if even these two counts stay below the threshold, the
+    beginning is general enough. Terms without such a beginning have no row.
+    """
+    starts = lambda word: F.transform(F.sequence(F.lit(SHORTEST), F.length(word)), lambda n: F.substring(word, F.lit(1), n))
+    # (log N - log n_t) / (log N - log n_e) grows with n_e, so a term's most frequent entity decides.
+    by_term = found.groupBy("term").agg(F.max("n_e").alias("n_e")).filter(F.length("term") > SHORTEST)
+    asked = by_term.select("term", "n_e", F.explode(F.slice(starts(F.col("term")), F.lit(1), F.length("term") - SHORTEST)).alias("start"))
+    most = of_term.select("n_t", F.explode(starts(F.col("term"))).alias("start")).groupBy("start").agg(F.max("n_t").alias("n_t"))
+    fits = asked.join(most, "start").filter(_disclosure(F.col("n_e"), F.col("n_e"), F.col("n_t"), total) < disclosed)
+    longest = fits.groupBy("term").agg(F.max(F.struct(F.length("start").alias("n"), "start")).alias("best"))
+    return longest.select("term", F.col("best.start").alias("general"))
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, spans: DataFrame) -> DataFrame:
@@ -129,16 +159,17 @@ def term_spans(docs: DataFrame, terms: DataFrame, spans: DataFrame) -> DataFrame
     those that touch a base span."""
     own = docs.select("doc", F.xxhash64("text").alias("text_hash"), "text")
     # A word of every text is dealt over SALTS keys, each with its copy of the terms.
-    salted = terms.select("term").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = small_side(terms.select("term", "general").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     words = own.select("text_hash", F.pmod("text_hash", F.lit(SALTS)).cast("int").alias("salt"), F.explode(_words(F.col("text"))).alias("term"))
-    listed = words.join(salted, ["term", "salt"]).groupBy("text_hash").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("listed"))
+    listed = words.join(salted, ["term", "salt"]).groupBy("text_hash").agg(F.sort_array(F.collect_set(F.struct("term", "general"))).alias("listed"))
     own = own.join(listed, "text_hash")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("listed"), F.lit(r")(?!\p{L})"))
-    rows = own.select("doc", "text_hash", F.posexplode(_pieces(F.col("text"), pattern)).alias("nth", "x"))
-    rows = rows.select("doc", "text_hash", "nth", F.col("x.match").alias("match"), F.col("x.gap").alias("gap"))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("listed.term", "|"), F.lit(r")(?!\p{L})"))
+    general = F.map_from_entries("listed")
+    rows = own.select("doc", "text_hash", general.alias("of"), F.posexplode(_pieces(F.col("text"), pattern)).alias("nth", "x"))
+    rows = rows.select("doc", "text_hash", "nth", F.col("x.match").alias("match"), F.col("x.gap").alias("gap"), F.try_element_at("of", F.lower("x.match")).alias("general"))
     placed = _positions(rows.repartition("doc", "text_hash").distinct(), ["doc", "text_hash"]).withColumn("kind", F.lit(TERM))
-    cols = ["doc", "text_hash", "kind", "start", "end", "match"]
-    every = placed.select(cols).union(spans.select(cols))
+    cols = ["doc", "text_hash", "kind", "start", "end", "match", "general"]
+    every = placed.select(cols).union(spans.withColumn("general", F.lit(None).cast("string")).select(cols))
     w = Window.partitionBy("doc", "text_hash").orderBy("start")
     base = F.col("kind") != TERM
     before = F.max(F.when(base, F.col("end"))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -148,8 +179,9 @@ def term_spans(docs: DataFrame, terms: DataFrame, spans: DataFrame) -> DataFrame
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_hash, spans: array of (start, rank, end, kind, match) by
-    start, then kind in the order of KINDS with terms last; code points, end exclusive.
+    """One row per row of ``docs``: doc_id, text_hash, spans: array of (start, rank, end, kind, match, general) by
+    start, then kind in the order of KINDS with terms last; code points, end exclusive. ``general`` is the
+    general form of a term, null for terms that have none and for base spans.
 
     Null and empty texts have no spans. Rows that share id and text share their spans; a null
     id stays null. An empty table gives an empty result. Other columns are ignored.
@@ -160,10 +192,10 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     matches = keep(texts_with_matches(d), "matches")
     spans = keep(base_spans(matches), "spans")
     terms = keep(disclosing_terms(d, matches, spans, disclosed, support), "terms")
-    cols = ["doc", "text_hash", "kind", "start", "end", "match"]
-    every = spans.select(cols).union(term_spans(d, terms, spans))
+    cols = ["doc", "text_hash", "kind", "start", "end", "match", "general"]
+    every = spans.withColumn("general", F.lit(None).cast("string")).select(cols).union(term_spans(d, terms, spans))
     rank = F.array_position(F.array(*[F.lit(k) for k in [*KINDS, TERM]]), F.col("kind")).cast("int")
-    one = F.struct(F.col("start").cast("long").alias("start"), rank.alias("rank"), F.col("end").cast("long").alias("end"), "kind", "match")
+    one = F.struct(F.col("start").cast("long").alias("start"), rank.alias("rank"), F.col("end").cast("long").alias("end"), "kind", "match", "general")
     listed = every.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(one)).alias("spans"))
     ids = named.select("doc", "doc_id", F.xxhash64("text").alias("text_hash"))
     return ids.join(listed, ["doc", "text_hash"], "left").drop("doc")
@@ -171,7 +203,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def sanitise(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span of ``found`` replaced: matches by their kind in brackets, terms by
-    a bracketed general word. A span that starts inside the one before is part of it."""
+    their general form, as in ``[zan*]``, and by ``[term]`` if they have none. A span that starts inside the one before is part of it."""
     first = found.groupBy(doc_id, "text_hash").agg(F.first("spans").alias("_spans"))
     own = docs.withColumn("text_hash", F.xxhash64(text_or_empty(text)))
     joined = own.join(first, [doc_id, "text_hash"], "left")
@@ -181,7 +213,7 @@ def sanitise(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: st
     def rewritten(s, body):
         begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["end"]).cast("int")
         stop = lambda i: F.when(i == F.size(s), F.length(body)).otherwise(F.get(s, i)["start"]).cast("int")
-        put = lambda i: F.when(i == F.size(s), F.lit("")).otherwise(F.concat(F.lit("["), F.get(s, i)["kind"], F.lit("]")))
+        put = lambda i: F.when(i == F.size(s), F.lit("")).otherwise(F.concat(F.lit("["), F.coalesce(F.concat(F.get(s, i)["general"], F.lit("*")), F.get(s, i)["kind"]), F.lit("]")))
         return F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.concat(F.substring(body, begin(i) + 1, stop(i) - begin(i)), put(i))), "")
 
     new = let(outer, lambda s: let(text_or_empty(text), lambda body: rewritten(s, body)))
@@ -195,5 +227,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     show = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
     return found.select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(show(base), 256).alias("base_sha256"), show(spans).alias("spans")
-    )
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(show(base), 256).alias("base_sha256"), show(spans).alias("spans"),
+        F.size(F.filter(spans, lambda x: x["general"].isNotNull())).cast("long").alias("n_generalised"),
+        F.size(F.filter(spans, lambda x: (x["kind"] == TERM) & x["general"].isNull())).cast("long").alias("n_removed"),
+    )

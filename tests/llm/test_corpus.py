@@ -237,6 +237,30 @@ def test_pii_terms_without_entity(spark):
     assert {r["text"] for r in pii.sanitise(docs, found).filter("doc_id = 700").collect()} == {"only [term] here, [term]"}
 
 
+def test_pii_generalises(spark):
+    """A term gives way to the longest beginning that surely discloses less than the threshold, else to [term]."""
+    rows = [(i, f"zander fish of text {i}") for i in range(300)] + [(400 + i, f"plain words, number {i}") for i in range(700)]
+    rows += [(2000 + i, f"Zanzibarian ann@mail.org Qux ann@mail.org w{i}th") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_personal_data(docs)
+    got = {r["doc_id"]: [(s["match"], s["general"]) for s in r["spans"] or [] if s["kind"] == pii.TERM] for r in found.collect()}
+    assert got[2000] == [("Zanzibarian", "zan"), ("Qux", None)] and not got[0] and not got[400]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, found).collect()}
+    assert clean[2003] == "[zan*] [email] [term] [email] w3th" and clean[7] == dict(rows)[7]
+
+
+def test_pii_many_entities_in_a_text(spark):
+    """Entities of the same texts count as one: texts with 3,000 addresses and words each are no product of both."""
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i: "".join(letters[i // 20**k % 20] for k in range(3))
+    body = " ".join(f"{word(i)}zz u{i}@mail.org" for i in range(3000))
+    rows = [(i, f"plain text number {i}") for i in range(200)] + [(900 + i, f"{body} end{word(i)}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    matches = pii.texts_with_matches(docs.select(F.col("doc_id").alias("doc"), "text"))
+    terms = pii.disclosing_terms(docs.select(F.col("doc_id").alias("doc"), "text"), matches, pii.base_spans(matches)).collect()
+    assert len({r["entity"] for r in terms}) == 1 and {r["term"] for r in terms} == {f"{word(i)}zz" for i in range(3000)}
+
+
 def test_pii_long_runs(spark):
     """Long runs of one character class stay linear and do not overflow the stack."""
     text = "a" * 200_000 + " " + "1" * 200_000 + " " + "1 " * 50_000 + "1." * 50_000 + " b@c.de"
