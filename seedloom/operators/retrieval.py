@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,15 +15,21 @@ from seedloom.operators.base import as_list, seeded_unit
 from seedloom.session import settle
 
 # Vector components in the query block and the item block that meet in one task.
-QUERY_VALUES = 1 << 18
-ITEM_VALUES = 1 << 22
+QUERY_VALUES = 1 << 20
+ITEM_VALUES = 1 << 21
+# Queries and items whose scores a task holds at a time, whatever the width of the vectors.
+QUERY_TILE, ITEM_TILE = 1024, 2048
+# New candidates for each query of a tile that are merged by sorting; more are picked by the k-th value.
+MERGED = 64
 
+PAIR = "query_id long, item_id long, score double"
 
-def _block_rows(df: DataFrame, vec: str) -> tuple[int, int]:
-    """Rows per query block and per item block for the width of these vectors."""
-    first = df.select(F.size(vec).alias("d")).first()
-    d = max(1, first["d"] if first else 1)
-    return max(1, QUERY_VALUES // d), max(1, ITEM_VALUES // d)
+
+def _block_rows(df: DataFrame, vec: str) -> tuple[int, int, int]:
+    """Rows of ``df``, and rows per query block and per item block for the width of these vectors."""
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    d = max(1, seen["d"] or 1)
+    return seen["n"], max(1, QUERY_VALUES // d), max(1, ITEM_VALUES // d)
 
 
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -33,20 +41,50 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
-def _top(q_ids, q, x_ids, x, k, metric) -> pd.DataFrame:
-    s = _scores(q, x, metric)
-    k = min(k, len(x_ids))
+def _top(q_ids, q, x_ids, x, k, metric) -> pa.Table:
+    """Best k items of each query, scored tile by tile: only one tile of scores is held."""
     # ids break ties, so the same pairs win however the items are split
     order = np.argsort(x_ids, kind="stable")
-    s, x_ids = s[:, order], x_ids[order]
-    best = np.argsort(-s, axis=1, kind="stable")[:, :k] if k == s.shape[1] else _partial(s, k)
-    rows = np.repeat(np.arange(len(q_ids)), best.shape[1])
-    cols = best.ravel()
-    return pd.DataFrame({"query_id": q_ids[rows], "item_id": x_ids[cols], "score": s[rows, cols]})
+    x_ids, x = x_ids[order], x[order]
+    k = min(k, len(x_ids))
+    found = []
+    for at in range(0, len(q_ids), QUERY_TILE):
+        best, score = _top_tile(q[at : at + QUERY_TILE], x, k, metric)
+        found.append((np.repeat(q_ids[at : at + QUERY_TILE], k), x_ids[best.ravel()], score.ravel()))
+    return pa.table({n: np.concatenate(c) for n, c in zip(("query_id", "item_id", "score"), zip(*found))})
+
+
+def _top_tile(q: np.ndarray, x: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the best k items of each query, and their scores; of equal scores the first items win."""
+    best = np.empty((len(q), 0), dtype=np.int64)
+    score = np.empty((len(q), 0))
+    for at in range(0, len(x), ITEM_TILE):
+        s = _scores(q, x[at : at + ITEM_TILE], metric)
+        if best.shape[1] == k:
+            # an item that comes later needs more than the k-th score
+            row, col = np.nonzero(s > score[:, -1:])
+            if len(row) <= MERGED * len(q):
+                some, place = np.unique(row, return_inverse=True)
+                rows = np.concatenate([np.repeat(np.arange(len(some)), k), place])
+                cols = np.concatenate([best[some].ravel(), col + at])
+                values = np.concatenate([score[some].ravel(), s[row, col]])
+                order = np.lexsort((cols, -values, rows))
+                first = np.searchsorted(rows[order], np.arange(len(some)))
+                keep = order[first[:, None] + np.arange(k)]
+                best[some], score[some] = cols[keep], values[keep]
+                continue
+        # the best so far stand before the new ones, in order: ties stay with them
+        s = np.concatenate([score, s], axis=1)
+        ids = np.concatenate([best, np.broadcast_to(np.arange(at, at + s.shape[1] - best.shape[1]), (len(q), s.shape[1] - best.shape[1]))], axis=1)
+        pick = _partial(s, min(k, s.shape[1]))
+        best, score = np.take_along_axis(ids, pick, 1), np.take_along_axis(s, pick, 1)
+    return best, score
 
 
 def _partial(s: np.ndarray, k: int) -> np.ndarray:
     """Stable top-k columns: everything above the k-th value, then its ties from the left."""
+    if k == s.shape[1]:
+        return np.argsort(-s, axis=1, kind="stable")
     kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
     out = np.empty((s.shape[0], k), dtype=np.int64)
     for i in range(s.shape[0]):
@@ -55,8 +93,26 @@ def _partial(s: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.stack(col.to_numpy()).astype(np.float64)
+def _matrix(col) -> np.ndarray:
+    """Vectors of one width, as a pandas or an Arrow column, as the rows of a matrix."""
+    if isinstance(col, pd.Series):
+        return np.stack(col.to_numpy()).astype(np.float64)
+    width = pc.list_value_length(col)
+    if col.null_count or pc.count_distinct(width).as_py() != 1:
+        raise ValueError("vectors must be known and of one width")
+    flat = pc.list_flatten(col).to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(col), -1)
+
+
+def _meet_blocks(q: DataFrame, x: DataFrame, keys: list[str], k: int, metric: str) -> DataFrame:
+    """k items for each query of a block (id, v), out of the items of the block with the same keys."""
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        return _top(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), k, metric)
+
+    return keep_top(q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(meet, PAIR), k)
 
 
 def keep_top(pairs: DataFrame, k: int, by=("query_id",)) -> DataFrame:
@@ -69,24 +125,17 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "ip", q
     """Exact top-k items per query: (query_id, item_id, score, rank).
 
     Queries and items are cut into blocks of fixed size; every pair of blocks meets in one
-    task as a matrix product that keeps k items per query. No pair list is ever written, and
-    a task never holds more than one block of each side.
+    task as matrix products that keep k items per query. No pair list is ever written, and
+    a task never holds more than one block of each side and one tile of scores.
     """
-    nq, ni = queries.count(), items.count()
-    q_rows, i_rows = _block_rows(items, vec)
+    ni, q_rows, i_rows = _block_rows(items, vec)
+    nq = queries.count()
     bq, bi = max(1, math.ceil(nq / q_rows)), max(1, math.ceil(ni / i_rows))
     q = queries.select(F.col(q_key).alias("id"), F.col(vec).alias("v"))
     x = items.select(F.col(i_key).alias("id"), F.col(vec).alias("v"))
     q = q.withColumn("bq", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(bi - 1))))
     x = x.withColumn("bi", F.pmod(F.xxhash64("id"), F.lit(bi)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return _top(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), k, metric)
-
-    pairs = q.groupBy("bq", "bi").cogroup(x.groupBy("bq", "bi")).applyInPandas(meet, "query_id long, item_id long, score double")
-    return keep_top(pairs, k)
+    return _meet_blocks(q, x, ["bq", "bi"], k, metric)
 
 
 def train_centroids(items: DataFrame, n_lists: int, rate: float = 1.0, seed: int = 1, vec: str = "embedding", key: str = "item_id", iterations: int = 20) -> np.ndarray:
@@ -121,7 +170,7 @@ def knn_join_ivf(queries: DataFrame, items: DataFrame, k: int, n_lists: int, npr
     centroids = train_centroids(x, n_lists, rate, seed, key="id")
     x = settle(assign_lists(x, centroids, 1))
     q = settle(assign_lists(q, centroids, nprobe))
-    q_rows, i_rows = _block_rows(x, "embedding")
+    _, q_rows, i_rows = _block_rows(x, "embedding")
     sizes = x.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / i_rows).cast("int").alias("nb"))
     qsizes = q.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / q_rows).cast("int").alias("nq"))
     # one row per list, so n_lists rows at most
@@ -131,14 +180,8 @@ def knn_join_ivf(queries: DataFrame, items: DataFrame, k: int, n_lists: int, npr
     x = x.withColumn("bi", F.pmod(F.xxhash64("id"), blocks(0)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), blocks(1) - 1)))
     q = q.withColumn("bq", F.pmod(F.xxhash64("id"), blocks(1)).cast("int")).withColumn("bi", F.explode(F.sequence(F.lit(0), blocks(0) - 1)))
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return _top(a["id"].to_numpy(), _matrix(a["embedding"]), b["id"].to_numpy(), _matrix(b["embedding"]), k, metric)
-
-    keys = ["list_id", "bq", "bi"]
-    pairs = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(meet, "query_id long, item_id long, score double")
-    return keep_top(pairs, k)
+    x, q = (d.withColumnRenamed("embedding", "v") for d in (x, q))
+    return _meet_blocks(q, x, ["list_id", "bq", "bi"], k, metric)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
