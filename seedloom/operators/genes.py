@@ -81,10 +81,11 @@ def peak_position(curves: DataFrame, order: str = "ord", pos: str = "position",
 def sample_pcs(matrix: DataFrame, k: int, method: str = "gram", **options) -> DataFrame:
     """Principal-component scores of the samples (up to sign): sample_id, pcs ARRAY.
 
-    ``gram`` is exact and needs the samples x samples square in a task; ``power`` takes cohorts of
-    any size. The choice is the caller's, never the table's.
+    ``gram`` is exact and needs the samples x samples square in a task; ``covariance`` is exact for any
+    number of samples and needs the positions x positions square; ``power`` takes any number of
+    both. The choice is the caller's, never the table's.
     """
-    return {"gram": gram_pcs, "power": power_pcs}[method](matrix, k, **options)
+    return {"gram": gram_pcs, "covariance": covariance_pcs, "power": power_pcs}[method](matrix, k, **options)
 
 
 def gram_pcs(matrix: DataFrame, k: int, max_samples: int = 4096) -> DataFrame:
@@ -126,6 +127,43 @@ def gram_pcs(matrix: DataFrame, k: int, max_samples: int = 4096) -> DataFrame:
     return index.join(scores, "_i").select("sample_id", "pcs")
 
 
+def covariance_pcs(matrix: DataFrame, k: int, max_positions: int = 4096) -> DataFrame:
+    """Principal-component scores of the samples (up to sign): sample_id, pcs ARRAY.
+
+    Samples are the rows of the job and positions the vector: MLlib sums the positions x positions
+    covariance over the cluster, and each sample is projected where it stands. Missing cells count as
+    0, cells given twice are added. The number of positions is checked, as one task holds one square
+    matrix of that size.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    names = matrix.select("position").distinct()
+    p = names.count()
+    if p > max_positions:
+        raise ValueError(f"{p} positions: use method='power', or raise max_positions with executors that hold its square")
+    index = small_side(ordered_scan(names, None, "position", _i=row_index()))
+    # dealt by sample once, for the cells and for the rows
+    cells = matrix.join(index, "position").select("sample_id", "_i", F.coalesce("value", F.lit(0.0)).alias("v")).repartition("sample_id")
+    rows = cells.groupBy("sample_id", "_i").agg(F.sum("v").alias("v")).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("_i", "v"))).alias("_r"))
+    at = F.map_from_entries(F.transform("_r", lambda r: F.struct(r["_i"], r["v"])))
+    full = F.when(F.size("_r") == p, F.transform("_r", lambda r: r["v"])).otherwise(
+        F.transform(F.sequence(F.lit(1).cast("long"), F.lit(p).cast("long")), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0.0)))
+    )
+    rows = settle(rows.select("sample_id", full.alias("x")))
+    n = rows.count()
+    k = min(k, n, p)
+    if n < 2:
+        return rows.select("sample_id", F.array_repeat(F.lit(0.0), k).alias("pcs"))
+    basis = PCA(k=k, inputCol="v", outputCol="o").fit(rows.select(array_to_vector("x").alias("v"))).pc.toArray()  # positions x k
+    mean = np.array(rows.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(p)]).alias("m")).first()["m"])
+
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list((np.stack(x.to_numpy()) - mean) @ basis))
+
+    return rows.select("sample_id", F.pandas_udf(project, "array<double>")("x").alias("pcs"))
+
+
 def power_pcs(matrix: DataFrame, k: int, extra: int = 8, rounds: int = 60, tolerance: float = 1e-12, seed: int = 1) -> DataFrame:
     """Principal-component scores of the samples (up to sign): sample_id, pcs ARRAY.
 

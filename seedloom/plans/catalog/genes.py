@@ -52,7 +52,7 @@ def _(t):
 @query("a18_ols_association", "position:l beta:d pval:d")
 def _(t):
     pheno = t.embeddings.select(F.col("vec_id").alias("sample_id"), F.col("label").cast("double").alias("y"))
-    return gn.ols_association(t.matrix, pheno, "y", 3)
+    return gn.ols_association(t.matrix, pheno, "y", 3, method="covariance")
 
 
 @query(
@@ -69,7 +69,7 @@ def _(t):
 
 @query("a19_sample_pcs", "sample_id:l norm:d")
 def _(t):
-    out = gn.sample_pcs(t.matrix, 3)
+    out = gn.sample_pcs(t.matrix, 3, "covariance")
     return out.withColumn("norm", F.sqrt(F.aggregate("pcs", F.lit(0.0), lambda a, v: a + v * v)))
 
 

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seedloom.operators import genes as gn
 from seedloom.operators import retrieval as rt
+from seedloom.plans.registry import spark_queries
 
 
 def nearest(q, x, k):
@@ -49,3 +51,26 @@ def test_knn_join_over_many_blocks(spark, monkeypatch):
     for got in (rt.knn_join(q, df, 4), rt.knn_join_ivf(q, df, 4, n_lists=3, nprobe=3)):
         rows = {(r["query_id"], r["rank"]): r["item_id"] for r in got.collect()}
         assert [[rows[i, k + 1] for k in range(4)] for i in range(90)] == want.tolist()
+
+
+def test_covariance_components_take_more_samples_than_a_square(spark):
+    """The query takes any cohort, and its scores are those of the samples x samples product."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5)) * [1, 2, 3, 4, 5]
+    x[7, 2] = 0.0
+    long = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(300) for j in range(5) if (i, j) != (7, 2)], "sample_id long, position long, value double")
+    c = x - x.mean(0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    want = u[:, :3] * s[:3]
+    got = {r["sample_id"]: r["pcs"] for r in gn.sample_pcs(long, 3, "covariance").collect()}
+    got = np.array([got[i] for i in range(300)])
+    assert np.allclose(np.abs((got * want).sum(0)), (want * want).sum(0), rtol=1e-9)
+    one = gn.sample_pcs(long.filter("sample_id = 1"), 3, "covariance").collect()
+    assert [r["pcs"] for r in one] == [[0.0]]
+
+
+@pytest.mark.parametrize("name", ["a18_ols_association", "a19_sample_pcs"])
+def test_cohort_over_4096_samples(spark, tmp_path, name):
+    vectors = spark.range(4200).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * (i + 1) + i).cast("float") for i in range(64)]).alias("embedding"), (F.col("id") % 3).cast("int").alias("label"))
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert spark_queries()[name](spark, str(tmp_path)).count() == (64 if name.startswith("a18") else 4200)
