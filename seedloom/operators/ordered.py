@@ -11,7 +11,6 @@ on the part. A group that holds a third of all rows is spread over a third of th
 from __future__ import annotations
 
 import json
-import math
 import re
 from dataclasses import dataclass
 
@@ -108,14 +107,16 @@ def lay_out(df: DataFrame, by, order, salt: bool = False) -> DataFrame:
             same = same & here.eqNullSafe(there)
         return after
 
-    def step(held: Column, _: Column) -> Column:
-        middle = F.floor((held["lo"] + held["hi"]) / 2).cast("int")
-        up = (held["lo"] < held["hi"]) & past(F.get(bounds, middle))
-        return F.struct(F.when(up, middle + 1).otherwise(held["lo"]).alias("lo"), F.when(up, held["hi"]).otherwise(F.least(middle, held["hi"])).alias("hi"))
-
-    steps = F.array(*[F.lit(0)] * (math.ceil(math.log2(len(cuts) + 1)) + 1))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-    out = df.withColumn(PID, F.aggregate(steps, start, step, lambda held: held["lo"]))
+    # A row's part is the number of bounds it comes after, found by halving steps. Beyond the last bound
+    # there is none, so the comparison is NULL and the step not taken.
+    if any(down):
+        after = past
+    else:
+        whole = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(row)])
+        after = lambda bound: whole > bound  # noqa: E731  structs compare key by key, nulls first
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    taken = lambda at, n: F.when(after(F.get(bounds, at + n - 1)) & (at + n <= len(cuts)), at + n).otherwise(at)
+    out = df.withColumn(PID, F.aggregate(steps, F.lit(0), taken))
     near = F.lit(False) if by else F.lit(True)
     for place in (F.col(PID) - 1, F.col(PID)):
         bound = F.get(bounds, place)
