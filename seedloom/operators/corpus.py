@@ -334,9 +334,10 @@ def overlapping_eval_windows(tokens: DataFrame, length: int, overlap: int, key:
     n = F.size(col)
     targets = F.greatest(n - 1 - length, F.lit(0))
     count = F.ceil(targets / overlap).cast("int") + 1
-    rows = tokens.filter(n > 1).withColumn("window_no", F.explode(F.sequence(F.lit(0), count - 1)))
-    begin = F.col("window_no") * overlap
-    cut = F.slice(col, begin + 1, F.lit(length + 1))
+    # Windows are cut inside the document's row: a row per window never holds the whole document.
+    cuts = let(F.col(col), lambda t: F.transform(F.sequence(F.lit(0), count - 1), lambda w: F.struct(w.alias("no"), F.slice(t, w * overlap + 1, F.lit(length + 1)).alias("cut"))))
+    rows = tokens.filter(n > 1).select(key, F.explode(cuts).alias("_w")).select(key, F.col("_w.no").alias("window_no"), F.col("_w.cut").alias("_cut"))
+    cut = F.col("_cut")
     seen = F.size(cut)
     full = F.concat(cut, F.array_repeat(F.lit(pad), F.lit(length + 1) - seen))
     fresh = F.when(F.col("window_no") == 0, 0).otherwise(length - overlap)
