@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +33,19 @@ def embed(df: DataFrame, make_model: Callable[[], Callable[[list], np.ndarray]],
     # neighbours of similar length share a batch, so padding stays small
     rows = rows.sortWithinPartitions(F.length("_x"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
-        for frame in frames:
-            for at in range(0, len(frame), size):
-                part = frame.iloc[at : at + size]
-                out = model(part["_x"].tolist())
+        for batch in batches:
+            # texts are Python strings one model batch at a time
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                out = model(part.column("_x").to_pylist())
+                ids = part.column("item_id").cast(pa.int64())
                 for i, layer in enumerate(layers):
-                    yield pd.DataFrame({"item_id": part["item_id"].to_numpy(), "layer": layer, "embedding": [v.astype("float32") for v in out[i]]})
+                    vectors = pa.array([v.astype("float32") for v in out[i]], pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([layer] * len(ids), pa.int32()), vectors], ["item_id", "layer", "embedding"])
 
-    return rows.mapInPandas(run, "item_id long, layer int, embedding array<float>")
+    return rows.mapInArrow(run, "item_id long, layer int, embedding array<float>")
 
 
 def build_vector_table(shards: list[DataFrame]) -> DataFrame:

@@ -6,9 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seedloom.operators import corpus as co
 from seedloom.operators import genes as gn
+from seedloom.operators import probes as pb
 from seedloom.operators import retrieval as rt
-from seedloom.plans.registry import spark_queries
+from seedloom.operators.ordered import lay_out
+from seedloom.plans.catalog import sources
+from seedloom.plans.registry import Tables, spark_queries
 
 
 def nearest(q, x, k):
@@ -74,3 +78,54 @@ def test_cohort_over_4096_samples(spark, tmp_path, name):
     vectors = spark.range(4200).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * (i + 1) + i).cast("float") for i in range(64)]).alias("embedding"), (F.col("id") % 3).cast("int").alias("label"))
     vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
     assert spark_queries()[name](spark, str(tmp_path)).count() == (64 if name.startswith("a18") else 4200)
+
+
+@pytest.mark.parametrize("order", [["v", "w"], ["-v", "w"]])
+def test_parts_are_the_number_of_bounds_a_row_is_past(spark, tmp_path, order):
+    """Parts rise with the order, nulls and ties included, and the rows are spread over them."""
+    df = spark.range(3000).select((F.col("id") % 3).cast("string").alias("g"), F.when(F.col("id") % 11 != 0, F.col("id") * 7 % 500).alias("v"), F.col("id").alias("w"))
+    df.write.parquet(f"{tmp_path}/t")
+    rows = lay_out(spark.read.parquet(f"{tmp_path}/t"), "g", order).collect()
+    sign = -1 if order[0] == "-v" else 1
+    least = float("inf") if sign < 0 else float("-inf")
+    rows.sort(key=lambda r: (r["g"], least if r["v"] is None else sign * r["v"], r["w"]))
+    parts = [r["_pid"] for r in rows]
+    assert parts == sorted(parts)
+    assert max(parts) >= 8 and max(map(parts.count, set(parts))) < 3000 / 4
+
+
+def test_part_search_has_no_state_but_the_part(spark, tmp_path):
+    spark.range(3000).write.parquet(f"{tmp_path}/t")
+    plan = lay_out(spark.read.parquet(f"{tmp_path}/t"), None, "id")._jdf.queryExecution().analyzed().toString()
+    assert "named_struct(lo" not in plan and "struct(lo" not in plan
+
+
+def test_eval_windows_do_not_repeat_the_document(spark):
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.sequence(F.lit(1), F.lit(1000)).alias("tokens"))
+    out = co.overlapping_eval_windows(df, 128, 32)
+    exploded = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
+    assert len(exploded) == 1 and "tokens" not in exploded[0].split("], [")[-1] and "sequence" not in exploded[0].split("explode")[0]
+    rows = sorted(out.collect(), key=lambda r: r["window_no"])
+    assert [r["text"][0] for r in rows] == [1 + 32 * k for k in range(29)] and all(len(r["text"]) == 129 for r in rows)
+    wide = out.select("doc_id", "window_no")._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice" in wide
+
+
+def test_embedding_holds_one_model_batch_of_texts(spark, monkeypatch):
+    """The model's texts are converted a batch at a time: frames of a whole Arrow batch are not made."""
+    df = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(50)], "item_id long, sequence string")
+    plan = pb.embed(df, lambda: lambda xs: np.array([[[len(x)] for x in xs], [[len(xs)] for _ in xs]]), [0, 5], size=8)
+    assert "MapInArrow" in plan._jdf.queryExecution().optimizedPlan().toString()
+    rows = plan.collect()
+    assert sorted((r["item_id"], r["layer"]) for r in rows) == [(i, n) for i in range(50) for n in (0, 5)]
+    assert all(r["embedding"] == [r["item_id"] % 7] for r in rows if r["layer"] == 0)
+    assert max(r["embedding"][0] for r in rows if r["layer"] == 5) <= 8
+
+
+def test_lines_are_written_by_many_tasks_with_a_header_each(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = spark.range(0, 100, numPartitions=5).select(F.concat_ws("\t", F.col("id").cast("string"), F.lit("a")).alias("value"))
+    path = sources.as_text(t, sources.with_header(t, "id\ttext", rows), "lines", "tsv")
+    got = spark.read.option("header", True).option("sep", "\t").csv(path)
+    assert sorted(int(r["id"]) for r in got.collect()) == list(range(100))
+    assert len(got.inputFiles()) >= 5
