@@ -1,4 +1,4 @@
-"""Spans, masks and segment pairs of token lists, as column expressions.
+"""Spans, masks and segment pairs of token lists, as column expressions; masks as arrays of Arrow batches.
 
 Random choices are digits of ``md5("seed:key[:number]")``, so any engine draws the same.
 """
@@ -6,9 +6,14 @@ Random choices are digits of ``md5("seed:key[:number]")``, so any engine draws t
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,32 +87,17 @@ def grounded_count(text, source, min_run: int) -> int:
 # Masking
 
 
-def _words(tokens: Column, pieces: Column, skip, seed, key: Column, ngram_weights) -> Column:
-    """Every word of a token list: at, n, free, d (digest), u (priority draw), reach (n-gram length)."""
-    skipped = lambda i: F.get(tokens, i).isin(*skip) if skip else F.lit(False)
-    joins = lambda i: (i > 0) & F.get(pieces, i).startswith("##") & ~skipped(i) & ~skipped(i - 1)
-    steps = np.cumsum(ngram_weights) / float(np.sum(ngram_weights))
+# Tokens that are masked together: arrays of a slice of rows, not of a whole Arrow batch.
+MASK_TOKENS = 1 << 18
 
-    def word(heads, h, k):
-        return let(digest(seed, key, k), lambda d: drawn(heads, h, k, d))
 
-    def drawn(heads, h, k, d):
-        reach = F.lit(1)
-        for s in steps[:-1]:
-            reach = reach + (unit(d, 1) >= float(s)).cast("int")
-        stop = F.coalesce(F.get(heads, k + 1), F.size(tokens))
-        return F.struct(h.alias("at"), (stop - h).alias("n"), (~skipped(h)).alias("free"), d.alias("d"), unit(d, 0).alias("u"), reach.alias("reach"))
-
-    heads = F.filter(upto(F.size(tokens)), lambda i: ~joins(i))
-    return let(heads, lambda hs: F.transform(hs, lambda h, k: word(hs, h, k)))
-
-
-def choose_masks(tokens: Column, pieces: Column, key: Column, rate: float, seed: int, ngram_weights=(1.0, 1 / 2, 1 / 3), vocab: int = 0, mask_id: int = 0, skip=(), fixed: bool = False, permute: bool = False) -> Column:
-    """Whole-word n-gram masking: struct of tokens, positions, labels, spans.
+@dataclass(frozen=True)
+class Masks:
+    """Whole-word n-gram masking of token lists, a slice of rows at a time.
 
     Every word draws a priority and how many words its n-gram reaches over (lengths 1, 2, ... by
     ``ngram_weights``); a word's own priority is the best of the n-grams that reach it. Words are taken by priority as
-    long as they fit into ``rate`` of the tokens (one word at least), so n-grams are masked together.
+    long as they fit into the row's budget (one word at least), so n-grams are masked together.
     Of the masked words 80% become the mask id, 10% stay, 10% get ids below ``vocab``; ``fixed``
     always writes the mask id. Tokens in ``skip`` are never masked. Neighbouring masks are one span.
 
@@ -115,88 +105,150 @@ def choose_masks(tokens: Column, pieces: Column, key: Column, rate: float, seed:
     were not masked, and gives its tokens a drawn order: place ``swapped_to[i]`` gets the token of
     place ``swapped_from[i]``. These places are positions with labels, too, but no spans.
     """
-    most = len(ngram_weights)
-
-    def ranked(ws):
-        def best(k):
-            reached = [F.get(ws, k)["u"]] + [F.when(F.get(ws, k - o)["reach"] > o, F.get(ws, k - o)["u"]) for o in range(1, most)]
-            return F.least(*reached) if most > 1 else reached[0]
-
-        return F.transform(ws, lambda w, k: w.withField("p", F.struct(best(k).alias("p"), k.alias("k"))))
-
-    def marked(ws, hit="hit"):
-        budget = F.greatest(F.lit(1), F.round(F.size(tokens) * F.lit(rate)).cast("int"))
-        order = F.sort_array(F.transform(F.filter(ws, lambda w: w["free"]), lambda w: F.struct(w["p"].alias("p"), w["n"].alias("n"))))
-        start = F.struct(F.lit(0).alias("total"), F.lit(None).cast("struct<p:double,k:int>").alias("last"), F.lit(True).alias("open"))
-
-        def take(a, w):
-            fits = a["open"] & ((a["total"] == 0) | (a["total"] + w["n"] <= budget))
-            return F.struct((a["total"] + F.when(fits, w["n"]).otherwise(0)).alias("total"), F.when(fits, w["p"]).otherwise(a["last"]).alias("last"), fits.alias("open"))
-
-        last = F.aggregate(order, start, take, lambda a: a["last"])
-        return let(last, lambda cut: F.transform(ws, lambda w: w.withField(hit, F.coalesce(w["free"] & (w["p"] <= cut), F.lit(False)))))
-
-    def written(ws):
-        def new(w, j):
-            old = F.get(tokens, w["at"] + j)
-            drawn = F.when(unit(w["d"], 2) < 0.9, old).otherwise(F.floor(unit(w["d"], 3) * vocab).cast("int")) if vocab else old
-            instead = F.lit(mask_id) if fixed else F.when(unit(w["d"], 2) < 0.8, F.lit(mask_id)).otherwise(drawn)
-            return F.when(w["hit"], instead).otherwise(old).cast("int")
-
-        at = F.flatten(F.transform(F.filter(ws, lambda w: w["hit"]), lambda w: F.transform(upto(w["n"]), lambda j: w["at"] + j)))
-        out = F.flatten(F.transform(ws, lambda w: F.transform(upto(w["n"]), lambda j: new(w, j))))
-        return let(
-            at,
-            lambda p: F.struct(
-                out.alias("tokens"),
-                p.alias("positions"),
-                F.transform(p, lambda i: F.get(tokens, i).cast("int")).alias("labels"),
-                runs(p).alias("spans"),
-            ),
-        )
 
-    def swapped(ws, others):
-        """The masked row with the tokens of a second choice of words in a drawn order."""
-        rest = F.zip_with(ws, others, lambda w, o: o.withField("free", o["free"] & ~w["hit"]))
-        at = lambda os: F.flatten(F.transform(F.filter(os, lambda o: o["moved"]), lambda o: F.transform(upto(o["n"]), lambda j: o["at"] + j)))
-        drawn = lambda p: F.transform(F.sort_array(F.transform(p, lambda i: F.struct(digest(f"{seed}:swap", key, i).alias("d"), i.alias("i")))), lambda e: e["i"])
-
-        def write(row, p, q):
-            places = F.sort_array(F.concat(row["positions"], p))
-            moves = F.zip_with(p, q, lambda to, of: F.struct(to.alias("to"), of.alias("of")))
-            still = F.transform(F.array_except(upto(F.size(tokens)), p), lambda i: F.struct(i.alias("to"), i.alias("of")))
-            order = F.sort_array(F.concat(moves, still))
-            return F.struct(
-                F.transform(order, lambda e: F.get(row["tokens"], e["of"])).alias("tokens"),
-                places.alias("positions"),
-                F.transform(places, lambda i: F.get(tokens, i).cast("int")).alias("labels"),
-                row["spans"].alias("spans"),
-                p.alias("swapped_to"),
-                q.alias("swapped_from"),
-            )
+    seed: int
+    ngram_weights: tuple
+    vocab: int
+    mask_id: int
+    skip: tuple
+    fixed: bool
+    permute: bool
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Columns: key, original, tokens (ints), inner (whether a piece goes on a word), name (key as text), budget."""
+        for batch in batches:
+            upto_ = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_tokens")), 0).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < batch.num_rows:
+                done = upto_[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(upto_, done + MASK_TOKENS, side="right")))
+                part = batch.slice(begin, end - begin)
+                made = self.masked(part.column("_tokens"), part.column("_inner"), part.column("_name"), part.column("_budget"))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made.values()], [*batch.schema.names[:2], *made])
+                begin = end
+
+    def masked(self, tokens: pa.Array, inner: pa.Array, names: pa.Array, budget: pa.Array) -> dict[str, pa.Array]:
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = tokens.flatten()
+        old, unknown = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_null(flat).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+        special = np.isin(old, self.skip) & ~unknown if self.skip else np.zeros(len(row), dtype=bool)
+        joined = (at > 0) & ~_own_word(inner, sizes, row, at) & ~special
+        joined[1:] &= ~special[:-1]
+        heads = np.flatnonzero(~joined)
+        length = np.diff(np.append(heads, len(row)))
+        # rows, places in them and tokens of the words
+        of = row[heads]
+        count = np.bincount(of, minlength=len(sizes))
+        k = np.arange(len(heads)) - (np.cumsum(count) - count)[of]
+        free = ~special[heads] & ~unknown[heads] if self.skip else np.ones(len(heads), dtype=bool)
+        names, budget = names.to_pylist(), budget.to_numpy(zero_copy_only=False)
+
+        draw = _digits(_digests(self.seed, names, count))
+        hit = _taken(self._priority(draw, k), of, length, free, budget)
+        masked, word = np.repeat(hit, length), np.repeat(np.arange(len(heads)), length)
+        new, gone = old.copy(), unknown.copy()
+        third, fourth = (draw[word[masked], i] / UNITS for i in (2, 3))
+        to_mask = np.ones(len(third), dtype=bool) if self.fixed else third < 0.8
+        to_other = ~to_mask & (third >= 0.9) & bool(self.vocab)
+        new[masked] = np.where(to_mask, self.mask_id, np.where(to_other, np.floor(fourth * self.vocab).astype(np.int64), old[masked]))
+        gone[masked] &= ~(to_mask | to_other)
+        spans = _span_lists(row[masked], at[masked], len(sizes))
+        places = masked
+        more = {}
+        if self.permute:
+            draw = _digits(_digests(f"{self.seed}:move", names, count))
+            moved = np.repeat(_taken(self._priority(draw, k), of, length, free & ~hit, budget), length)
+            to = np.flatnonzero(moved)
+            count = np.bincount(row[to], minlength=len(sizes))
+            d = _digests(f"{self.seed}:swap", names, count, at[to]).view(">u8").astype(np.uint64)
+            from_ = to[np.lexsort((at[to], d[:, 1], d[:, 0], row[to]))]
+            new[to], gone[to] = old[from_], unknown[from_]
+            places = masked | moved
+            more = {"swapped_to": _lists(at[to], count), "swapped_from": _lists(at[from_], count)}
+        count = np.bincount(row[places], minlength=len(sizes))
+        return {
+            "tokens": _lists(new, sizes, gone),
+            "positions": _lists(at[places], count),
+            "labels": _lists(old[places], count, unknown[places]),
+            "spans": spans,
+            **more,
+        }
+
+    def _priority(self, draw: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The best draw of the n-grams that reach a word."""
+        steps = np.cumsum(self.ngram_weights) / float(np.sum(self.ngram_weights))
+        own, second = draw[:, 0], draw[:, 1] / UNITS
+        reach = 1 + sum((second >= float(s)).astype(np.int64) for s in steps[:-1])
+        best = own.copy()
+        for o in range(1, len(self.ngram_weights)):
+            reached = (k[o:] >= o) & (reach[:-o] > o)
+            best[o:] = np.minimum(best[o:], np.where(reached, own[:-o], UNITS))
+        return best
+
+
+def _digests(seed, names: list, count: np.ndarray, numbers: np.ndarray | None = None) -> np.ndarray:
+    """`digest` of the seed, a row's name and each of its numbers (0, 1, ... if none are given), 16 bytes each."""
+    if numbers is None:
+        few = [b"%d" % i for i in range(int(count.max(initial=0)))]
+        texts = (itertools.islice(few, int(c)) for c in count)
+    else:
+        all_ = iter([b"%d" % i for i in numbers.tolist()])
+        texts = (itertools.islice(all_, int(c)) for c in count)
+    heads = [f"{seed}:" if n is None else f"{seed}:{n}:" for n in names]
+    made = [hashlib.md5(h + t, usedforsecurity=False).digest() for h, ts in zip((h.encode() for h in heads), texts) for t in ts]
+    return np.frombuffer(b"".join(made), dtype=np.uint8).reshape(-1, 16)
+
+
+# What the draws of `unit` are parts of.
+UNITS = 1 << 24
+
+
+def _digits(digests: np.ndarray) -> np.ndarray:
+    """The four draws of each digest, as integers (see `unit`)."""
+    d = digests[:, :12].astype(np.int64).reshape(-1, 4, 3)
+    return (d[:, :, 0] << 16) | (d[:, :, 1] << 8) | d[:, :, 2]
+
+
+def _own_word(inner: pa.Array, sizes: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a token's piece is known not to go on the word before it."""
+    plain = pc.fill_null(pc.invert(inner.flatten()), False).to_numpy(zero_copy_only=False)
+    have = pc.fill_null(pc.list_value_length(inner), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if np.array_equal(have, sizes):
+        return plain
+    there = at < have[row]
+    out = np.zeros(len(row), dtype=bool)
+    out[there] = plain[((np.cumsum(have) - have)[row] + at)[there]]
+    return out
+
+
+def _taken(priority: np.ndarray, of: np.ndarray, length: np.ndarray, free: np.ndarray, budget: np.ndarray) -> np.ndarray:
+    """The free words of each row by priority, then place, as long as they fit into its budget; one at least."""
+    words = np.flatnonzero(free)
+    words = words[np.argsort(of[words] * UNITS + priority[words], kind="stable")]
+    rows, used = of[words], np.cumsum(length[words])
+    first = np.append(True, rows[1:] != rows[:-1])[: len(rows)]
+    before = (used - length[words])[first][np.cumsum(first) - 1]
+    out = np.zeros(len(of), dtype=bool)
+    out[words[first | (used - before <= budget[rows])]] = True
+    return out
 
-        chosen = let(let(rest, ranked), lambda os: marked(os, "moved"))
-        return let(written(ws), lambda row: let(let(chosen, at), lambda p: let(drawn(p), lambda q: write(row, p, q))))
 
-    # ``tokens`` and ``pieces`` are evaluated once per row, not once per element.
-    given = tokens, pieces
+def _lists(values: np.ndarray, count: np.ndarray, gone: np.ndarray | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(_ends(count), pa.array(values, pa.int32(), mask=gone))
 
-    def on(t, p):
-        nonlocal tokens
-        tokens = t
-        masked = let(let(_words(t, p, skip, seed, key, ngram_weights), ranked), lambda ws: marked(ws))
-        if not permute:
-            return let(masked, written)
-        return let(masked, lambda ws: let(_words(t, p, skip, f"{seed}:move", key, ngram_weights), lambda os: swapped(ws, os)))
 
-    return let(given[0], lambda t: let(given[1], lambda p: on(t, p)))
+def _ends(count: np.ndarray) -> pa.Array:
+    return pa.array(np.append(0, np.cumsum(count)), pa.int32())
 
 
-def runs(at: Column) -> Column:
-    """Maximal runs of consecutive numbers of an ascending array."""
-    firsts = F.filter(at, lambda v, i: (i == 0) | (F.get(at, i - 1) != v - 1))
-    lasts = F.filter(at, lambda v, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != v + 1))
-    return F.zip_with(firsts, lasts, lambda a, b: F.sequence(a, b))
+def _span_lists(row: np.ndarray, at: np.ndarray, rows: int) -> pa.Array:
+    """Maximal runs of consecutive numbers of each row's ascending numbers."""
+    new = np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1))[: len(row)]
+    firsts = np.flatnonzero(new)
+    runs = _lists(at, np.diff(np.append(firsts, len(row))))
+    return pa.ListArray.from_arrays(_ends(np.bincount(row[firsts], minlength=rows)), runs)
 
 
 def corrupt_spans(tokens: Column, spans: Column, *args, **kw) -> Column:

@@ -152,8 +152,15 @@ def mask_tokens(df: DataFrame, rate: float = 0.15, vocab: int = 1000, mask_id: i
     reverse long ones, powers of (1 - p) give a geometric length. ``permute`` also gives a second choice
     of words a drawn order, with both index arrays in ``swapped_to`` and ``swapped_from``.
     """
-    made = sp.choose_masks(F.col(tokens), F.col(pieces), F.col(key), rate, seed, ngram_weights, vocab, mask_id, skip, fixed, permute)
-    return df.withColumn("_m", made).select(key, F.col(tokens).alias("original"), "_m.*")
+    budget = F.greatest(F.lit(1), F.round(F.size(tokens) * F.lit(rate)).cast("int"))
+    given = df.select(
+        key, F.col(tokens).alias("original"), F.col(tokens).cast("array<int>").alias("_tokens"),
+        F.transform(pieces, lambda p: p.startswith("##")).alias("_inner"), F.col(key).cast("string").alias("_name"), budget.alias("_budget"),
+    )
+    lists = {"tokens": "array<int>", "positions": "array<int>", "labels": "array<int>", "spans": "array<array<int>>"}
+    lists |= {"swapped_to": "array<int>", "swapped_from": "array<int>"} if permute else {}
+    shape = ", ".join([f"`{c}` {given.schema[c].dataType.simpleString()}" for c in given.columns[:2]] + [f"{c} {t}" for c, t in lists.items()])
+    return given.mapInArrow(sp.Masks(seed, tuple(ngram_weights), vocab, mask_id, tuple(skip), fixed, permute), shape)
 
 
 def pair_segments(df: DataFrame, target: int, max_len: int, cls: int = 2, sep: int = 3, pad: int = 0, sents: str = "sents", key: str = "sample_id", seed: int = 1) -> DataFrame:

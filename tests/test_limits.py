@@ -3,9 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from seedloom.functions import spans as sp
 from seedloom.operators import corpus as co
 from seedloom.operators import genes as gn
 from seedloom.operators import probes as pb
@@ -129,3 +131,23 @@ def test_lines_are_written_by_many_tasks_with_a_header_each(spark, sf_dir):
     got = spark.read.option("header", True).option("sep", "\t").csv(path)
     assert sorted(int(r["id"]) for r in got.collect()) == list(range(100))
     assert len(got.inputFiles()) >= 5
+
+
+@pytest.mark.parametrize("permute", [False, True])
+def test_masks_are_drawn_for_a_slice_of_rows_at_once(spark, monkeypatch, permute):
+    """Words are array elements of an Arrow task, not values of nested lambdas, and slices change nothing."""
+    df = spark.createDataFrame([(i, list(range(i % 50)), ["##x" if k % 5 == 2 else "x" for k in range(i % 50)]) for i in range(120)], "sample_id long, tokens array<int>, pieces array<string>")
+    out = co.mask_tokens(df, permute=permute)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(tuple(r) for r in out.collect())
+    given = sorted(df.collect())
+    columns = [
+        pa.array([r["sample_id"] for r in given]), pa.array([r["tokens"] for r in given], pa.list_(pa.int32())), pa.array([r["tokens"] for r in given], pa.list_(pa.int32())),
+        pa.array([[p.startswith("##") for p in r["pieces"]] for r in given], pa.list_(pa.bool_())), pa.array([str(r["sample_id"]) for r in given]),
+        pa.array([max(1, int(len(r["tokens"]) * 0.15 + 0.5)) for r in given], pa.int32()),
+    ]
+    batch = pa.RecordBatch.from_arrays(columns, ["sample_id", "original", "_tokens", "_inner", "_name", "_budget"])
+    monkeypatch.setattr(sp, "MASK_TOKENS", 100)
+    parts = list(sp.Masks(1, (1.0, 1 / 2, 1 / 3), 1000, 4, (), False, permute)([batch]))
+    assert len(parts) > 20 and max(sum(map(len, p.column("original").to_pylist())) for p in parts) <= 100
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == want
