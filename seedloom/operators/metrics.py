@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.operators.base import as_list, attach_row, is_finite, ratio
+from seedloom.operators.base import as_list, attach_row, is_finite, ratio, small_side
 from seedloom.operators.ordered import ordered_scan, quantiles, running_sum, value_counts
 from seedloom.operators.stats import join_groups
 from seedloom.session import settle
@@ -19,12 +19,43 @@ def _corr(a: Column, b: Column) -> Column:
     return F.when((sa > 1e-8) & (sb > 1e-8), F.try_divide(F.covar_pop(a, b), sa * sb))
 
 
+# Distinct value pairs of a group that one task ranks; groups with more go through ordered scans.
+RANKED = 100_000
+
+
 def spearman(df: DataFrame, a: str, b: str, by=None, to: str = "spearman") -> DataFrame:
-    """Correlation of tie-averaged ranks, from counted value pairs."""
+    """Correlation of tie-averaged ranks, from counted value pairs.
+
+    Groups of at most ``RANKED`` pairs are dealt by group and ranked in one shuffle; the others are spread.
+    """
     by = as_list(by)
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    # three passes read the counted pairs, so they are written once
+    # several passes read the counted pairs, so they are written once
     pairs = settle(rows.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_w")))
+    if not by:
+        return _spread_ranks(pairs, a, b, by, to)
+    for c in by:
+        pairs = pairs.filter(F.col(c).isNotNull())
+    large = settle(pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > RANKED).select(*by))
+    if large.isEmpty():
+        return _dealt_ranks(pairs, a, b, by, to)
+    # A group is large by its rows, so the list is a small part of them.
+    large = small_side(large)
+    dealt = _dealt_ranks(pairs.join(large, by, "left_anti"), a, b, by, to)
+    return dealt.unionByName(_spread_ranks(settle(pairs.join(large, by, "left_semi")), a, b, by, to))
+
+
+def _dealt_ranks(pairs: DataFrame, a: str, b: str, by: list[str], to: str) -> DataFrame:
+    for c in (a, b):
+        along = Window.partitionBy(*by).orderBy(c)
+        # the running sum takes in a value's ties, so its mean rank lies half their number below
+        upto, ties = F.sum("_w").over(along), F.sum("_w").over(along.rangeBetween(Window.currentRow, Window.currentRow))
+        total = F.sum("_w").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        pairs = pairs.withColumn(f"_r_{c}", upto - (ties - 1) / 2.0 - (total + 1) / 2.0)
+    return _rank_correlation(pairs, a, b, by, to)
+
+
+def _spread_ranks(pairs: DataFrame, a: str, b: str, by: list[str], to: str) -> DataFrame:
     for c in (a, b):
         counts = pairs.groupBy(*by, c).agg(F.sum("_w").alias("_n"))
         run = ordered_scan(counts, by, c, _cum=running_sum("_n"), _rest=running_sum("_n", reverse=True))
@@ -32,6 +63,10 @@ def spearman(df: DataFrame, a: str, b: str, by=None, to: str = "spearman") -> Da
         # mean rank of the value minus the mean of all ranks
         centred = F.col("_cum") - (F.col("_n") - 1) / 2.0 - (total + 1) / 2.0
         pairs = pairs.join(run.select(*by, c, centred.alias(f"_r_{c}")), by + [c])
+    return _rank_correlation(pairs, a, b, by, to)
+
+
+def _rank_correlation(pairs: DataFrame, a: str, b: str, by: list[str], to: str) -> DataFrame:
     x, y, w = F.col(f"_r_{a}"), F.col(f"_r_{b}"), F.col("_w")
     sxx, syy = F.sum(w * x * x), F.sum(w * y * y)
     return pairs.groupBy(*by).agg(F.when((sxx > 0) & (syy > 0), F.sum(w * x * y) / F.sqrt(sxx * syy)).alias(to))
@@ -141,7 +176,8 @@ def per_window_metrics(df: DataFrame, window, pred: str = "pred", truth: str = "
 
 def summarise_windows(windows: DataFrame, cols=("pearson_corr", "spearman_corr")) -> DataFrame:
     """Mean, median, population std, extremes and quartiles of per-window scores, one row per score."""
-    long = windows.select(*cols).unpivot([], list(cols), "score", "value").filter(F.col("value").isNotNull())
+    # both passes read the scores, so they are written once
+    long = settle(windows.select(*cols).unpivot([], list(cols), "score", "value").filter(F.col("value").isNotNull()))
     base = long.groupBy("score").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
     )

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from seedloom.functions import spans as sp
 from seedloom.operators import corpus as co
 from seedloom.operators import genes as gn
+from seedloom.operators import metrics as mt
 from seedloom.operators import probes as pb
 from seedloom.operators import retrieval as rt
-from seedloom.operators.ordered import lay_out
+from seedloom.operators.ordered import lay_out, ordered_scan
 from seedloom.plans.catalog import sources
 from seedloom.plans.registry import Tables, spark_queries
 
@@ -151,3 +152,32 @@ def test_masks_are_drawn_for_a_slice_of_rows_at_once(spark, monkeypatch, permute
     parts = list(sp.Masks(1, (1.0, 1 / 2, 1 / 3), 1000, 4, (), False, permute)([batch]))
     assert len(parts) > 20 and max(sum(map(len, p.column("original").to_pylist())) for p in parts) <= 100
     assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == want
+
+
+@pytest.mark.parametrize("limit", [100_000, 20])
+def test_rank_correlation_deals_groups_whole_unless_they_are_large(spark, monkeypatch, limit):
+    """Small groups are ranked in one shuffle, larger ones by ordered scans, with the same scores."""
+    scans = []
+    monkeypatch.setattr(mt, "RANKED", limit)
+    monkeypatch.setattr(mt, "ordered_scan", lambda df, *a, **kw: scans.append(df) or ordered_scan(df, *a, **kw))
+    rng = np.random.default_rng(5)
+    rows = [(g, float(x), float(x % 3 + y)) for g, n in (("a", 400), ("b", 6), (None, 9), ("c", 1)) for x, y in rng.integers(0, 9, (n, 2))]
+    got = {r["g"]: r["spearman"] for r in mt.spearman(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", "g").collect()}
+    assert bool(scans) == (limit == 20) and set(got) == {"a", "b", "c"} and got["c"] is None
+    for g in "ab":
+        x, y = np.array([r[1:] for r in rows if r[0] == g]).T
+        rank = lambda v: np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
+        assert got[g] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1], abs=1e-12)
+
+
+def test_window_summary_computes_the_scores_once(spark):
+    rows = spark.range(60).select((F.col("id") / 60).alias("pearson_corr"), (F.col("id") % 7 / 7).alias("spearman_corr"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    out = mt.summarise_windows(rows.mapInArrow(passed, rows.schema)).collect()
+    assert seen.value == 60 and {r["score"] for r in out} == {"pearson_corr", "spearman_corr"}
