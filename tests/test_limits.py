@@ -16,6 +16,7 @@ from seedloom.operators import retrieval as rt
 from seedloom.operators.ordered import lay_out, ordered_scan
 from seedloom.plans.catalog import sources
 from seedloom.plans.registry import Tables, spark_queries
+from seedloom.sources import genome as gm
 
 
 def nearest(q, x, k):
@@ -181,3 +182,24 @@ def test_window_summary_computes_the_scores_once(spark):
 
     out = mt.summarise_windows(rows.mapInArrow(passed, rows.schema)).collect()
     assert seen.value == 60 and {r["score"] for r in out} == {"pearson_corr", "spearman_corr"}
+
+
+def test_fasta_records_go_on_over_splits_without_a_layout_pass(spark, tmp_path, monkeypatch):
+    """Splits of 64 bytes: records begin, go on through and end in splits, some of which have no header."""
+    lengths = [0, 1000, 3, 45, 0, 200, 7]
+    text = "stray\n" + "".join(f">s{i % 5} x\n" + "".join("ACGTN"[(i + k) % 5] + "\n" * (k % 10 == 9) for k in range(n)) + "\n" for i, n in enumerate(lengths))
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.fa").write_text(text)
+    monkeypatch.setattr(gm, "lay_out", None)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        rows = gm.read_fasta(spark, str(tmp_path), chunk=50).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["file"], r["record_no"], r["chunk_no"])):
+        record = got.setdefault((r["file"][-4:], r["record_no"], r["seqid"]), [])
+        assert r["chunk_start"] == len("".join(record))
+        record.append(r["bases"])
+    want = {(f, i + 1, f"s{i % 5}"): "".join("ACGTN"[(i + k) % 5] for k in range(n)) for f in ("a.fa", "b.fa") for i, n in enumerate(lengths)}
+    assert {k: "".join(v) for k, v in got.items()} == want
