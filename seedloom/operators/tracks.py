@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.operators.base import as_list, attach_row, for_each, is_finite, ratio, small_side
+from seedloom.operators.base import as_list, attach_row, dealt, for_each, is_finite, ratio, small_side
 from seedloom.operators.intervals import not_overlapping, scaffold_fill
 from seedloom.operators.ordered import following, lay_out, ordered_scan, release, running_sum, scan
 
@@ -73,18 +73,22 @@ def average_tracks(tracks: DataFrame, drop_tail: DataFrame | None = None, step:
     the last bit. A stretch ends at a tile's end. Zero stretches are not written. ``drop_tail``
     (chrom, size) cuts each chromosome at its last full ``step``.
     """
-    per = tracks.groupBy("chrom").agg(F.count_distinct("track").alias("_tracks"))
+    tile = lambda at: F.floor(at / F.lit(SUM_TILE)).cast("long")
+    tiles = F.when(_nonzero() & (F.col("end") > F.col("start")), tile(F.col("end") - 1) - tile(F.col("start")) + 1)
+    per = small_side(tracks.groupBy("chrom").agg(F.count_distinct("track").alias("_tracks"), F.sum(tiles).alias("_cuts")))
+    cuts = per.agg(F.sum("_cuts")).first()[0] or 0
     live = tracks.filter(_nonzero() & (F.col("end") > F.col("start")))
     if drop_tail is not None:
         sizes = drop_tail.select("chrom", (F.floor(F.col("size") / step) * step).alias("_cut"))
         live = live.join(small_side(sizes), "chrom").withColumn("end", F.least("end", "_cut")).drop("_cut")
         live = live.filter(F.col("end") > F.col("start"))
-    tile = lambda at: F.floor(at / F.lit(SUM_TILE)).cast("long")
     cut = live.select("chrom", "value", "start", "end", F.explode(F.sequence(tile(F.col("start")), tile(F.col("end") - 1))).alias("_tile"))
+    # Tiles are dealt once, to as many tasks as their rows fill; all that follows stays there.
+    cut = dealt(cut, cuts, "chrom", "_tile")
     from_, to = F.greatest("start", F.col("_tile") * SUM_TILE), F.least("end", (F.col("_tile") + 1) * SUM_TILE)
     # The exponent of a tile's unit: its greatest value has 100 bits, which leaves 2^26 values on top of each other.
-    top = cut.groupBy("chrom", "_tile").agg((F.lit(100) - F.ceil(F.log2(F.max(F.abs("value"))))).alias("_bits"))
-    cut = cut.join(top, ["chrom", "_tile"])
+    top = F.max(F.abs("value")).over(Window.partitionBy("chrom", "_tile"))
+    cut = cut.withColumn("_bits", F.lit(100) - F.ceil(F.log2(top)))
     whole = F.round(F.col("value") * F.pow(F.lit(2.0), F.col("_bits"))).cast("decimal(38,0)")
     ends = cut.select(
         "chrom", "_tile", "_bits",
@@ -99,7 +103,7 @@ def average_tracks(tracks: DataFrame, drop_tail: DataFrame | None = None, step:
     along = Window.partitionBy("chrom", "_tile").orderBy("pos")
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = points.select("chrom", "pos", "_bits", F.sum("d").over(upto).alias("total"), F.sum("k").over(upto).alias("open"), F.lead("pos").over(along).alias("stop"))
-    runs = runs.filter((F.col("open") > 0) & F.col("stop").isNotNull()).join(small_side(per), "chrom")
+    runs = runs.filter((F.col("open") > 0) & F.col("stop").isNotNull()).join(per, "chrom")
     total = F.col("total").cast("double") / F.pow(F.lit(2.0), F.col("_bits"))
     return runs.select("chrom", F.col("pos").alias("start"), F.col("stop").alias("end"), (total / F.col("_tracks")).alias("value"))
 

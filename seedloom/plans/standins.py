@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seedloom.operators.base import dealt
 from seedloom.sources.matrix import matrix_from_arrays
 
 # ---- SQL views -------------------------------------------------------------------------
@@ -61,11 +62,17 @@ VIEWS = {
 def _signal(t):
     li = t.lineitem
     at = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 64
+    rows = li.select(
+        (F.col("l_suppkey") % 4).alias("track"),
+        F.col("l_returnflag").alias("chrom"),
+        at.alias("start"),
+        F.col("l_quantity").cast("int").alias("_len"),
+        F.col("l_discount").alias("value"),
+    )
     return (
-        li.groupBy(
-            (F.col("l_suppkey") % 4).alias("track"), F.col("l_returnflag").alias("chrom"), at.alias("start")
-        )
-        .agg(F.max(F.col("l_quantity").cast("int")).alias("_len"), F.max("l_discount").alias("value"))
+        dealt(rows, li.count(), "track", "chrom", "start")
+        .groupBy("track", "chrom", "start")
+        .agg(F.max("_len").alias("_len"), F.max("value").alias("value"))
         .select("track", "chrom", "start", (F.col("start") + F.col("_len")).alias("end"), "value")
     )
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seedloom.operators import base
 from seedloom.operators import corpus as co
 from seedloom.operators import intervals as iv
 from seedloom.operators import stats as st
@@ -108,6 +109,80 @@ def test_average_tracks_is_exact(spark, monkeypatch):
 
 
 def test_permuted_masks(spark):
+def tasks(df):
+    """Tasks that have rows, and the rows of the largest."""
+    seen = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    return len(seen), max(seen)
+
+
+def test_average_tracks_tasks_grow_with_rows(spark, monkeypatch):
+    """Tiles go to as many tasks as their rows fill, whatever the session's number of partitions is."""
+    monkeypatch.setattr(base, "TASK_ROWS", 200)
+    monkeypatch.setattr(tr, "SUM_TILE", 1000)
+    signal = spark.range(6000).selectExpr("id % 3 track", "if(id < 0, 'd', 'c') chrom", "id * 50 start", "id * 50 + 40 end", "double(id % 7) / 10 value")
+    runs = tr.average_tracks(signal)
+    n, most = tasks(runs)
+    assert n >= 20 and most < 600 and runs.count() == signal.filter("value > 0").count()
+
+
+def test_overlap_join_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(base, "TASK_ROWS", 200)
+    a = spark.range(3000).selectExpr("id", "'x' chrom", "id * 1000 start", "id * 1000 + 300 end")
+    b = spark.range(3000).selectExpr("id", "'x' chrom", "id * 1000 + 100 start", "id * 1000 + 150 end")
+    joined = iv.overlap_join(a, b, closed=False, bin_size=512)
+    n, most = tasks(joined)
+    assert n >= 20 and most < 600 and joined.filter("id = b_id").count() == joined.count() == 3000
+
+
+def test_bases_to_intervals_orders_runs_only(spark, monkeypatch):
+    """Runs are found in tiles dealt by their rows; only runs are put in order over all of them."""
+    monkeypatch.setattr(base, "TASK_ROWS", 100)
+    monkeypatch.setattr(iv, "RUN_TILE", 16)
+    seen = []
+    monkeypatch.setattr(iv, "lay_out", lambda df, *by: (seen.append(df.count()), lay_out(df, *by))[1])
+    rng = random.Random(9)
+    spans, at = [], -200
+    for _ in range(60):
+        at += rng.choice([0, 0, 1, 30])
+        size = rng.randint(1, 90)
+        spans.append((at, at + size, rng.choice([1.0, 2.0, 0.0])))
+        at += size
+    rows = [(c, p, v) for c in ("x", None) for s, e, v in spans for p in range(s, e)]
+    rows += [("y", 5, 1.0), ("y", 5, 1.0), ("y", 15, 2.0), ("y", 15, 2.0), ("y", 16, 2.0), ("y", None, 3.0), ("y", None, 3.0)]
+    want = [("y", 5, 6, 1.0), ("y", 5, 6, 1.0), ("y", 15, 16, 2.0), ("y", 15, 17, 2.0), ("y", None, None, 3.0), ("y", None, None, 3.0)]
+    for c in ("x", None):
+        runs = []
+        for s, e, v in spans:
+            if v and runs and runs[-1][1] == s and runs[-1][2] == v:
+                runs[-1] = (runs[-1][0], e, v)
+            elif v:
+                runs.append((s, e, v))
+        want += [(c, *r) for r in runs]
+    rng.shuffle(rows)
+    got = iv.bases_to_intervals(spark.createDataFrame(rows, "chrom string, pos long, value double").repartition(4))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert seen[0] < len(rows) / 4
+
+
+def test_signal_tasks_grow_with_rows(spark, sf_dir, monkeypatch):
+    from seedloom.plans.registry import Tables
+
+    monkeypatch.setattr(base, "TASK_ROWS", 200)
+    assert tasks(Tables(spark, sf_dir).signal)[0] >= 20
+
+
+def test_extract_windows_reads_written_windows(spark):
+    """Windows that come out of a shuffle are computed once, not for each pass over them."""
+    index = spark.range(40).selectExpr("'c' chrom", "id % 20 * 8 start", "id % 20 * 8 + 8 end").distinct()
+    seqs = spark.range(10).selectExpr("'c' seqid", "id * 16 chunk_start", "repeat('ACGT', 4) bases")
+    tracks = spark.createDataFrame([(0, "c", 4, 10, 2.0), (1, "c", 0, 99, 7.0)], "track long, chrom string, start long, end long, value double")
+    out = iv.extract_windows(index, seqs, tracks, track_ids=[0])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 20" not in plan
+    got = {r["start"]: (r["sequence"], r["signal_0"]) for r in out.collect()}
+    assert len(got) == 20 and got[0] == ("ACGTACGT", [0.0] * 4 + [2.0] * 4) and got[8] == ("ACGTACGT", [2.0] * 2 + [0.0] * 6)
+
+
     rng = random.Random(6)
     rows = []
     for i in range(60):
