@@ -3,8 +3,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seedloom.operators import intervals as iv
+from seedloom.operators.base import dealt
 from seedloom.operators.ordered import ordered_scan, running_sum
 from seedloom.plans.registry import query
+from seedloom.session import settle
 
 # Windows of the sequences, as (chrom, start, end), used by several entries below.
 SEQ_WINDOWS = """
@@ -118,7 +120,8 @@ def _(t):
 )
 def _(t):
     lo = F.col("start") - F.col("start") % 128
-    coarse = t.signal.groupBy("track", "chrom", lo.alias("_lo")).agg(F.round(F.max("value") * 5).alias("value"))
+    rows = dealt(t.signal.withColumn("_lo", lo), t.lineitem.count(), "track", "chrom", "_lo")
+    coarse = rows.groupBy("track", "chrom", "_lo").agg(F.round(F.max("value") * 5).alias("value"))
     one = coarse.select("track", "chrom", F.col("_lo").alias("start"), (F.col("_lo") + 64).alias("end"), "value")
     bases = iv.intervals_to_bases(one)
     return iv.bases_to_intervals(bases, ["track", "chrom"])
@@ -152,7 +155,8 @@ def _(t):
 )
 def _(t):
     lo = F.col("start") - F.col("start") % 256
-    win = t.signal.filter("track = 0").select("chrom", lo.alias("start"), (lo + 256).alias("end")).distinct()
+    win = t.signal.filter("track = 0").select("chrom", lo.alias("start"), (lo + 256).alias("end"))
+    win = settle(win.distinct())  # the chunks are made of the windows as well
     chunks = win.select(F.col("chrom").alias("seqid"), F.explode(F.array(F.col("start"), F.col("start") + 128)).alias("chunk_start"))
     chunks = chunks.withColumn("bases", F.repeat(F.lit("ACGT"), 32))
     return iv.extract_windows(win, chunks, t.signal, track_ids=[0])
