@@ -18,14 +18,13 @@ its character trigrams.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import WordHashes, columns_of, in_batches, table, text_or_empty
+from seedloom.llm.common import Tokens, WordHashes, in_batches, slices_of, table, text_or_empty, word_of
 
 # Share of an item's code points that may be edited in a passage that counts as the item.
 MOST_EDITS = 0.2
@@ -42,8 +41,9 @@ FEW_WORDS = 8
 # Items and words of a block.
 ITEM_BLOCK, WORD_BLOCK = 20_000, 100_000
 LANES = 1 << 15
-# Distinct tokens a task counts at once.
-COUNTED = 200_000
+# Windows verified together, code points of a piece of a window besides what an item spans, and 64-bit words
+# of the longest item that is verified so.
+TOGETHER, STRIDE, LONGEST = 1024, 256, 8
 _ONE = np.uint64(1)
 
 
@@ -149,8 +149,10 @@ class Index:
     def _agreeing(self, at: np.ndarray, key: np.ndarray):
         maybe = self.leaf_flags[key >> self.shift]
         at, key = at[maybe], key[maybe]
-        lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-        n = hi - lo
+        lo = np.searchsorted(self.keys, key, "left")
+        same = self.keys[np.minimum(lo, len(self.keys) - 1)] == key
+        at, key, lo = at[same], key[same], lo[same]
+        n = np.searchsorted(self.keys, key, "right") - lo
         rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.repeat(at, n), self.where[rows, 0], self.where[rows, 1]
 
@@ -292,12 +294,87 @@ def infix_distance(item: str, window: str) -> tuple[int, int]:
     return best, end
 
 
-def could_hold(item: str, window: str, most: float) -> bool:
-    """False if ``item`` is surely more than ``most`` edits away from every part of ``window``: an edit
-    takes at most three trigrams, and the others must be there."""
-    held = {window[i : i + 3] for i in range(len(window) - 2)}
-    lost = sum(item[i : i + 3] not in held for i in range(len(item) - 2))
-    return lost <= 3 * most
+def infix_distances(items: list[str], windows: list[str], most: float) -> np.ndarray:
+    """:func:`infix_distance` of each item and its window, as far as it is ``most`` of the item's code points or less;
+    else any number above that.
+
+    A passage within that distance is no longer than the item and its edits, so windows are cut into pieces
+    that overlap by as much. Pieces walk side by side, a column of 64-bit words each.
+    """
+    out = np.array([len(item) for item in items], dtype=np.int64)
+    lanes = []
+    for i, (item, window) in enumerate(zip(items, windows)):
+        reach = len(item) + int(len(item) * most)
+        lanes += [(-(-len(item) // 64), i, window[at : at + STRIDE + reach]) for at in range(0, max(1, len(window) - reach), STRIDE)]
+    lanes.sort(key=lambda lane: (lane[0], len(lane[2])))
+    long = sum(lane[0] <= LONGEST for lane in lanes)
+    for at in [*range(0, long, TOGETHER), *range(long, len(lanes), TOGETHER)]:
+        some = lanes[at : min(at + TOGETHER, long if at < long else len(lanes))]
+        n = some[-1][0]
+        # A step of all lanes takes about as long as one of sixteen strings for each word.
+        if n > LONGEST or len(some) < 16 * n:
+            found = [infix_distance(items[i], part)[0] for _, i, part in some]
+        else:
+            found = _side_by_side([items[i] for _, i, _ in some], [part for _, _, part in some], n)
+        np.minimum.at(out, [i for _, i, _ in some], found)
+    return out
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _side_by_side(items: list[str], windows: list[str], n: int) -> np.ndarray:
+    """Infix distances of items of at most ``n`` 64-bit words, one lane for each.
+
+    An item ends at the highest bit; the bits before it agree with every letter, so they stay at distance 0. Windows
+    are filled up with a code that no item has, which brings no item closer.
+    """
+    known: dict[str, tuple[int, np.ndarray]] = {}
+    masks: list[int] = []
+    codes = np.empty((max(map(len, windows)), len(items)), dtype=np.int64)
+    plus = np.zeros((n, len(items)), dtype=np.uint64)
+    parts = lambda mask: [mask >> 64 * w & (1 << 64) - 1 for w in range(n)]
+    for lane, (item, window) in enumerate(zip(items, windows)):
+        free = 64 * n - len(item)
+        if item not in known:
+            held: dict[str, int] = {}
+            for i, c in enumerate(item, free):
+                held[c] = held.get(c, (1 << free) - 1) | 1 << i
+            letters = sorted(held)
+            known[item] = len(masks), np.array([*map(ord, letters)], dtype=np.uint32)
+            masks += [(1 << free) - 1, *map(held.get, letters)]
+        none, letters = known[item]
+        read = _code_points(window)
+        at = np.minimum(np.searchsorted(letters, read), len(letters) - 1)
+        codes[: len(read), lane] = np.where(letters[at] == read, none + 1 + at, none)
+        codes[len(read) :, lane] = none
+        plus[:, lane] = parts((1 << 64 * n) - (1 << free))
+    of_code = np.array([*map(parts, masks)], dtype=np.uint64).T.copy()
+    last = np.uint64(63)
+    minus = np.zeros_like(plus)
+    score = np.array([*map(len, items)], dtype=np.int64)
+    best = score.copy()
+    for code in codes:
+        eq = of_code.take(code, axis=1)
+        xv = eq | minus
+        both = eq & plus
+        total = both + plus
+        over = total[0] < plus[0]
+        for w in range(1, n):
+            total[w] += over
+            over = (total[w] < plus[w]) | (over & (total[w] == plus[w]))
+        xh = (total ^ plus) | eq
+        ph, mh = minus | ~(xh | plus), plus & xh
+        score += (ph[-1] >> last).view(np.int64)
+        score -= (mh[-1] >> last).view(np.int64)
+        np.minimum(best, score, out=best)
+        for h in (ph, mh):
+            carried = h[:-1] >> last
+            h <<= _ONE
+            h[1:] |= carried
+        plus, minus = mh | ~(xv | ph), ph & xv
+    return best
 
 
 def _plain(text: str) -> str:
@@ -311,59 +388,29 @@ def _scan(items: list[tuple[int, str]], shares: Shares, most: float, plan=None):
     plan = plan or hashes()
 
     def run(batches):
-        index, words = Index(items, shares, plan), WordHashes()
+        index = Index(items, shares, plan)
         plain = [_plain(text) for _, text, _ in index.items]
+        size = np.array([n for _, _, n in index.items], dtype=np.int64)
         shorts = Short(index.short, most) if index.short else None
 
-        def found(doc, got, at, near):
-            """Verified items of one text. near: item number -> starts of its windows."""
-            # Tokens without a word belong to the window, those next to its ends as well.
-            bounds = np.concatenate([[-1], at, [len(got)]])
-            for no, starts in near.items():
-                item, _, n = index.items[no]
-                best = None
-                slack = int(n * most) + 2
-                # Windows of one place overlap: the surroundings are joined first.
-                spans = []
-                for s in starts:
-                    lo, hi = max(0, s - slack), min(len(at), s + n + slack)
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = hi
-                    else:
-                        spans.append([lo, hi])
-                for lo, hi in spans:
-                    window = " ".join(got[bounds[lo] + 1 : bounds[hi + 1]]).lower()
-                    if not could_hold(plain[no], window, most * len(plain[no])):
-                        continue
-                    d, _ = infix_distance(plain[no], window)
-                    if d <= most * len(plain[no]) and (best is None or d < best[0]):
-                        best = d, lo
-                if best:
-                    yield doc, item, best[0], best[1], len(spans)
-
         def rows():
-            group, size = [], 0
-            for doc, text in columns_of(batches):
-                h, got, at = tokens(text, words)
+            for batch in slices_of(batches, 1):
+                docs, texts = batch.columns
                 if shorts:
-                    low = _plain(text)
-                    for item, d, start in shorts.find(low):
-                        yield doc, item, d, low.count(" ", 0, start), 1
-                if not len(h):
-                    continue
-                group.append((doc, got, at, h))
-                size += len(h) + 1
-                if size >= LANES:
-                    yield from scanned(group)
-                    group, size = [], 0
-            yield from scanned(group)
+                    for i in range(batch.num_rows):
+                        low = _plain(texts[i].as_py())
+                        for item, d, start in shorts.find(low):
+                            yield docs[i].as_py(), item, d, low.count(" ", 0, start), 1
+                if len(index.items):
+                    for i, *found in scanned(Tokens(texts)):
+                        yield docs[i].as_py(), *found
 
         def supported(hits):
             """Hits of items that one is enough for, and those with another word's hit in the window."""
             if not len(hits):
                 return np.zeros(0, dtype=bool)
             g, no, start, offset = hits.T
-            slack = (np.array([n for _, _, n in index.items])[no] * most).astype(np.int64) + 2
+            slack = (size[no] * most).astype(np.int64) + 2
             keep = index.need[no] == 1
             # Hits stand by text, item and start: another word's hit is a neighbour, or behind
             # neighbours of the same word.
@@ -377,24 +424,53 @@ def _scan(items: list[tuple[int, str]], shares: Shares, most: float, plan=None):
                 keep[:-step] |= pair
             return keep
 
-        def scanned(group):
-            """Walks of several texts at once, each ended by a 0."""
-            if not group:
-                return
-            zero = np.zeros(1, dtype=np.uint64)
-            all_words = np.concatenate([part for g in group for part in (g[3], zero)])
-            starts = np.cumsum([0] + [len(g[3]) + 1 for g in group])
-            ends = np.repeat(starts[1:] - 1, np.diff(starts))
-            place, no, offset = index.candidates(all_words, ends)
-            g = np.searchsorted(starts, place, "right") - 1
-            hits = np.unique(np.stack([g, no, place - starts[g] - offset, offset], axis=1), axis=0)
-            near: dict[int, dict[int, list[int]]] = {}
-            for g, no, start in hits[supported(hits)][:, :3].tolist():
-                mine = near.setdefault(g, {}).setdefault(no, [])
-                if not mine or mine[-1] != start:
-                    mine.append(start)
-            for g, mine in near.items():
-                yield from found(*group[g][:3], mine)
+        def scanned(all_tokens):
+            """Verified items of several texts: number of the text, item, distance, first word, windows."""
+            h = all_tokens.hashes()
+            at = np.flatnonzero(h)
+            # Words of text g are at[first[g]] to at[first[g + 1]].
+            first = np.searchsorted(at, all_tokens.ends)
+            spans: list[tuple[int, int, int, int]] = []
+            g = 0
+            while g < len(first) - 1:
+                # Walks of several texts at once, each ended by a 0.
+                to = max(g + 1, int(np.searchsorted(first, first[g] + LANES, "right")) - 1)
+                starts = first[g : to + 1] - first[g] + np.arange(to - g + 1)
+                lengths = np.diff(starts)
+                all_words = np.zeros(starts[-1], dtype=np.uint64)
+                all_words[np.arange(first[to] - first[g]) + np.repeat(np.arange(to - g), lengths - 1)] = h[at[first[g] : first[to]]]
+                place, no, offset = index.candidates(all_words, np.repeat(starts[1:] - 1, lengths))
+                k = np.searchsorted(starts, place, "right") - 1
+                hits = np.unique(np.stack([k, no, place - starts[k] - offset, offset], axis=1), axis=0)
+                spans += windows(hits[supported(hits)][:, :3], lengths - 1, g)
+                g = to
+            # Tokens without a word belong to the window, those next to its ends as well.
+            texts = []
+            for g, _, lo, hi in spans:
+                x = at[first[g] + lo - 1] + 1 if lo else all_tokens.ends[g]
+                y = at[first[g] + hi] if first[g] + hi < first[g + 1] else all_tokens.ends[g + 1]
+                texts.append(" ".join(all_tokens.flat.slice(x, y - x).to_numpy(zero_copy_only=False)).strip(" ").lower())
+            distances = infix_distances([plain[no] for _, no, _, _ in spans], texts, most).tolist()
+            near: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for (g, no, lo, _), d in zip(spans, distances):
+                near.setdefault((g, no), []).append((d, lo))
+            for (g, no), found in near.items():
+                d, lo = min(found)
+                if d <= most * len(plain[no]):
+                    yield g, index.items[no][0], d, lo, len(found)
+
+        def windows(hits, lengths, g):
+            """(text, item number, first word, word after the last) around the hits, those of one place joined."""
+            out: list[list[int]] = []
+            for k, no, start in hits.tolist():
+                n = int(size[no])
+                slack = int(n * most) + 2
+                lo, hi = max(0, start - slack), min(int(lengths[k]), start + n + slack)
+                if out and out[-1][:2] == [g + k, no] and lo <= out[-1][3]:
+                    out[-1][3] = hi
+                else:
+                    out.append([g + k, no, lo, hi])
+            return out
 
         return in_batches(rows(), _FOUND)
 
@@ -406,25 +482,18 @@ def word_shares(texts: DataFrame, items: list[tuple[int, str]]) -> Shares:
     words = WordHashes()
     known = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *[words.of(text) for _, text in items]]))
 
+    of_word = {word_of(token): 0 for _, text in items for token in text.split()}
+    of_word = {word: int(np.searchsorted(known, words[word])) for word in of_word if word}
+
     def run(batches):
-        words, held, total = WordHashes(), np.zeros(len(known), dtype=np.int64), 0
-        tokens_: Counter[str] = Counter()
-
-        def settle():
-            h = np.fromiter(map(words.__getitem__, tokens_), dtype=np.uint64, count=len(tokens_))
-            n = np.fromiter(tokens_.values(), dtype=np.int64, count=len(tokens_))
-            tokens_.clear()
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                mine = known[at] == h
-                np.add.at(held, at[mine], n[mine])
-            return int(n[h != 0].sum())
-
-        for (text,) in columns_of(batches):
-            tokens_.update(text.split())
-            if len(tokens_) > COUNTED:
-                total += settle()
-        total += settle()
+        held, total = np.zeros(len(known) + 1, dtype=np.int64), 0
+        for batch in slices_of(batches, 0):
+            read = Tokens(batch.column(0))
+            n = np.bincount(read.places, minlength=len(read.distinct))
+            found = [of_word.get(word, -1) if word else -2 for word in read.words()]
+            at = np.array(found, dtype=np.int64)
+            total += int(n[at > -2].sum())
+            np.add.at(held, at[at >= 0], n[at >= 0])
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1], pa.int64()), pa.array(np.r_[held[some], total], pa.int64())], names=["word", "n"])
 

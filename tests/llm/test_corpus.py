@@ -9,12 +9,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seedloom.llm import QUERIES, decontam, jaccard, pii, sharding, toxicity
-from seedloom.llm.common import WordHashes
+from seedloom.llm.common import Tokens, WordHashes
 
 
 def auc(labels, scores):
@@ -514,6 +515,52 @@ def test_infix_distance(seed):
         assert decontam.infix_distance(a, b)[0] == min(row)
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefg ", "a\u00e9\u6f22\U0001f600x"])
+def test_infix_distances_side_by_side(alphabet):
+    """Windows verified together have the distance of each alone, as far as the item may be edited."""
+    rng = random.Random(3)
+    letters = lambda n, more="": "".join(rng.choice(alphabet + more) for _ in range(n))
+    items, windows = [], []
+    for size in [1, 3, 40, 63, 64, 65, 128, 129, 190, 512, 700] * 30:
+        item, window = letters(size), letters(rng.randint(0, 900), "z")
+        edited = [c for c in item if rng.random() > 0.1]
+        edited = [c if rng.random() > 0.1 else "q" for c in edited]
+        at = rng.randint(0, len(window))
+        items.append(item)
+        windows.append(window[:at] + "".join(edited) * rng.randint(0, 1) + window[at:])
+    got = decontam.infix_distances(items, windows, 0.2)
+    one = np.array([decontam.infix_distance(a, b)[0] for a, b in zip(items, windows)])
+    near = one <= 0.2 * np.array([*map(len, items)])
+    assert near.sum() > 100 and (got[near] == one[near]).all() and (got[~near] > 0.2 * np.array([*map(len, items)])[~near]).all()
+
+
+def test_decontamination_cost(monkeypatch):
+    """Windows of many texts are not walked one by one."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(20))) for i in range(20)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(60)) + f" {items[i % 20][1].upper()}.  " for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["doc", "text"])
+    words = WordHashes()
+    known = np.unique(np.concatenate([words.of(text) for _, text in items]))
+    run = decontam._scan(items, decontam.Shares(known, np.full(len(known), 60), 30_000), decontam.MOST_EDITS)
+    calls = Counter()
+    alone = decontam.infix_distance
+    monkeypatch.setattr(decontam, "infix_distance", lambda *a: calls.update(["walk"]) or alone(*a))
+    found = [row for out in run(iter([batch])) for row in zip(*(c.to_pylist() for c in out.columns))]
+    assert {(doc, item, d) for doc, item, d, _, _ in found} >= {(i, i % 20, 0) for i in range(400)}
+    assert calls["walk"] < 40
+
+
+def test_tokens_of_texts():
+    texts = ["", None, " a  B,\n", "\u3000x\x85Y \x1f(z) --", "One one ONE."]
+    got = Tokens(pa.array(texts))
+    for i, text in enumerate(texts):
+        h = got.hashes()[got.ends[i] : got.ends[i + 1]]
+        assert h[h != 0].tolist() == WordHashes().of(text or "").tolist()
+        assert [t for t in got.flat.to_pylist()[got.ends[i] : got.ends[i + 1]] if t] == (text or "").split()
+
+
 # Pipeline
 
 
