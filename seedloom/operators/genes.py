@@ -35,11 +35,17 @@ def gene_signal_mean(genes: DataFrame, track: DataFrame, key: str = "gene_id", b
 
 
 def gene_positions(genes: DataFrame, positions: DataFrame, flank: int, key: str = "gene_id", by=()) -> DataFrame:
-    """Position rows that fall in each gene's flanked, 1-based closed region."""
-    region = extend_flank(genes, flank).select(key, *as_list(by), F.col("region_start").alias("start"), F.col("region_end").alias("end"))
-    points = positions.withColumn("start", F.col("position")).withColumn("end", F.col("position"))
-    hits = overlap_join(region, points, by=by, bin_size=1024)
-    return hits.select(key, *[F.col(f"b_{c}").alias(c) for c in positions.columns if c not in as_list(by)])
+    """Position rows that fall in each gene's flanked, 1-based closed region.
+
+    Genes meet the distinct positions, and the rows are joined to those pairs by their position: many samples with
+    the same few positions would all stand in one bin of an interval join. A small table of pairs goes to every task.
+    """
+    by = as_list(by)
+    region = extend_flank(genes, flank).select(key, *by, F.col("region_start").alias("start"), F.col("region_end").alias("end"))
+    points = positions.select(*by, "position").distinct().withColumn("start", F.col("position")).withColumn("end", F.col("position"))
+    met = overlap_join(region, points, by=by, bin_size=1024)
+    pairs = small_side(met.select(key, *by, F.col("b_position").alias("position")))
+    return positions.join(pairs, [*by, "position"]).select(key, *[c for c in positions.columns if c not in by])
 
 
 def within_effective(matrix: DataFrame, blocks: DataFrame, by=("block",), strict: bool = True) -> DataFrame:
@@ -59,9 +65,10 @@ def gene_metrics(matrix: DataFrame, genes: DataFrame, flank: int = 0, key: str =
 def gene_pvalues(matrix: DataFrame, genes: DataFrame, flank: int = 0, key: str = "gene_id", group: str = "grp", case=1, control=0, metrics=tuple(METRICS), min_n: int = 10) -> DataFrame:
     """Case against control per (gene, metric), with q-values over the genes of each metric."""
     hits = gene_positions(genes, matrix.select("sample_id", group, "position", "value"), flank, key)
-    per = distribution_metrics(hits, [key, "sample_id", group])
+    n = hits.count()
+    per = distribution_metrics(hits, [key, "sample_id", group], n_rows=n)
     long = per.select(key, group, *metrics).unpivot([key, group], list(metrics), "metric", "score")
-    tested = mann_whitney(long, [key, "metric"], "score", F.col(group) == control, F.col(group) == case, min_n)
+    tested = mann_whitney(long, [key, "metric"], "score", F.col(group) == control, F.col(group) == case, min_n, rows=n * len(metrics))
     return bh_adjust(tested, "pvalue", "metric", "padj").withColumnRenamed("rejected", "significant")
 
 

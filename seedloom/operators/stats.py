@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from seedloom.functions.signal import log2_fold_change
 from seedloom.functions.tails import exact_rank_p, normal_p
-from seedloom.operators.base import as_list, ratio
+from seedloom.operators.base import as_list, dealt, ratio
 from seedloom.operators.ordered import (
     following,
     lay_out,
@@ -69,19 +69,20 @@ def bh_adjust(df: DataFrame, p: str = "p", by=None, to: str = "padj", alpha: flo
     return out.withColumn("rejected", F.coalesce(F.col(to) <= alpha, F.lit(False)))
 
 
-def mann_whitney(df: DataFrame, by, value: str, is_a: Column, is_b: Column, min_n: int = 10, method: str = "normal") -> DataFrame:
+def mann_whitney(df: DataFrame, by, value: str, is_a: Column, is_b: Column, min_n: int = 10, method: str = "normal", rows: int = 0) -> DataFrame:
     """Two-sided rank-sum test of group a against group b for every key.
 
     Values are first counted per (key, value), so the rank sums, the tie term and the group
     means all come from one ordered scan of the distinct values. The tail probability is the
     only Python step and runs once per key. ``method`` is the caller's: ``normal``, with tie and
     continuity correction, or ``exact``, for distinct values and groups whose sizes' product fits a task.
+    ``rows``, the number of rows if it is known, sets the number of tasks.
     """
     if method not in ("normal", "exact"):
         raise ValueError(method)
     by = as_list(by)
-    rows = df.filter(F.col(value).isNotNull() & (is_a | is_b))
-    vc = value_counts(rows, by, value, _a=F.when(is_a, 1).otherwise(0), _b=F.when(is_b, 1).otherwise(0))
+    known = df.filter(F.col(value).isNotNull() & (is_a | is_b))
+    vc = value_counts(known, by, value, rows, _a=F.when(is_a, 1).otherwise(0), _b=F.when(is_b, 1).otherwise(0))
     rank = F.col("cum") - (F.col("n") - 1) / 2.0
     n = F.col("n").cast("double")
     agg = vc.groupBy(*by).agg(
@@ -147,15 +148,19 @@ METRICS = (
 ).split()
 
 
-def distribution_metrics(df: DataFrame, by, value: str = "value", pos: str = "position") -> DataFrame:
-    """The 17 distribution metrics of the values of each group, ordered by ``pos`` for peaks."""
+def distribution_metrics(df: DataFrame, by, value: str = "value", pos: str = "position", n_rows: int = 0) -> DataFrame:
+    """The 17 distribution metrics of the values of each group, ordered by ``pos`` for peaks.
+
+    ``n_rows``, the number of rows if it is known, sets the number of tasks: for many small groups, as each is
+    dealt to one task.
+    """
     by = as_list(by)
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, pos, value)
     # laid out once for the peaks; the other two passes read the same settled rows
-    rows = lay_out(rows, by, pos)
+    rows = lay_out(rows, by, pos, rows=n_rows)
     v = F.col(value)
     up = F.when(v > 0, v)
-    base = rows.groupBy(*by).agg(
+    base = dealt(rows, n_rows, *by).groupBy(*by).agg(
         F.avg(v).alias("mean"),
         F.max(v).alias("max"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"),
@@ -164,12 +169,12 @@ def distribution_metrics(df: DataFrame, by, value: str = "value", pos: str = "po
         F.count(v).alias("_n"),
         F.coalesce(F.log(F.sum(up)) - F.sum(up * F.log(up)) / F.sum(up), F.lit(0.0)).alias("shannon_entropy"),
     )
-    vc = value_counts(rows, by, value)
+    vc = value_counts(rows, by, value, n_rows)
     k = F.greatest(F.lit(1), F.floor(F.col("total") * 0.05))
     before = F.col("cum") - F.col("n")
     in_top = F.greatest(F.lit(0), F.col("cum") - F.greatest(before, F.col("total") - k))
     in_low = F.greatest(F.lit(0), F.least("cum", k) - before)
-    shape = vc.groupBy(*by).agg(
+    shape = dealt(vc, n_rows, *by).groupBy(*by).agg(
         *quantile_aggs(value, {"median": 0.5, "_q25": 0.25, "_q75": 0.75, "percentile_90": 0.9, "percentile_10": 0.1}),
         F.max_by(value, F.struct("n", -v)).alias("mode"),
         (F.sum(v * in_top) / F.max(k)).alias("top5_percent_mean"),

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seedloom.operators import base
+from seedloom.operators import base, ordered
 from seedloom.operators import corpus as co
+from seedloom.operators import genes as gn
 from seedloom.operators import intervals as iv
 from seedloom.operators import stats as st
 from seedloom.operators import tracks as tr
@@ -136,7 +137,7 @@ def test_overlap_join_tasks_grow_with_rows(spark, monkeypatch):
 
 def test_bases_to_intervals_orders_runs_only(spark, monkeypatch):
     """Runs are found in tiles dealt by their rows; only runs are put in order over all of them."""
-    monkeypatch.setattr(base, "TASK_ROWS", 100)
+    monkeypatch.setattr(base, "TASK_ROWS", 200)
     monkeypatch.setattr(iv, "RUN_TILE", 16)
     seen = []
     monkeypatch.setattr(iv, "lay_out", lambda df, *by: (seen.append(df.count()), lay_out(df, *by))[1])
@@ -276,3 +277,22 @@ def test_boosted_probes(spark):
     boosted = pb.probe_boosted(train, test, label="y", rounds=8, depth=3, task="regression").first()
     robust, plain = (pb.probe_linear(train, test, label="y", robust=r).first() for r in (True, False))
     assert boosted["n"] == 150 and robust["mae"] < plain["mae"] and robust["mae"] < 7
+
+
+def test_gene_pvalues_tasks(spark, monkeypatch):
+    """Many samples at few positions: parts are as many as the counted rows fill, results do not depend on them."""
+    rows = [(i, p, i % 2, ((i * 37 + p * 11) % 101) / 8 if (i + p) % 17 else None) for i in range(60) for p in range(1, 9)]
+    matrix = spark.createDataFrame(rows + [(7, None, 1, 2.0), (8, 3, None, 1.0)] + rows[:5], "sample_id long, position long, grp int, value double")
+    loci = spark.createDataFrame([(1, 1, 3), (2, 2, 2), (3, 5, 9), (3, 5, 9), (4, None, 3), (5, 20, 30)], "gene_id long, start long, end long")
+    near = gn.gene_positions(loci, matrix, 1)
+    want = loci.join(matrix, F.col("position").between(F.greatest(F.lit(1), F.col("start") - 1), F.col("end") + 1)).select(near.columns)
+    assert sorted(map(str, near.collect())) == sorted(map(str, want.collect()))
+    same = lambda r: str([round(v, 9) if isinstance(v, float) else v for v in r])
+    run = lambda: sorted(map(same, gn.gene_pvalues(matrix, loci, 1, metrics=("mean", "max")).collect()))
+    whole = run()
+    parts = []
+    settled = ordered.settle
+    monkeypatch.setattr(ordered, "settle", lambda df: parts.append(df.rdd.getNumPartitions()) or settled(df))
+    monkeypatch.setattr(base, "TASK_ROWS", 200)
+    assert run() == whole
+    assert max(parts) >= near.count() // 200
