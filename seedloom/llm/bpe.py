@@ -12,12 +12,14 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seedloom.llm.common import table, text_or_empty, with_mapped
+from seedloom.llm.common import slices_of, table, text_or_empty, with_mapped
 
 RANKS = "byte_bpe_50k.tiktoken"
 # A piece handed to the library at once, in code points; longer runs are cut or merged here.
@@ -84,6 +86,13 @@ def encode_text(text: str, encoding, ranks, pattern: str) -> bytes:
     return b"".join(out)
 
 
+def decode_ids(ids: bytes, encoding) -> bytes:
+    """The bytes that little-endian unsigned 32-bit ids stand for."""
+    got = np.frombuffer(ids, dtype="<u4")
+    step = 1 << 16
+    return b"".join(encoding.decode_bytes(got[i : i + step].tolist()) for i in range(0, len(got), step))
+
+
 def encode(df: DataFrame, text: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Adds ``ids`` (binary, 4 bytes an id, little-endian) and ``n_tokens``.
 
@@ -106,22 +115,37 @@ def decode(df: DataFrame, ids: str = "ids", ranks: str | None = None, pattern: s
 
     def make():
         encoding, _ = _encoding(path, pattern)
+        return lambda value: decode_ids(value or b"", encoding)
 
-        def call(value):
-            got = np.frombuffer(value or b"", dtype="<u4")
-            step = 1 << 16
-            return b"".join(encoding.decode_bytes(got[i : i + step].tolist()) for i in range(0, len(got), step))
+    return with_mapped(df, ids, "decoded", "binary", make)
 
-        return call
 
-    return with_mapped(df, ids, "decoded", "binary", make)
+def round_trip(df: DataFrame, text: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``ids``, ``n_tokens`` and ``decoded`` in place of the text: :func:`encode` and :func:`decode` in one pass.
+
+    One Python process for a task, not two, and neither texts nor ids travel back and forth between them. Columns of these names
+    are replaced, all others but the text stay.
+    """
+    path = ranks or public_tokenizers.path(RANKS)
+    others = [c for c in df.columns if c not in (text, "ids", "n_tokens", "decoded")]
+    df = df.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in others])
+    made = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+
+    def run(batches):
+        encoding, table_ = _encoding(path, pattern)
+        for batch in slices_of(batches, 0):
+            ids = [encode_text(value.as_py() or "", encoding, table_, pattern) for value in batch.column(0)]
+            decoded = [decode_ids(value, encoding) for value in ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=[*others, "ids", "decoded"])
+
+    out = df.mapInArrow(run, T.StructType([*df.schema.fields[1:], *made]))
+    return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The contract's columns from the operator's own: text -> ids -> bytes."""
-    coded = encode(docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")))
-    back = decode(coded.select("doc_id", "n_tokens", "ids"))
-    return back.select(
+    coded = round_trip(docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")))
+    return coded.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -300,3 +300,16 @@ def test_urls_suffix_table(spark):
         ("[::1]", ""), ("one", "one"), ("b.c", "c"),
     ]
     assert urls.domain_and_suffix(df.limit(0)).count() == 0
+
+
+# Byte-level BPE in one pass
+
+
+def test_bpe_round_trip(spark, edge_docs, edge_rows):
+    """Encoding and decoding in one pass give what one after the other gives, with one Python step in the plan."""
+    once = bpe.round_trip(edge_docs.select("doc_id", "text"))
+    twice = bpe.decode(bpe.encode(edge_docs.select("doc_id", "text")))
+    rows = lambda df: sorted((str(r["doc_id"]), bytes(r["ids"]), r["n_tokens"], bytes(r["decoded"])) for r in df.collect())
+    assert rows(once) == rows(twice) and len(edge_rows) == once.count()
+    plan = bpe.digests(edge_docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
