@@ -5,18 +5,26 @@ stripes of their texts, an exchange deals them by prefix (long stripes in slices
 they are merged elementwise. The one table of merged stripes gives all figures: an element is the count of
 an extension, of a prefix and of a rest, and the greatest element of a stripe is what subsumes it.
 
-A phrase cannot be frequent unless its parts are. A pass before the stripes counts hashes of
-phrases of one to three words in tables of ``CELLS`` cells, whose sums keep one bit a cell: frequent or not.
-A cell counts all that falls into it, so the bits let through every frequent phrase and spare most
-of the others; what is let through is counted exactly. The size of the bits is fixed whatever the
-corpus holds; with many more words than cells they spare less and the result is the same. A second
-bit says which prefixes are so frequent that their stripes are sliced, the same for all tasks.
+A phrase cannot be frequent unless its parts are. Three passes over the texts use that: the first counts
+words, the second the stripes of the frequent words, the third those of longer phrases where each two
+neighbouring words are a frequent pair. Every pass counts exactly. Hash tables of ``CELLS`` cells or more, eight
+for each frequent pair, tell the third pass which pairs are frequent; a cell that several pairs share only lets
+more through. A second bit says which pairs are so frequent that their stripes are sliced, the same for
+all tasks.
+
+Between passes words travel as numbers of the frequent words, the most frequent first, and a longer stripe
+inside the stripe of its prefix, in compressed columns. So a word of the input costs an exchange one element
+of a few bytes for each phrase length at most, however much of the corpus is frequent.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,23 +35,28 @@ LONGEST = 5
 FEWEST = 100
 SUBSUMED = 100
 BEST = 2_000
-# Cells of each hash table, and the phrase lengths that have one.
-CELLS = 1 << 22
-SKETCHED = (1, 2, 3)
+# Cells of the hash table of frequent pairs, at least, and for each pair.
+CELLS, SPARE = 1 << 22, 8
 _BLOCK = 1 << 14
-# A stripe is dealt in slices by next word if its prefix's cell reaches so many; no other one can have
-# more elements than that. The stripe without prefix, all words, always is.
+# The stripes of a pair are dealt in slices by next word if its cell has a pair with so many.
 HOT, SLICES = 65_535, 1024
-# Stripes travel in so many parcels by hash of prefix and slice, many in one row.
-PARCELS = 4096
-# Words a task holds before it counts them.
-TOGETHER = 3_000_000
+# Stripes travel in so many parcels by hash of prefix and slice, many in one row; words in fewer.
+PARCELS, WORD_PARCELS = 2048, 256
+# Words a task holds before it counts them, and distinct words before it sends their counts.
+TOGETHER, DISTINCT = 3_000_000, 1_000_000
 
 # Lower case, and what ends a piece as line feed, and tab as space.
 _PLAIN = bytes(
     10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256)
 )
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_PARCEL = pa.schema([("lang", pa.string()), ("parcel", pa.int32()), ("data", pa.binary())])
+_PARCEL_DDL = "lang string, parcel int, data binary"
+# h is the hash of a pair.
+_COUNTS = pa.schema([
+    ("lang", pa.string()), ("size", pa.int32()), ("prefix", pa.string()), ("next", pa.string()), ("n", pa.int64()), ("h", pa.int64()),
+])
+_COUNTS_DDL = "lang string, size int, prefix string, next string, n long, h long"
 
 
 def pieces(data: bytes) -> list[list[bytes]]:
@@ -52,6 +65,69 @@ def pieces(data: bytes) -> list[list[bytes]]:
     return [words for piece in data.translate(_PLAIN).split(b"\n") if (words := piece.split())]
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _spread(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers below 2^32 as bytes: all lowest bytes first, as the others are mostly zero."""
+    flat = np.concatenate([[len(c) for c in columns], *columns]).astype("<u4")
+    return _squeezed(len(columns).to_bytes(4, "little") + flat.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw = _spread(data)
+    n = int.from_bytes(raw[:4], "little")
+    flat = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=4).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return np.split(flat[n:], np.cumsum(flat[: n - 1]))
+
+
+def _unpack_first(data: bytes) -> list[np.ndarray]:
+    """The same, the first column as the sums of its steps."""
+    first, *rest = _unpack(data)
+    return [np.cumsum(first), *rest]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h.astype(np.uint64) * _MIX
+    return (h ^ (h >> np.uint64(29))) * _MIX
+
+
+def _pair_hash(group: str, pairs: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of word numbers (first << 32 | second) of a language."""
+    return _mixed(pairs.astype(np.uint64) ^ np.uint64(xxhash.xxh64_intdigest(group, 1)))
+
+
+def _cell(h: np.ndarray, cells: int) -> np.ndarray:
+    return (h >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
+
+
+def _parcel_of(h: np.ndarray) -> np.ndarray:
+    return (_mixed(h) >> np.uint64(40)).astype(np.int64) % PARCELS
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sum of ``n`` of each, and the place of every key among them."""
+    found, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(found), dtype=np.int64)
+    np.add.at(total, at, n)
+    return found, total, at
+
+
+def _runs(values: np.ndarray):
+    """(value, start, end) of each run of equal values."""
+    starts = np.flatnonzero(np.r_[len(values) > 0, values[1:] != values[:-1]]).tolist()
+    return zip(values[starts].tolist(), starts, [*starts[1:], len(values)])
+
+
+def _texts(words: pa.Array, numbers: np.ndarray) -> list[str]:
+    return words.take(pa.array(numbers)).cast(pa.string()).to_pylist()
+
+
 class _Held:
     """Words of the texts of a task by group, as numbers of a vocabulary, until they are counted."""
 
@@ -69,151 +145,250 @@ class _Held:
         ends.append(np.fromiter(map(len, found), dtype=np.int32, count=len(found)))
         self.size += len(ids) + 1
 
-    def each(self):
-        """(group, word numbers, words left in the piece from each place) of every group."""
+    def each(self, vocabulary: dict[str, pa.Array]):
+        """(group, numbers of the words in the group's ``vocabulary``, whether the next word follows in the
+        piece) of every group; the number is -1 and nothing follows if a word is not in it."""
+        words = list(self.words)
         for group, (texts, lengths) in self.groups.items():
-            ids, length = np.concatenate(texts), np.concatenate(lengths)
-            ends = np.cumsum(length, dtype=np.int32)
-            yield group, ids, np.repeat(ends, length) - np.arange(len(ids), dtype=np.int32)
-
-    def phrase_hashes(self, group: str, ids, left, longest: int):
-        """(k, hash of the k words from each place, where a piece has so many) for k = 1, 2, ..."""
-        if not hasattr(self, "of_word"):
-            self.of_word = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), dtype=np.uint64, count=len(self.words))
-        word = self.of_word[ids] ^ np.uint64(xxhash.xxh64_intdigest(group, 1))
-        h = np.zeros(len(ids), dtype=np.uint64)
-        for k in range(1, longest + 1):
-            h = h.copy()
-            h[: len(ids) - k + 1] = (h[: len(ids) - k + 1] ^ word[k - 1 :]) * _MIX
-            h ^= h >> np.uint64(29)
-            yield k, h, left >= k
+            known = vocabulary.get(group)
+            ids = np.concatenate(texts)
+            if known is None or not len(ids):
+                continue
+            used, ids = np.unique(ids, return_inverse=True)
+            number = pc.index_in(pa.array([words[i] for i in used.tolist()], pa.binary()), value_set=known)
+            ids = pc.fill_null(number, -1).to_numpy(zero_copy_only=False).astype(np.int64)[ids]
+            last = np.zeros(len(ids), dtype=bool)
+            last[np.cumsum(np.concatenate(lengths), dtype=np.int64) - 1] = True
+            last[-1] = True
+            yield group, ids, (ids >= 0) & ~last & (np.r_[ids[1:], -1] >= 0)
+
+
+def _in_parcels(rows: DataFrame, count) -> DataFrame:
+    """Parcels that ``count`` makes of the words of each task, held ``TOGETHER`` at a time."""
 
+    def run(batches):
+        def made():
+            held = _Held()
+            for lang, data in columns_of(batches):
+                held.add(lang, data)
+                if held.size >= TOGETHER:
+                    yield from count(held)
+                    held = _Held()
+            yield from count(held)
+
+        yield from _sent(made())
+
+    return rows.mapInArrow(run, _PARCEL_DDL)
 
-def _cell(h: np.ndarray, cells: int) -> np.ndarray:
-    return ((h * _MIX) >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
 
+def _sent(parcels):
+    return in_batches(parcels, _PARCEL, size=lambda row: len(row[2]) + 64, most=1 << 22)
 
-def frequent_cells(rows: DataFrame, fewest: int, cells: int, sketched=SKETCHED) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(lang, data) -> by phrase length, bits of the cells whose phrases together reach ``fewest``, and of
-    those that reach ``HOT``.
 
-    Tasks send capped counts in blocks (a sum of capped counts reaches a bound below the cap if the sum of
-    the counts does); twice ``cells`` bits a length reach the driver.
+def _merged(parcels: DataFrame, merge) -> DataFrame:
+    """The rows of ``_COUNTS`` that ``merge`` (lang, parcel, list of its data -> columns) makes of each parcel."""
+
+    def run(batches):
+        for (lang, parcel), rows in groupby(columns_of(batches), key=lambda row: row[:2]):
+            found = merge(lang, parcel, [data for _, _, data in rows])
+            if len(found[0]):
+                m = len(found[0])
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), m), *[pa.array(c, f.type) for c, f in zip(found, list(_COUNTS)[1:])]]
+                yield pa.RecordBatch.from_arrays(columns, schema=_COUNTS)
+
+    # Dealt by parcel, so the elements of a stripe meet in one task and need no second exchange.
+    return parcels.repartition("lang", "parcel").sortWithinPartitions("lang", "parcel").mapInArrow(run, _COUNTS_DDL)
+
+
+def word_counts(rows: DataFrame, fewest: int) -> DataFrame:
+    """(lang, data) -> the words with a count of ``fewest`` or more, and the number of all words (size 0)."""
+
+    def run(batches):
+        def flush(counts, totals):
+            for group, counted in counts.items():
+                yield group, -1, totals[group].to_bytes(8, "little")
+                words = sorted(counted)
+                parcel = np.fromiter((xxhash.xxh32_intdigest(w) % WORD_PARCELS for w in words), dtype=np.int64, count=len(words))
+                n = np.fromiter((counted[w] for w in words), dtype=np.int64, count=len(words))
+                order = np.argsort(parcel, kind="stable")
+                for p, a, b in _runs(parcel[order]):
+                    some = order[a:b]
+                    text = _squeezed(b"\n".join([words[i] for i in some.tolist()]))
+                    yield group, p, len(text).to_bytes(8, "little") + text + _pack(n[some] & 0xFFFFFFFF, n[some] >> 32)
+
+        def made():
+            counts, totals, held = {}, Counter(), 0
+            for lang, data in columns_of(batches):
+                counted = counts.setdefault(lang, Counter())
+                held -= len(counted)
+                for words in pieces(data):
+                    counted.update(words)
+                    totals[lang] += len(words)
+                held += len(counted)
+                if held >= DISTINCT:
+                    yield from flush(counts, totals)
+                    counts, totals, held = {}, Counter(), 0
+            yield from flush(counts, totals)
+
+        yield from _sent(made())
+
+    def merge(lang, parcel, parts):
+        if parcel < 0:
+            return [0], [""], [""], [sum(int.from_bytes(part, "little") for part in parts)], [0]
+        total = Counter()
+        for part in parts:
+            to = 8 + int.from_bytes(part[:8], "little")
+            low, high = _unpack(part[to:])
+            for word, n in zip(_spread(part[8:to]).split(b"\n"), (low + (high << 32)).tolist()):
+                total[word] += n
+        found = [(word.decode(), n) for word, n in total.items() if n >= fewest]
+        m = len(found)
+        return [1] * m, [""] * m, [word for word, _ in found], [n for _, n in found], [0] * m
+
+    return _merged(rows.mapInArrow(run, _PARCEL_DDL), merge)
+
+
+def vocabulary_of(words: DataFrame) -> dict[str, pa.Array]:
+    """lang -> its frequent words, the most frequent first; a word's place is its number."""
+    got = words.filter("size = 1").select("lang", F.col("next").cast("binary").alias("next"), "n").toArrow().combine_chunks()
+    got = got.sort_by([("lang", "ascending"), ("n", "descending"), ("next", "ascending")])
+    langs = got.column("lang").to_pylist()
+    out = {}
+    for lang, rows in groupby(range(len(langs)), key=langs.__getitem__):
+        out[lang] = pa.concat_arrays(got.column("next").take(pa.array(list(rows))).chunks).cast(pa.binary())
+    return out
+
+
+def pair_counts(rows: DataFrame, vocabulary: dict[str, pa.Array], fewest: int) -> DataFrame:
+    """(lang, data) -> the phrases of two words with a count of ``fewest`` or more, and their hashes."""
+
+    def count(held):
+        for group, ids, follows in held.each(vocabulary):
+            at = np.flatnonzero(follows)
+            keys, n = np.unique(ids[at] << 32 | ids[at + 1], return_counts=True)
+            parcel = _parcel_of(_pair_hash(group, keys))
+            order = np.argsort(parcel, kind="stable")
+            first, second, n = keys[order] >> 32, keys[order] & 0xFFFFFFFF, n[order]
+            for p, a, b in _runs(parcel[order]):
+                yield group, p, _pack(np.diff(first[a:b], prepend=0), second[a:b], n[a:b])
+
+    def merge(lang, parcel, parts):
+        first, second, n = map(np.concatenate, zip(*map(_unpack_first, parts)))
+        keys, total, _ = _summed(first << 32 | second, n)
+        keys, total = keys[total >= fewest], total[total >= fewest]
+        first, second = (_texts(vocabulary[lang], w) for w in (keys >> 32, keys & 0xFFFFFFFF))
+        return [2] * len(keys), first, second, total, _pair_hash(lang, keys).view(np.int64)
+
+    return _merged(_in_parcels(rows, count), merge)
+
+
+def frequent_cells(pairs: DataFrame, cells: int) -> np.ndarray:
+    """Bits of the cells of the pairs of ``pair_counts``, and of those with a pair that reaches ``HOT``: two
+    rows of ``cells`` bits or more, ``SPARE`` cells for each pair at least.
+
+    The cells of a block meet in a task; two bits a cell reach the driver.
     """
-    cap = max(fewest, HOT)
-    small = np.uint16 if cap <= 65_535 else np.uint32
-    schema = pa.schema([("k", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
+    cells = 1 << (max(cells, SPARE * pairs.count()) - 1).bit_length()
     block = min(_BLOCK, cells)
-
-    def count(batches):
-        total = {k: np.zeros(cells, dtype=small) for k in sketched}
-        held = _Held()
-
-        def settle():
-            for group, ids, left in held.each():
-                for k, h, fits in held.phrase_hashes(group, ids, left, max(sketched)):
-                    if k in total:
-                        cell, n = np.unique(_cell(h[fits], cells), return_counts=True)
-                        total[k][cell] = np.minimum(total[k][cell] + n, cap).astype(small)
-
-        for lang, data in columns_of(batches):
-            held.add(lang, data)
-            if held.size >= TOGETHER:
-                settle()
-                held = _Held()
-        settle()
-        for k in sketched:
-            parts = [(k, b, total[k][b * block : (b + 1) * block]) for b in range(cells // block)]
-            parts = [(k, b, part.tobytes()) for k, b, part in parts if part.any()]
-            yield from in_batches(parts, schema, size=lambda row: len(row[2]), most=1 << 22)
+    cell = F.shiftrightunsigned("h", 64 - (cells.bit_length() - 1))
+    rows = pairs.select(F.floor(cell / block).cast("int").alias("block"), (cell % block).cast("int").alias("at"), (F.col("n") >= HOT).alias("hot"))
+    schema = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
 
     def merge(batches):
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for k, b, counts in columns_of(batches):
-            part = np.frombuffer(counts, dtype=small).astype(np.int64)
-            got = total.get((k, b))
-            total[k, b] = np.minimum(part if got is None else got + part, cap)
-        out = [(k, b, np.packbits(part >= fewest).tobytes() + np.packbits(part >= HOT).tobytes()) for (k, b), part in total.items()]
-        yield from in_batches(out, schema)
-
-    ddl = "k int, block int, counts binary"
-    got = rows.mapInArrow(count, ddl).repartition("k", "block").mapInArrow(merge, ddl).toArrow()
-    bits = {k: np.zeros((2, cells // block, block // 8), dtype=np.uint8) for k in sketched}
-    for k, b, packed in zip(*(got.column(i).to_pylist() for i in range(3))):
-        bits[k][:, b] = np.frombuffer(packed, dtype=np.uint8).reshape(2, -1)
-    return {k: (v[0].reshape(-1), v[1].reshape(-1)) for k, v in bits.items()}
-
-
-def stripes(rows: DataFrame, bits: dict[int, tuple], cells: int, longest: int) -> DataFrame:
-    """(lang, data) -> stripes of each task, in parcels: lang, parcel, and the arrays prefix, size
-    (words with the next), next, n with an element for each next word of each stripe.
-
-    Parcel -1 with size 0 holds the number of all words.
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            of, at, hot = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for b in np.unique(of).tolist():
+                bits = found.setdefault(b, np.zeros((2, block), dtype=bool))
+                bits[0, at[of == b]] = True
+                bits[1, at[(of == b) & hot]] = True
+        yield from in_batches(((b, np.packbits(bits, axis=1).tobytes()) for b, bits in found.items()), schema)
+
+    got = rows.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary").toArrow()
+    out = np.zeros((2, cells // block, block // 8), dtype=np.uint8)
+    for b, packed in zip(*(got.column(i).to_pylist() for i in range(2))):
+        out[:, b] = np.frombuffer(packed, dtype=np.uint8).reshape(2, -1)
+    return out.reshape(2, -1)
+
+
+def stripes(rows: DataFrame, vocabulary: dict[str, pa.Array], bits: np.ndarray, longest: int) -> DataFrame:
+    """(lang, data) -> stripes of the phrases of three words and more of each task, in parcels.
+
+    A parcel has the prefixes of two words in order, with the number of elements of each; then of all
+    elements the next words and counts, and with the elements as prefixes the same again.
     """
-    schema = pa.schema([
-        ("lang", pa.string()), ("parcel", pa.int32()), ("prefix", pa.list_(pa.string())), ("size", pa.int32()),
-        ("length", pa.list_(pa.int32())), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64())),
-    ])
+    cells = bits.shape[1] * 8
 
-    def has(k, h, which):
+    def has(which, h):
         cell = _cell(h, cells)
-        return (bits[k][which][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-
-    def run(batches):
-        held = _Held()
-
-        def settle():
-            words = list(held.words)
-            deal_of = lambda texts: np.fromiter(map(xxhash.xxh32_intdigest, texts), dtype=np.int64, count=len(texts))
-            deal = deal_of(words)
-            for group, ids, left in held.each():
-                yield from _rows([(group, -1, [""], 0, [1], [""], [len(ids)])])
-                # The number of the phrase of k - 1 words at each place (-1: not frequent), its text,
-                # and whether its stripe is sliced: a longer phrase than the bits know goes by its first words.
-                before, texts, hot = np.zeros(len(ids), dtype=np.int64), [b""], np.ones(len(ids), dtype=bool)
-                for k, h, fits in held.phrase_hashes(group, ids, left, longest):
-                    at = np.flatnonzero(fits & (before >= 0) & (has(k, h, 0) if k in bits else True))
-                    if k > 1:
-                        at = at[before[at + 1] >= 0]
-                    keys, first, inverse, n = np.unique(before[at] << 32 | ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-                    prefix, word = keys >> 32, keys & 0xFFFFFFFF
-                    part = np.where(hot[at[first]], deal[word] % SLICES, 0)
-                    parcel = (deal_of(texts)[prefix] + part) % PARCELS
-                    order = np.lexsort((prefix, parcel))
-                    yield from _rows(_cut(group, k, texts, words, prefix[order], parcel[order], word[order], n[order]))
-                    texts = [texts[p] + b" " + words[w] if k > 1 else words[w] for p, w in zip(prefix.tolist(), word.tolist())]
-                    before = np.full(len(ids), -1, dtype=np.int64)
-                    before[at] = inverse
-                    if k in bits:
-                        hot = has(k, h, 1)
-                    if not len(at):
-                        break
-
-        def _rows(parts):
-            return in_batches(parts, schema, size=lambda row: len(row[5]) + 4, most=50_000)
-
-        for lang, data in columns_of(batches):
-            held.add(lang, data)
-            if held.size >= TOGETHER:
-                yield from settle()
-                held = _Held()
-        yield from settle()
-
-    ddl = "lang string, parcel int, prefix array<string>, size int, length array<int>, next array<string>, n array<long>"
-    return rows.mapInArrow(run, ddl)
-
-
-def _cut(group, k, texts, words, prefix, parcel, word, n):
-    """Rows of the parcels that stand one after another in these arrays, the stripes of each in order."""
-    new = np.r_[len(parcel) > 0, parcel[1:] != parcel[:-1]]
-    first = np.flatnonzero(new | np.r_[len(parcel) > 0, prefix[1:] != prefix[:-1]])
-    starts = np.flatnonzero(new)
-    stripes_of = np.searchsorted(first, [*starts.tolist(), len(parcel)])
-    lengths = np.diff(np.r_[first, len(parcel)])
-    for i, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(parcel)])):
-        mine = slice(stripes_of[i], stripes_of[i + 1])
-        names = [texts[p].decode() for p in prefix[first[mine]]]
-        yield group, int(parcel[a]), names, k, lengths[mine].tolist(), [words[w].decode() for w in word[a:b]], n[a:b].tolist()
+        return (bits[which][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+
+    def count(held):
+        for group, ids, follows in held.each(vocabulary):
+            width = len(vocabulary[group])
+            at = np.flatnonzero(follows)
+            h = _pair_hash(group, ids[at] << 32 | ids[at + 1])
+            some = has(0, h)
+            at, h = at[some], h[some]
+            frequent = np.zeros(len(ids), dtype=bool)
+            frequent[at] = True
+            some = frequent[at + 1]
+            at, h = at[some], h[some]
+            if not len(at):
+                continue
+            part = np.where(has(1, h), ids[at + 2] % SLICES + 1, 0)
+            parcel = _parcel_of(h + part.astype(np.uint64))
+            pairs, label = np.unique(ids[at] << 32 | ids[at + 1], return_inverse=True)
+            roots, label = np.unique(parcel * len(pairs) + label, return_inverse=True)
+            parcel, pairs = roots // len(pairs), pairs[roots % len(pairs)]
+            # Elements stand in order of their prefixes, so those of a parcel are a run in every level.
+            levels, size = [], len(roots)
+            for k in range(3, longest + 1):
+                keys, label, n = np.unique(label * width + ids[at + k - 1], return_inverse=True, return_counts=True)
+                levels.append((np.bincount(keys // width, minlength=size), keys % width, n))
+                some, size = frequent[at + k - 1], len(keys)
+                at, label = at[some], label[some]
+            ends = [np.r_[0, np.cumsum(length)] for length, _, _ in levels]
+            for p, a, b in _runs(parcel):
+                columns = [np.diff(pairs[a:b] >> 32, prepend=0), pairs[a:b] & 0xFFFFFFFF]
+                for (length, word, n), end in zip(levels, ends):
+                    columns.append(length[a:b])
+                    a, b = end[a], end[b]
+                    columns += [word[a:b], n[a:b]]
+                yield group, p, _pack(*columns)
+
+    return _in_parcels(rows, count)
+
+
+def stripe_counts(parcels: DataFrame, vocabulary: dict[str, pa.Array], fewest: int) -> DataFrame:
+    """Parcels of ``stripes`` -> the phrases of three words and more with a count of ``fewest`` or more."""
+
+    def merge(lang, parcel, parts):
+        known = vocabulary[lang]
+        first, second, *levels = map(np.concatenate, zip(*map(_unpack_first, parts)))
+        pairs, label = np.unique(first << 32 | second, return_inverse=True)
+        # Of the prefixes with a count of their own, only frequent ones go on; the last place is for the others.
+        alive = np.ones(len(pairs) + 1, dtype=bool)
+        of_prefix = lambda at: [f"{a} {b}" for a, b in zip(_texts(known, pairs[at] >> 32), _texts(known, pairs[at] & 0xFFFFFFFF))]
+        out = [[], [], [], [], []]
+        for i in range(0, len(levels), 3):
+            length, word, n = levels[i : i + 3]
+            prefix = np.repeat(label, length)
+            some = alive[prefix]
+            keys, total, place = _summed(prefix[some] * len(known) + word[some], n[some])
+            big = np.flatnonzero(total >= fewest)
+            label = np.full(len(word), len(keys))
+            label[some] = place
+            alive = np.zeros(len(keys) + 1, dtype=bool)
+            alive[big] = True
+            before, after = of_prefix(keys[big] // len(known)), _texts(known, keys[big] % len(known))
+            for column, values in zip(out, ([3 + i // 3] * len(big), before, after, total[big].tolist(), [0] * len(big))):
+                column += values
+            text = dict(zip(big.tolist(), map(" ".join, zip(before, after))))
+            of_prefix = lambda at, text=text: [text[x] for x in at.tolist()]
+        return out
+
+    return _merged(parcels, merge)
 
 
 def phrase_counts(docs: DataFrame, text="text", lang="lang", longest=LONGEST, fewest=FEWEST, cells=CELLS) -> DataFrame:
@@ -226,16 +401,16 @@ def phrase_counts(docs: DataFrame, text="text", lang="lang", longest=LONGEST, fe
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("data"),
     )
-    bits = frequent_cells(rows, fewest, cells, tuple(k for k in SKETCHED if k <= longest))
-    # Dealt by parcel, so the elements of a stripe meet in one task and need no second exchange.
-    dealt = stripes(rows, bits, cells, longest).repartition("lang", "parcel")
-    of_each = F.flatten(F.zip_with("prefix", "length", lambda p, k: F.array_repeat(p, k)))
-    elements = dealt.select("lang", "parcel", "size", F.explode(F.arrays_zip(of_each.alias("prefix"), "next", "n")).alias("e"))
-    elements = elements.select("lang", "parcel", "size", F.col("e.prefix").alias("prefix"), F.col("e.next").alias("next"), F.col("e.n").alias("n"))
-    merged = elements.groupBy("lang", "parcel", "size", "prefix", "next").agg(F.sum("n").alias("n"))
-    merged = merged.filter((F.col("n") >= fewest) | (F.col("size") == 0))
+    merged = words = keep(word_counts(rows, fewest), "words")
+    vocabulary = vocabulary_of(words)
+    if longest > 1:
+        pairs = keep(pair_counts(rows, vocabulary, fewest), "pairs")
+        merged = merged.union(pairs)
+    if longest > 2:
+        dealt = stripes(rows, vocabulary, frequent_cells(pairs, cells), longest)
+        merged = merged.union(keep(stripe_counts(dealt, vocabulary, fewest), "stripes"))
     phrase = F.when(F.col("size") > 1, F.concat_ws(" ", "prefix", "next")).otherwise(F.col("next"))
-    return keep(merged.select("lang", "size", "prefix", "next", phrase.alias("phrase"), "n"), "stripes")
+    return merged.select("lang", "size", "prefix", "next", phrase.alias("phrase"), "n")
 
 
 def _part(words: Column, start, length) -> Column:

@@ -146,6 +146,27 @@ def test_collocations_hot_word(spark):
     assert sorted(map(tuple, got)) == brute_phrases(rows, 5, 20, 100, 50)
 
 
+def test_collocations_exchange_is_bounded(spark, monkeypatch):
+    """Where all phrases are frequent, or small tables let all through, a word costs the exchanges a few bytes."""
+    rng = random.Random(11)
+    words = [f"w{i:04d}" for i in range(400)]
+    rows = [(" ".join(rng.choices(words, [1 / (i + 1) for i in range(400)], k=1000)), "en") for _ in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    sent, repartition, F = [], type(docs).repartition, collocations.F
+
+    def counted(df, *by):
+        size = sum((F.length(c) if kind == "binary" else F.length(F.to_json(F.struct(c))) for c, kind in df.dtypes), F.lit(0))
+        sent.append(df.agg(F.sum(size)).first()[0])
+        return repartition(df, *by)
+
+    monkeypatch.setattr(type(docs), "repartition", counted)
+    monkeypatch.setattr(collocations, "PARCELS", 16)
+    counts = collocations.phrase_counts(docs, fewest=1, cells=64)
+    assert sum(sent) < 20 * 60_000
+    assert counts.filter("size = 5").agg(F.sum("n")).first()[0] == 60 * 996
+    assert counts.filter("size = 2").agg(F.sum("n")).first()[0] == 60 * 999
+
+
 def test_collocations_exact_beyond_64_bits(spark):
     big = 3 * 10**9
     rows = [("en", 0, "", "", "", 10**13), ("en", 1, "", "a", "a", big), ("en", 1, "", "b", "b", big), ("en", 2, "a", "b", "a b", big - 1)]
