@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.functions.tails import normal_quantile, t_test_p
-from seedloom.operators.base import as_list, attach_row, ratio, seeded_unit, small_side
+from seedloom.operators.base import as_list, attach_row, dealt, ratio, seeded_unit, small_side, tasks_of
 from seedloom.operators.intervals import effective_intervals, extend_flank, overlap_join
 from seedloom.operators.ordered import ordered_scan, row_index, value_counts
 from seedloom.operators.stats import METRICS, bh_adjust, column_profile, distribution_metrics, mann_whitney
@@ -40,11 +40,20 @@ def gene_positions(genes: DataFrame, positions: DataFrame, flank: int, key: str
     Genes meet the distinct positions, and the rows are joined to those pairs by their position: many samples with
     the same few positions would all stand in one bin of an interval join. A small table of pairs goes to every task.
     """
+    return _at_genes(positions, _gene_pairs(genes, positions, flank, key, by), key, by)
+
+
+def _gene_pairs(genes: DataFrame, positions: DataFrame, flank: int, key: str, by=()) -> DataFrame:
+    """Each gene with the positions in its region."""
     by = as_list(by)
     region = extend_flank(genes, flank).select(key, *by, F.col("region_start").alias("start"), F.col("region_end").alias("end"))
     points = positions.select(*by, "position").distinct().withColumn("start", F.col("position")).withColumn("end", F.col("position"))
     met = overlap_join(region, points, by=by, bin_size=1024)
-    pairs = small_side(met.select(key, *by, F.col("b_position").alias("position")))
+    return small_side(met.select(key, *by, F.col("b_position").alias("position")))
+
+
+def _at_genes(positions: DataFrame, pairs: DataFrame, key: str, by=()) -> DataFrame:
+    by = as_list(by)
     return positions.join(pairs, [*by, "position"]).select(key, *[c for c in positions.columns if c not in by])
 
 
@@ -63,10 +72,19 @@ def gene_metrics(matrix: DataFrame, genes: DataFrame, flank: int = 0, key: str =
 
 
 def gene_pvalues(matrix: DataFrame, genes: DataFrame, flank: int = 0, key: str = "gene_id", group: str = "grp", case=1, control=0, metrics=tuple(METRICS), min_n: int = 10) -> DataFrame:
-    """Case against control per (gene, metric), with q-values over the genes of each metric."""
-    hits = gene_positions(genes, matrix.select("sample_id", group, "position", "value"), flank, key)
-    n = hits.count()
-    per = distribution_metrics(hits, [key, "sample_id", group], n_rows=n)
+    """Case against control per (gene, metric), with q-values over the genes of each metric.
+
+    Where samples are many, they are dealt whole and meet the genes where they then stand: overlapping genes
+    have many rows of each sample, and these are never written.
+    """
+    cells = matrix.select("sample_id", group, "position", "value")
+    pairs = _gene_pairs(genes, cells, flank, key)
+    hits = _at_genes(cells, pairs, key)
+    n, samples = hits.agg(F.count(F.lit(1)), F.approx_count_distinct("sample_id")).first()
+    by = [key, "sample_id", group]
+    whole = samples >= 4 * tasks_of(hits, n)
+    hits = _at_genes(dealt(cells, n, "sample_id"), pairs, key) if whole else dealt(hits, n, *by)
+    per = distribution_metrics(hits, by, small=True)
     long = per.select(key, group, *metrics).unpivot([key, group], list(metrics), "metric", "score")
     tested = mann_whitney(long, [key, "metric"], "score", F.col(group) == control, F.col(group) == case, min_n, rows=n * len(metrics))
     return bh_adjust(tested, "pvalue", "metric", "padj").withColumnRenamed("rejected", "significant")

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedloom.operators.base import as_list, dealt, tasks_of
+from seedloom.operators import base
+from seedloom.operators.base import as_list, dealt, small_side, tasks_of
 from seedloom.session import settle
 
 PID = "_pid"
@@ -62,7 +63,7 @@ def following(col, n: int = 1) -> Scan:
     return Scan("lead", F.col(col) if isinstance(col, str) else col, n=n)
 
 
-def lay_out(df: DataFrame, by, order, salt: bool = False, rows: int = 0) -> DataFrame:
+def lay_out(df: DataFrame, by, order, salt: bool = False) -> DataFrame:
     """``df`` with the number of each row's part in ``_pid`` and, in ``_cross``, whether its group may
     reach into other parts.
 
@@ -70,8 +71,7 @@ def lay_out(df: DataFrame, by, order, salt: bool = False, rows: int = 0) -> Data
     value in the plan. ``salt`` adds a random last key, so that rows with equal keys can be split
     too; such a table is written once, range-partitioned, for the draw must not change. So is a table that is
     itself the outcome of shuffles or Python, as the passes over it would each compute it; a table that
-    is only read, filtered and projected is not. ``rows``, if the caller knows how many there are at most, sets the
-    number of such a table's parts.
+    is only read, filtered and projected is not.
     """
     by = as_list(by)
     order = [*as_list(order), *([SALT] if salt else [])]
@@ -80,10 +80,7 @@ def lay_out(df: DataFrame, by, order, salt: bool = False, rows: int = 0) -> Data
     if salt or derived(df):
         df = df.withColumn(SALT, F.rand(17)) if salt else df
         ends = [F.col(f"`{c}`").desc_nulls_last() if d else F.col(f"`{c}`").asc_nulls_first() for c, d in zip(names, down)]
-        parts = tasks_of(df, rows)
-        ranged = df.repartitionByRange(parts, *ends) if parts else df.repartitionByRange(*ends)
-        laid = settle(ranged.withColumn(PID, F.spark_partition_id())).withColumn(CROSS, F.lit(True))
-        return laid.withColumn(PID, F.col(PID).alias(PID, metadata={"parts": parts})) if parts else laid
+        return settle(df.repartitionByRange(*ends).withColumn(PID, F.spark_partition_id())).withColumn(CROSS, F.lit(True))
     keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]
     parts = PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(f"k{i}").desc_nulls_last() if d else F.col(f"k{i}").asc_nulls_first() for i, d in enumerate(down)]
@@ -159,7 +156,6 @@ def scan(laid: DataFrame, by, order, **scans: Scan) -> DataFrame:
     A second scan over the outcome of a first one reads it from where it is written once.
     """
     by = as_list(by)
-    parts = laid.schema[PID].metadata.get("parts")
     if DEALT in laid.columns:
         laid = settle(laid)
     order = [*as_list(order), *([SALT] if SALT in laid.columns else [])]
@@ -173,7 +169,7 @@ def scan(laid: DataFrame, by, order, **scans: Scan) -> DataFrame:
     turned = Window.partitionBy(*group).orderBy(*back)
     aggs = {"sum": F.sum, "min": F.min, "max": F.max}
 
-    out = (laid.repartition(parts, PID) if parts else laid.repartition(PID)).withColumn(DEALT, F.lit(True))
+    out = laid.repartition(PID).withColumn(DEALT, F.lit(True))
     shifts = {k: s for k, s in scans.items() if s.kind in ("lag", "lead")}
     if shifts:
         out = out.withColumn("_rn", F.row_number().over(local)).withColumn(
@@ -216,7 +212,6 @@ def scan(laid: DataFrame, by, order, **scans: Scan) -> DataFrame:
     there: dict[str, Column] = {}
     joined = list(out.columns)
     for t, (edges, picked) in enumerate(tables):
-        edges = edges.repartition(parts, *[F.col(f"`{c}`") for c in by]) if parts and by else edges
         spread = edges.withColumn("_span", F.count(F.lit(1)).over(across)).withColumns({f"_o_{k}": v for k, v in picked.items()})
         cols = [F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(by)] + [F.col(f"_o_{k}").alias(k) for k in picked]
         pair = spread.filter(F.col("_span") > 1).groupBy(F.col(PID).alias(f"_p{t}")).agg(F.collect_list(F.struct(*cols)).alias("_two"))
@@ -252,27 +247,46 @@ def release(df: DataFrame) -> DataFrame:
     return df.drop(PID, SALT, CROSS, DEALT)
 
 
-def ordered_scan(df: DataFrame, by, order, salt: bool = False, rows: int = 0, **scans: Scan) -> DataFrame:
-    return release(scan(lay_out(df, by, order, salt, rows), by, order, **scans))
+def ordered_scan(df: DataFrame, by, order, salt: bool = False, **scans: Scan) -> DataFrame:
+    return release(scan(lay_out(df, by, order, salt), by, order, **scans))
 
 
-def value_counts(df: DataFrame, by, value: str, rows: int = 0, **sums: Column) -> DataFrame:
+def value_counts(df: DataFrame, by, value: str, **sums: Column) -> DataFrame:
     """Distinct non-null values per group with their count, running count and group total.
 
     Columns: by, value, n, cum (rows with a value <= this one), total, plus for every named
     extra sum its own per-value sum. Ties are merged before the shuffle, so one value held
-    by a third of the rows costs one row here. ``rows``, the number of rows if it is known, sets the number of tasks.
+    by a third of the rows costs one row here.
     """
     by = as_list(by)
     counts = (
-        dealt(df.filter(F.col(value).isNotNull()), rows, *by, value)
+        df.filter(F.col(value).isNotNull())
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     )
-    out = ordered_scan(counts, by, value, rows=rows, cum=running_sum("n"), _rest=running_sum("n", reverse=True))
+    out = ordered_scan(counts, by, value, cum=running_sum("n"), _rest=running_sum("n", reverse=True))
     return out.withColumn("total", F.col("cum") + F.col("_rest") - F.col("n")).drop("_rest")
 
 
+def in_parts(df: DataFrame, by, value: str, rows: int, to: str = "_part") -> DataFrame:
+    """``df`` dealt by group and, in ``to``, the part of the group that the value is in: parts come one after another
+    in the order of the values and have about a quarter of ``TASK_ROWS`` rows, equal values excepted.
+
+    The values at which groups are cut are picked from those with a certain hash, some hundred in each part. The
+    picked ones are all that is written, for groups are too costly to compute for their counts and again for the cuts.
+    """
+    if not tasks_of(df, rows):
+        return df.withColumn(to, F.lit(0))
+    by, part = as_list(by), max(1, base.TASK_ROWS // 4)
+    step = max(1, part // 100)
+    picked = settle(df.filter(F.pmod(F.xxhash64(value), F.lit(step)) == 0).select(*by, value))
+    groups = picked.groupBy(*by).agg(F.sort_array(F.collect_set(value)).alias("_v")).filter(F.size("_v") > part // step)
+    cuts = F.transform(F.sequence(F.lit(part // step), F.size("_v"), F.lit(part // step)), lambda i: F.element_at("_v", i))
+    out = df.join(small_side(groups.select(*by, cuts.alias("_cuts"))), by, "left")
+    passed = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    return dealt(out.withColumn(to, F.when(F.col("_cuts").isNull(), 0).otherwise(passed)).drop("_cuts"), rows, *by, to)
+
+
 def quantiles(df: DataFrame, by, value: str, named: dict[str, float], counted: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles per group (one output column per name)."""
     by = as_list(by)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seedloom.functions.signal import log2_fold_change
 from seedloom.functions.tails import exact_rank_p, normal_p
-from seedloom.operators.base import as_list, dealt, ratio
+from seedloom.operators.base import as_list, ratio
 from seedloom.operators.ordered import (
     following,
+    in_parts,
     lay_out,
     ordered_scan,
     previous,
@@ -76,23 +79,36 @@ def mann_whitney(df: DataFrame, by, value: str, is_a: Column, is_b: Column, min_
     means all come from one ordered scan of the distinct values. The tail probability is the
     only Python step and runs once per key. ``method`` is the caller's: ``normal``, with tie and
     continuity correction, or ``exact``, for distinct values and groups whose sizes' product fits a task.
-    ``rows``, the number of rows if it is known, sets the number of tasks.
+    ``rows``, the number of rows if it is known, sets the number of tasks: the rows of each key are then dealt
+    once, in parts by value, and nothing but the sums of the parts goes further.
     """
     if method not in ("normal", "exact"):
         raise ValueError(method)
     by = as_list(by)
     known = df.filter(F.col(value).isNotNull() & (is_a | is_b))
-    vc = value_counts(known, by, value, rows, _a=F.when(is_a, 1).otherwise(0), _b=F.when(is_b, 1).otherwise(0))
-    rank = F.col("cum") - (F.col("n") - 1) / 2.0
+    tags = {"_a": F.when(is_a, 1).otherwise(0), "_b": F.when(is_b, 1).otherwise(0)}
     n = F.col("n").cast("double")
-    agg = vc.groupBy(*by).agg(
+    sums = [
         F.sum("_a").alias("n_a"),
         F.sum("_b").alias("n_b"),
-        ratio(F.sum(F.col("_a") * F.col(value)), F.sum("_a")).alias("mean_a"),
-        ratio(F.sum(F.col("_b") * F.col(value)), F.sum("_b")).alias("mean_b"),
-        F.sum(F.col("_a") * rank).alias("_ra"),
+        F.sum(F.col("_a") * F.col(value)).alias("_sa"),
+        F.sum(F.col("_b") * F.col(value)).alias("_sb"),
+        F.sum(F.col("_a") * (F.col("cum") - (F.col("n") - 1) / 2.0)).alias("_ra"),
         F.sum(n * n * n - n).alias("_ties"),
-    )
+    ]
+    if rows and by:
+        part = in_parts(known.select(*by, value, *[c.alias(k) for k, c in tags.items()]), by, value, rows)
+        counts = part.groupBy(*by, "_part", value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in tags])
+        upto = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        parts = counts.withColumn("cum", F.sum("n").over(upto)).groupBy(*by, "_part").agg(F.sum("n").alias("_n"), *sums)
+        # ranks in a part go on from those of the parts before it
+        before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")
+        parts = parts.withColumn("_ra", F.col("_ra") + F.col("n_a") * before)
+        agg = parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n_a", "n_b", "_sa", "_sb", "_ra", "_ties")])
+    else:
+        agg = value_counts(known, by, value, **tags).groupBy(*by).agg(*sums)
+    agg = agg.withColumns({"mean_a": ratio(F.col("_sa"), F.col("n_a")), "mean_b": ratio(F.col("_sb"), F.col("n_b"))})
+    agg = agg.select(*by, "n_a", "n_b", "mean_a", "mean_b", "_ra", "_ties")
     a, b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     u = F.col("_ra") - a * (a + 1) / 2
     enough = (F.col("n_a") >= min_n) & (F.col("n_b") >= min_n) & (F.col("n_a") > 0) & (F.col("n_b") > 0)
@@ -148,19 +164,17 @@ METRICS = (
 ).split()
 
 
-def distribution_metrics(df: DataFrame, by, value: str = "value", pos: str = "position", n_rows: int = 0) -> DataFrame:
+def distribution_metrics(df: DataFrame, by, value: str = "value", pos: str = "position", small: bool = False) -> DataFrame:
     """The 17 distribution metrics of the values of each group, ordered by ``pos`` for peaks.
 
-    ``n_rows``, the number of rows if it is known, sets the number of tasks: for many small groups, as each is
-    dealt to one task.
+    ``small`` says that groups are many and small: the values of each then stand in one row, so no row is written
+    or dealt again if ``df`` is dealt by some of ``by``.
     """
     by = as_list(by)
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, pos, value)
-    # laid out once for the peaks; the other two passes read the same settled rows
-    rows = lay_out(rows, by, pos, rows=n_rows)
     v = F.col(value)
     up = F.when(v > 0, v)
-    base = dealt(rows, n_rows, *by).groupBy(*by).agg(
+    aggs = [
         F.avg(v).alias("mean"),
         F.max(v).alias("max"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"),
@@ -168,29 +182,78 @@ def distribution_metrics(df: DataFrame, by, value: str = "value", pos: str = "po
         F.when(F.count(v) > 3, F.kurtosis(v)).alias("kurtosis"),
         F.count(v).alias("_n"),
         F.coalesce(F.log(F.sum(up)) - F.sum(up * F.log(up)) / F.sum(up), F.lit(0.0)).alias("shannon_entropy"),
-    )
-    vc = value_counts(rows, by, value, n_rows)
-    k = F.greatest(F.lit(1), F.floor(F.col("total") * 0.05))
-    before = F.col("cum") - F.col("n")
-    in_top = F.greatest(F.lit(0), F.col("cum") - F.greatest(before, F.col("total") - k))
-    in_low = F.greatest(F.lit(0), F.least("cum", k) - before)
-    shape = dealt(vc, n_rows, *by).groupBy(*by).agg(
-        *quantile_aggs(value, {"median": 0.5, "_q25": 0.25, "_q75": 0.75, "percentile_90": 0.9, "percentile_10": 0.1}),
-        F.max_by(value, F.struct("n", -v)).alias("mode"),
-        (F.sum(v * in_top) / F.max(k)).alias("top5_percent_mean"),
-        (F.sum(v * in_low) / F.max(k)).alias("low5_percent_mean"),
-    )
-    out = join_groups(base, shape, by).withColumn("iqr", F.col("_q75") - F.col("_q25"))
+    ]
+    if small:
+        groups = rows.groupBy(*by).agg(*aggs, F.sort_array(F.collect_list(F.struct(pos, value))).alias("_at"))
+        # the joins below match no null: a group without a key has sums only
+        keyed = reduce(lambda a, c: a & F.col(c).isNotNull(), by, F.lit(True))
+        out = _array_metrics(groups.withColumn("_at", F.when(keyed, F.col("_at"))), value, rows.schema[value].dataType)
+    else:
+        # laid out once for the peaks; the other two passes read the same settled rows
+        rows = lay_out(rows, by, pos)
+        base = rows.groupBy(*by).agg(*aggs)
+        vc = value_counts(rows, by, value)
+        k = F.greatest(F.lit(1), F.floor(F.col("total") * 0.05))
+        before = F.col("cum") - F.col("n")
+        in_top = F.greatest(F.lit(0), F.col("cum") - F.greatest(before, F.col("total") - k))
+        in_low = F.greatest(F.lit(0), F.least("cum", k) - before)
+        shape = vc.groupBy(*by).agg(
+            *quantile_aggs(value, QUARTILES),
+            F.max_by(value, F.struct("n", -v)).alias("mode"),
+            (F.sum(v * in_top) / F.max(k)).alias("top5_percent_mean"),
+            (F.sum(v * in_low) / F.max(k)).alias("low5_percent_mean"),
+        )
+        out = join_groups(base, shape, by)
+        peaks = join_groups(local_maxima(rows, value, pos, by, laid=True), base.select(*by, "mean"), by).filter(v >= F.col("mean"))
+        peaks = peaks.groupBy(*by).agg(F.count(F.lit(1)).alias("_pc"), F.avg(v).alias("peak_mean"))
+        out = join_groups(out, peaks, by)
+    out = out.withColumn("iqr", F.col("_q75") - F.col("_q25"))
     out = out.withColumn("cv", ratio(F.col("std"), F.col("mean")))
-    peaks = join_groups(local_maxima(rows, value, pos, by, laid=True), base.select(*by, "mean"), by).filter(v >= F.col("mean"))
-    peaks = peaks.groupBy(*by).agg(F.count(F.lit(1)).alias("_pc"), F.avg(v).alias("peak_mean"))
-    out = join_groups(out, peaks, by)
     enough = F.col("_n") >= 3
     out = out.withColumn("peak_count", F.when(enough, F.coalesce("_pc", F.lit(0))).otherwise(0).cast("double"))
     out = out.withColumn("peak_density", F.col("peak_count") / F.col("_n"))
     return out.select(*by, F.col("_n").alias("n"), *METRICS)
 
 
+QUARTILES = {"median": 0.5, "_q25": 0.25, "_q75": 0.75, "percentile_90": 0.9, "percentile_10": 0.1}
+
+
+def _array_metrics(groups: DataFrame, value: str, kind) -> DataFrame:
+    """What :func:`distribution_metrics` reads off ordered values, from ``_at``, the (position, value) of a group in order."""
+    groups = groups.withColumn("_s", F.sort_array(F.transform("_at", lambda x: x[value])))
+    none, n = F.lit(None).cast(kind), F.col("_n")
+    added = {}
+    for name, q in QUARTILES.items():
+        at = F.lit(float(q)) * (n - 1)
+        low, high = (F.get("_s", end(at).cast("int")) for end in (F.floor, F.ceil))
+        added[name] = low + (high - low) * (at - F.floor(at))
+    k = F.greatest(F.lit(1), F.floor(n * 0.05)).cast("int")
+    for name, start in (("top5_percent_mean", n.cast("int") - k + 1), ("low5_percent_mean", F.lit(1))):
+        added[name] = F.aggregate(F.slice("_s", start, k), F.lit(0.0), lambda a, x: a + x) / k
+
+    def count_ties(seen: Column, x: Column) -> Column:
+        run = F.when(x == seen["last"], seen["run"] + 1).otherwise(1)
+        more = run > seen["most"]
+        return F.struct(x.alias("last"), run.alias("run"), F.when(more, x).otherwise(seen["best"]).alias("best"), F.greatest(run, seen["most"]).alias("most"))
+
+    nothing = F.struct(none.alias("last"), F.lit(0).alias("run"), none.alias("best"), F.lit(0).alias("most"))
+    added["mode"] = F.aggregate("_s", nothing, count_ties, lambda seen: seen["best"])
+
+    def count_peaks(seen: Column, x: Column) -> Column:
+        """A run of one value is a peak if the values rise to it and fall after it."""
+        last = seen["last"]
+        peak = seen["up"] & (x[value] < last) & (last >= F.col("mean"))
+        rising = F.when(x[value] > last, True).when(x[value] < last, False).otherwise(seen["up"])
+        return F.struct(
+            x[value].alias("last"), rising.alias("up"), (seen["n"] + F.when(peak, 1).otherwise(0)).alias("n"),
+            (seen["sum"] + F.when(peak, last.cast("double")).otherwise(0.0)).alias("sum"),
+        )
+
+    nothing = F.struct(none.alias("last"), F.lit(False).alias("up"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"))
+    groups = groups.withColumns({**added, "_peaks": F.aggregate("_at", nothing, count_peaks)})
+    return groups.withColumns({"_pc": F.col("_peaks.n"), "peak_mean": ratio(F.col("_peaks.sum"), F.col("_peaks.n"))}).drop("_at", "_s", "_peaks")
+
+
 def column_profile(matrix: DataFrame, by=("position",), value: str = "value") -> DataFrame:
     """Mean over samples at each position; samples without a value do not count."""
     v = F.col(value)

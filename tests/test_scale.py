@@ -296,3 +296,46 @@ def test_gene_pvalues_tasks(spark, monkeypatch):
     monkeypatch.setattr(base, "TASK_ROWS", 200)
     assert run() == whole
     assert max(parts) >= near.count() // 200
+
+
+def test_gene_pvalues_writes_no_hits(spark, monkeypatch):
+    """Genes overlap, so a sample has many times its rows in hits: neither they nor the scores are written."""
+    rows = [(i, p, i % 2, ((i * 37 + p * 11) % 101) / 8) for i in range(80) for p in range(1, 9)]
+    matrix = spark.createDataFrame(rows, "sample_id long, position long, grp int, value double")
+    loci = spark.createDataFrame([(g, 1 + g % 4, 5 + g % 4) for g in range(30)], "gene_id long, start long, end long")
+    run = lambda: sorted(map(str, gn.gene_pvalues(matrix, loci, metrics=("mean", "peak_count")).collect()))
+    whole = run()
+    written = []
+    settled = base.settle
+    for module in (base, ordered, st):
+        monkeypatch.setattr(module, "settle", lambda df: written.append((out := settled(df)).count()) or out)
+    assert run() == whole and max(written) <= 30 * 5
+    # groups cut in parts by value: the picked values alone are written
+    monkeypatch.setattr(base, "TASK_ROWS", 4000)
+    written.clear()
+    assert run() == whole and max(written) < 80 * 30
+
+
+def test_small_groups_have_the_same_metrics(spark):
+    """Metrics read off arrays are those of ordered scans: ties, flat runs, few values, nulls and NaN."""
+    rng = random.Random(3)
+    values = [0.0, 0.5, 1.0, 1.0, 2.5, -1.5, None, float("nan"), 7.25]
+    rows = [(g, g % 2 if g % 5 else None, p, rng.choice(values)) for g in range(60) for p in range(1, 2 + g)]
+    df = spark.createDataFrame(rows, "g long, h int, position long, value double")
+    near = lambda r: [pytest.approx(v, rel=1e-9, abs=1e-12) if isinstance(v, float) else v for v in r]
+    order = lambda r: str(r[:2])
+    got, want = (sorted(map(tuple, st.distribution_metrics(df, ["g", "h"], small=s).collect()), key=order) for s in (True, False))
+    assert len(got) == len(want) > 50 and got == [tuple(near(r)) for r in want]
+
+
+def test_rank_test_in_parts(spark, monkeypatch):
+    """Keys cut at any value, ties and null keys included, have the ranks of the whole key."""
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None]), rng.choice([0, 1, 1, 2, None]), rng.choice([0.0, -0.0, None, float(rng.randrange(40)), rng.random()])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k int, grp int, v double")
+    run = lambda n: sorted((tuple(str(round(x, 9) if isinstance(x, float) else x) for x in r) for r in st.mann_whitney(df, "k", "v", F.col("grp") == 0, F.col("grp") == 1, rows=n).collect()))
+    want = run(0)
+    monkeypatch.setattr(base, "TASK_ROWS", 300)
+    parts = ordered.in_parts(df, "k", "v", 3000).groupBy("k").agg(F.count_distinct("_part").alias("n"))
+    assert max(r["n"] for r in parts.collect()) > 3
+    assert run(3000) == want and len(want) == 3
