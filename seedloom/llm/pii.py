@@ -144,11 +144,14 @@ def general_forms(found: DataFrame, of_term: DataFrame, total: int, disclosed: f
     entity in as many as the entity has at most; if even these two counts stay below the threshold, the
     beginning is general enough. Terms without such a beginning have no row.
     """
-    starts = lambda word: F.transform(F.sequence(F.lit(SHORTEST), F.length(word)), lambda n: F.substring(word, F.lit(1), n))
+    starts = lambda word, most: F.transform(F.sequence(F.lit(SHORTEST), most), lambda n: F.substring(word, F.lit(1), n))
     # (log N - log n_t) / (log N - log n_e) grows with n_e, so a term's most frequent entity decides.
     by_term = found.groupBy("term").agg(F.max("n_e").alias("n_e")).filter(F.length("term") > SHORTEST)
-    asked = by_term.select("term", "n_e", F.explode(F.slice(starts(F.col("term")), F.lit(1), F.length("term") - SHORTEST)).alias("start"))
-    most = of_term.select("n_t", F.explode(starts(F.col("term"))).alias("start")).groupBy("start").agg(F.max("n_t").alias("n_t"))
+    asked = by_term.select("term", "n_e", F.explode(starts(F.col("term"), F.length("term") - 1)).alias("start"))
+    # No longer beginning is asked for: those of a word of 200,000 letters are 20 GB.
+    reach = (by_term.agg(F.max(F.length("term"))).first()[0] or SHORTEST + 1) - 1
+    most = of_term.select("n_t", F.explode(starts(F.col("term"), F.least(F.length("term"), F.lit(reach)))).alias("start"))
+    most = most.groupBy("start").agg(F.max("n_t").alias("n_t"))
     fits = asked.join(most, "start").filter(_disclosure(F.col("n_e"), F.col("n_e"), F.col("n_t"), total) < disclosed)
     longest = fits.groupBy("term").agg(F.max(F.struct(F.length("start").alias("n"), "start")).alias("best"))
     return longest.select("term", F.col("best.start").alias("general"))
